@@ -149,6 +149,7 @@ def with_views(sql: str, *names: str) -> str:
     if head[:2] == ["with", "recursive"]:
         rest = body[body.lower().index("recursive") + len("recursive"):]
         return f"with recursive {ctes},\n{rest}"
-    if body.lower().startswith("with "):
-        return f"with {ctes},\n{body[5:]}"
+    if head[:1] == ["with"]:
+        rest = body[4:]
+        return f"with {ctes},\n{rest}"
     return f"with {ctes}\n{body}"
