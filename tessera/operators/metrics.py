@@ -121,22 +121,22 @@ def score_table(df: DataFrame, positive: Column, score: str, buckets: int | None
     def offset(m):
         if not m:
             return F.lit(0)
-        return F.create_map(*[x for k, v in m.items() for x in (F.lit(k), F.lit(v))])[F.col("bucket")]
+        return F.create_map(*[x for k, v in m.items() for x in (F.lit(k), F.lit(v).cast("long"))])[F.col("bucket")]
 
     w = Window.partitionBy("bucket").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
     out = ranged.select(
         "s", "pos", "neg",
         (F.coalesce(F.sum("pos").over(w), F.lit(0)) + offset(off_p)).alias("pos_above"),
         (F.coalesce(F.sum("neg").over(w), F.lit(0)) + offset(off_n)).alias("neg_above"))
-    return out.withColumns({"P": F.lit(acc_p), "N": F.lit(acc_n)})
+    return out.withColumns({"P": F.lit(acc_p).cast("long"), "N": F.lit(acc_n).cast("long")})
 
 
 def auc(df: DataFrame, label: str = "label", score: str = "score", positive_value=1) -> DataFrame:
     """V5: ROC AUC with ties counted half: Σ pos·(neg below + neg tied/2) / (P·N)."""
     t = score_table(df, F.col(label) == F.lit(positive_value), score)
     neg_below = F.col("N") - F.col("neg_above") - F.col("neg")
-    return t.agg(F.try_divide(F.sum(F.col("pos") * (neg_below + F.col("neg") / 2.0)),
-                              F.first("P") * F.first("N")).alias("auc"))
+    return t.agg(F.try_divide(F.sum(F.col("pos").cast("double") * (neg_below + F.col("neg") / 2.0)),
+                              F.first("P").cast("double") * F.first("N").cast("double")).alias("auc"))
 
 
 def auc_ovr(df: DataFrame, label: str, scores: dict, weighted: bool = True) -> DataFrame:
