@@ -106,6 +106,53 @@ def reg(spark: SparkSession, sf: str) -> DataFrame:
                      (F.lit(2000.0) * F.col("l_quantity")).alias("yhat"))
 
 
+def lab_log(spark: SparkSession, sf: str) -> DataFrame:
+    """(file, line_no, c0..c4): a lab log written from orders and lineitem.
+
+    Per order k: a formulation line (doses, id, a stability cell); for k not
+    divisible by 10 a dilution line and a header line on the next line; one
+    'Day n' line per (order, line number) with date, volume, texture and a
+    baseline mark; a texture-only continuation line after 'Day 0' of orders
+    whose first line has flag R. File = k div 100, so a file holds at most
+    100 orders at any scale.
+    """
+    o = table(spark, sf, "orders")
+    li = table(spark, sf, "lineitem")
+    k = F.col("o_orderkey")
+    null = F.lit(None).cast("string")
+    form = o.select((k / 100).cast("long").alias("file"), (k * 100).alias("line_no"),
+                    F.when(k % 7 == 0, F.concat((k % 50 + 1).cast("string"), F.lit("% APG, 20 ppm SDS - 5 ppm sds (S"),
+                                                k.cast("string"), F.lit(")")))
+                    .otherwise(F.concat((k % 50 + 1).cast("string"), F.lit("% APG, 20 ppm SDS (S"), k.cast("string"),
+                                        F.lit(")"))).alias("c0"),
+                    F.when(F.col("o_orderstatus") == "F", "Unstable concentrate 4C")
+                    .when(F.col("o_orderstatus") == "O", "stable RT").otherwise("cloudy dilution").alias("c1"),
+                    null.alias("c2"), null.alias("c3"), null.alias("c4"))
+    od = o.where(k % 10 != 0)
+    dil = od.select((k / 100).cast("long").alias("file"), (k * 100 + 1).alias("line_no"),
+                    F.when(k % 3 == 0, "20X").when(k % 3 == 1, "10 X AFC").otherwise("5X sonicated").alias("c0"),
+                    F.when(k % 2 == 0, "45C 5cc").otherwise("RT 5cc").alias("c1"),
+                    F.lit("10 mL tube").alias("c2"), null.alias("c3"), null.alias("c4"))
+    hdr = od.select((k / 100).cast("long").alias("file"), (k * 100 + 2).alias("line_no"),
+                    F.lit("Day").alias("c0"), F.lit("Date").alias("c1"), F.lit("Foam (cc)").alias("c2"),
+                    F.lit("Foam Texture").alias("c3"), F.lit("Notes").alias("c4"))
+    per = li.groupBy("l_orderkey", "l_linenumber").agg(
+        F.max("l_shipdate").alias("d"), F.sum("l_quantity").alias("q"),
+        F.max("l_returnflag").alias("rf"), F.max("l_linestatus").alias("ls"))
+    lk, ln = F.col("l_orderkey"), F.col("l_linenumber")
+    day = per.select((lk / 100).cast("long").alias("file"), (lk * 100 + 10 + 2 * ln).alias("line_no"),
+                     F.concat(F.lit("Day "), (ln - 1).cast("string")).alias("c0"),
+                     F.date_format("d", "yyyy-MM-dd").alias("c1"),
+                     F.concat(F.col("q").cast("long").cast("string"), F.lit(" cc")).alias("c2"),
+                     F.when(F.col("rf") == "A", "Fine").when(F.col("rf") == "N", "Coarse")
+                     .otherwise("Creamy-Fine").alias("c3"),
+                     F.when(F.col("ls") == "O", "*").alias("c4"))
+    cont = per.where((F.col("rf") == "R") & (ln == 1)).select(
+        (lk / 100).cast("long").alias("file"), (lk * 100 + 11 + 2 * ln).alias("line_no"),
+        null.alias("c0"), null.alias("c1"), null.alias("c2"), F.lit("wet").alias("c3"), null.alias("c4"))
+    return form.unionByName(dil).unionByName(hdr).unionByName(day).unionByName(cont)
+
+
 # ---------------------------------------------------------------------------
 # DuckDB text of the same views (for oracle CTEs)
 # ---------------------------------------------------------------------------
@@ -136,6 +183,30 @@ VIEW_SQL = {
         case when l_quantity < 15 then 'A' when l_quantity < 35 then 'N' else 'R' end as pred,
         l_quantity/50 as s_A, l_discount*10 as s_N, l_tax*12.5 as s_R from lineitem""",
     "reg": "select l_orderkey as id, l_extendedprice as y, 2000.0e0*l_quantity as yhat from lineitem",
+    "lab_log": """
+select o_orderkey // 100 as file, o_orderkey * 100 as line_no,
+  case when o_orderkey % 7 = 0 then cast(o_orderkey % 50 + 1 as varchar) || '% APG, 20 ppm SDS - 5 ppm sds (S'
+         || cast(o_orderkey as varchar) || ')'
+       else cast(o_orderkey % 50 + 1 as varchar) || '% APG, 20 ppm SDS (S' || cast(o_orderkey as varchar) || ')' end as c0,
+  case o_orderstatus when 'F' then 'Unstable concentrate 4C' when 'O' then 'stable RT' else 'cloudy dilution' end as c1,
+  cast(null as varchar) as c2, cast(null as varchar) as c3, cast(null as varchar) as c4 from orders
+union all
+select o_orderkey // 100, o_orderkey * 100 + 1,
+  case o_orderkey % 3 when 0 then '20X' when 1 then '10 X AFC' else '5X sonicated' end,
+  case when o_orderkey % 2 = 0 then '45C 5cc' else 'RT 5cc' end, '10 mL tube', null, null
+  from orders where o_orderkey % 10 != 0
+union all
+select o_orderkey // 100, o_orderkey * 100 + 2, 'Day', 'Date', 'Foam (cc)', 'Foam Texture', 'Notes'
+  from orders where o_orderkey % 10 != 0
+union all
+select l_orderkey // 100, l_orderkey * 100 + 10 + 2 * l_linenumber, 'Day ' || cast(l_linenumber - 1 as varchar),
+  strftime(max(l_shipdate), '%Y-%m-%d'), cast(cast(sum(l_quantity) as bigint) as varchar) || ' cc',
+  case max(l_returnflag) when 'A' then 'Fine' when 'N' then 'Coarse' else 'Creamy-Fine' end,
+  case when max(l_linestatus) = 'O' then '*' end
+  from lineitem group by l_orderkey, l_linenumber
+union all
+select l_orderkey // 100, l_orderkey * 100 + 11 + 2 * l_linenumber, null, null, null, 'wet', null
+  from lineitem group by l_orderkey, l_linenumber having max(l_returnflag) = 'R' and l_linenumber = 1""",
 }
 
 
