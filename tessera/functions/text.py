@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .core import col, nan_to_null
 
-NBSP = " "
+NBSP = "\u00a0"
 WS = "[\\s\\u00a0]"
 
 

@@ -59,5 +59,5 @@ def register(name: str, sql: str | None = None, views=(), digits=None, ops: str
 
 
 def load_all() -> dict[str, Query]:
-    from . import series, profile, prepare, explore, decay, evaluate, train, design_explain, lablog_q  # noqa: F401  (import registers the queries)
+    from . import series, profile, prepare, explore, decay, evaluate, train, design_explain, lablog_q, misc_q  # noqa: F401  (import registers the queries)
     return REGISTRY
