@@ -18,7 +18,11 @@ from pyspark.sql.types import NumericType, BooleanType, DataType, StringType
 
 
 def col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    """A column by plain name (names may hold dots or parentheses, as
+    spreadsheet headers do); Columns pass through."""
+    if isinstance(c, str):
+        return F.col(c if c.startswith("`") else "`" + c.replace("`", "``") + "`")
+    return c
 
 
 def nan_to_null(c) -> Column:

@@ -106,3 +106,33 @@ def half_life(df: DataFrame, method: str = "best", unit: str = "hours", pts: str
     hl = F.bround(F.when(~F.isnan(tmin / scale) & (F.abs(tmin) != float("inf")), tmin / scale), 2)
     return df.withColumns({"y0": F.expr(f"try_element_at({pts}, 1).y"), "half_life": hl,
                            "method_used": pick})
+
+
+def _g6(x) -> str:
+    return "nan" if x is None else f"{x:.6g}"
+
+
+def equations(row) -> dict[str, str]:
+    """H3: equation texts with 6 significant digits from one row's fitted
+    coefficients (driver-side formatting of a handful of rows only)."""
+    lin, expo, quad = row["lin"], row["expo"], row["quad"]
+    return {
+        "equ_linear": f"y = {_g6(lin['a'])} * t + {_g6(lin['b'])}" if lin else "y = a*t + b",
+        "equ_exp": f"y = {_g6(expo['A'])} * exp({_g6(expo['B'])} * t)" if expo else "y = A * exp(B*t)",
+        "equ_poly": (f"y = {_g6(quad['c2'])}*t^2 + {_g6(quad['c1'])}*t + {_g6(quad['c0'])}" if quad
+                     else "y = poly(deg=2)"),
+    }
+
+
+def equation_columns(df: DataFrame) -> DataFrame:
+    """H3 as columns (Java %g formatting; compare coefficients, not text)."""
+    g = lambda c: F.format_string("%.6g", c)
+    return df.withColumns({
+        "equ_linear": F.when(F.col("lin").isNotNull(), F.concat(F.lit("y = "), g("lin.a"), F.lit(" * t + "), g("lin.b")))
+        .otherwise(F.lit("y = a*t + b")),
+        "equ_exp": F.when(F.col("expo").isNotNull(), F.concat(F.lit("y = "), g("expo.A"), F.lit(" * exp("), g("expo.B"),
+                                                               F.lit(" * t)"))).otherwise(F.lit("y = A * exp(B*t)")),
+        "equ_poly": F.when(F.col("quad").isNotNull(), F.concat(F.lit("y = "), g("quad.c2"), F.lit("*t^2 + "),
+                                                               g("quad.c1"), F.lit("*t + "), g("quad.c0")))
+        .otherwise(F.lit("y = poly(deg=2)")),
+    })

@@ -79,6 +79,49 @@ def day_arrays(long_df: DataFrame, id_col: str = "id", day_col: str = "d", y_col
                     F.expr(f"transform({seq}, i -> try_element_at(m, i).tex)").alias("tex"))
 
 
+def map_day_columns(columns: list[str]) -> tuple[dict[int, str], dict[int, str]]:
+    """Volume and label columns → day numbers (schema only).
+
+    'Day d - Foam (cc)' / 'Day d - Foam Texture' sort by 10·d; bare
+    'Foam (cc)' / 'Texture' headers sort by their '.n' suffix (bare = 0,
+    '.n' = n+1, unparsable = 9999); names containing 'score' are skipped;
+    days are then renumbered 0.. in sorted order (quirk K9 kept).
+    """
+    import re
+    foam, tex = [], []
+    for c in columns:
+        norm = c.lower().strip().replace(" ", "")
+        if "score" in norm:
+            continue
+        m = re.match(r"day(\d+)-", norm)
+        if m:
+            key = int(m.group(1)) * 10
+        elif "." in norm:
+            try:
+                key = int(norm.rsplit(".", 1)[-1]) + 1
+            except ValueError:
+                key = 9999
+        else:
+            key = 0
+        if "foam(cc)" in norm:
+            foam.append((key, c))
+        elif "texture" in norm:
+            tex.append((key, c))
+    foam.sort(key=lambda x: x[0])
+    tex.sort(key=lambda x: x[0])
+    return {d: c for d, (_, c) in enumerate(foam)}, {d: c for d, (_, c) in enumerate(tex)}
+
+
+def day_arrays_from_wide(df: DataFrame, id_col: str, num_days: int = 14) -> DataFrame:
+    """P1 + X2 + X1 on a wide table: one projection to (id, y[], tex[])."""
+    from ..functions.text import to_volume
+    foam, tex = map_day_columns(df.columns)
+    n = min(num_days, max(foam) if foam else -1)
+    ys = [to_volume(foam[d]) if d in foam else F.lit(None).cast("double") for d in range(n + 1)]
+    ts = [clean_label(tex[d]) if d in tex else F.lit(None).cast("string") for d in range(n + 1)]
+    return df.select(F.col(id_col).alias("id"), F.array(*ys).alias("y"), F.array(*ts).alias("tex"))
+
+
 def valid_sample_expr(y: str = "y") -> str:
     """≥2 days, first and last present, no two adjacent missing days."""
     return (f"(size({y}) >= 2 and {y}[0] is not null and {y}[size({y}) - 1] is not null and "

@@ -213,3 +213,39 @@ def g15_q(spark, sf):
 def e5_q(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
     return M.method_one_hot(o, "o_orderpriority").drop("o_orderpriority")
+
+
+# ---------------------------------------------------------------- T18, T20, H3
+
+@register("t18_automl_report_chem", ops="T18 G6 G14 M5 M6 E5 E6 T3 N1 N2")
+def t18_q(spark, sf):
+    from ..plans.jobs import AutoMLConfig, automl
+    c = V.chem_wide(spark, sf)
+    out = automl(c, "id", "target", {"anionic": ["c1", "c2"], "nonionic": ["c3", "c4"]}, [],
+                 [("c1", "c2"), ("c3", "c4")], method_col="method",
+                 cfg=AutoMLConfig(n_estimators=20, max_depth=8, attribution_rows=200, permutations=4))
+    return out["metrics"]
+
+
+@register("t20_run_history_chem", ops="T20 T14 V12")
+def t20_q(spark, sf):
+    from ..operators import models as T
+    from ..operators import splits as SP
+    from ..operators.metrics import metric_changes
+    c = V.chem_wide(spark, sf)
+    d = SP.kfold(c.select("id", "target", *[F.coalesce(F.col(x), F.lit(0.0)).alias(x) for x in V.CHEM_COLS]),
+                 "id", 3)
+    path = _scratch(spark, "runs")
+    for i, name in enumerate(["LinearRegression", "Ridge"]):
+        res = T.run_validation(d, V.CHEM_COLS, "target", name, fold_col="fold", metric="r2")
+        T.append_run(spark, path, {"name": name, "params": {}, "validation": "kfold", "mean": res["mean"],
+                                   "std": res["std"]})
+    runs = spark.read.parquet(path).withColumn("metric", F.lit("r2"))
+    return metric_changes(runs.select(F.col("ts").alias("run"), "metric", F.col("mean").alias("value"), "name"))
+
+
+@register("h3_equation_texts_decay", ops="H3 H2")
+def h3_q(spark, sf):
+    from ..operators import halflife as H
+    ev = H.evaluate(H.points_from_long(V.decay_long(spark, sf)), 0.8)
+    return H.equation_columns(ev).select("id", "equ_linear", "equ_exp", "equ_poly")
