@@ -81,13 +81,13 @@ select {("grid.grp as " + chr(34) + "group" + chr(34) + ", ") if by else ""}grid
        coalesce(c.n, 0) as n from grid left join c on {join_on}"""
 
 
-@register("a5_histogram_target_chem", views=("chem_wide",), digits={"left": 4, "right": 4}, ops="A5",
+@register("a5_histogram_target_chem", views=("chem_wide",), ops="A5",
           sql=_hist_sql("chem_wide", "target", 30))
 def a5_q(spark, sf):
     return A.histogram(V.chem_wide(spark, sf), "target", 30)
 
 
-@register("a6_histogram_by_class_lineitem", digits={"left": 4, "right": 4}, ops="A6",
+@register("a6_histogram_by_class_lineitem", ops="A6",
           sql=_hist_sql("lineitem", "l_extendedprice", 15, by="l_returnflag"))
 def a6_q(spark, sf):
     return A.histogram(table(spark, sf, "lineitem"), "l_extendedprice", 15, by="l_returnflag")
@@ -143,7 +143,7 @@ def a12_q(spark, sf):
     return A.residual_summary(V.reg(spark, sf), "y", "yhat")
 
 
-@register("a12_residual_histogram_reg", views=("reg",), digits={"left": 2, "right": 2}, ops="A12 A5",
+@register("a12_residual_histogram_reg", views=("reg",), ops="A12 A5",
           sql=_hist_sql("(select y - yhat as resid from reg)", "resid", 40))
 def a12h_q(spark, sf):
     r = V.reg(spark, sf).select((F.col("y") - F.col("yhat")).alias("resid"))
