@@ -108,12 +108,18 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
         cat = categorical_columns(df)
         top = _top_values(df, cat) if cat else None
     else:
-        freq = frequency_table(df, cols)
-        dist = freq.groupBy("column").agg(F.count("*").alias("n_unique_"))
-        base = (base.join(dist, "column", "left")
-                .withColumn("n_unique", F.coalesce("n_unique_", F.lit(0)).cast("long")).drop("n_unique_"))
+        # one grouped pass over the frequency table gives distinct counts and
+        # the top value (smallest among ties) of every column
         cat = categorical_columns(df)
-        top = _top_from_freq(freq.filter(F.col("column").isin(cat))) if cat else None
+        freq = frequency_table(df, cols)
+        best = F.min_by(F.struct(F.col("value"), F.col("n")), F.struct(-F.col("n"), F.col("value")))
+        per = freq.groupBy("column").agg(F.count("*").alias("n_unique_"), best.alias("b"))
+        per = per.select("column", "n_unique_",
+                         F.when(F.col("column").isin(cat), F.col("b.value")).alias("top"),
+                         F.when(F.col("column").isin(cat), F.col("b.n")).alias("freq"))
+        out = base.join(per, "column", "left")
+        return (out.withColumn("n_unique", F.coalesce("n_unique_", F.lit(0)).cast("long")).drop("n_unique_")
+                .select(*base.columns, "top", "freq"))
     if top is None:
         return base.withColumn("top", F.lit(None).cast("string")).withColumn("freq", F.lit(None).cast("long"))
     return base.join(top, "column", "left")
