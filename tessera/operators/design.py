@@ -29,10 +29,7 @@ def observed_bounds(ref: DataFrame, features: list[str], given: dict | None = No
     return out
 
 
-def sample_uniform(spark: SparkSession, bounds: dict[str, tuple], n: int, seed: int = 42,
-                   partitions: int | None = None) -> DataFrame:
-    """N points, each feature uniform in [lo, hi]; constant when lo ≈ hi."""
-    ids = spark.range(0, n, 1, partitions) if partitions else spark.range(n)
+def _uniform_cols(bounds: dict[str, tuple], seed: int) -> list:
     cols = []
     for c, (lo, hi) in bounds.items():
         if lo is None or hi is None:
@@ -41,7 +38,14 @@ def sample_uniform(spark: SparkSession, bounds: dict[str, tuple], n: int, seed:
             cols.append(F.lit(float(lo)).alias(c))
         else:
             cols.append((F.lit(float(lo)) + F.lit(float(hi - lo)) * hash_u("id", seed, c)).alias(c))
-    return ids.select("id", *cols)
+    return cols
+
+
+def sample_uniform(spark: SparkSession, bounds: dict[str, tuple], n: int, seed: int = 42,
+                   partitions: int | None = None) -> DataFrame:
+    """N points, each feature uniform in [lo, hi]; constant when lo ≈ hi."""
+    ids = spark.range(0, n, 1, partitions) if partitions else spark.range(n)
+    return ids.select("id", *_uniform_cols(bounds, seed))
 
 
 def sample_dirichlet(spark: SparkSession, features: list[str], total: float, n: int,
@@ -78,10 +82,10 @@ def sample_dirichlet(spark: SparkSession, features: list[str], total: float, n:
 
 def mixed_design(spark: SparkSession, mix_features: list[str], total: float, other_bounds: dict, n: int,
                  mix_bounds: dict | None = None, seed: int = 42) -> DataFrame:
-    """D3: Dirichlet columns for the mixture + uniform for the rest, one frame."""
+    """D3: flat-Dirichlet columns for the mixture and uniform columns for the
+    rest, generated together in one projection over ``range(n)`` (no join)."""
     mix = sample_dirichlet(spark, mix_features, total, n, mix_bounds, 1.0, seed)
-    uni = sample_uniform(spark, other_bounds, n, seed)
-    return mix.join(uni, "id")  # both sides are range(n) with the same partitioning key
+    return mix.select("*", *_uniform_cols(other_bounds, seed))
 
 
 def score_classification(scored: DataFrame, classes: list[str], safe_class: str, prob_col: str = "probability",
@@ -132,12 +136,15 @@ def above_quantile(scored: DataFrame, score_col: str = "objective_score", q: flo
 
 
 def recommended_ranges(df: DataFrame, features: list[str], q_low: float = 0.05, q_high: float = 0.95,
-                       digits: int = DECIMALS) -> DataFrame:
-    """Per feature q05, median, q95, min, max (rounded), one aggregate."""
+                       digits: int = DECIMALS, approx: bool = False) -> DataFrame:
+    """Per feature q05, median, q95, min, max (rounded), one aggregate
+    (exact by default; ``approx`` for a bounded-memory sketch)."""
     aggs = []
     for i, c in enumerate(features):
         x = num(c)
-        aggs += [F.percentile(x, F.array(F.lit(q_low), F.lit(0.5), F.lit(q_high))).alias(f"q{i}"),
+        pq = (F.percentile_approx(x, [q_low, 0.5, q_high], 10000).cast("array<double>") if approx
+              else F.percentile(x, F.array(F.lit(q_low), F.lit(0.5), F.lit(q_high))))
+        aggs += [pq.alias(f"q{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.count(x).alias(f"n{i}")]
     one = df.agg(*aggs)
     recs = [F.struct(F.lit(c).alias("feature"), F.bround(F.col(f"q{i}")[0], digits).alias("low"),

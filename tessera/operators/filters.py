@@ -26,14 +26,22 @@ class Rule:
     values: Sequence | None = None
 
 
-def range_predicate(column: str, lo: float, hi: float) -> Column:
-    """inclusive numeric range on the coerced value; NULL never passes."""
-    return num(column).between(F.lit(lo), F.lit(hi))
+def range_predicate(column: str, lo: float, hi: float, numeric: bool = False) -> Column:
+    """inclusive numeric range; NULL (and NaN) never pass. A numeric
+    column is compared as it is, so the predicate reaches the parquet scan;
+    text is coerced first (bad text → NULL)."""
+    x = F.col("`" + column + "`") if numeric else num(column)
+    return x.between(F.lit(lo), F.lit(hi))
+
+
+def _is_num(df: DataFrame, column: str) -> bool:
+    from ..functions.core import is_numeric
+    return is_numeric(df.schema[column].dataType)
 
 
 def range_filter(df: DataFrame, column: str, lo: float, hi: float) -> DataFrame:
     """no-op when lo ≥ hi (a degenerate slider)."""
-    return df if lo >= hi else df.where(range_predicate(column, lo, hi))
+    return df if lo >= hi else df.where(range_predicate(column, lo, hi, _is_num(df, column)))
 
 
 def category_filter(df: DataFrame, column: str, picks: Sequence, n_distinct: int | None = None) -> DataFrame:
@@ -66,7 +74,7 @@ def apply_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
         if lo is None or hi is None:
             pred = pred & F.lit(False)
         elif lo < hi:
-            pred = pred & range_predicate(r.column, lo, hi)
+            pred = pred & range_predicate(r.column, lo, hi, _is_num(df, r.column))
     for i, r in enumerate(cats):
         if lim[f"k{i}"] > 1:
             pred = pred & F.col(r.column).isin(list(r.values))

@@ -64,8 +64,14 @@ def points_from_columns(df: DataFrame, time_cols: list[tuple[str, float]]) -> Co
 
 
 def points_from_long(long_df: DataFrame, id_col: str = "id", t_col: str = "t", y_col: str = "y") -> DataFrame:
-    """Long → one row per sample with sorted points (group size = time points)."""
-    return (long_df.where(F.col(y_col).isNotNull())
+    """Long → one row per sample with sorted points.
+
+    Repeated (id, t) rows are averaged first (a partial aggregation), so the
+    collected group of an id is bounded by its number of distinct time
+    points, however many raw rows the id has."""
+    long_df = (long_df.where(F.col(y_col).isNotNull())
+               .groupBy(F.col(id_col).alias(id_col), F.col(t_col).alias(t_col)).agg(F.avg(y_col).alias(y_col)))
+    return (long_df
             .groupBy(F.col(id_col).alias("id"))
             .agg(F.sort_array(F.collect_list(F.struct(F.col(t_col).cast("double").alias("t"),
                                                       F.col(y_col).cast("double").alias("y")))).alias("pts")))
