@@ -46,15 +46,16 @@ def digits_only_number(c) -> Column:
 
 
 def minutes_from_header(c) -> Column:
-    """X5 as a Column: number + h/m unit → minutes; bare number if the text
-    says 'time' or 't='; else NULL."""
-    s = F.lower(col(c))
-    unit = F.regexp_extract(s, "([0-9]*\\.?[0-9]+)\\s*(h|hr|hrs|hour|hours|m|min|mins|minute|minutes)\\b", 0)
-    val = F.regexp_extract(s, "([0-9]*\\.?[0-9]+)\\s*(h|hr|hrs|hour|hours|m|min|mins|minute|minutes)\\b", 1)
-    u = F.regexp_extract(s, "([0-9]*\\.?[0-9]+)\\s*(h|hr|hrs|hour|hours|m|min|mins|minute|minutes)\\b", 2)
-    bare = F.regexp_extract(s, "([0-9]*\\.?[0-9]+)", 1)
-    return (F.when(unit != "", val.cast("double") * F.when(u.startswith("h"), 60.0).otherwise(1.0))
-            .when((s.contains("time") | s.contains("t=")) & (bare != ""), bare.cast("double")))
+    """X5 as a Column: number + h/m unit → minutes (hours × 60); else the
+    first number when the text reads as time ('time' word or 't='); else NULL."""
+    s = F.lower(F.trim(col(c)))
+    unit = "(\\d+\\.?\\d*)\\s*(h|hr|hrs|hour|hours|m|min|mins|minute|minutes)\\b"
+    has_unit = s.rlike(unit)
+    val = F.regexp_extract(s, unit, 1).cast("double")
+    u = F.regexp_extract(s, unit, 2)
+    bare = F.regexp_extract(s, "(\\d+\\.?\\d*)", 1)
+    return (F.when(has_unit, val * F.when(u.startswith("h"), 60.0).otherwise(1.0))
+            .when(s.rlike("\\btime\\b|\\bt\\s*=") & (bare != ""), bare.cast("double")))
 
 
 def normalise_observation(c) -> Column:

@@ -145,7 +145,14 @@ def fit(df: DataFrame, features: list[str], label: str, name: str, params: dict
     if name == "KNeighborsClassifier":
         return Fitted(None, features, label, "classification", knn_train=df.select(*features, label),
                       k=int(p.get("n_neighbors", 5)))
-    n = n_rows if n_rows is not None else df.count()
+    stats = None
+    if n_rows is None or spec.task == "classification":
+        # row count and class count in one pass
+        aggs = [F.count(F.lit(1)).alias("n")]
+        if spec.task == "classification":
+            aggs.append(F.count_distinct(F.col(label)).alias("k"))
+        stats = df.agg(*aggs).first()
+    n = n_rows if n_rows is not None else stats["n"]
     stages = [_assembler(features)]
     if spec.task == "classification":
         idx = StringIndexer(inputCol=label, outputCol="__label", stringOrderType="alphabetAsc", handleInvalid="error")
@@ -157,11 +164,7 @@ def fit(df: DataFrame, features: list[str], label: str, name: str, params: dict
         sd = df.agg(F.stddev_pop(F.col(label).cast("double"))).first()[0] or 1.0
         est = _ridge(p, n, False, sd)
     else:
-        n_classes = None
-        multi = False
-        if spec.task == "classification":
-            n_classes = df.select(label).distinct().count()
-            multi = n_classes > 2
+        multi = spec.task == "classification" and stats["k"] > 2
         est = spec.make(p, n, multi)
     if spec.task == "regression":
         df = df.withColumn(label, F.col(label).cast("double"))

@@ -71,3 +71,33 @@ def leave_one_out(df: DataFrame, key: str, n_rows: int | None = None) -> DataFra
 def leave_one_group_out(df: DataFrame, group: str) -> DataFrame:
     """One fold per group value."""
     return df.withColumn("fold", F.col(group))
+
+
+def loo_linear(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """T12 for ordinary least squares at any size: the leave-one-out residual
+    of row i is e_i / (1 − h_ii) with h_ii = x̃_iᵀ (X̃ᵀX̃)⁻¹ x̃_i (x̃ = [1, x]).
+    One aggregate gives X̃ᵀX̃ and X̃ᵀy (k+1 numbers squared — bounded by the
+    feature count), the driver inverts it, and one projection scores every
+    row: no n model fits, no data on the driver."""
+    import numpy as np
+    cols = [F.lit(1.0)] + [F.col(c).cast("double") for c in features]
+    y = F.col(label).cast("double")
+    k = len(cols)
+    complete = F.col(label).isNotNull()
+    for c in features:
+        complete = complete & F.col(c).isNotNull()
+    ok = df.where(complete)
+    aggs = [F.sum(cols[i] * cols[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
+    aggs += [F.sum(cols[i] * y).alias(f"b{i}") for i in range(k)]
+    r = ok.agg(*aggs).first()
+    G = np.zeros((k, k))
+    for i in range(k):
+        for j in range(i, k):
+            G[i, j] = G[j, i] = r[f"g{i}_{j}"]
+    b = np.array([r[f"b{i}"] for i in range(k)])
+    Ginv = np.linalg.pinv(G)
+    beta = Ginv @ b
+    pred = sum((F.lit(float(beta[i])) * cols[i] for i in range(k)), F.lit(0.0))
+    h = sum((F.lit(float(Ginv[i, j])) * cols[i] * cols[j] for i in range(k) for j in range(k)), F.lit(0.0))
+    e = y - pred
+    return ok.withColumns({"prediction": pred, "leverage": h, "loo_residual": e / (F.lit(1.0) - h)})

@@ -168,3 +168,32 @@ def j15_q(spark, sf):
     parts = [_reg_holdout(n)(spark, sf) for n in ("LinearRegression", "Ridge", "GradientBoostingRegressor")]
     runs = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return runs.agg(F.max_by("model", "r2").alias("best_model"), F.max("r2").alias("best_r2"))
+
+
+KNN_SQL = f"""with e as (select vec_id, cast(label as varchar) as label, embedding,
+    {_hash_sql('vec_id', 42, 'split')} < 0.2 as is_test from embeddings),
+tr as (select * from e where not is_test), te as (select * from e where is_test),
+d as (select te.vec_id, tr.label,
+        list_sum(list_transform(list_zip(te.embedding, tr.embedding),
+                 lambda z: (cast(z[1] as double) - cast(z[2] as double)) * (cast(z[1] as double) - cast(z[2] as double)))) as dist,
+        tr.vec_id as tid from te, tr),
+r as (select vec_id, label, row_number() over (partition by vec_id order by dist, tid) as rk from d),
+v as (select vec_id, label, count(*) as n from r where rk <= 5 group by vec_id, label)
+select vec_id, arg_min(label, (-n, label)) as __prediction__ from v group by vec_id"""
+
+
+@register("t7_knn_predictions_embeddings", sql=KNN_SQL, ops="T7")
+def t7_q(spark, sf):
+    d = _emb_split(spark, sf)
+    f = T.fit(d.where(~F.col("is_test")), EMB_FEATS, "label", "KNeighborsClassifier")
+    return T.predict(f, d.where(F.col("is_test")), keep=["vec_id"])
+
+
+@register("t12_loo_linear_closed_form_reg", views=("reg",), digits={"loo_mse": 2, "mean_leverage": 12}, ops="T12 T8",
+          sql="""with s as (select avg(yhat) as mx, sum((yhat - (select avg(yhat) from reg)) * (yhat - (select avg(yhat) from reg))) as sxx,
+   regr_slope(y, yhat) as b, regr_intercept(y, yhat) as a, count(*) as n from reg)
+select avg(pow((y - (a + b * yhat)) / (1 - (1.0 / n + (yhat - mx) * (yhat - mx) / sxx)), 2)) as loo_mse,
+       avg(1.0 / n + (yhat - mx) * (yhat - mx) / sxx) as mean_leverage from reg, s""")
+def t12c_q(spark, sf):
+    out = SP.loo_linear(V.reg(spark, sf), ["yhat"], "y")
+    return out.agg(F.avg(F.pow("loo_residual", 2)).alias("loo_mse"), F.avg("leverage").alias("mean_leverage"))

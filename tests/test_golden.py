@@ -145,3 +145,13 @@ def test_q2_profile(spark):
     df = spark.createDataFrame([(1, 2.0, "x"), (3, 4.0, "y"), (5, None, "z")], "a long, b double, c string")
     b = {r["column"]: r for r in Q.profile(df).collect()}["b"]
     assert b["null_count"] == 1 and b["null_pct"] == 33.33 and b["n_unique"] == 2
+
+
+def test_x5_column_matches_header_parser(spark):
+    from tessera.functions.text import minutes_from_header
+    heads = ["Time (30m)", "Time(1h)", "time 0.5 h", "Time (0.0)", "Foam", "t=15", "2 hours"]
+    df = spark.createDataFrame([(h,) for h in heads], "h string")
+    got = dict(df.select("h", minutes_from_header("h")).collect())
+    for h in heads:
+        want = H.parse_minutes(h)
+        assert (got[h] is None and math.isnan(want)) or got[h] == want
