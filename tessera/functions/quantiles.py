@@ -108,3 +108,24 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> di
                 out.append(a if hi_r == lo_r else (hi_r - h) * a + (h - lo_r) * b)
             res[c] = out
     return res
+
+
+def quantile_values(df: DataFrame, columns: list[str], probs: list[float], mode: str = "exact") -> dict:
+    """{column: [q(p)…]} by one of three strategies:
+
+    * ``exact``  — ``percentile`` (value map per column; fine for moderate cardinality);
+    * ``narrow`` — exact by narrowing (bounded memory at any cardinality);
+    * ``approx`` — ``percentile_approx`` sketch (bounded memory, rank error ≤ n/10⁴).
+    """
+    if not columns:
+        return {}
+    if mode == "narrow":
+        return exact_quantiles(df, columns, probs)
+    x = {c: F.col("`" + c + "`").cast("double") for c in columns}
+    if mode == "approx":
+        aggs = [F.percentile_approx(x[c], probs, 10000).cast("array<double>").alias(f"q{i}")
+                for i, c in enumerate(columns)]
+    else:
+        aggs = [F.percentile(x[c], F.array(*[F.lit(p) for p in probs])).alias(f"q{i}") for i, c in enumerate(columns)]
+    r = df.agg(*aggs).first()
+    return {c: (list(r[f"q{i}"]) if r[f"q{i}"] is not None else [None] * len(probs)) for i, c in enumerate(columns)}

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import col, numeric_columns
+from ..functions.quantiles import quantile_values
 from ..functions.text import collapse_ws
 
 MAX_LEVELS = 1000  # one-hot width guard: more levels than this are refused
@@ -36,15 +37,17 @@ def impute(df: DataFrame, strategy: str = "mean", columns: list[str] | None = No
     cols = columns or numeric_columns(df)
     if strategy == "constant":
         return df.fillna(value if value is not None else 0, subset=cols)
-    if strategy == "mean":
-        aggs = [F.avg(c).alias(c) for c in cols]
-    elif strategy == "median":
-        aggs = [_pct(F.col(c).cast("double"), 0.5, approx).alias(c) for c in cols]
-    elif strategy == "mode":
-        aggs = [F.mode(c, True).alias(c) for c in cols]
+    if strategy == "median":
+        mode = {True: "approx", False: "exact"}.get(approx, approx)
+        stats = {c: v[0] for c, v in quantile_values(df, cols, [0.5], mode).items()}
     else:
-        raise ValueError(f"unknown strategy {strategy!r}")
-    stats = df.agg(*aggs).first().asDict()
+        if strategy == "mean":
+            aggs = [F.avg(c).alias(c) for c in cols]
+        elif strategy == "mode":
+            aggs = [F.mode(c, True).alias(c) for c in cols]
+        else:
+            raise ValueError(f"unknown strategy {strategy!r}")
+        stats = df.agg(*aggs).first().asDict()
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(stats[c]).cast(df.schema[c].dataType))
                            for c in cols if stats[c] is not None})
 
@@ -72,29 +75,24 @@ def clean_target(df: DataFrame, target: str, task: str, max_value: float = 1e5)
 # ---------------------------------------------------------------- M8–M11
 
 def outlier_bounds(df: DataFrame, columns: list[str], method: str = "IQR", k: float = 1.5,
-                   z: float = 3.0, approx: bool = False) -> dict[str, tuple]:
+                   z: float = 3.0, approx: bool | str = False) -> dict[str, tuple]:
     """Bounds per column from one aggregate: IQR → (q1 − k·iqr, q3 + k·iqr);
-    z-score → mean ± z·std (ddof 1); std 0 → no bounds (no outliers)."""
-    aggs = []
-    for i, c in enumerate(columns):
-        x = F.col(c).cast("double")
-        if method == "IQR":
-            aggs.append(_pct(x, [0.25, 0.75], approx).alias(f"q{i}"))
-        else:
-            aggs += [F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}")]
-    r = df.agg(*aggs).first()
+    z-score → mean ± z·std (ddof 1); std 0 → no bounds (no outliers).
+    ``approx``: False/'exact' (value map), 'narrow' (exact, bounded memory),
+    True/'approx' (sketch)."""
     out = {}
+    if method == "IQR":
+        mode = {True: "approx", False: "exact"}.get(approx, approx)
+        qs = quantile_values(df, columns, [0.25, 0.75], mode)
+        for c in columns:
+            q1, q3 = qs[c]
+            out[c] = (None, None) if q1 is None else (q1 - k * (q3 - q1), q3 + k * (q3 - q1))
+        return out
+    r = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)],
+               *[F.stddev_samp(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(columns)]).first()
     for i, c in enumerate(columns):
-        if method == "IQR":
-            q = r[f"q{i}"]
-            if q is None:
-                out[c] = (None, None)
-                continue
-            iqr = q[1] - q[0]
-            out[c] = (q[0] - k * iqr, q[1] + k * iqr)
-        else:
-            m, s = r[f"m{i}"], r[f"s{i}"]
-            out[c] = (None, None) if (s is None or s == 0) else (m - z * s, m + z * s)
+        m, s = r[f"m{i}"], r[f"s{i}"]
+        out[c] = (None, None) if (s is None or s == 0) else (m - z * s, m + z * s)
     return out
 
 
@@ -217,11 +215,13 @@ def fit_scaler(train: DataFrame, columns: list[str], kind: str = "standard", app
             aggs += [F.avg(x).alias(f"a{i}"), F.stddev_pop(x).alias(f"b{i}")]
         elif kind == "minmax":
             aggs += [F.min(x).alias(f"a{i}"), (F.max(x) - F.min(x)).alias(f"b{i}")]
-        elif kind == "robust":
-            q = _pct(x, [0.25, 0.5, 0.75], approx)
-            aggs += [q[1].alias(f"a{i}"), (q[2] - q[0]).alias(f"b{i}")]
-        else:
+        elif kind != "robust":
             raise ValueError(f"unknown scaler {kind!r}; choose standard, minmax or robust")
+    if kind == "robust":
+        mode = {True: "approx", False: "exact"}.get(approx, approx)
+        qs = quantile_values(train, columns, [0.25, 0.5, 0.75], mode)
+        return {c: (qs[c][1], (qs[c][2] - qs[c][0]) if qs[c][0] is not None and qs[c][2] != qs[c][0] else 1.0)
+                for c in columns}
     r = train.agg(*aggs).first()
     return {c: (r[f"a{i}"], r[f"b{i}"] if r[f"b{i}"] not in (None, 0, 0.0) else 1.0)
             for i, c in enumerate(columns)}

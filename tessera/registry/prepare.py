@@ -95,6 +95,16 @@ def m8_q(spark, sf):
     return M.detect_outliers(V.gappy(spark, sf), GN, "IQR")
 
 
+@register("m8_outliers_iqr_narrow_gappy", views=("gappy",), ops="M8",
+          sql=IQR_SQL + "\n" + "\nunion all ".join(
+              f"select '{c}' as feature, cast(count_if({c} < {_iqr_bounds(c)[0]} or {c} > {_iqr_bounds(c)[1]}) as bigint) as outliers, "
+              f"coalesce(round_even(count_if({c} < {_iqr_bounds(c)[0]} or {c} > {_iqr_bounds(c)[1]}) * 100.0 "
+              f"/ nullif(count({c}), 0), 2), 0.0) as pct from gappy, b" for c in GN))
+def m8n_q(spark, sf):
+    """Same answer as m8, quartiles found by bounded-memory narrowing."""
+    return M.detect_outliers(V.gappy(spark, sf), GN, "IQR", approx="narrow")
+
+
 @register("m9_outliers_z_gappy", views=("gappy",), ops="M9",
           sql="with b as (select " + ", ".join(f"avg({c}) as m_{c}, stddev_samp({c}) as s_{c}" for c in GN)
               + " from gappy)\n" + "\nunion all ".join(

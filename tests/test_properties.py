@@ -92,3 +92,15 @@ def test_attributions_sum_to_prediction_minus_baseline(spark):
     lin = N.linear_attributions(df, ["a", "b"], {"a": 3.0, "b": -2.0}, "id")
     j = attr.join(lin.withColumnRenamed("attribution", "exact"), ["id", "feature"])
     assert j.where(F.abs(F.col("attribution") - F.col("exact")) > 1e-6).count() == 0
+
+
+def test_narrow_quantiles_equal_percentile(spark, sf):
+    from tessera.functions.quantiles import exact_quantiles
+    li = table(spark, sf, "lineitem")
+    cols, probs = ["l_quantity", "l_extendedprice", "l_discount"], [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
+    got = exact_quantiles(li, cols, probs)
+    ref = li.agg(*[F.percentile(F.col(c), F.array(*[F.lit(p) for p in probs])).alias(c) for c in cols]).first()
+    for c in cols:
+        assert all(abs(a - b) <= 1e-9 * max(1.0, abs(b)) for a, b in zip(got[c], ref[c]))
+    tiny = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (None,)], "x double")
+    assert exact_quantiles(tiny, ["x"], [0.5, 0.25])["x"] == [2.0, 1.5]
