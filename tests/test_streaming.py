@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import performance as P
 from tessera.sources import views as V
-from tessera.streaming import pipelines as SP
+from tessera.streaming import flows as SP
 
 
 def test_performance_index_stream_matches_batch(spark, sf):
