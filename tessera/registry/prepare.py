@@ -331,13 +331,27 @@ def _corr_sql(e, y="target"):
           sql="with r as (select " + ", ".join(
               f"{_corr_sql(f'{a} + {b}')} as s{i}, {_corr_sql(f'{a} / nullif({b}, 0)')} as r{i}"
               for i, (a, b) in enumerate(PAIRS)) + " from chem_wide)\n" + "\nunion all ".join(
-              f"select '{a}|{b}' as pair, round_even(s{i}, 4) as r_sum, round_even(r{i}, 4) as r_ratio, "
-              f"case when abs(s{i}) >= abs(r{i}) then 'sum' else 'ratio' end as winner from r"
+              f"select '{a}  ×  {b}' as pair, "
+              f"case when abs(s{i}) >= abs(r{i}) then '{a} + {b}' else '{a} / {b}' end as winner, "
+              f"round_even(case when abs(s{i}) >= abs(r{i}) then s{i} else r{i} end, 4) as winner_r, "
+              f"round_even(abs(case when abs(s{i}) >= abs(r{i}) then s{i} else r{i} end), 4) as winner_abs_r, "
+              f"case when abs(s{i}) >= abs(r{i}) then '{a} / {b}' else '{a} + {b}' end as loser, "
+              f"round_even(case when abs(s{i}) >= abs(r{i}) then r{i} else s{i} end, 4) as loser_r, "
+              f"round_even(abs(case when abs(s{i}) >= abs(r{i}) then r{i} else s{i} end), 4) as loser_abs_r from r"
               for i, (a, b) in enumerate(PAIRS)))
 def g14_q(spark, sf):
     return G.pair_winners(V.chem_wide(spark, sf), PAIRS, "target")[1]
 
 
+@register("g14_pair_winner_features_chem", views=("chem_wide",), digits={"c1 + c2": 6, "c3 / c4": 9, "c3 + c4": 6,
+                                                                         "c5 / c6": 9, "c5 + c6": 6},
+          ops="G14 G15", sql="select id, c1 + c2 as \"c1 + c2\", c3 + c4 as \"c3 + c4\", c5 + c6 as \"c5 + c6\", "
+                             "c3 / nullif(c4, 0) as \"c3 / c4\", c5 / nullif(c6, 0) as \"c5 / c6\" from chem_wide")
+def g14f_q(spark, sf):
+    out, rep = G.pair_winners(V.chem_wide(spark, sf), PAIRS, "target", keep="both", excluded={"c1 / c2"})
+    return out.select("id", "c1 + c2", "c3 + c4", "c5 + c6", "c3 / c4", "c5 / c6")
+
+
 @register("g17_cross_ratio_zero_counts", ops="G17 G16",
           sql="""select 'l_discount' as denominator, cast(count_if(l_discount = 0) as bigint) as n_zero from lineitem
 union all select 'l_tax', cast(count_if(l_tax = 0) as bigint) from lineitem""")
