@@ -79,10 +79,17 @@ def pilot_tag(c) -> Column:
 
 
 def slug(c, width: int = 40) -> Column:
-    """X16 (first form): lower, runs of [^a-z0-9] → '_', trimmed of '_', cut to width."""
+    """X16 (feature names): lower, runs of [^a-z0-9] → '_', cut to ``width``,
+    then '_' stripped from both ends."""
     s = F.regexp_replace(F.lower(col(c).cast("string")), "[^a-z0-9]+", "_")
-    s = F.regexp_replace(s, "^_+|_+$", "")
-    return F.substring(s, 1, width)
+    return F.regexp_replace(F.substring(s, 1, width), "^_+|_+$", "")
+
+
+def slug_words(c, width: int = 60) -> Column:
+    """X16 (file names): trim, drop characters other than word characters,
+    whitespace and '-', whitespace runs → '_', cut to ``width``."""
+    s = F.regexp_replace(F.trim(col(c).cast("string")), "(?U)[^\\w\\s\\-]", "")
+    return F.substring(F.regexp_replace(s, "(?U)\\s+", "_"), 1, width)
 
 
 def strip_stars(c) -> Column:

@@ -189,17 +189,15 @@ def factorize(df: DataFrame, column: str, order_key: str, out: str | None = None
     return df.join(first, column, "left")
 
 
-def method_one_hot(df: DataFrame, column: str, prefix: str = "method") -> DataFrame:
-    """E5: collapse whitespace, NULL is its own level 'nan', slug names
-    (drop [^\\w\\s-], spaces → _, 60 chars)."""
-    clean = F.coalesce(collapse_ws(F.col(column).cast("string")), F.lit("nan"))
-    lv = levels(df.select(clean.alias("v")), "v")
+def method_one_hot(df: DataFrame, column: str, prefix: str = "Concen_Ratio_Method_") -> DataFrame:
+    """E5: whitespace collapsed and trimmed, NULL is its own level 'nan';
+    one 1.0/0.0 column per level named prefix + slug (X16, 40 chars)."""
     import re
-    cols = {}
-    for v in lv:
-        name = re.sub(r"\s+", "_", re.sub(r"[^\w\s-]", "", v))[:60]
-        cols[f"{prefix}_{name}"] = (clean == F.lit(v)).cast("int")
-    return df.withColumns(cols)
+    clean = F.coalesce(F.regexp_replace(F.trim(F.col(column).cast("string")), "\\s+", " "), F.lit("nan"))
+    lv = levels(df.select(clean.alias("v")), "v")
+    # level names are schema: the same slug rule as functions.text.slug, on the driver
+    names = [re.sub(r"[^a-z0-9]+", "_", v.lower())[:40].strip("_") for v in lv]
+    return df.withColumns({f"{prefix}{n}": (clean == F.lit(v)).cast("double") for v, n in zip(lv, names)})
 
 
 # ---------------------------------------------------------------- E6–E10

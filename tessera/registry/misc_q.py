@@ -104,10 +104,14 @@ def x5_q(spark, sf):
 
 
 @register("x16_slugs_part", ops="X16",
-          sql="""select p_partkey, substr(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'),
-  '^_+|_+$', '', 'g'), 1, 40) as slug from part""")
+          sql="""select p_partkey, regexp_replace(substr(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), 1, 40),
+  '^_+|_+$', '', 'g') as slug,
+  substr(regexp_replace(regexp_replace(trim(p_name || ' #' || p_brand), '[^\\w\\s\\-]', '', 'g'), '\\s+', '_', 'g'), 1, 60)
+  as file_slug from part""")
 def x16_q(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", X.slug("p_name", 40).alias("slug"))
+    p = table(spark, sf, "part")
+    return p.select("p_partkey", X.slug("p_name", 40).alias("slug"),
+                    X.slug_words(F.concat("p_name", F.lit(" #"), "p_brand"), 60).alias("file_slug"))
 
 
 # ---------------------------------------------------------------- J
@@ -206,10 +210,11 @@ def g15_q(spark, sf):
     return G.drop_features(V.chem_wide(spark, sf), ["c4", "c5", "c6", "c7", "absent"])
 
 
-@register("e5_method_one_hot_orders", ops="E5",
+@register("e5_method_one_hot_orders", ops="E5 X16",
           sql="select o_orderkey, " + ", ".join(
-              f"cast(o_orderpriority = '{p}' as integer) as \"method_{p.replace(' ', '_')}\""
-              for p in ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]) + " from orders")
+              f"cast(o_orderpriority = '{p}' as double) as \"Concen_Ratio_Method_{s}\""
+              for p, s in [("1-URGENT", "1_urgent"), ("2-HIGH", "2_high"), ("3-MEDIUM", "3_medium"),
+                           ("4-NOT SPECIFIED", "4_not_specified"), ("5-LOW", "5_low")]) + " from orders")
 def e5_q(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
     return M.method_one_hot(o, "o_orderpriority").drop("o_orderpriority")
