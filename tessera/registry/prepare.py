@@ -290,6 +290,23 @@ def g6_q(spark, sf):
     return G.group_sums(V.chem_wide(spark, sf), GROUPS).select("id", *[f"{g}_sum" for g in GROUPS])
 
 
+ROLE_GROUPS = {"Anionic": ["c1", "c2"], "Nonionic": ["c3"], "Zwitterionic": ["c4"], "Polymer": ["c5", "c6"],
+               "Acid": ["c7"]}
+
+
+@register("g6_sum_features_chem", views=("chem_wide",),
+          digits={k: 6 for k in ("Anionic (All Types)", "Nonionic (All Types)", "Zwitterionic (All Types)",
+                                 "Sum Surfactant", "Polymer (All Types)", "Acid (All Types)")}, ops="G6",
+          sql="""select id, coalesce(c1, 0) + coalesce(c2, 0) as "Anionic (All Types)",
+  0.0e0 + coalesce(c3, 0) as "Nonionic (All Types)", 0.0e0 + coalesce(c4, 0) as "Zwitterionic (All Types)",
+  coalesce(c1, 0) + coalesce(c2, 0) + coalesce(c3, 0) + coalesce(c4, 0) as "Sum Surfactant",
+  coalesce(c5, 0) + coalesce(c6, 0) as "Polymer (All Types)", 0.0e0 + coalesce(c7, 0) as "Acid (All Types)"
+  from chem_wide""")
+def g6s_q(spark, sf):
+    out = G.sum_features(V.chem_wide(spark, sf), ROLE_GROUPS)
+    return out.drop("method", "target", *C)
+
+
 @register("g7_fractions_chem", views=("chem_wide",),
           digits={**{f"total_{g}": 6 for g in GROUPS}, **{f"frac_{c}": 9 for c in C}}, ops="G7",
           sql="with t as (select *, " + ", ".join(
