@@ -320,20 +320,32 @@ def g7_q(spark, sf):
     return out.drop("method", "target", *C)
 
 
+G11_L, G11_R = ["l_quantity", "disc", "flag"], ["l_extendedprice", "tax"]
+
+
 @register("g11_guarded_cross_gappy", views=("gappy",),
-          digits={"l_quantity_div_l_extendedprice": 9, "disc_div_l_extendedprice": 12, "l_quantity_div_tax": 6,
-                  "disc_div_tax": 6, "l_quantity_plus_l_extendedprice": 4, "disc_plus_l_extendedprice": 4,
-                  "l_quantity_x_l_extendedprice": 4, "disc_x_l_extendedprice": 4,
-                  "l_quantity_plus_tax": 6, "disc_plus_tax": 6, "l_quantity_x_tax": 6, "disc_x_tax": 6},
-          ops="G11 G12", sql="select l_orderkey, l_linenumber, " + ", ".join(
-              f"{a} + {b} as {a}_plus_{b}, {a} / nullif({b}, 0) as {a}_div_{b}, {a} * {b} as {a}_x_{b}"
+          digits={"l_quantity / l_extendedprice": 9, "disc / l_extendedprice": 12, "l_quantity / tax": 6,
+                  "disc / tax": 6, "l_quantity + l_extendedprice": 4, "disc + l_extendedprice": 4,
+                  "l_quantity + tax": 6, "disc + tax": 6},
+          ops="G11", sql="select l_orderkey, l_linenumber, " + ", ".join(
+              f'{a} + {b} as "{a} + {b}", {a} / nullif({b}, 0) as "{a} / {b}"'
               for a in ("l_quantity", "disc") for b in ("l_extendedprice", "tax")) + " from gappy")
 def g11_q(spark, sf):
     df = V.gappy(spark, sf).select("l_orderkey", "l_linenumber", "l_quantity", "disc", "l_extendedprice", "tax", "flag")
-    out = G.guarded_cross(df, ["l_quantity", "disc", "flag"], ["l_extendedprice", "tax"])
+    out = G.guarded_cross(df, G11_L, G11_R)
     return out.drop("l_quantity", "disc", "l_extendedprice", "tax", "flag")
 
 
+@register("g12_guarded_products_gappy", views=("gappy",), digits={"Qty x Price": 4, "Disc x Tax": 9}, ops="G12",
+          sql='select l_orderkey, l_linenumber, l_quantity * l_extendedprice as "Qty x Price", '
+              'disc * tax as "Disc x Tax" from gappy')
+def g12_q(spark, sf):
+    df = V.gappy(spark, sf).select("l_orderkey", "l_linenumber", "l_quantity", "disc", "l_extendedprice", "tax", "flag")
+    out = G.guarded_products(df, [("l_quantity", "l_extendedprice", "Qty x Price"), ("disc", "tax", "Disc x Tax"),
+                                  ("flag", "tax", "Flag x Tax"), ("missing", "tax", "Missing x Tax")])
+    return out.select("l_orderkey", "l_linenumber", "Qty x Price", "Disc x Tax")
+
+
 PAIRS = [("c1", "c2"), ("c3", "c4"), ("c5", "c6")]
 
 
