@@ -217,9 +217,10 @@ def null_impact(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def row_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """Q11: before/after row counts and rows removed (two counts, one row)."""
-    b = before.agg(F.count("*").alias("n_before"))
-    a = after.agg(F.count("*").alias("n_after"))
-    return b.crossJoin(a).select("n_before", "n_after", (F.col("n_before") - F.col("n_after")).alias("n_removed"))
+    b = before.agg(F.count("*").alias("n_before"), F.lit(None).cast("long").alias("n_after"))
+    a = after.agg(F.lit(None).cast("long").alias("n_before"), F.count("*").alias("n_after"))
+    both = b.unionByName(a).agg(F.max("n_before").alias("n_before"), F.max("n_after").alias("n_after"))
+    return both.select("n_before", "n_after", (F.col("n_before") - F.col("n_after")).alias("n_removed"))
 
 
 def model_ready_overview(df: DataFrame, target: str, features: list[str], task: str,
