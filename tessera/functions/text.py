@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 from .core import col, nan_to_null
 
+# Character classes of the label and observation cleaners.
 NBSP = "\u00a0"
 WS = "[\\s\\u00a0]"
+LABEL_JUNK = "[^a-z0-9 ]+"
+OBSERVATION_SEPARATORS = "[._\\-\\s\\u00a0]+"
+NON_NUMBER = "[^0-9.]"
 
 
 def blank_to_null(c) -> Column:
@@ -23,7 +27,7 @@ def blank_to_null(c) -> Column:
 def clean_label(c) -> Column:
     """Lower, NBSP→space, non [a-z0-9 ] → space, collapse, trim; '' / 'nan' → NULL."""
     s = F.regexp_replace(F.lower(F.trim(col(c).cast("string"))), NBSP, " ")
-    s = F.regexp_replace(s, "[^a-z0-9 ]+", " ")
+    s = F.regexp_replace(s, LABEL_JUNK, " ")
     s = F.trim(F.regexp_replace(s, "\\s+", " "))
     return F.when((s != "") & (s != "nan"), s)
 
@@ -41,7 +45,7 @@ def to_number(c) -> Column:
 
 def digits_only_number(c) -> Column:
     """Strip everything but digits and '.', then number (so '-5' → 5)."""
-    s = F.regexp_replace(col(c).cast("string"), "[^0-9.]", "")
+    s = F.regexp_replace(col(c).cast("string"), NON_NUMBER, "")
     return nan_to_null(F.when(s != "", s).try_cast("double"))
 
 
@@ -60,7 +64,7 @@ def minutes_from_header(c) -> Column:
 
 def normalise_observation(c) -> Column:
     """Runs of . _ - and spaces → one space, trim, lower; blank / 'nan' → NULL."""
-    s = F.lower(F.trim(F.regexp_replace(col(c).cast("string"), "[._\\-\\s\\u00a0]+", " ")))
+    s = F.lower(F.trim(F.regexp_replace(col(c).cast("string"), OBSERVATION_SEPARATORS, " ")))
     return F.when((s != "") & (s != "nan"), s)
 
 

@@ -84,6 +84,7 @@ def _ridge(p, n, multi, y_std=1.0):
                             standardization=False, solver="normal")
 
 
+# Model names, default parameters and declared grids of the model registry.
 REGISTRY: dict[str, ModelSpec] = {
     "LogisticRegression": ModelSpec("LogisticRegression", "classification", _logreg, {"max_iter": 1000},
                                     {"C": [0.01, 0.1, 1, 10]}),
