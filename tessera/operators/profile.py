@@ -27,13 +27,28 @@ def _dtype_name(dt) -> str:
 
 
 def frequency_table(df: DataFrame, columns: list[str] | None = None, keep_null: bool = False) -> DataFrame:
-    """(column, value, n): value counts of every listed column, values as text."""
+    """(column, value, n): value counts of every listed column, values as text.
+
+    Numeric columns are counted on their numeric value and only the distinct
+    values are turned into text afterwards (casting every row to a string
+    is the expensive part); text columns are counted as they are."""
     columns = columns or df.columns
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot(
-        [], columns, "column", "value")
-    if not keep_null:
-        long = long.filter(F.col("value").isNotNull())
-    return long.groupBy("column", "value").agg(F.count("*").alias("n"))
+    nums = [c for c in columns if is_numeric(df.schema[c].dataType)]
+    txt = [c for c in columns if c not in nums]
+    parts = []
+    for cols, typ in ((nums, "double"), (txt, "string")):
+        if not cols:
+            continue
+        long = df.select(*[F.col("`" + c + "`").cast(typ).alias(c) for c in cols]).unpivot(
+            [], cols, "column", "value")
+        if not keep_null:
+            long = long.filter(F.col("value").isNotNull())
+        parts.append(long.groupBy("column", "value").agg(F.count("*").alias("n"))
+                     .select("column", F.col("value").cast("string").alias("value"), "n"))
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out
 
 
 def validate(df: DataFrame) -> DataFrame:
