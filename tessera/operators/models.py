@@ -146,6 +146,21 @@ def fit(df: DataFrame, features: list[str], label: str, name: str, params: dict
     if name == "KNeighborsClassifier":
         return Fitted(None, features, label, "classification", knn_train=df.select(*features, label),
                       k=int(p.get("n_neighbors", 5)))
+    # Iterative learners make several passes: keep the projected training
+    # columns cached, spread over at least the cluster's default parallelism
+    # (a narrow input is re-partitioned; a wide one is only cached).
+    sc = df.sparkSession.sparkContext
+    data = df.select(*dict.fromkeys(list(features) + [label]))
+    if data.rdd.getNumPartitions() < sc.defaultParallelism:
+        data = data.repartition(sc.defaultParallelism)
+    df = data.persist()
+    try:
+        return _fit_cached(df, features, label, name, spec, p, n_rows)
+    finally:
+        df.unpersist()
+
+
+def _fit_cached(df, features, label, name, spec, p, n_rows) -> Fitted:
     stats = None
     if n_rows is None or spec.task == "classification":
         # row count and class count in one pass
