@@ -39,4 +39,5 @@ def test_auc_has_no_single_partition_window(spark):
 
 def test_profile_is_one_scan_per_family(spark):
     plan = _plan(spark, "q2_profile_gappy")
-    assert plan.count("FileScan") <= 2
+    # moments + quantiles in one aggregate; one frequency table per type family
+    assert plan.count("FileScan") <= 3
