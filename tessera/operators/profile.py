@@ -95,13 +95,20 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(cols):
         aggs.append(F.count(F.col(c)).alias(f"nn{i}"))
-        if approx:
+        if approx is True:
             aggs.append(F.approx_count_distinct(F.col(c)).alias(f"nd{i}"))
+    narrow = {}
+    if approx == "narrow":  # exact quartiles with bounded memory, entered as literals
+        from ..functions.quantiles import quantile_values
+        narrow = quantile_values(df, num, [0.25, 0.5, 0.75], "narrow")
     for i, c in enumerate(cols):
         if c in num:
             x = F.col(c).cast("double")
-            pct = (F.percentile_approx(x, [0.25, 0.5, 0.75], 10000) if approx
-                   else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
+            if approx == "narrow":
+                pct = F.array(*[F.lit(v).cast("double") for v in narrow[c]])
+            else:
+                pct = (F.percentile_approx(x, [0.25, 0.5, 0.75], 10000) if approx
+                       else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
             aggs += [F.avg(x).alias(f"mu{i}"), F.stddev_samp(x).alias(f"sd{i}"),
                      F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), pct.cast("array<double>").alias(f"q{i}")]
     stats = df.agg(*aggs)
@@ -115,11 +122,11 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
             F.col("__n").alias("total_count"), F.col(f"nn{i}").alias("not_null_count"),
             (F.col("__n") - F.col(f"nn{i}")).alias("null_count"),
             F.bround((F.col("__n") - F.col(f"nn{i}")) * 100.0 / F.col("__n"), 2).alias("null_pct"),
-            (F.col(f"nd{i}") if approx else F.lit(None).cast("long")).alias("n_unique"),
+            (F.col(f"nd{i}") if approx is True else F.lit(None).cast("long")).alias("n_unique"),
             d("mu").alias("mean"), d("sd").alias("std"), d("lo").alias("min"),
             q(0).alias("p25"), q(1).alias("p50"), q(2).alias("p75"), d("hi").alias("max")))
     base = stats.select(F.explode(F.array(*recs)).alias("r")).select("r.*")
-    if approx:
+    if approx is True:
         cat = categorical_columns(df)
         top = _top_values(df, cat) if cat else None
     else:
