@@ -155,3 +155,16 @@ def test_x5_column_matches_header_parser(spark):
     for h in heads:
         want = H.parse_minutes(h)
         assert (got[h] is None and math.isnan(want)) or got[h] == want
+
+
+def test_f3_full_range_rule_drops_null(spark):
+    df = spark.createDataFrame([(1.0,), (5.0,), (None,)], "x double")
+    assert FL.apply_rules(df, [FL.Rule("x")]).count() == 2
+    assert FL.range_filter(df, "x", 3.0, 3.0).count() == 3  # lo >= hi: no-op
+
+
+def test_x8_formulation_parse(spark):
+    from tessera.operators import lablog as L
+    df = spark.createDataFrame([(1, "0.5% APG, 20 ppm SDS (S1), 5 ppm sds")], "k int, t string")
+    m = L.doses_map(df, "t", ["k"]).first()["doses"]
+    assert m == {"APG (%)": 0.5, "SDS (ppm)": 20.0}
