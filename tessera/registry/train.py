@@ -79,7 +79,7 @@ def _emb_split(spark, sf):
 
 def _holdout_metrics(name, params=None):
     def fn(spark, sf):
-        d = _emb_split(spark, sf).persist()
+        d = _emb_split(spark, sf)
         f = T.fit(d.where(~F.col("is_test")), EMB_FEATS, "label", name, params)
         pred = T.predict(f, d.where(F.col("is_test")), keep=["vec_id", "label"])
         from ..operators import metrics as VM
@@ -108,7 +108,7 @@ SMALL = {"RandomForestRegressor": {"n_estimators": 20, "max_depth": 8},
 
 def _reg_holdout(name):
     def fn(spark, sf):
-        d = SP.train_test(_reg_frame(spark, sf), "id", 0.2).persist()
+        d = SP.train_test(_reg_frame(spark, sf), "id", 0.2)
         f = T.fit(d.where(~F.col("is_test")), V.CHEM_COLS, "target", name, SMALL.get(name))
         pred = T.predict(f, d.where(F.col("is_test")), keep=["id", "target"])
         from ..operators import metrics as VM
