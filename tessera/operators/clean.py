@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions.core import col, numeric_columns
 from ..functions.quantiles import quantile_values
-from ..functions.text import collapse_ws
 
 MAX_LEVELS = 1000  # one-hot width guard: more levels than this are refused
 

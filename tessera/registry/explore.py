@@ -7,7 +7,6 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from ..operators import filters as FL
-from ..operators import performance as P
 from ..operators import stats as A
 from ..sources import views as V
 from ..sources.tables import table

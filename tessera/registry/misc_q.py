@@ -11,7 +11,6 @@ from ..functions import text as X
 from ..functions.windows import running
 from ..operators import clean as M
 from ..operators import features as G
-from ..operators import performance as P
 from ..session import ensure_checkpoint_dir
 from ..sources import files as S
 from ..sources import views as V
