@@ -102,16 +102,67 @@ def fit_columns(pts: str, min_points: int = 2) -> dict[str, Column]:
 
 
 def add_fits(df: DataFrame, pts: str = "pts", min_points: int = 2) -> DataFrame:
-    """Add fitted coefficients and R² of every model per row."""
-    fits = fit_columns(pts, min_points)
-    df = df.withColumns(fits)
-    pos = f"filter({pts}, p -> p.y > 0)"
-    return df.withColumns({
-        "r2_linear": F.expr(f"case when lin is not null then {_r2(pts, 'lin.a * p.t + lin.b')} end"),
-        "r2_exp": F.expr(f"case when expo is not null then {_r2(pos, 'expo.A * exp(expo.B * p.t)')} end"),
-        "r2_poly": F.expr(f"case when quad is not null then "
-                          f"{_r2(pts, 'quad.c2 * p.t * p.t + quad.c1 * p.t + quad.c0')} end"),
+    """Add fitted coefficients and R² of every model per row.
+
+    Six folds over the (short) points array in total, each materialised as a
+    struct column so later expressions reuse it instead of re-folding:
+    means; centred moments (shared by the linear and quadratic fits and
+    their SStot); residual sums of both; and the same three for the
+    log-linear fit on the positive points.
+    """
+    n = f"size({pts})"
+    df = df.withColumn("__m", F.expr(
+        f"aggregate({pts}, named_struct('st', 0D, 'sy', 0D), (a, p) -> named_struct('st', a.st + p.t, 'sy', a.sy + p.y),"
+        f" a -> named_struct('mt', a.st / {n}, 'my', a.sy / {n}))"))
+    df = df.withColumn("__c", F.expr(
+        f"""aggregate({pts}, named_struct('s2', 0D, 's3', 0D, 's4', 0D, 'z1', 0D, 'z2', 0D, 'syy', 0D), (a, p) ->
+            named_struct('s2', a.s2 + (p.t - __m.mt) * (p.t - __m.mt),
+                         's3', a.s3 + (p.t - __m.mt) * (p.t - __m.mt) * (p.t - __m.mt),
+                         's4', a.s4 + (p.t - __m.mt) * (p.t - __m.mt) * (p.t - __m.mt) * (p.t - __m.mt),
+                         'z1', a.z1 + (p.t - __m.mt) * (p.y - __m.my),
+                         'z2', a.z2 + (p.t - __m.mt) * (p.t - __m.mt) * (p.y - __m.my),
+                         'syy', a.syy + (p.y - __m.my) * (p.y - __m.my)))"""))
+    det = f"(__c.s4 * (__c.s2 * {n}) - __c.s3 * (__c.s3 * {n}) - __c.s2 * __c.s2 * __c.s2)"
+    qa = f"((__c.z2 * __c.s2 * {n} - __c.s3 * __c.z1 * {n}) / {det})"
+    qb = f"((__c.s4 * __c.z1 * {n} - __c.z2 * __c.s3 * {n} - __c.s2 * __c.s2 * __c.z1) / {det})"
+    df = df.withColumns({
+        "lin": F.expr(f"case when {n} >= {max(min_points, 2)} and __c.s2 > 0 then named_struct("
+                      f"'a', __c.z1 / __c.s2, 'b', __m.my - (__c.z1 / __c.s2) * __m.mt) end"),
+        "quad": F.expr(f"case when {n} >= {max(min_points, 3)} and {det} != 0 then named_struct("
+                       f"'c2', {qa}, 'c1', {qb} - 2 * {qa} * __m.mt,"
+                       f" 'c0', {qa} * __m.mt * __m.mt - {qb} * __m.mt + (__m.my - __c.s2 * {qa} / {n})) end"),
+        "__pos": F.expr(f"filter({pts}, p -> p.y > 0)"),
+    })
+    df = df.withColumn("__r", F.expr(
+        f"""aggregate({pts}, named_struct('l', 0D, 'q', 0D), (a, p) -> named_struct(
+            'l', a.l + coalesce((p.y - (lin.a * p.t + lin.b)) * (p.y - (lin.a * p.t + lin.b)), 0D),
+            'q', a.q + coalesce((p.y - (quad.c2 * p.t * p.t + quad.c1 * p.t + quad.c0))
+                              * (p.y - (quad.c2 * p.t * p.t + quad.c1 * p.t + quad.c0)), 0D)))"""))
+    k = "size(__pos)"
+    df = df.withColumn("__em", F.expr(
+        f"aggregate(__pos, named_struct('st', 0D, 'sl', 0D, 'sy', 0D), (a, p) -> named_struct("
+        f"'st', a.st + p.t, 'sl', a.sl + ln(p.y), 'sy', a.sy + p.y),"
+        f" a -> named_struct('mt', a.st / {k}, 'ml', a.sl / {k}, 'my', a.sy / {k}))"))
+    df = df.withColumn("__ec", F.expr(
+        f"""aggregate(__pos, named_struct('sxx', 0D, 'sxy', 0D), (a, p) -> named_struct(
+            'sxx', a.sxx + (p.t - __em.mt) * (p.t - __em.mt),
+            'sxy', a.sxy + (p.t - __em.mt) * (ln(p.y) - __em.ml)))"""))
+    df = df.withColumn("expo", F.expr(
+        f"case when {n} >= {min_points} and {k} >= 2 and __ec.sxx > 0 then named_struct("
+        f"'A', exp(__em.ml - (__ec.sxy / __ec.sxx) * __em.mt), 'B', __ec.sxy / __ec.sxx) end"))
+    df = df.withColumn("__er", F.expr(
+        f"""aggregate(__pos, named_struct('sst', 0D, 'ssr', 0D), (a, p) -> named_struct(
+            'sst', a.sst + (p.y - __em.my) * (p.y - __em.my),
+            'ssr', a.ssr + coalesce((p.y - expo.A * exp(expo.B * p.t)) * (p.y - expo.A * exp(expo.B * p.t)), 0D)))"""))
+
+    def r2(sst, ssr):
+        return f"case when {sst} = 0 then case when {ssr} = 0 then 1.0D else 0.0D end else 1.0D - {ssr} / {sst} end"
+    df = df.withColumns({
+        "r2_linear": F.expr(f"case when lin is not null then {r2('__c.syy', '__r.l')} end"),
+        "r2_exp": F.expr(f"case when expo is not null then {r2('__er.sst', '__er.ssr')} end"),
+        "r2_poly": F.expr(f"case when quad is not null then {r2('__c.syy', '__r.q')} end"),
     })
+    return df.drop("__m", "__c", "__pos", "__r", "__em", "__ec", "__er")
 
 
 def choose_model(model: str = "best", r2_threshold: float = 0.0) -> Column:
