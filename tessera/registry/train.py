@@ -77,9 +77,11 @@ def _emb_split(spark, sf):
     return SP.train_test(embeddings_wide(spark, sf), "vec_id", 0.2)
 
 
-def _holdout_metrics(name, params=None):
+def _holdout_metrics(name, params=None, binary=False):
     def fn(spark, sf):
         d = _emb_split(spark, sf)
+        if binary:  # one-vs-rest learners shown on "class 0 vs the rest"
+            d = d.withColumn("label", F.when(F.col("label") == "0", "0").otherwise("rest"))
         f = T.fit(d.where(~F.col("is_test")), EMB_FEATS, "label", name, params)
         pred = T.predict(f, d.where(F.col("is_test")), keep=["vec_id", "label"])
         from ..operators import metrics as VM
@@ -89,10 +91,11 @@ def _holdout_metrics(name, params=None):
 
 for _name, _ops in (("LogisticRegression", "T2 T21 V2"), ("RandomForestClassifier", "T3"),
                     ("GradientBoostingClassifier", "T4"), ("SVC", "T6"), ("KNeighborsClassifier", "T7")):
-    _params = {"GradientBoostingClassifier": {"n_estimators": 10},
+    _params = {"GradientBoostingClassifier": {"n_estimators": 20},
                "RandomForestClassifier": {"n_estimators": 20, "max_depth": 8},
                "SVC": {"max_iter": 50}}.get(_name)
-    register(f"t_holdout_{_name}", ops=_ops)(_holdout_metrics(_name, _params))
+    register(f"t_holdout_{_name}", ops=_ops)(
+        _holdout_metrics(_name, _params, binary=_name in ("GradientBoostingClassifier", "SVC")))
 
 
 def _reg_frame(spark, sf):
