@@ -93,7 +93,7 @@ for _name, _ops in (("LogisticRegression", "T2 T21 V2"), ("RandomForestClassifie
                     ("GradientBoostingClassifier", "T4"), ("SVC", "T6"), ("KNeighborsClassifier", "T7")):
     _params = {"GradientBoostingClassifier": {"n_estimators": 20},
                "RandomForestClassifier": {"n_estimators": 20, "max_depth": 8},
-               "SVC": {"max_iter": 50}}.get(_name)
+               "SVC": {"max_iter": 10}}.get(_name)
     register(f"t_holdout_{_name}", ops=_ops)(
         _holdout_metrics(_name, _params, binary=_name in ("GradientBoostingClassifier", "SVC")))
 
