@@ -256,7 +256,44 @@ def l9_q(spark, sf):
                          "Sample Description")
 
 
-@register("l10_extraction_job_lablog", ops="L10 J5 J14 X13 X15")
+L10_SQL = BASE_SQL + """, m0 as (
+  select s.*, coalesce("Dilution Ratio", 'No Dilution Info') as dr0, coalesce("Date", 'No Date') as date0,
+    case when "Dilution Ratio" is not null and contains("Dilution Ratio", 'AFC') then 'AFC' end as pilot,
+    trim(regexp_replace(coalesce("Tube Volume (mL)", 'None'), '(?i)mL\\s*tube', '', 'g')) as tube,
+    cast(regexp_extract("Day", '(\\d+)', 1) as integer) as day_num,
+    case when contains(coalesce("Baseline", ''), '*') then
+      case when coalesce("Foam Texture", '') != '' then coalesce("Foam Texture", '') || ', *' else '*' end
+      else coalesce("Foam Texture", '') end as tex
+  from samples s where "Day" is not null),
+m1 as (select *, SampleID || case when n <= 1 then '' else '-' || cast(n - 1 as varchar) end as sid
+  from (select *, sum(case when lower(trim("Day")) = 'day 0' then 1 else 0 end) over (
+          partition by file, SampleID, dr0 order by line_no rows between unbounded preceding and current row) as n
+        from m0)),
+g as (select file, sid, dr0,
+   """ + ",\n   ".join(f'arg_min("{c}", line_no) filter (where "{c}" is not null) as "{c}"'
+                       for c in ["Concentrate Stability (8C)", "Concentrate Stability (4C)",
+                                 "Concentrate Stability (RT)", "Dilution Stability"]) + """,
+   arg_min(tube, line_no) filter (where tube is not null) as "Tube Volume (mL)",
+   arg_min(date0, case when day_num = 0 then line_no end) as "Date",
+   coalesce(arg_min(pilot, line_no) filter (where pilot is not null), '') as "Pilot",
+   """ + ",\n   ".join(
+    f"arg_min(\"Foam (cc)\", case when day_num = {d} then line_no end) as \"Day {d} - Foam (cc)\", "
+    f"coalesce(arg_min(tex, case when day_num = {d} then line_no end), '') as \"Day {d} - Foam Texture\""
+    for d in range(7)) + """
+  from m1 group by file, sid, dr0)
+select file, trim(case when regexp_matches(sid, '-1$') then trim(regexp_replace(sid, '-1$', '')) else sid end) as SampleID,
+  nullif(regexp_extract(dr0, '^(\\d+[A-Z])\\s*(.*)$', 1), '') as "Dilution Ratio", "Date", "Pilot",
+  "Concentrate Stability (8C)", "Concentrate Stability (4C)", "Concentrate Stability (RT)", "Dilution Stability",
+  "Tube Volume (mL)",
+  """ + ", ".join(f'"Day {d} - Foam (cc)", "Day {d} - Foam Texture"' for d in range(7)) + """,
+  case when regexp_matches(sid, '-1$') then trim(regexp_replace(trim(regexp_extract(dr0, '^(\\d+[A-Z])\\s*(.*)$', 2)),
+         '\\b\\d{2,3}X\\b', '', 'g')) || ' - New Trial'
+       else trim(regexp_replace(trim(regexp_extract(dr0, '^(\\d+[A-Z])\\s*(.*)$', 2)), '\\b\\d{2,3}X\\b', '', 'g')) end
+    as "Sample Description"
+from g"""
+
+
+@register("l10_extraction_job_lablog", views=("lab_log",), sql=L10_SQL, ops="L10 J5 J14 X11 X12 X13 X14 X15 J10")
 def l10_q(spark, sf):
     multi, single = L.extraction_job(V.lab_log(spark, sf), 5)
     return single.withColumn("SampleID", L.sonicated_id(F.col("SampleID"), F.lit(None).cast("boolean")))
