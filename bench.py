@@ -39,7 +39,10 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
-    spark = get_spark("bench", cpus=cpus, shuffle_partitions=max(int(cpus) * 2, 8))
+    extra = {}
+    if os.environ.get("BENCH_EXTRA"):  # e.g. "k=v,k2=v2" for config experiments
+        extra = dict(kv.split("=", 1) for kv in os.environ["BENCH_EXTRA"].split(","))
+    spark = get_spark("bench", cpus=cpus, shuffle_partitions=max(int(cpus) * 2, 8), extra=extra)
     reg = load_all()
     out = {}
     for name in HEADLINE:
