@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .core import col
 _AGG = {"max": (F.max, F.greatest), "min": (F.min, F.least), "sum": (F.sum, lambda a, b: a + b)}
 
 
@@ -22,7 +23,7 @@ def running(df: DataFrame, keys: list[str], order: str, value: Column, out: str,
     """Add ``out`` = running ``fn`` of ``value`` over rows with order ≤ current
     (ties in ``order`` are broken by row position inside the bucket)."""
     agg, combine = _AGG[fn]
-    b = F.floor(F.col(order) / F.lit(bucket_width))
+    b = F.floor(col(order) / F.lit(bucket_width))
     d = df.withColumn("__v", value).withColumn("__b", b)
     per = d.groupBy(*keys, "__b").agg(agg("__v").alias("__bv"))
     wb = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

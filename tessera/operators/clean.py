@@ -47,7 +47,7 @@ def impute(df: DataFrame, strategy: str = "mean", columns: list[str] | None = No
         else:
             raise ValueError(f"unknown strategy {strategy!r}")
         stats = df.agg(*aggs).first().asDict()
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(stats[c]).cast(df.schema[c].dataType))
+    return df.withColumns({c: F.coalesce(col(c), F.lit(stats[c]).cast(df.schema[c].dataType))
                            for c in cols if stats[c] is not None})
 
 
@@ -66,9 +66,9 @@ def clean_target(df: DataFrame, target: str, task: str, max_value: float = 1e5)
     """M6: regression targets become numbers, NULLs and values > max_value
     dropped; classification drops NULL targets."""
     if task == "regression":
-        y = F.nullif(F.col(target).try_cast("double"), F.lit(float("nan")))
-        return df.withColumn(target, y).filter(F.col(target).isNotNull() & (F.col(target) <= max_value))
-    return df.filter(F.col(target).isNotNull())
+        y = F.nullif(col(target).try_cast("double"), F.lit(float("nan")))
+        return df.withColumn(target, y).filter(col(target).isNotNull() & (col(target) <= max_value))
+    return df.filter(col(target).isNotNull())
 
 
 # ---------------------------------------------------------------- M8–M11
@@ -87,8 +87,8 @@ def outlier_bounds(df: DataFrame, columns: list[str], method: str = "IQR", k: fl
             q1, q3 = qs[c]
             out[c] = (None, None) if q1 is None else (q1 - k * (q3 - q1), q3 + k * (q3 - q1))
         return out
-    r = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)],
-               *[F.stddev_samp(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    r = df.agg(*[F.avg(col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)],
+               *[F.stddev_samp(col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(columns)]).first()
     for i, c in enumerate(columns):
         m, s = r[f"m{i}"], r[f"s{i}"]
         out[c] = (None, None) if (s is None or s == 0) else (m - z * s, m + z * s)
@@ -103,7 +103,7 @@ def detect_outliers(df: DataFrame, columns: list[str], method: str = "IQR", k: f
     aggs = []
     for i, c in enumerate(columns):
         lo, hi = b[c]
-        x = F.col(c).cast("double")
+        x = col(c).cast("double")
         hit = (x < F.lit(lo)) | (x > F.lit(hi)) if lo is not None else F.lit(False)
         aggs += [F.count_if(x.isNotNull() & hit).alias(f"o{i}"), F.count(x).alias(f"n{i}")]
     r = df.agg(*aggs)
@@ -122,11 +122,11 @@ def remove_outliers(df: DataFrame, columns: list[str], method: str = "IQR", k: f
     keep = F.lit(True)
     for c in columns:
         lo, hi = b[c]
-        x = F.col(c).cast("double")
+        x = col(c).cast("double")
         keep = keep & (x.between(lo, hi) if lo is not None else (x.isNotNull() if method == "IQR" else F.lit(True)))
     if method != "IQR":
         for c in columns:
-            keep = keep & F.col(c).isNotNull()
+            keep = keep & col(c).isNotNull()
     return df.filter(keep)
 
 
@@ -139,7 +139,7 @@ def most_affected(summary: DataFrame, n: int = 5) -> DataFrame:
 
 def levels(df: DataFrame, column: str, limit: int = MAX_LEVELS) -> list:
     """Sorted distinct non-null levels, refusing more than ``limit``."""
-    lv = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct()
+    lv = [r[0] for r in df.select(column).where(col(column).isNotNull()).distinct()
           .orderBy(column).limit(limit + 1).collect()]
     if len(lv) > limit:
         raise ValueError(f"{column} has more than {limit} levels; encode it with label codes instead")
@@ -152,12 +152,12 @@ def one_hot(df: DataFrame, columns: list[str], sep: str = "_", null_level: str |
     or its own level named ``null_level``."""
     out = df
     for c in columns:
-        src = F.col(c).cast("string")
+        src = col(c).cast("string")
         if null_level is not None:
             src = F.coalesce(src, F.lit(null_level))
         lv = levels(df.select(src.alias(c)), c)
         out = out.withColumns({f"{c}{sep}{v}": (src == F.lit(v)).cast("int") for v in lv})
-        out = out.withColumn(f"{c}{sep}{null_level}", F.col(c).isNull().cast("int")) \
+        out = out.withColumn(f"{c}{sep}{null_level}", col(c).isNull().cast("int")) \
             if (null_level is not None and null_level not in lv) else out
         if not keep_source:
             out = out.drop(c)
@@ -171,7 +171,7 @@ def label_codes(df: DataFrame, columns: list[str], null_text: str = "nan", as_do
     shuffle join otherwise — AQE decides from its real size)."""
     out = df
     for c in columns:
-        txt = F.coalesce(F.col(c).cast("string"), F.lit(null_text))
+        txt = F.coalesce(col(c).cast("string"), F.lit(null_text))
         lv = (df.select(txt.alias("__v")).distinct()
               .withColumn("__code", (F.dense_rank().over(Window.orderBy("__v")) - 1)
                           .cast("double" if as_double else "int")))
@@ -182,7 +182,7 @@ def label_codes(df: DataFrame, columns: list[str], null_text: str = "nan", as_do
 
 def factorize(df: DataFrame, column: str, order_key: str, out: str | None = None) -> DataFrame:
     """Codes in first-seen order (by ``order_key``); NULL stays NULL (-1 in pandas)."""
-    first = (df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(order_key).alias("__first"))
+    first = (df.where(col(column).isNotNull()).groupBy(column).agg(F.min(order_key).alias("__first"))
              .withColumn(out or f"{column}_code", F.dense_rank().over(Window.orderBy("__first")) - 1)
              .drop("__first"))
     return df.join(first, column, "left")
@@ -192,7 +192,7 @@ def method_one_hot(df: DataFrame, column: str, prefix: str = "Concen_Ratio_Metho
     """E5: whitespace collapsed and trimmed, NULL is its own level 'nan';
     one 1.0/0.0 column per level named prefix + slug (X16, 40 chars)."""
     import re
-    clean = F.coalesce(F.regexp_replace(F.trim(F.col(column).cast("string")), "\\s+", " "), F.lit("nan"))
+    clean = F.coalesce(F.regexp_replace(F.trim(col(column).cast("string")), "\\s+", " "), F.lit("nan"))
     lv = levels(df.select(clean.alias("v")), "v")
     # level names are schema: the same slug rule as functions.text.slug, on the driver
     names = [re.sub(r"[^a-z0-9]+", "_", v.lower())[:40].strip("_") for v in lv]
@@ -207,7 +207,7 @@ def fit_scaler(train: DataFrame, columns: list[str], kind: str = "standard", app
     A zero scale becomes 1 (constant columns map to 0)."""
     aggs = []
     for i, c in enumerate(columns):
-        x = F.col(c).cast("double")
+        x = col(c).cast("double")
         if kind == "standard":
             aggs += [F.avg(x).alias(f"a{i}"), F.stddev_pop(x).alias(f"b{i}")]
         elif kind == "minmax":
@@ -229,19 +229,19 @@ def apply_scaler(df: DataFrame, params: dict, keep_original_suffix: str | None =
     cols = {}
     for c, (a, b) in params.items():
         if keep_original_suffix:
-            cols[c + keep_original_suffix] = F.col(c)
-        cols[c] = (F.col(c).cast("double") - F.lit(a)) / F.lit(b)
+            cols[c + keep_original_suffix] = col(c)
+        cols[c] = (col(c).cast("double") - F.lit(a)) / F.lit(b)
     return df.withColumns(cols)
 
 
 def inverse_scaler(df: DataFrame, params: dict) -> DataFrame:
     """Back to original units: x·scale + centre."""
-    return df.withColumns({c: F.col(c) * F.lit(b) + F.lit(a) for c, (a, b) in params.items()})
+    return df.withColumns({c: col(c) * F.lit(b) + F.lit(a) for c, (a, b) in params.items()})
 
 
 def align_to_features(df: DataFrame, features: list[str], keep=()) -> DataFrame:
     """Model schema order; missing features become 0, NULLs 0."""
     have = set(df.columns)
     return df.select(*[col(k) for k in keep],
-                     *[(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) if f in have else F.lit(0.0)).alias(f)
+                     *[(F.coalesce(col(f).cast("double"), F.lit(0.0)) if f in have else F.lit(0.0)).alias(f)
                        for f in features])

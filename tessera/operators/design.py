@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.core import hash_u, num
+from ..functions.core import col, hash_u, num
 
 DECIMALS = 2  # fixed value: rounding of reported design numbers
 
@@ -76,7 +76,7 @@ def sample_dirichlet(spark: SparkSession, features: list[str], total: float, n:
         df = ids.mapInPandas(gen, "id long, " + ", ".join(f"`{c}` double" for c in feats))
     for c, (lo, hi) in (bounds or {}).items():
         if c in features:
-            df = df.withColumn(c, F.least(F.greatest(F.col(c), F.lit(float(lo))), F.lit(float(hi))))
+            df = df.withColumn(c, F.least(F.greatest(col(c), F.lit(float(lo))), F.lit(float(hi))))
     return df
 
 
@@ -93,7 +93,7 @@ def score_classification(scored: DataFrame, classes: list[str], safe_class: str,
     """Argmax class, the safe class's probability and its margin to the
     best other class. Comparisons use unrounded values (K10); output rounded."""
     from pyspark.ml.functions import vector_to_array
-    p = vector_to_array(prob_col) if dict(scored.dtypes)[prob_col] != "array<double>" else F.col(prob_col)
+    p = vector_to_array(prob_col) if dict(scored.dtypes)[prob_col] != "array<double>" else col(prob_col)
     k = classes.index(safe_class)
     lab = F.array(*[F.lit(c) for c in classes])
     out = scored.withColumn("__p", p)
@@ -107,7 +107,7 @@ def score_classification(scored: DataFrame, classes: list[str], safe_class: str,
 
 def score_regression(pred: DataFrame, pred_col: str = "prediction", objective: str = "maximize") -> DataFrame:
     """Predicted value and objective (± prediction)."""
-    y = F.col(pred_col)
+    y = col(pred_col)
     return pred.withColumns({"predicted_value": y, "objective_score": y if objective == "maximize" else -y})
 
 
@@ -132,7 +132,7 @@ def top_fraction(scored: DataFrame, score_col: str = "objective_score", frac: fl
 def above_quantile(scored: DataFrame, score_col: str = "objective_score", q: float = 0.9) -> DataFrame:
     """Rows scoring at or above the q-quantile."""
     cut = scored.agg(F.percentile(score_col, q)).first()[0]
-    return scored.where(F.col(score_col) >= F.lit(cut))
+    return scored.where(col(score_col) >= F.lit(cut))
 
 
 def recommended_ranges(df: DataFrame, features: list[str], q_low: float = 0.05, q_high: float = 0.95,
@@ -180,9 +180,9 @@ def next_experiments(candidates: DataFrame, prob_col: str | None = None, pred_co
     """The n most uncertain candidates (regression: |pred − mean pred|)."""
     if pred_col is not None:
         m = candidates.agg(F.avg(pred_col)).first()[0]
-        u = F.abs(F.col(pred_col) - F.lit(m))
+        u = F.abs(col(pred_col) - F.lit(m))
     else:
-        u = uncertainty(F.col(prob_col), method)
+        u = uncertainty(col(prob_col), method)
     return (candidates.withColumn("uncertainty_score", u)
             .orderBy(F.desc("uncertainty_score"), key).limit(n))
 
@@ -192,6 +192,6 @@ def refilter(results: DataFrame, bounds: dict[str, tuple]) -> DataFrame:
     pred = F.lit(True)
     for c, (lo, hi) in bounds.items():
         if c in results.columns:
-            pred = pred & F.col(c).between(lo, hi)
+            pred = pred & col(c).between(lo, hi)
     kept = results.where(pred)
     return kept if kept.limit(1).count() > 0 else results

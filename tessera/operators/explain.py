@@ -20,14 +20,14 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import hash_u, safe_corr
+from ..functions.core import col, hash_u, safe_corr
 
 
 def linear_attributions(df: DataFrame, features: list[str], coefs: dict[str, float], key: str = "id") -> DataFrame:
     """N1 (linear): long (key, feature, value, attribution) with β·(x − mean x)."""
     means = df.agg(*[F.avg(c).alias(c) for c in features]).first().asDict()
-    recs = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"),
-                     (F.lit(float(coefs[c])) * (F.col(c) - F.lit(means[c]))).alias("attribution"))
+    recs = [F.struct(F.lit(c).alias("feature"), col(c).cast("double").alias("value"),
+                     (F.lit(float(coefs[c])) * (col(c) - F.lit(means[c]))).alias("attribution"))
             for c in features]
     return df.select(key, F.explode(F.array(*recs)).alias("r")).select(key, "r.*")
 
@@ -60,7 +60,7 @@ def permutation_attributions(model, df: DataFrame, features: list[str], key: str
     cols = {}
     for j, c in enumerate(features):
         pos = F.array_position(F.col("order"), F.lit(j)) - 1
-        cols[c] = F.when(pos < F.col("step"), F.col(c)).otherwise(F.lit(means[c]))
+        cols[c] = F.when(pos < F.col("step"), col(c)).otherwise(F.lit(means[c]))
     points = steps.withColumns(cols)
     scored = model.transform(points)
     y = scored[output]
@@ -72,7 +72,7 @@ def permutation_attributions(model, df: DataFrame, features: list[str], key: str
              .withColumn("j", F.col("order")[F.col("step") - 1]))
     per = diffs.groupBy(key, "j").agg(F.avg("__dy").alias("attribution"))
     names = F.array(*[F.lit(c) for c in features])
-    vals = base.select(key, F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(c).cast("double").alias("value"))
+    vals = base.select(key, F.explode(F.array(*[F.struct(F.lit(j).alias("j"), col(c).cast("double").alias("value"))
                                                 for j, c in enumerate(features)])).alias("v")).select(key, "v.*")
     return (per.join(vals, [key, "j"]).select(key, names[F.col("j")].alias("feature"), "value", "attribution"))
 
@@ -112,8 +112,8 @@ def partner_feature(attr: DataFrame, feature: str, values: DataFrame, candidates
     a = attr.where(F.col("feature") == feature).select(key, "attribution").join(values.select(key, *candidates), key)
     aggs = []
     for i, c in enumerate(candidates):
-        ok = F.col(c).isNotNull() & F.col("attribution").isNotNull()
-        aggs += [safe_corr(F.col(c), F.col("attribution")).alias(f"r{i}"), F.count_if(ok).alias(f"n{i}")]
+        ok = col(c).isNotNull() & F.col("attribution").isNotNull()
+        aggs += [safe_corr(col(c), F.col("attribution")).alias(f"r{i}"), F.count_if(ok).alias(f"n{i}")]
     one = a.agg(*aggs)
     recs = [F.struct(F.lit(c).alias("partner"), F.when(F.col(f"n{i}") >= min_rows, F.abs(F.col(f"r{i}"))).alias("abs_r"))
             for i, c in enumerate(candidates) if c != feature]
@@ -124,10 +124,10 @@ def partner_feature(attr: DataFrame, feature: str, values: DataFrame, candidates
 def pdp_grid(df: DataFrame, feature: str, points: int = 50, distinct_max: int = 50) -> list[float]:
     """Grid: the sorted distinct values when few, else `points` evenly spaced
     between the 5th and 95th percentiles."""
-    d = df.select(feature).where(F.col(feature).isNotNull()).distinct().limit(distinct_max + 1).collect()
+    d = df.select(feature).where(col(feature).isNotNull()).distinct().limit(distinct_max + 1).collect()
     if len(d) <= distinct_max:
         return sorted(float(r[0]) for r in d)
-    lo, hi = df.agg(F.percentile(F.col(feature).cast("double"), F.array(F.lit(0.05), F.lit(0.95)))).first()[0]
+    lo, hi = df.agg(F.percentile(col(feature).cast("double"), F.array(F.lit(0.05), F.lit(0.95)))).first()[0]
     return [lo + (hi - lo) * i / (points - 1) for i in range(points)]
 
 
@@ -176,7 +176,7 @@ def surrogate_rules(df: DataFrame, features: list[str], target: str, depth: int
     from pyspark.ml.regression import DecisionTreeRegressor
     depth = max(2, min(6, depth))
     va = VectorAssembler(inputCols=features, outputCol="__f", handleInvalid="skip")
-    data = va.transform(df.withColumn(target, F.col(target).cast("double")))
+    data = va.transform(df.withColumn(target, col(target).cast("double")))
     est = (DecisionTreeRegressor if task == "regression" else DecisionTreeClassifier)(
         featuresCol="__f", labelCol=target, maxDepth=depth, seed=42)
     tree = est.fit(data)

@@ -14,7 +14,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import num
+from ..functions.core import col, num
 
 
 @dataclass
@@ -51,7 +51,7 @@ def category_filter(df: DataFrame, column: str, picks: Sequence, n_distinct: int
         n_distinct = df.agg(F.count_distinct(column)).first()[0]
     if n_distinct <= 1:
         return df
-    return df.where(F.col(column).isin(list(picks)))
+    return df.where(col(column).isin(list(picks)))
 
 
 def apply_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -77,7 +77,7 @@ def apply_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
             pred = pred & range_predicate(r.column, lo, hi, _is_num(df, r.column))
     for i, r in enumerate(cats):
         if lim[f"k{i}"] > 1:
-            pred = pred & F.col(r.column).isin(list(r.values))
+            pred = pred & col(r.column).isin(list(r.values))
     return df.where(pred)
 
 
@@ -131,10 +131,10 @@ def constraint_predicate(bounds: dict[str, tuple[float, float]], columns_present
     pred = F.lit(True)
     for c, (lo, hi) in bounds.items():
         if c in columns_present:
-            pred = pred & F.col(c).between(lo, hi)
+            pred = pred & col(c).between(lo, hi)
     if sum_columns and total is not None:
         present = [c for c in sum_columns if c in columns_present]
-        s = sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in present), F.lit(0.0))
+        s = sum((F.coalesce(col(c).cast("double"), F.lit(0.0)) for c in present), F.lit(0.0))
         pred = pred & (F.abs(s - F.lit(total)) <= tol)
     return pred
 
@@ -146,11 +146,11 @@ def apply_constraints(df: DataFrame, bounds: dict, sum_columns=None, total=None,
 def key_search(df: DataFrame, column: str, query: str, mode: str = "exact") -> DataFrame:
     """exact (case-insensitive) or literal 'contains' (case-insensitive);
     ``mode='regex'`` keeps the pattern semantics."""
-    c = F.lower(F.col(column).cast("string"))
+    c = F.lower(col(column).cast("string"))
     if mode == "exact":
         return df.where(c == query.lower())
     if mode == "regex":
-        return df.where(F.col(column).rlike("(?i)" + query))
+        return df.where(col(column).rlike("(?i)" + query))
     return df.where(c.contains(query.lower()))
 
 
@@ -164,9 +164,9 @@ def reaches_half(y: str = "y") -> Column:
 def drop_empty_columns(df: DataFrame, constant_too: bool = False) -> DataFrame:
     """drop columns without any non-NULL value (K2); with
     ``constant_too`` also those with a single distinct value."""
-    aggs = [F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(df.columns)]
+    aggs = [F.count(col(c)).alias(f"n{i}") for i, c in enumerate(df.columns)]
     if constant_too:
-        aggs += [F.approx_count_distinct(F.col(c)).alias(f"k{i}") for i, c in enumerate(df.columns)]
+        aggs += [F.approx_count_distinct(col(c)).alias(f"k{i}") for i, c in enumerate(df.columns)]
     r = df.agg(*aggs).first()
     drop = [c for i, c in enumerate(df.columns)
             if r[f"n{i}"] == 0 or (constant_too and r[f"k{i}"] <= 1)]

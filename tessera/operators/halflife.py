@@ -14,6 +14,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.core import col
 from ..functions.text import digits_only_number
 from . import curves
 
@@ -58,7 +59,7 @@ def points_from_columns(df: DataFrame, time_cols: list[tuple[str, float]]) -> Co
     items = []
     for c, t in time_cols:
         dt = df.schema[c].dataType.simpleString()
-        y = digits_only_number(c) if dt == "string" else F.col(c).cast("double")
+        y = digits_only_number(c) if dt == "string" else col(c).cast("double")
         items.append(F.struct(F.lit(float(t)).alias("t"), y.alias("y")))
     return F.filter(F.array(*items), lambda p: p["y"].isNotNull())
 
@@ -69,12 +70,12 @@ def points_from_long(long_df: DataFrame, id_col: str = "id", t_col: str = "t", y
     Repeated (id, t) rows are averaged first (a partial aggregation), so the
     collected group of an id is bounded by its number of distinct time
     points, however many raw rows the id has."""
-    long_df = (long_df.where(F.col(y_col).isNotNull())
-               .groupBy(F.col(id_col).alias(id_col), F.col(t_col).alias(t_col)).agg(F.avg(y_col).alias(y_col)))
+    long_df = (long_df.where(col(y_col).isNotNull())
+               .groupBy(col(id_col).alias(id_col), col(t_col).alias(t_col)).agg(F.avg(y_col).alias(y_col)))
     return (long_df
-            .groupBy(F.col(id_col).alias("id"))
-            .agg(F.sort_array(F.collect_list(F.struct(F.col(t_col).cast("double").alias("t"),
-                                                      F.col(y_col).cast("double").alias("y")))).alias("pts")))
+            .groupBy(col(id_col).alias("id"))
+            .agg(F.sort_array(F.collect_list(F.struct(col(t_col).cast("double").alias("t"),
+                                                      col(y_col).cast("double").alias("y")))).alias("pts")))
 
 
 def evaluate(df: DataFrame, r2_threshold: float = 0.80, pts: str = "pts") -> DataFrame:

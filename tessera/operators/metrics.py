@@ -13,14 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.core import col
 MAX_CLASSES = 10_000
 
 
 def _labels(df: DataFrame, label: str, pred: str | None = None) -> list:
-    cols = [F.col(label).cast("string").alias("v")]
+    cols = [col(label).cast("string").alias("v")]
     d = df.select(*cols)
     if pred is not None:
-        d = d.union(df.select(F.col(pred).cast("string").alias("v")))
+        d = d.union(df.select(col(pred).cast("string").alias("v")))
     lv = [r[0] for r in d.where(F.col("v").isNotNull()).distinct().orderBy("v").limit(MAX_CLASSES + 1).collect()]
     if len(lv) > MAX_CLASSES:
         raise ValueError("too many classes")
@@ -29,13 +30,13 @@ def _labels(df: DataFrame, label: str, pred: str | None = None) -> list:
 
 def accuracy(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
     """V1."""
-    return df.agg(F.avg((F.col(label) == F.col(pred)).cast("double")).alias("accuracy"))
+    return df.agg(F.avg((col(label) == col(pred)).cast("double")).alias("accuracy"))
 
 
 def per_class(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
     """(class, tp, fp, fn, support, precision, recall, f1) with zero division → 0.
     Classes = union of labels and predictions."""
-    y, p = F.col(label).cast("string"), F.col(pred).cast("string")
+    y, p = col(label).cast("string"), col(pred).cast("string")
     cells = df.groupBy(y.alias("y"), p.alias("p")).agg(F.count("*").alias("n"))
     true_side = cells.groupBy(F.col("y").alias("cls")).agg(
         F.sum("n").alias("support"), F.sum(F.when(F.col("y") == F.col("p"), F.col("n"))).alias("tp"))
@@ -68,7 +69,7 @@ def confusion_matrix(df: DataFrame, label: str = "label", pred: str = "pred") ->
     lv = _labels(df, label, pred)
     pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("y"), F.lit(b).alias("p")) for a in lv for b in lv]))
     grid = df.sparkSession.range(1).select(pairs.alias("c")).select("c.y", "c.p")
-    cells = df.groupBy(F.col(label).cast("string").alias("y"), F.col(pred).cast("string").alias("p")).agg(
+    cells = df.groupBy(col(label).cast("string").alias("y"), col(pred).cast("string").alias("p")).agg(
         F.count("*").alias("n"))
     return (grid.join(cells, ["y", "p"], "left").select(F.col("y").alias("true_label"),
                                                        F.col("p").alias("pred_label"),
@@ -103,8 +104,8 @@ def score_table(df: DataFrame, positive: Column, score: str, buckets: int | None
     ranges — one number per range — are added as literals.
     """
     spark = df.sparkSession
-    counts = (df.where(F.col(score).isNotNull())
-              .groupBy(F.col(score).cast("double").alias("s"))
+    counts = (df.where(col(score).isNotNull())
+              .groupBy(col(score).cast("double").alias("s"))
               .agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")))
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     probs = [i / n for i in range(1, n)]
@@ -133,7 +134,7 @@ def score_table(df: DataFrame, positive: Column, score: str, buckets: int | None
 
 def auc(df: DataFrame, label: str = "label", score: str = "score", positive_value=1) -> DataFrame:
     """V5: ROC AUC with ties counted half: Σ pos·(neg below + neg tied/2) / (P·N)."""
-    t = score_table(df, F.col(label) == F.lit(positive_value), score)
+    t = score_table(df, col(label) == F.lit(positive_value), score)
     neg_below = F.col("N") - F.col("neg_above") - F.col("neg")
     return t.agg(F.try_divide(F.sum(F.col("pos").cast("double") * (neg_below + F.col("neg") / 2.0)),
                               F.first("P").cast("double") * F.first("N").cast("double")).alias("auc"))
@@ -149,7 +150,7 @@ def auc_ovr(df: DataFrame, label: str, scores: dict, weighted: bool = True) -> D
     per = parts[0]
     for p in parts[1:]:
         per = per.unionByName(p)
-    prev = df.groupBy(F.col(label).cast("string").alias("cls")).agg(F.count("*").alias("support"))
+    prev = df.groupBy(col(label).cast("string").alias("cls")).agg(F.count("*").alias("support"))
     j = per.join(prev, "cls", "left").fillna(0, ["support"])
     if weighted:
         return j.agg((F.sum(F.col("auc") * F.col("support")) / F.sum("support")).alias("auc"))
@@ -159,7 +160,7 @@ def auc_ovr(df: DataFrame, label: str, scores: dict, weighted: bool = True) -> D
 def roc_points(df: DataFrame, label: str = "label", score: str = "score", positive_value=1) -> DataFrame:
     """V7: (threshold, fpr, tpr) at every distinct score (descending), plus
     the (0, 0) start at threshold +inf."""
-    t = score_table(df, F.col(label) == F.lit(positive_value), score)
+    t = score_table(df, col(label) == F.lit(positive_value), score)
     pts = t.select(F.col("s").alias("threshold"),
                    F.try_divide(F.col("neg_above") + F.col("neg"), F.col("N")).alias("fpr"),
                    F.try_divide(F.col("pos_above") + F.col("pos"), F.col("P")).alias("tpr"))
@@ -170,7 +171,7 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "score", positi
 def pr_points(df: DataFrame, label: str = "label", score: str = "score", positive_value=1) -> DataFrame:
     """V8: (threshold, precision, recall) at every distinct score, plus the
     final (recall 0, precision 1) point."""
-    t = score_table(df, F.col(label) == F.lit(positive_value), score)
+    t = score_table(df, col(label) == F.lit(positive_value), score)
     tp = F.col("pos_above") + F.col("pos")
     fp = F.col("neg_above") + F.col("neg")
     pts = t.select(F.col("s").alias("threshold"), F.try_divide(tp, tp + fp).alias("precision"),
@@ -184,7 +185,7 @@ def pr_area(df: DataFrame, label: str = "label", score: str = "score", positive_
     starts at the point of the next higher score (its ``*_above`` counts),
     or at (recall 0, precision 1) for the highest score — a row-wise sum over
     the score table, no ordering window."""
-    t = score_table(df, F.col(label) == F.lit(positive_value), score)
+    t = score_table(df, col(label) == F.lit(positive_value), score)
     tp, fp = F.col("pos_above") + F.col("pos"), F.col("neg_above") + F.col("neg")
     r1, p1 = F.try_divide(tp, F.col("P")), F.try_divide(tp, tp + fp)
     r0 = F.try_divide(F.col("pos_above"), F.col("P"))
@@ -194,9 +195,9 @@ def pr_area(df: DataFrame, label: str = "label", score: str = "score", positive_
 
 def regression_metrics(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
     """V9: R² (constant y: 1 if exact else 0), MAE, MSE, RMSE."""
-    e = F.col(y) - F.col(yhat)
+    e = col(y) - col(yhat)
     g = df.agg(F.sum(e * e).alias("sse"), F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"),
-               (F.count(F.col(y)) * F.var_pop(F.col(y))).alias("sst"))
+               (F.count(col(y)) * F.var_pop(col(y))).alias("sst"))
     r2 = F.when(F.col("sst") == 0, F.when(F.col("sse") == 0, 1.0).otherwise(0.0)).otherwise(
         1 - F.col("sse") / F.col("sst"))
     return g.select(r2.alias("r2"), "mae", "mse", F.sqrt("mse").alias("rmse"))
@@ -204,8 +205,8 @@ def regression_metrics(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataF
 
 def residuals(df: DataFrame, y: str = "y", yhat: str = "yhat", keep=("id",)) -> DataFrame:
     """Residual and absolute error per row, plus the shared axis range."""
-    e = F.col(y) - F.col(yhat)
-    return df.select(*keep, F.col(y).alias("actual"), F.col(yhat).alias("predicted"),
+    e = col(y) - col(yhat)
+    return df.select(*keep, col(y).alias("actual"), col(yhat).alias("predicted"),
                      e.alias("residual"), F.abs(e).alias("abs_error"))
 
 
@@ -213,4 +214,4 @@ def metric_changes(runs: DataFrame, run_col: str = "run", metric_col: str = "met
                    value_col: str = "value") -> DataFrame:
     """Change of each metric against the previous run."""
     w = Window.partitionBy(metric_col).orderBy(run_col)
-    return runs.withColumn("delta", F.col(value_col) - F.lag(value_col).over(w))
+    return runs.withColumn("delta", col(value_col) - F.lag(value_col).over(w))

@@ -24,6 +24,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.core import col
 from . import metrics as VM
 
 SEED = 42
@@ -166,7 +167,7 @@ def _fit_cached(df, features, label, name, spec, p, n_rows) -> Fitted:
         # row count and class count in one pass
         aggs = [F.count(F.lit(1)).alias("n")]
         if spec.task == "classification":
-            aggs.append(F.count_distinct(F.col(label)).alias("k"))
+            aggs.append(F.count_distinct(col(label)).alias("k"))
         stats = df.agg(*aggs).first()
     n = n_rows if n_rows is not None else stats["n"]
     stages = [_assembler(features)]
@@ -177,13 +178,13 @@ def _fit_cached(df, features, label, name, spec, p, n_rows) -> Fitted:
     else:
         lab = label
     if name == "Ridge":
-        sd = df.agg(F.stddev_pop(F.col(label).cast("double"))).first()[0] or 1.0
+        sd = df.agg(F.stddev_pop(col(label).cast("double"))).first()[0] or 1.0
         est = _ridge(p, n, False, sd)
     else:
         multi = spec.task == "classification" and stats["k"] > 2
         est = spec.make(p, n, multi)
     if spec.task == "regression":
-        df = df.withColumn(label, F.col(label).cast("double"))
+        df = df.withColumn(label, col(label).cast("double"))
     est.setFeaturesCol("__features").setLabelCol(lab)
     if hasattr(est, "setPredictionCol"):
         est.setPredictionCol("__pred")
@@ -199,7 +200,7 @@ def predict(f: Fitted, df: DataFrame, keep: list[str] | None = None, digits: int
         return knn_predict(f, df, keep)
     out = f.model.transform(df.withColumn(f.label, F.lit(None).cast("string")) if f.task == "classification"
                             and f.label not in df.columns else df)
-    cols = [F.col(c) for c in keep]
+    cols = [col(c) for c in keep]
     if f.task == "classification":
         lab = F.array(*[F.lit(c) for c in f.classes])
         cols.append(lab[F.col("__pred").cast("int")].alias("__prediction__"))
@@ -267,13 +268,13 @@ def run_validation(df: DataFrame, features: list[str], label: str, name: str, fo
     scores = []
     try:
         if test_col is not None:
-            f = fit(df.where(~F.col(test_col)), features, label, name, params)
-            scores.append(score(f, df.where(F.col(test_col)), metric))
+            f = fit(df.where(~col(test_col)), features, label, name, params)
+            scores.append(score(f, df.where(col(test_col)), metric))
         else:
             folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())
             for k in folds:
-                f = fit(df.where(F.col(fold_col) != k), features, label, name, params)
-                scores.append(score(f, df.where(F.col(fold_col) == k), metric))
+                f = fit(df.where(col(fold_col) != k), features, label, name, params)
+                scores.append(score(f, df.where(col(fold_col) == k), metric))
             f = fit(df, features, label, name, params)
     finally:
         df.unpersist()
@@ -289,8 +290,8 @@ def cross_validate(df: DataFrame, features: list[str], label: str, name: str, fo
     rows = []
     try:
         for k in sorted(r[0] for r in df.select(fold_col).distinct().collect()):
-            f = fit(df.where(F.col(fold_col) != k), features, label, name, params)
-            test = df.where(F.col(fold_col) == k)
+            f = fit(df.where(col(fold_col) != k), features, label, name, params)
+            test = df.where(col(fold_col) == k)
             for m in metrics:
                 rows.append((m, int(k), score(f, test, m)))
     finally:
@@ -345,9 +346,9 @@ def learning_curve(df: DataFrame, features: list[str], label: str, name: str, fo
         folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())
         for frac in fracs:
             for k in folds:
-                tr = df.where((F.col(fold_col) != k) & (F.col("__u") < frac))
+                tr = df.where((col(fold_col) != k) & (F.col("__u") < frac))
                 f = fit(tr, features, label, name)
-                rows.append((frac, int(k), score(f, tr, metric), score(f, df.where(F.col(fold_col) == k), metric)))
+                rows.append((frac, int(k), score(f, tr, metric), score(f, df.where(col(fold_col) == k), metric)))
     finally:
         df.unpersist()
     long = spark.createDataFrame(rows, "size double, fold int, train double, valid double")

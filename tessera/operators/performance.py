@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.core import col
 from ..functions.text import clean_label
 from . import curves
 
@@ -43,8 +44,8 @@ def weight_table(weights: DataFrame, label: str = "label", weight: str = "weight
                  order: str | None = None) -> list[tuple[str, float]]:
     """J3 lookup as a small ordered list: labels cleaned (X1), blank labels
     dropped (K14), first position kept, last duplicate's weight wins."""
-    w = weights.select(clean_label(label).alias("l"), F.col(weight).cast("double").alias("w"),
-                       (F.col(order) if order else F.monotonically_increasing_id()).alias("pos"))
+    w = weights.select(clean_label(label).alias("l"), col(weight).cast("double").alias("w"),
+                       (col(order) if order else F.monotonically_increasing_id()).alias("pos"))
     w = w.filter(F.col("l").isNotNull())
     small = (w.groupBy("l").agg(F.min("pos").alias("first"), F.max_by("w", "pos").alias("w"))
              .orderBy("first").limit(MAX_WEIGHT_LABELS + 1).collect())
@@ -68,10 +69,10 @@ def day_arrays(long_df: DataFrame, id_col: str = "id", day_col: str = "d", y_col
     scan when possible); each group then holds at most num_days+1 entries.
     """
     lab = clean_label(label_col) if label_col else F.lit(None).cast("string")
-    entries = F.struct(F.col(day_col).cast("int").alias("k"),
-                       F.struct(F.col(y_col).cast("double").alias("y"), lab.alias("tex")).alias("v"))
-    g = (long_df.filter(F.col(day_col).between(0, num_days))
-         .groupBy(F.col(id_col).alias("id"))
+    entries = F.struct(col(day_col).cast("int").alias("k"),
+                       F.struct(col(y_col).cast("double").alias("y"), lab.alias("tex")).alias("v"))
+    g = (long_df.filter(col(day_col).between(0, num_days))
+         .groupBy(col(id_col).alias("id"))
          .agg(F.map_from_entries(F.collect_list(entries)).alias("m")))
     seq = f"sequence(0, {num_days})"
     return g.select("id",
@@ -119,7 +120,7 @@ def day_arrays_from_wide(df: DataFrame, id_col: str, num_days: int = 14) -> Data
     n = min(num_days, max(foam) if foam else -1)
     ys = [to_volume(foam[d]) if d in foam else F.lit(None).cast("double") for d in range(n + 1)]
     ts = [clean_label(tex[d]) if d in tex else F.lit(None).cast("string") for d in range(n + 1)]
-    return df.select(F.col(id_col).alias("id"), F.array(*ys).alias("y"), F.array(*ts).alias("tex"))
+    return df.select(col(id_col).alias("id"), F.array(*ys).alias("y"), F.array(*ts).alias("tex"))
 
 
 def valid_sample_expr(y: str = "y") -> str:
@@ -207,7 +208,7 @@ def performance_index(long_df: DataFrame, weights: DataFrame, cfg: PipelineConfi
     df = score(df, table, cfg)
     gated = ["r2_linear", "r2_exp", "r2_poly", "best_model", "y_filled", "tex_filled",
              "score_volume", "score_texture", "performance_index"]
-    df = df.withColumns({c: F.when(F.col("valid"), F.col(c)) for c in gated})
+    df = df.withColumns({c: F.when(F.col("valid"), col(c)) for c in gated})
     df = df.withColumn("unmatched", F.when(F.col("valid"), F.expr(unmatched_labels_expr(table))))
     return df.drop("pts", "lin", "expo", "quad")
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import categorical_columns, is_numeric, numeric_columns
+from ..functions.core import col, categorical_columns, is_numeric, numeric_columns
 
 LARGE_ROWS = 1000  # fixed value: "large dataset" notice threshold
 
@@ -94,16 +94,16 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
     num = [c for c in cols if is_numeric(df.schema[c].dataType)]
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(cols):
-        aggs.append(F.count(F.col(c)).alias(f"nn{i}"))
+        aggs.append(F.count(col(c)).alias(f"nn{i}"))
         if approx is True:
-            aggs.append(F.approx_count_distinct(F.col(c)).alias(f"nd{i}"))
+            aggs.append(F.approx_count_distinct(col(c)).alias(f"nd{i}"))
     narrow = {}
     if approx == "narrow":  # exact quartiles with bounded memory, entered as literals
         from ..functions.quantiles import quantile_values
         narrow = quantile_values(df, num, [0.25, 0.5, 0.75], "narrow")
     for i, c in enumerate(cols):
         if c in num:
-            x = F.col(c).cast("double")
+            x = col(c).cast("double")
             if approx == "narrow":
                 pct = F.array(*[F.lit(v).cast("double") for v in narrow[c]])
             else:
@@ -162,7 +162,7 @@ def dataset_card(df: DataFrame) -> DataFrame:
     """Q3: rows, columns, numeric and categorical counts, missing-cell %."""
     cols = df.columns
     n_num = len(numeric_columns(df))
-    nulls = sum((F.count(F.lit(1)) - F.count(F.col(c)) for c in cols), F.lit(0))
+    nulls = sum((F.count(F.lit(1)) - F.count(col(c)) for c in cols), F.lit(0))
     return df.agg(F.count(F.lit(1)).alias("n_rows"), nulls.alias("_nulls")).select(
         "n_rows", F.lit(len(cols)).cast("long").alias("n_columns"),
         F.lit(n_num).cast("long").alias("n_numeric"), F.lit(len(cols) - n_num).cast("long").alias("n_categorical"),
@@ -211,14 +211,14 @@ def categorical_shares(df: DataFrame, columns: list[str] | None = None) -> DataF
 def null_report(df: DataFrame) -> DataFrame:
     """Q7: columns that contain NULLs with their null fraction (descending)."""
     cols = df.columns
-    one = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in cols])
+    one = df.agg(*[F.avg(col(c).isNull().cast("double")).alias(c) for c in cols])
     long = one.unpivot([], cols, "column", "null_frac")
     return long.filter(F.col("null_frac") > 0)
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Q8: class / group counts, NULL kept as its own group."""
-    return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    return df.groupBy(col(column).alias("value")).agg(F.count("*").alias("n"))
 
 
 def percent_columns_outside(df: DataFrame, groups: dict[str, list[str]]) -> list[str]:
@@ -231,7 +231,7 @@ def null_impact(df: DataFrame, columns: list[str]) -> DataFrame:
     """Q10: rows with a NULL in any chosen column, and their % of all rows."""
     anynull = F.lit(False)
     for c in columns:
-        anynull = anynull | F.col(c).isNull()
+        anynull = anynull | col(c).isNull()
     return df.agg(F.count("*").alias("n_rows"), F.count_if(anynull).alias("n_affected")).select(
         "n_rows", "n_affected", F.bround(F.try_divide(F.col("n_affected") * 100.0, F.col("n_rows")), 2)
         .alias("pct_affected"))
@@ -249,7 +249,7 @@ def model_ready_overview(df: DataFrame, target: str, features: list[str], task:
                          n_before: DataFrame | None = None) -> DataFrame:
     """Q12: rows, features, and target median/range (regression) or the class
     count and largest class (classification)."""
-    y = F.col(target)
+    y = col(target)
     if task == "regression":
         return df.agg(F.count("*").alias("n_rows"), F.lit(len(features)).alias("n_features"),
                       F.percentile(y.cast("double"), 0.5).alias("target_median"),

@@ -14,14 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import hash_u
+from ..functions.core import col, hash_u
 
 LOO_LIMIT = 500  # fixed value: leave-one-out is refused above this many rows
 
 
 def row_key(*cols: str) -> Column:
     """A row key from several columns when no single column is unique."""
-    return F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
+    return F.concat_ws("|", *[col(c).cast("string") for c in cols])
 
 
 def train_test(df: DataFrame, key, test_size: float = 0.2, seed: int = 42) -> DataFrame:
@@ -31,7 +31,7 @@ def train_test(df: DataFrame, key, test_size: float = 0.2, seed: int = 42) -> Da
 
 def _class_cuts(df: DataFrame, key, label: str, probs: list[float], seed: int, tag: str) -> DataFrame:
     u = hash_u(key, seed, tag)
-    return (df.select(F.col(label).alias("__cls"), u.alias("__u"))
+    return (df.select(col(label).alias("__cls"), u.alias("__u"))
             .groupBy("__cls").agg(F.percentile_approx("__u", probs, 10000).alias("__cuts")))
 
 
@@ -40,7 +40,7 @@ def stratified_train_test(df: DataFrame, key, label: str, test_size: float = 0.2
     hash values is the test set."""
     cuts = _class_cuts(df, key, label, [test_size], seed, "split")
     out = df.withColumn("__u", hash_u(key, seed, "split")).join(
-        cuts, F.col(label).eqNullSafe(F.col("__cls")), "left")  # one row per class
+        cuts, col(label).eqNullSafe(F.col("__cls")), "left")  # one row per class
     return out.withColumn("is_test", F.col("__u") <= F.col("__cuts")[0]).drop("__u", "__cls", "__cuts")
 
 
@@ -55,7 +55,7 @@ def stratified_kfold(df: DataFrame, key, label: str, k: int = 5, seed: int = 42,
         raise ValueError("Stratified K-Fold is only valid for classification tasks.")
     cuts = _class_cuts(df, key, label, [i / k for i in range(1, k)], seed, "fold")
     out = df.withColumn("__u", hash_u(key, seed, "fold")).join(
-        cuts, F.col(label).eqNullSafe(F.col("__cls")), "left")  # one row per class
+        cuts, col(label).eqNullSafe(F.col("__cls")), "left")  # one row per class
     fold = F.size(F.filter(F.col("__cuts"), lambda c: c < F.col("__u")))
     return out.withColumn("fold", fold.cast("int")).drop("__u", "__cls", "__cuts")
 
@@ -65,12 +65,12 @@ def leave_one_out(df: DataFrame, key: str, n_rows: int | None = None) -> DataFra
     n = n_rows if n_rows is not None else df.count()
     if n > LOO_LIMIT:
         raise ValueError(f"leave-one-out on {n} rows would fit {n} models; use K-fold")
-    return df.withColumn("fold", F.col(key))
+    return df.withColumn("fold", col(key))
 
 
 def leave_one_group_out(df: DataFrame, group: str) -> DataFrame:
     """One fold per group value."""
-    return df.withColumn("fold", F.col(group))
+    return df.withColumn("fold", col(group))
 
 
 def loo_linear(df: DataFrame, features: list[str], label: str) -> DataFrame:
@@ -80,12 +80,12 @@ def loo_linear(df: DataFrame, features: list[str], label: str) -> DataFrame:
     feature count), the driver inverts it, and one projection scores every
     row: no n model fits, no data on the driver."""
     import numpy as np
-    cols = [F.lit(1.0)] + [F.col(c).cast("double") for c in features]
-    y = F.col(label).cast("double")
+    cols = [F.lit(1.0)] + [col(c).cast("double") for c in features]
+    y = col(label).cast("double")
     k = len(cols)
-    complete = F.col(label).isNotNull()
+    complete = col(label).isNotNull()
     for c in features:
-        complete = complete & F.col(c).isNotNull()
+        complete = complete & col(c).isNotNull()
     ok = df.where(complete)
     aggs = [F.sum(cols[i] * cols[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
     aggs += [F.sum(cols[i] * y).alias(f"b{i}") for i in range(k)]

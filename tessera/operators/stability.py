@@ -14,6 +14,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.core import col
 from ..functions.text import is_unstable, normalise_observation
 
 
@@ -30,8 +31,8 @@ def observation_columns(columns: list[str]) -> list[tuple[str, int]]:
 
 def wide_to_long(df: DataFrame, id_col: str) -> DataFrame:
     cols = observation_columns(df.columns)
-    recs = [F.struct(F.lit(d).alias("d"), F.col(c).cast("string").alias("txt")) for c, d in cols]
-    return df.select(F.col(id_col).alias("id"), F.explode(F.array(*recs)).alias("o")).select("id", "o.d", "o.txt")
+    recs = [F.struct(F.lit(d).alias("d"), col(c).cast("string").alias("txt")) for c, d in cols]
+    return df.select(col(id_col).alias("id"), F.explode(F.array(*recs)).alias("o")).select("id", "o.d", "o.txt")
 
 
 def stability(long_df: DataFrame, id_col: str = "id", day_col: str = "d", text_col: str = "txt",
@@ -40,7 +41,7 @@ def stability(long_df: DataFrame, id_col: str = "id", day_col: str = "d", text_c
     for each limit L: False if a match on a day ≤ L, NULL if the last
     observed day is before L (unknown), else True."""
     norm = normalise_observation(text_col)
-    obs = long_df.select(F.col(id_col).alias("id"), F.col(day_col).cast("int").alias("d"), norm.alias("t"))
+    obs = long_df.select(col(id_col).alias("id"), col(day_col).cast("int").alias("d"), norm.alias("t"))
     bad = F.col("t").isNotNull() & is_unstable("t")
     aggs = [F.min(F.when(bad, F.col("d"))).alias("shelf_life_days"),
             F.coalesce(F.max(F.when(F.col("t").isNotNull(), F.col("d"))), F.lit(0)).alias("max_day")]
@@ -55,8 +56,8 @@ def stability(long_df: DataFrame, id_col: str = "id", day_col: str = "d", text_c
 def normalisation_audit(long_df: DataFrame, text_col: str = "txt", source_col: str | None = None) -> DataFrame:
     """Distinct (original trimmed text → normalised text)."""
     src = [F.col(source_col).alias("source")] if source_col else []
-    return (long_df.where(F.col(text_col).isNotNull())
-            .select(*src, F.trim(F.col(text_col)).alias("original"),
+    return (long_df.where(col(text_col).isNotNull())
+            .select(*src, F.trim(col(text_col)).alias("original"),
                     normalise_observation(text_col).alias("normalised")).distinct())
 
 

@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import both, num, safe_corr
+from ..functions.core import col, both, num, safe_corr
 
 
 def corr_long(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -77,11 +77,11 @@ def histogram(df: DataFrame, column: str, bins: int = 30, by: str | None = None)
     w = (hi - lo) / bins
     idx = (F.lit(0) if hi == lo else
            F.least(F.floor((F.col("__x") - F.lit(lo)) / F.lit(w)).cast("int"), F.lit(bins - 1)))
-    keys = [F.col(by).alias("group")] if by else []
+    keys = [col(by).alias("group")] if by else []
     data = df.select(x.alias("__x"), *keys).where(F.col("__x").isNotNull())
     counts = data.groupBy(*gcols, idx.alias("bin")).agg(F.count("*").alias("n"))
     seq = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
-    grid = (df.select(F.col(by).alias("group")).distinct().select("group", seq) if by
+    grid = (df.select(col(by).alias("group")).distinct().select("group", seq) if by
             else df.sparkSession.range(1).select(seq))
     edges = grid.select(*gcols, "bin", (F.lit(lo) + F.col("bin") * F.lit(w)).alias("left"),
                         (F.lit(lo) + (F.col("bin") + 1) * F.lit(w)).alias("right"))
@@ -95,7 +95,7 @@ def box_stats(df: DataFrame, columns: list[str], by: str | None = None, standard
     the box, flier count; per column (and per class with ``by``). With
     ``approx`` the quartiles come from a bounded-memory sketch per group (a
     class holding a third of the rows then costs a sketch, not a value map)."""
-    keys = [F.col(by).alias("group")] if by else []
+    keys = [col(by).alias("group")] if by else []
     long = df.select(*keys, *[num(c).alias(c) for c in columns]).unpivot(
         ["group"] if by else [], columns, "column", "x").where(F.col("x").isNotNull())
     g = ["column"] + (["group"] if by else [])
@@ -141,7 +141,7 @@ def pair_plot_data(df: DataFrame, columns: list[str], hue: str | None = None, n:
     numbers, optionally a reproducible hash sample of about ``n`` rows."""
     from ..functions.core import hash_u
     sel = [num(c).alias(c) for c in columns] + ([F.col(hue)] if hue else [])
-    out = df.select(*sel, *([F.col(key)] if key else [])).dropna(subset=columns + ([hue] if hue else []))
+    out = df.select(*sel, *([col(key)] if key else [])).dropna(subset=columns + ([hue] if hue else []))
     if n is not None and key is not None:
         total = out.count()
         if total > n:
@@ -156,11 +156,11 @@ def first_pairs(columns: list[str], n: int = 10) -> list[tuple[str, str]]:
 
 def distinct_levels(df: DataFrame, column: str) -> DataFrame:
     """Distinct non-null values sorted as text."""
-    return (df.select(F.col(column).cast("string").alias("level")).where(F.col("level").isNotNull())
+    return (df.select(col(column).cast("string").alias("level")).where(F.col("level").isNotNull())
             .distinct().orderBy("level"))
 
 
 def residual_summary(df: DataFrame, y: str, yhat: str) -> DataFrame:
     """Residual mean and standard deviation (ddof 0)."""
-    r = F.col(y) - F.col(yhat)
+    r = col(y) - col(yhat)
     return df.agg(F.avg(r).alias("resid_mean"), F.stddev_pop(r).alias("resid_std"), F.count(r).alias("n"))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import hash_u
+from ..functions.core import col, hash_u
 from ..operators import clean as M
 from ..operators import explain as N
 from ..operators import features as G
@@ -86,7 +86,7 @@ def automl(df: DataFrame, key: str, target: str, groups: dict[str, list[str]], c
         d = M.method_one_hot(d, method_col)
     feats = [c for c in d.columns if c not in (key, target, method_col) and
              dict(d.dtypes)[c] in ("double", "int", "bigint", "float")]
-    d = d.select(key, target, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in feats])
+    d = d.select(key, target, *[F.coalesce(col(c).cast("double"), F.lit(0.0)).alias(c) for c in feats])
     d = SP.train_test(d, key, cfg.test_size, cfg.seed).checkpoint()  # reused by fit, scoring and attribution
     params = M.fit_scaler(d.where(~F.col("is_test")), feats, "standard")
     d = M.apply_scaler(d, params)

@@ -14,6 +14,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.core import col
 from ..sources.views import with_views
 
 
@@ -29,7 +30,7 @@ class Query:
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = self.fn(spark, sf_dir)
         if self.digits:
-            df = df.withColumns({c: F.bround(F.col(c), d) for c, d in self.digits.items()})
+            df = df.withColumns({c: F.bround(col(c), d) for c, d in self.digits.items()})
         return df
 
     def oracle(self) -> str | None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.core import col
 from ..operators import design as D
 from ..operators import explain as N
 from ..operators import models as T
@@ -61,7 +62,7 @@ def d7_q(spark, sf):
 
 def _probs_frame(spark, sf):
     c = V.chem_wide(spark, sf)
-    raw = [F.coalesce(F.col(x), F.lit(0.0)) + F.lit(1.0) for x in ("c1", "c2", "c3")]
+    raw = [F.coalesce(col(x), F.lit(0.0)) + F.lit(1.0) for x in ("c1", "c2", "c3")]
     tot = raw[0] + raw[1] + raw[2]
     return c.select("id", F.array(*[r / tot for r in raw]).alias("probability"))
 
@@ -163,7 +164,7 @@ def design_search_q(spark, sf):
 @register("d5_d9_random_search_regression", ops="D5 D9 D3")
 def d9_q(spark, sf):
     c = V.chem_wide(spark, sf)
-    d = c.select("target", *[F.coalesce(F.col(x), F.lit(0.0)).alias(x) for x in ("c1", "c2", "c3")])
+    d = c.select("target", *[F.coalesce(col(x), F.lit(0.0)).alias(x) for x in ("c1", "c2", "c3")])
     f = T.fit(d, ["c1", "c2", "c3"], "target", "LinearRegression")
     n = c.count()
     pts = D.mixed_design(spark, ["c1", "c2"], 60.0, {"c3": D.observed_bounds(d, ["c3"])["c3"]}, n)
@@ -210,7 +211,7 @@ def n3_q(spark, sf):
 
 def _rf_chem(spark, sf):
     c = V.chem_wide(spark, sf)
-    d = c.select("id", "method", "target", *[F.coalesce(F.col(x), F.lit(0.0)).alias(x) for x in V.CHEM_COLS])
+    d = c.select("id", "method", "target", *[F.coalesce(col(x), F.lit(0.0)).alias(x) for x in V.CHEM_COLS])
     f = T.fit(d, V.CHEM_COLS, "target", "RandomForestRegressor", {"n_estimators": 20, "max_depth": 6})
     return d, f
 
@@ -244,7 +245,7 @@ def n6_q(spark, sf):
 @register("n7_surrogate_rules_chem", ops="N7")
 def n7_q(spark, sf):
     c = V.chem_wide(spark, sf)
-    d = c.select("target", *[F.coalesce(F.col(x), F.lit(0.0)).alias(x) for x in V.CHEM_COLS])
+    d = c.select("target", *[F.coalesce(col(x), F.lit(0.0)).alias(x) for x in V.CHEM_COLS])
     return N.surrogate_rules(d, V.CHEM_COLS, "target", 3)
 
 

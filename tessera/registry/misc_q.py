@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.core import col
 from ..functions import text as X
 from ..functions.windows import running
 from ..operators import clean as M
@@ -237,7 +238,7 @@ def t20_q(spark, sf):
     from ..operators import splits as SP
     from ..operators.metrics import metric_changes
     c = V.chem_wide(spark, sf)
-    d = SP.kfold(c.select("id", "target", *[F.coalesce(F.col(x), F.lit(0.0)).alias(x) for x in V.CHEM_COLS]),
+    d = SP.kfold(c.select("id", "target", *[F.coalesce(col(x), F.lit(0.0)).alias(x) for x in V.CHEM_COLS]),
                  "id", 3)
     path = _scratch(spark, "runs")
     for i, name in enumerate(["LinearRegression", "Ridge"]):

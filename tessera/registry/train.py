@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.core import col
 from ..operators import models as T
 from ..operators import splits as SP
 from ..sources import views as V
@@ -100,7 +101,7 @@ for _name, _ops in (("LogisticRegression", "T2 T21 V2"), ("RandomForestClassifie
 
 def _reg_frame(spark, sf):
     c = V.chem_wide(spark, sf)
-    return c.select("id", F.col("target"), *[F.coalesce(F.col(x), F.lit(0.0)).alias(x) for x in V.CHEM_COLS])
+    return c.select("id", F.col("target"), *[F.coalesce(col(x), F.lit(0.0)).alias(x) for x in V.CHEM_COLS])
 
 
 # Registered demonstrations use small ensembles (the operator defaults stay as in the registry).

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.core import col
 # Encodings tried in order.
 ENCODINGS = ["utf-8", "utf-8-sig", "latin-1", "cp1252"]
 
@@ -84,12 +85,12 @@ def clean_cells(df: DataFrame, nbsp: str = "space") -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, StringType):
-            c = F.regexp_replace(F.col(f.name), "\u00a0", " " if nbsp == "space" else "")
+            c = F.regexp_replace(col(f.name), "\u00a0", " " if nbsp == "space" else "")
             c = F.regexp_replace(c, "[Â*]", "")
             c = F.trim(F.regexp_replace(c, "\\s+", " "))
             cols.append(F.when(c != "", c).alias(f.name))
         else:
-            cols.append(F.col(f.name))
+            cols.append(col(f.name))
     return df.select(*cols)
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.core import col
 from ..operators import performance as P
 from ..operators import stability as S
 
@@ -30,7 +31,7 @@ def score_samples(df: DataFrame, table: list[tuple[str, float]], cfg: P.Pipeline
     df = P.fill_labels(df, table)
     df = P.score(df, table, cfg)
     gated = ["r2_linear", "r2_exp", "r2_poly", "best_model", "score_volume", "score_texture", "performance_index"]
-    return df.select("id", "valid", *[F.when(F.col("valid"), F.col(c)).alias(c) for c in gated])
+    return df.select("id", "valid", *[F.when(F.col("valid"), col(c)).alias(c) for c in gated])
 
 
 def performance_index_stream(spark: SparkSession, source: str, table: list[tuple[str, float]],

@@ -38,3 +38,16 @@ def test_cli_lablog(spark):
     main(["lablog", f"{d}/logs", f"{d}/out", "--cols", "5"])
     single = pd.concat(pd.read_csv(f) for f in glob.glob(f"{d}/out/single/*.csv"))
     assert single.iloc[0]["Day 0 - Foam (cc)"] == 40.0 and single.iloc[0]["Dilution Ratio"] == "20X"
+
+
+def test_cli_half_life_and_stability(spark):
+    d = tempfile.mkdtemp(prefix="tessera-cli-hl-")
+    _csv(f"{d}/decay.csv", "Sample,Time (0.0),Time (60m),Time (2h)\nA,100,75*,50\nB,80,,\n")
+    main(["half-life", f"{d}/decay.csv", f"{d}/hl", "--method", "linear", "--key", "Sample"])
+    out = pd.concat(pd.read_csv(f) for f in glob.glob(f"{d}/hl/*.csv")).set_index("Sample")
+    assert abs(out.loc["A", "half_life"] - 2.0) < 1e-9 and pd.isna(out.loc["B", "half_life"])
+    _csv(f"{d}/obs.csv", "Sample,Observation day 7,Observation day 14\nA,no gel,Gel formed\nB,clear,\n")
+    main(["stability", f"{d}/obs.csv", f"{d}/st", "--key", "Sample"])
+    st = pd.concat(pd.read_csv(f) for f in glob.glob(f"{d}/st/*.csv")).set_index("Sample")
+    assert st.loc["A", "shelf_life_days"] == 14 and st.loc["A", "stable_14d"] == False  # noqa: E712
+    assert pd.isna(st.loc["B", "stable_14d"])
