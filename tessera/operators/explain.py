@@ -35,7 +35,8 @@ def linear_attributions(df: DataFrame, features: list[str], coefs: dict[str, flo
 def permutation_attributions(model, df: DataFrame, features: list[str], key: str = "id",
                              n_perm: int = 16, seed: int = 42, output: str = "prediction",
                              sample_rows: int | None = None, class_index: int | None = None) -> DataFrame:
-    """N1 (any model): long (key, feature, value, attribution).
+    """N1 (any model): long (key, feature, value, attribution, std_error), the
+    standard error being that of the mean over permutations.
 
     ``model.transform`` must accept the feature columns and produce
     ``output`` (a number, or a probability vector with ``class_index``).
@@ -70,11 +71,14 @@ def permutation_attributions(model, df: DataFrame, features: list[str], key: str
     w = Window.partitionBy(key, "perm").orderBy("step")  # groups of d+1 rows
     diffs = (scored.withColumn("__dy", F.col("__y") - F.lag("__y").over(w)).where(F.col("step") > 0)
              .withColumn("j", F.col("order")[F.col("step") - 1]))
-    per = diffs.groupBy(key, "j").agg(F.avg("__dy").alias("attribution"))
+    per = diffs.groupBy(key, "j").agg(
+        F.avg("__dy").alias("attribution"),
+        (F.stddev_samp("__dy") / F.sqrt(F.count("__dy"))).alias("std_error"))  # Monte-Carlo error
     names = F.array(*[F.lit(c) for c in features])
     vals = base.select(key, F.explode(F.array(*[F.struct(F.lit(j).alias("j"), col(c).cast("double").alias("value"))
                                                 for j, c in enumerate(features)])).alias("v")).select(key, "v.*")
-    return (per.join(vals, [key, "j"]).select(key, names[F.col("j")].alias("feature"), "value", "attribution"))
+    return (per.join(vals, [key, "j"]).select(key, names[F.col("j")].alias("feature"), "value", "attribution",
+                                              "std_error"))
 
 
 def importance(attr: DataFrame, by: str | None = None) -> DataFrame:
