@@ -146,19 +146,35 @@ def levels(df: DataFrame, column: str, limit: int = MAX_LEVELS) -> list:
     return lv
 
 
+def levels_many(df: DataFrame, columns: list[str], limit: int = MAX_LEVELS) -> dict[str, list]:
+    """Sorted distinct non-null text levels of several columns: the distinct
+    (column, level) pairs are counted per column first (one small row per
+    column) and only collected when every column is within ``limit``."""
+    if not columns:
+        return {}
+    long = df.select(*[col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "column", "v")
+    pairs = long.where(F.col("v").isNotNull()).select("column", "v").distinct()
+    for r in pairs.groupBy("column").agg(F.count("*").alias("k")).collect():
+        if r["k"] > limit:
+            raise ValueError(f"{r['column']} has more than {limit} levels; encode it with label codes instead")
+    out = {c: [] for c in columns}
+    for r in pairs.collect():  # at most limit × len(columns) rows
+        out[r["column"]].append(r["v"])
+    return {c: sorted(v) for c, v in out.items()}
+
+
 def one_hot(df: DataFrame, columns: list[str], sep: str = "_", null_level: str | None = None,
             keep_source: bool = False) -> DataFrame:
     """One 0/1 column per level (all levels kept); NULL → all zeros,
-    or its own level named ``null_level``."""
+    or its own level named ``null_level``. Levels of all columns come from
+    one job."""
+    srcs = {c: col(c).cast("string") for c in columns}
+    if null_level is not None:
+        srcs = {c: F.coalesce(s_, F.lit(null_level)) for c, s_ in srcs.items()}
+    lvs = levels_many(df.select(*[s_.alias(c) for c, s_ in srcs.items()]), columns)
     out = df
     for c in columns:
-        src = col(c).cast("string")
-        if null_level is not None:
-            src = F.coalesce(src, F.lit(null_level))
-        lv = levels(df.select(src.alias(c)), c)
-        out = out.withColumns({f"{c}{sep}{v}": (src == F.lit(v)).cast("int") for v in lv})
-        out = out.withColumn(f"{c}{sep}{null_level}", col(c).isNull().cast("int")) \
-            if (null_level is not None and null_level not in lv) else out
+        out = out.withColumns({f"{c}{sep}{v}": (srcs[c] == F.lit(v)).cast("int") for v in lvs[c]})
         if not keep_source:
             out = out.drop(c)
     return out
