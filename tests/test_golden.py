@@ -168,3 +168,11 @@ def test_x8_formulation_parse(spark):
     df = spark.createDataFrame([(1, "0.5% APG, 20 ppm SDS (S1), 5 ppm sds")], "k int, t string")
     m = L.doses_map(df, "t", ["k"]).first()["doses"]
     assert m == {"APG (%)": 0.5, "SDS (ppm)": 20.0}
+
+
+def test_one_hot_levels_bounded(spark):
+    df = spark.createDataFrame([(str(i), "a" if i % 2 else "b") for i in range(30)], "id string, g string")
+    out = M.one_hot(df, ["g"])
+    assert sorted(c for c in out.columns if c.startswith("g_")) == ["g_a", "g_b"]
+    with pytest.raises(ValueError):
+        M.levels_many(df, ["id"], limit=10)
