@@ -19,8 +19,8 @@ def test_names_and_tags():
         assert re.match(r"^[A-Za-z0-9_]+$", name) and not re.match(r"^op\d+_", name)
         tags = q.ops.split()
         assert tags and all(t in ids for t in tags), (name, tags)
-    assert set(E.queries()) == set(reg)
-    assert set(E.oracle_sql()) <= set(reg)
+    assert set(E.queries()) >= set(reg)
+    assert set(E.oracle_sql()) <= set(E.queries())
 
 
 def test_every_oracle_binds():
