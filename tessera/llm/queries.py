@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import common as c
+from . import quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +22,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
-w as (select doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), x -> x <> '') as ws,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
+w as (select doc_id, t, [x for x in string_split_regex(t, '[\x20\x09-\x0D]+') if x <> ''] as ws,
+             [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] as ls from d),
 g as (select doc_id, i, ws[i:i+2] as tri from w, unnest(range(1, greatest(len(ws) - 1, 1))) as u(i) where len(ws) >= 3),
 r as (select doc_id, i, count(*) over (partition by doc_id, tri) as n from g),
 p as (select doc_id, count(distinct i + j) as n_repeat_words from r, (values (0), (1), (2)) as o(j) where n > 1 group by doc_id),
@@ -40,5 +41,21 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from m
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
-ORACLES = {"op1_quality_rules": OP1_SQL}
+def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as seekable WARC bundles and read back through the record index."""
+    path = c.fresh(spark, "warc")
+    warc.write_bundles(warc.with_types(table(spark, sf_dir, "pages"), "page_id", "html"), path)
+    return warc.read_bundles(spark, path).withColumnRenamed("id", "page_id").drop("bundle", "frame", "offset")
+
+
+OP2_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+d as (select page_id, cast(octet_length(b) as bigint) as payload_bytes, sha256(b) as payload_digest from p),
+f as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) else page_id end as first from d)
+select page_id, payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to from f
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_warc_bundles)}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op2_warc_bundles": OP2_SQL}
