@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
-from . import chat, quality, secrets, warc
+from . import chat, packing, quality, secrets, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,11 @@ select conv_id, cast(count(*) as bigint) as n_turns, sha256(string_agg(role || c
 from t group by conv_id
 """
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    pieces = packing.tokenise(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), with_ids=False)
+    return packing.pack(pieces)
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_warc_bundles, op3_secret_scan, op4_chat_format)}
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_warc_bundles, op3_secret_scan, op4_chat_format, op5_best_fit_packing)}
 ORACLES = {"op1_quality_rules": OP1_SQL, "op2_warc_bundles": OP2_SQL, "op4_chat_format": OP4_SQL}
