@@ -19,8 +19,11 @@ repeated rows are packed one by one; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -33,36 +36,89 @@ from . import common as c
 CAPACITY = 4096
 END_ID = 1
 #: Distinct white-space separated strings whose ids a task remembers.
-CACHE = 300_000
+CACHE = 400_000
+
+
+#: A stop or comma between a letter and white space: the tokenizer takes it as a word of its own.
+_FINAL = re.compile(rb"(?<=[A-Za-z])([.,])(?=[\x20\x09-\x0D]|\Z)")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letters that a byte-level vocabulary writes bytes as: printable ones as they are, the rest from U+0100 up."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 0x100 + i for i, b in enumerate(rest)}
 
 
 class Encoder:
     """Token ids of texts as little-endian bytes.
 
-    The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its white-space separated strings; each distinct one is
-    encoded once while it stays in the bounded cache.
+    The tokenizer lower-cases, drops white space and never joins across it, so
+    a text's ids are those of its white-space separated strings; each distinct
+    one is looked up once while it stays in the bounded cache, which a worker
+    keeps from task to task. New strings of letters, with at most one full stop
+    or comma behind them, go to the vocabulary's own merges as one word; all
+    others are encoded together and told apart by their offsets.
     """
 
+    shared: dict[str, "Encoder"] = {}
+
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
-        self.tok, self.known, self.cache = Tokenizer.from_file(path), {}, cache
+        self.tok, self.known, self.cores, self.cache = Tokenizer.from_file(path), {}, {}, cache
+        self.model, self.letters = self.tok.model, _byte_letters()
+        self.tails = {t: np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in ".,"} | {"": b""}
+
+    @classmethod
+    def of(cls, path: str) -> "Encoder":
+        if path not in cls.shared:
+            cls.shared[path] = cls(path)
+        return cls.shared[path]
+
+    def _word(self, word: str) -> bytes:
+        known = self.cores.get(word)
+        if known is None:
+            as_letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            known = self.cores[word] = array("I", [t.id for t in self.model.tokenize(as_letters)]).tobytes()
+        return known
+
+    @staticmethod
+    def _strings(text: str) -> list[bytes]:
+        """White-space separated strings; where no control string can arise, in lower case and with final stops and commas apart."""
+        raw = text.encode("utf-8", "surrogatepass")
+        return (raw if b"<|" in raw else _FINAL.sub(rb" \1", raw.lower())).split()
+
+    def _learn(self, new) -> None:
+        others = []
+        for w in new:
+            s = w.decode("utf-8", "replace")
+            low = s.lower()
+            tail = low[-1] if low[-1] in ".," else ""
+            core = low[:-1] if tail else low
+            if core.isalpha() and (core.isascii() or s.isascii() or core.islower() and "\u03a3" not in s and max(core) < "\u0250" and is_normalized("NFC", s)):
+                self.known[w] = self._word(core) + self.tails[tail]
+            else:
+                others.append((w, s))
+        for i in range(0, len(others), 512):
+            part = others[i:i + 512]
+            e = self.tok.encode(" ".join(s for _, s in part), add_special_tokens=False)
+            begin = np.cumsum([0] + [len(s) + 1 for _, s in part])
+            at = np.searchsorted(np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0], begin).tolist()
+            ids = np.array(e.ids, "<u4").tobytes()
+            for (w, _), x, y in zip(part, at, at[1:]):
+                self.known[w] = ids[4 * x:4 * y]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+        split = [self._strings(t or "") for t in texts]
         if len(self.known) > self.cache:
             self.known = {}
-        known, out = self.known, []
-        new = list(dict.fromkeys(w for ws in split for w in ws if w not in known))
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
-            for w, e in zip(part, self.tok.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        if len(self.cores) > self.cache:
+            self.cores = {}
+        known = self.known
+        self._learn(set().union(*split).difference(known))
         end = np.array([END_ID], "<u4").tobytes()
-        for ws in split:
-            out.append(b"".join([*map(known.__getitem__, ws), end]))
-        return out
+        return [b"".join([*map(known.__getitem__, ws), end]) for ws in split]
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
@@ -70,7 +126,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: st
     fields = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids
 
     def run(batches):
-        encoder = Encoder(tokenizer_path)
+        encoder = Encoder.of(tokenizer_path)
         for part in c.slices(batches):
             keys, rows, step = [], [], 4 * capacity
             for i, ids in enumerate(encoder.encode(part.column(0).to_pylist())):
