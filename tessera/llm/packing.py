@@ -36,7 +36,7 @@ from . import common as c
 CAPACITY = 4096
 END_ID = 1
 #: Distinct white-space separated strings whose ids a task remembers.
-CACHE = 400_000
+CACHE = 800_000
 
 
 #: A stop or comma between a letter and white space: the tokenizer takes it as a word of its own.
@@ -247,7 +247,7 @@ def evolve(sizes: np.ndarray, seeds: list[np.ndarray], capacity: int, rng, popul
 
 
 def _epoch(capacity, population, children, seed):
-    def run(key, items: pd.DataFrame, elites: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, items: pd.DataFrame, elites: pd.DataFrame) -> pd.DataFrame:
         block, island = (int(x) for x in key)
         items = items.sort_values("uid")
         sizes = items["length"].to_numpy(np.int64)
@@ -261,7 +261,7 @@ def _epoch(capacity, population, children, seed):
 
 
 def _settle(capacity):
-    def run(key, items: pd.DataFrame, elites: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, items: pd.DataFrame, elites: pd.DataFrame) -> pd.DataFrame:
         items = items.sort_values("uid").reset_index(drop=True)
         if not len(items):
             return items.assign(bin=[], offset=[], fill=[]).astype({"bin": "int32", "offset": "int64", "fill": "int64"})[["uid", "block", "length", "bin", "offset", "fill"]]

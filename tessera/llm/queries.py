@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
-from . import chat, packing, quality, secrets, warc
+from . import chat, jaccard, packing, quality, secrets, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +92,21 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenise(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), with_ids=False)
     return packing.pack(pieces)
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by a Jaccard similarity of 0.85 or more over 4-word shingles."""
+    return jaccard.link(table(spark, sf_dir, "documents"), k=4, percent=85)
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_warc_bundles, op3_secret_scan, op4_chat_format, op5_best_fit_packing)}
-ORACLES = {"op1_quality_rules": OP1_SQL, "op2_warc_bundles": OP2_SQL, "op4_chat_format": OP4_SQL}
+
+OP8_SQL = r"""
+with recursive w as (select doc_id, [x for x in string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> ''] as ws from documents),
+s as (select distinct doc_id, sh from (select doc_id, unnest(case when len(ws) >= 4 then [ws[i:i+3] for i in range(1, len(ws) - 2)] when len(ws) > 0 then [ws] else [] end) as sh from w)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+links as (select a.doc_id as a, b.doc_id as b from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id
+          group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+r(doc_id, c) as (select doc_id, doc_id from w union select l.b, r.c from r join links l on l.a = r.doc_id)
+select w.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, (select min(c) from r where r.doc_id = w.doc_id) as component_id from w left join n on n.doc_id = w.doc_id
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_warc_bundles, op3_secret_scan, op4_chat_format, op5_best_fit_packing, op8_ngram_jaccard)}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op2_warc_bundles": OP2_SQL, "op4_chat_format": OP4_SQL, "op8_ngram_jaccard": OP8_SQL}
