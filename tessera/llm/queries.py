@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
-from . import chat, jaccard, packing, quality, secrets, warc
+from . import chat, jaccard, packing, quality, secrets, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,6 +107,10 @@ r(doc_id, c) as (select doc_id, doc_id from w union select l.b, r.c from r join
 select w.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, (select min(c) from r where r.doc_id = w.doc_id) as component_id from w left join n on n.doc_id = w.doc_id
 """
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without its repeated 400-byte strings."""
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=400, with_kept=False)
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_warc_bundles, op3_secret_scan, op4_chat_format, op5_best_fit_packing, op8_ngram_jaccard)}
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_warc_bundles, op3_secret_scan, op4_chat_format, op5_best_fit_packing, op8_ngram_jaccard, op10_suffix_dedup)}
 ORACLES = {"op1_quality_rules": OP1_SQL, "op2_warc_bundles": OP2_SQL, "op4_chat_format": OP4_SQL, "op8_ngram_jaccard": OP8_SQL}
