@@ -331,3 +331,11 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, p
     named = first.join(group, "name", "left").select("name", F.coalesce("least", "first").alias("component_id"))
     out = every.join(named, "name", "left").select("key", "n_shingles", F.when(F.col("name").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumnRenamed("key", key)
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of ``docs``, all columns, but of each linked group only the one with the smallest key (of equal keys, the first row)."""
+    rows = c.save(docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("number")), "numbered")
+    frame = rows.select(F.struct(F.col(f"row.`{key}`").isNull().alias("unnamed"), F.col(f"row.`{key}`").alias("key"), "number").alias("place"), F.col(f"row.`{text}`").alias("text"))
+    stay = link(frame, "place", "text", k, percent).where("place = component_id").select(F.col("place.number").alias("number"))
+    return rows.join(stay, "number").select("row.*")

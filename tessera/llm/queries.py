@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
-from . import chat, jaccard, packing, quality, secrets, suffixes, warc
+from . import chat, decontaminate, jaccard, licenses, linededup, packing, quality, secrets, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,6 +111,52 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document without its repeated 400-byte strings."""
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=400, with_kept=False)
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, and how many of them repeat an earlier run of three or more."""
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+with l as (select doc_id, no, line, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as t
+           from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as no from documents)),
+f as (select doc_id, no, t, row_number() over (partition by doc_id order by no) as i from l where t <> ''),
+w as (select doc_id, i, [t, lead(t, 1) over d, lead(t, 2) over d] as lines, lead(t, 2) over d is not null as whole from f window d as (partition by doc_id order by i)),
+r as (select doc_id, i, row_number() over (partition by lines order by doc_id, i) as rank from w where whole),
+g as (select distinct doc_id, i + j as i from r, (values (0), (1), (2)) o(j) where rank > 1),
+k as (select l.doc_id, l.no, l.line, f.i, g.i is not null as gone from l left join f on f.doc_id = l.doc_id and f.no = l.no left join g on g.doc_id = f.doc_id and g.i = f.i)
+select doc_id, count(i) as n_lines, count(*) filter (where gone) as n_removed, sha256(coalesce(string_agg(line, chr(10) order by no) filter (where not gone), '')) as kept_sha256
+from k group by doc_id
+"""
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of a benchmark item in a document, within the edit budget."""
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document with their scores."""
+    out = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.size("matches").cast("bigint").alias("n_licences"),
+                      F.array_join(F.transform("matches", lambda m: F.concat(m["licence"], F.lit(":"), m["permille"])), ",").alias("licences"))
+
+
+def _op9_sql() -> str:
+    rows = ", ".join(f"('{name}', ['" + "', '".join(x.replace("'", "''") for x in grams) + "'])" for name, grams in licenses.template_bigrams())
+    return r"""
+with u as (select distinct doc_id, unnest(list_distinct(string_split(coalesce(text, ''), chr(10)) || string_split_regex(coalesce(text, ''), '\n[\x20\x09-\x0D]*\n') || [coalesce(text, '')])) as unit from documents),
+w as (select doc_id, [x for x in string_split_regex(lower(unit), '[^a-z0-9]+') if x <> ''] as ws from u),
+b as (select distinct doc_id, list_sort(list_distinct([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))])) as grams from w where len(ws) between 2 and 100000),
+t(licence, tg) as (values """ + rows + r"""),
+m as (select distinct doc_id, licence, cast(floor(2000 * len(list_intersect(grams, tg)) / (len(grams) + len(tg))) as int) as permille from b, t where len(grams) * 3 between len(tg) and 9 * len(tg))
+select d.doc_id, count(m.doc_id) as n_licences, coalesce(string_agg(licence || ':' || permille, ',' order by licence, permille), '') as licences
+from documents d left join m on m.doc_id = d.doc_id and m.permille >= 800 group by d.doc_id
+"""
+
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_warc_bundles, op3_secret_scan, op4_chat_format, op5_best_fit_packing, op8_ngram_jaccard, op10_suffix_dedup)}
-ORACLES = {"op1_quality_rules": OP1_SQL, "op2_warc_bundles": OP2_SQL, "op4_chat_format": OP4_SQL, "op8_ngram_jaccard": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_warc_bundles, op3_secret_scan, op4_chat_format, op5_best_fit_packing, op6_line_dedup,
+                                   op7_benchmark_decontamination, op8_ngram_jaccard, op9_license_scan, op10_suffix_dedup)}
+#: op3, op5, op7 and op10 have none: SQL cannot express them, tests hold them against brute force.
+ORACLES = {"op1_quality_rules": OP1_SQL, "op2_warc_bundles": OP2_SQL, "op4_chat_format": OP4_SQL, "op6_line_dedup": OP6_SQL,
+           "op8_ngram_jaccard": OP8_SQL, "op9_license_scan": _op9_sql()}
