@@ -45,7 +45,7 @@ from . import common as c
 from .components import components
 
 #: Bytes of text for each column block, and the least number of blocks.
-BLOCK_BYTES, LEAST_BLOCKS = 24 << 20, 32
+BLOCK_BYTES, LEAST_BLOCKS = 9 << 20, 32
 #: Most rows, and about the most entries, of a panel.
 PANEL_ROWS, PANEL_ENTRIES = 2048, 4_000_000
 

@@ -47,7 +47,7 @@ PERIOD = 133
 COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
 #: Window (a power of two) and q-gram length of the anchors that choose a suffix bucket.
 ANCHOR, GRAM = 256, 16
-BLOCK_BYTES, LEAST_BLOCKS = 24 << 20, 32
+BLOCK_BYTES, LEAST_BLOCKS = 9 << 20, 32
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
