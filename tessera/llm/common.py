@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: The six white-space bytes that separate words (fixed values of the word rule ``[^\x20\x09-\x0D]+``).
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes of text handled at a time inside a task.
-SLICE = 4 << 20
+SLICE = 2 << 20
 U64 = np.uint64
 
 

@@ -308,7 +308,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, p
             yield pa.RecordBatch.from_pydict({"name": pa.array([names[i] for i in want], pa.binary()), "n": pa.array([int(n[i]) for i in want], pa.int64()),
                                               "data": pa.array([s[ends[i] - n[i]:ends[i]].tobytes() for i in want], pa.binary())})
 
-    texts = frame.join(alive, frame["key"].eqNullSafe(alive["first"])).select("text", "name")
+    # a merge join at every size: ``alive`` grows with the input and must not become a broadcast on small ones
+    texts = frame.join(alive.hint("merge"), frame["key"].eqNullSafe(alive["first"])).select("text", "name")
     rows = texts.mapInArrow(sets, "name binary, n bigint, data binary").dropDuplicates(["name"])
     rows = c.save(rows.withColumn("cid", F.monotonically_increasing_id()), "rows")
 
@@ -328,7 +329,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, p
     linked = links.join(rows.select(F.col("cid").alias("node"), "name"), "node").join(first, "name").select("name", "component", "first")
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
     group = linked.join(least, "component").select("name", "least")
-    named = first.join(group, "name", "left").select("name", F.coalesce("least", "first").alias("component_id"))
+    # written, so that the last join has a plain exchange on both sides and a name with many copies can be split
+    named = c.save(first.join(group, "name", "left").select("name", F.coalesce("least", "first").alias("component_id")), "named")
     out = every.join(named, "name", "left").select("key", "n_shingles", F.when(F.col("name").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumnRenamed("key", key)
 

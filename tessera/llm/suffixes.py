@@ -225,7 +225,7 @@ def _least(h: np.ndarray, window: int) -> np.ndarray:
 def _suffix_entries(length: int, blocks: int):
     """Stretches of suffixes that the cover ties, cut by anchor, for their buckets."""
     def run(batches):
-        for piece in c.slices(batches, limit=2 << 20):
+        for piece in c.slices(batches, limit=1 << 20):
             doc, begin, stop, texts = [], [], [], piece.column(0).to_pylist()
             for i, (t, parts) in enumerate(zip(texts, piece.column(2).to_pylist())):
                 ties = _gather(parts)[:, 0]
@@ -340,7 +340,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     frame = frame.withColumn("name", F.unhex(F.md5("text")))
     size = frame.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(LEAST_BLOCKS, math.ceil(size / BLOCK_BYTES))
-    copies = frame.groupBy("name").agg((F.count(F.lit(1)) > 1).alias("copied"))
+    copies = c.save(frame.groupBy("name").agg((F.count(F.lit(1)) > 1).alias("copied")), "copies")
 
     # 1. cover positions that are tied
     entries = frame.where(F.octet_length("text") >= length).select("text", "name").mapInArrow(_cover_entries(length, blocks), _Packed.schema)
@@ -359,8 +359,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     cut = cut.withColumn("cut_sha256", F.sha2("kept", 256))
     if not with_kept:
         cut = cut.drop("kept")
+    # written, so that the last join has a plain exchange on both sides and a text with many copies can be split
+    verdict = c.save(copies.join(cut, "name", "left"), "verdict")
     whole = frame.select("key", "name", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"), *["text"] * with_kept)
-    every = whole.join(copies, "name").join(cut, "name", "left")
+    every = whole.join(verdict, "name")
     gone = F.col("copied") & (F.col("n_bytes") >= length)
     out = every.select(F.col("key").alias(key), "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
                        F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
