@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from . import common as c
 
@@ -35,18 +36,22 @@ def trimmed(line):
 
 
 def windows(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
-    """(key, digest, start, lines, fingerprint): every window; ``start`` counts lines that are not blank."""
-    lines = F.filter(F.transform(F.split(F.col(f"`{text}`"), "\n"), lambda x: trimmed(x)), lambda x: x != "")
-    frame = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("digest"), F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes"))
-    frame = frame.where(F.size("hashes") >= window)
-    starts = F.sequence(F.lit(0), F.size("hashes") - window)
-    cut = F.transform(starts, lambda i: F.struct(i.alias("start"), F.slice(F.col("hashes"), i + 1, window).alias("lines")))
-    return (frame.select("key", "digest", F.explode(cut).alias("w")).select("key", "digest", "w.start", "w.lines")
-            .withColumn("fingerprint", F.array_min("lines")))
+    """(key, digest, start, lines, nos, fingerprint): every window.
+
+    ``start`` counts lines that are not blank; ``lines`` are their hashes and ``nos`` their places in the text.
+    """
+    lines = F.transform(F.split(F.col(f"`{text}`"), "\n"), lambda x, i: F.struct(trimmed(x).alias("line"), i.alias("no")))
+    hashed = F.transform(F.filter(lines, lambda x: x["line"] != ""), lambda x: F.struct(F.xxhash64(x["line"]).alias("hash"), x["no"].alias("no")))
+    frame = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("digest"), hashed.alias("hashed")).where(F.size("hashed") >= window)
+    # the array shifted against itself: element i of the result is the window that starts at line i
+    shifts = [F.slice(F.col("hashed"), j + 1, F.size("hashed") - window + 1) for j in range(window)]
+    cut = frame.select("key", "digest", F.posexplode(F.arrays_zip(*[x.alias(f"l{j}") for j, x in enumerate(shifts)])).alias("start", "w"))
+    return cut.select("key", "digest", "start", F.array(*[F.col(f"w.l{j}.hash") for j in range(window)]).alias("lines"),
+                      F.col("w.l0.no").alias("first_no"), F.col(f"w.l{window - 1}.no").alias("last_no")).withColumn("fingerprint", F.array_min("lines"))
 
 
 def later_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 3) -> DataFrame:
-    """(key, digest, starts): windows of lines that occur at an earlier place, by document."""
+    """(key, digest, runs, n_removed): by document, maximal runs (places of their first and last line) that repeat earlier ones."""
     every = c.save(windows(docs, key, text, window), "windows")
     # positions of fingerprints: the last least hash of each window
     position = F.col("start") + F.lit(window) - F.array_position(F.reverse("lines"), F.col("fingerprint"))
@@ -56,22 +61,24 @@ def later_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", window:
     matched = every.join(joined, "fingerprint")
     place = F.struct("key", "digest", "start")
     first = matched.groupBy("lines").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("not (first <=> last)").select("lines", "first")
-    later = matched.join(first, "lines").where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("key", "digest").agg(F.collect_set("start").alias("starts"))
+    later = matched.join(first, "lines").where(~place.eqNullSafe(F.col("first"))).select("key", "digest", "start", "first_no", "last_no").distinct()
+    # windows that overlap or touch are one run
+    order = W.partitionBy("key", "digest").orderBy("start")
+    new = F.coalesce(F.col("start") > F.lag("start").over(order) + window, F.lit(True))
+    runs = later.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order))
+    runs = runs.groupBy("key", "digest", "run").agg(F.min("first_no").alias("a"), F.max("last_no").alias("b"), (F.max("start") - F.min("start") + window).alias("n"))
+    return runs.groupBy("key", "digest").agg(F.collect_list(F.struct("a", "b")).alias("runs"), F.sum("n").cast("bigint").alias("n_removed"))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 3) -> DataFrame:
     """All columns of ``docs`` in one struct ``row``, and text (what stays), n_lines, n_removed."""
-    runs = c.save(later_runs(docs, key, text, window), "line-runs").select(F.col("key").alias("k"), F.col("digest").alias("d"), "starts")
+    runs = c.save(later_runs(docs, key, text, window), "line-runs").select(F.col("key").alias("k"), F.col("digest").alias("d"), "runs", "n_removed")
     col = F.col(f"row.`{text}`")
     frame = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"))
     frame = frame.withColumns({"d0": F.xxhash64(col), "k0": F.col(f"row.`{key}`")})
     joined = frame.join(runs, F.col("k0").eqNullSafe(F.col("k")) & (F.col("d0") == F.col("d")), "left")
-    split = F.split(col, "\n")
-    full = F.filter(F.sequence(F.lit(1), F.size("split")), lambda i: trimmed(F.element_at("split", i)) != "")  # numbers of lines that are not blank
-    gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.slice("full", s + 1, window))))
-    out = joined.withColumn("split", split).withColumn("full", full).withColumn("gone", F.when(F.col("starts").isNotNull(), gone))
-    stays = F.transform(F.array_except(F.sequence(F.lit(1), F.size("split")), F.col("gone")), lambda i: F.element_at("split", i))
-    return out.select("row", F.when(F.col("gone").isNull(), col).otherwise(F.array_join(stays, "\n")).alias("text"),
-                      F.coalesce(F.size("full"), F.lit(0)).cast("bigint").alias("n_lines"),
-                      F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"))
+    gone = lambda x, i: (trimmed(x) != "") & F.exists("runs", lambda r: (i >= r["a"]) & (i <= r["b"]))
+    stays = F.array_join(F.filter(F.split(col, "\n"), lambda x, i: ~gone(x, i)), "\n")
+    return joined.select("row", F.when(F.col("runs").isNull(), col).otherwise(stays).alias("text"),
+                         F.coalesce(F.size(F.filter(F.split(col, "\n"), lambda x: trimmed(x) != "")), F.lit(0)).cast("bigint").alias("n_lines"),
+                         F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"))

@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade.
 
 A rule is a cheap predicate over measures of one text. ``plan_rules`` runs all
-rules over a bounded sample (``sample_rows`` rows, a documented parameter) and
+rules over a bounded sample (the first ``sample_rows`` rows, a documented parameter) and
 records, per rule, the seconds it takes and which texts it rejects; the order
 is greedy: next comes the rule that rejects most of the still surviving sample
 texts per second. ``cascade`` then runs the rules in that order, each only on
@@ -163,8 +163,8 @@ def _measure_rules(rules):
 def plan_rules(docs: DataFrame, rules=RULES, text: str = "text", sample_rows: int = 1000) -> list[dict]:
     """Rules in the order to run them, with the sample's cost (seconds a text) and rejection rates."""
     col = F.col(f"`{text}`").alias("text")
-    sample = docs.select(col).limit(sample_rows)
-    got = sample.mapInArrow(_measure_rules(rules), "rejects string, cost string").collect()  # at most sample_rows rows
+    # the limit is above the measuring: Spark asks as many partitions as it needs for sample_rows rows, without a shuffle
+    got = docs.select(col).mapInArrow(_measure_rules(rules), "rejects string, cost string").limit(sample_rows).collect()
     if not got:
         return [{"rule": r.name, "cost": 0.0, "rejected": 0.0} for r in rules]
     hit = np.array([json.loads(x["rejects"]) for x in got], bool)
