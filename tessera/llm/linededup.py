@@ -76,7 +76,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     col = F.col(f"row.`{text}`")
     frame = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"))
     frame = frame.withColumns({"d0": F.xxhash64(col), "k0": F.col(f"row.`{key}`")})
-    joined = frame.join(runs, F.col("k0").eqNullSafe(F.col("k")) & (F.col("d0") == F.col("d")), "left")
+    # a merge join at every size: ``runs`` grows with the input and must not become a broadcast on small ones
+    joined = frame.join(runs.hint("merge"), F.col("k0").eqNullSafe(F.col("k")) & (F.col("d0") == F.col("d")), "left")
     gone = lambda x, i: (trimmed(x) != "") & F.exists("runs", lambda r: (i >= r["a"]) & (i <= r["b"]))
     stays = F.array_join(F.filter(F.split(col, "\n"), lambda x, i: ~gone(x, i)), "\n")
     return joined.select("row", F.when(F.col("runs").isNull(), col).otherwise(stays).alias("text"),
