@@ -36,7 +36,7 @@ from . import common as c
 CAPACITY = 4096
 END_ID = 1
 #: Distinct white-space separated strings whose ids a task remembers.
-CACHE = 800_000
+CACHE = 400_000
 
 
 #: A stop or comma between a letter and white space: the tokenizer takes it as a word of its own.
@@ -66,7 +66,7 @@ class Encoder:
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
-        self.tok, self.known, self.cores, self.cache = Tokenizer.from_file(path), {}, {}, cache
+        self.tok, self.known, self.cache = Tokenizer.from_file(path), {}, cache
         self.model, self.letters = self.tok.model, _byte_letters()
         self.tails = {t: np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in ".,"} | {"": b""}
 
@@ -77,11 +77,8 @@ class Encoder:
         return cls.shared[path]
 
     def _word(self, word: str) -> bytes:
-        known = self.cores.get(word)
-        if known is None:
-            as_letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            known = self.cores[word] = array("I", [t.id for t in self.model.tokenize(as_letters)]).tobytes()
-        return known
+        as_letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(as_letters)]).tobytes()
 
     @staticmethod
     def _strings(text: str) -> list[bytes]:
@@ -113,8 +110,6 @@ class Encoder:
         split = [self._strings(t or "") for t in texts]
         if len(self.known) > self.cache:
             self.known = {}
-        if len(self.cores) > self.cache:
-            self.cores = {}
         known = self.known
         self._learn(set().union(*split).difference(known))
         end = np.array([END_ID], "<u4").tobytes()
