@@ -36,7 +36,7 @@ from . import common as c
 CAPACITY = 4096
 END_ID = 1
 #: Distinct white-space separated strings whose ids a task remembers.
-CACHE = 400_000
+CACHE = 650_000
 
 
 #: A stop or comma between a letter and white space: the tokenizer takes it as a word of its own.
