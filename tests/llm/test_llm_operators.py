@@ -106,7 +106,7 @@ def test_secrets(spark, none):
     for i, t in docs.collect():
         spans = secrets.base_spans(t or "")
         assert got[i].base_sha256 == hashlib.sha256(secrets.joined(spans).encode()).hexdigest()
-        assert set(secrets.joined(spans).split(",")) <= set(got[i].spans.split(","))
+        assert {x for x in secrets.joined(spans).split(",") if x} <= set(got[i].spans.split(","))
     assert (got[0].n_assign, got[0].n_access, got[0].n_hex) == (1, 1, 1)
     assert got[100].spans == "assign:15:30,assign:31:50"  # a short value ends its match; the text goes on behind it
     assert got[101].spans == "grammar:0:18"
