@@ -168,7 +168,7 @@ def partial_dependence_2d(model, df: DataFrame, f1: str, f2: str, points: int =
     return sc.groupBy(F.col("__g.a").alias(f1), F.col("__g.b").alias(f2)).agg(F.avg(y).alias("pd"))
 
 
-_SPLIT = re.compile(r"If \(feature (\d+) (<=|>|in|not in) ([^)]*)\)")
+_SPLIT = re.compile(r"(?:If|Else) \(feature (\d+) (<=|>|in|not in) ([^)]*)\)")
 _LEAF = re.compile(r"Predict: ([-0-9.eE]+)")
 
 
@@ -184,21 +184,14 @@ def surrogate_rules(df: DataFrame, features: list[str], target: str, depth: int
     est = (DecisionTreeRegressor if task == "regression" else DecisionTreeClassifier)(
         featuresCol="__f", labelCol=target, maxDepth=depth, seed=42)
     tree = est.fit(data)
-    rules, path = [], []
+    rules, path = [], []  # path: (depth of the line, condition) of the open branches
     for line in tree.toDebugString.splitlines()[1:]:
-        indent = (len(line) - len(line.lstrip())) // 1
-        s = line.strip()
-        m = _SPLIT.match(s)
-        if s.startswith("If") and m:
-            level = indent
-            path = [p for p in path if p[0] < level]
-            path.append((level, f"{features[int(m.group(1))]} {m.group(2)} {m.group(3)}"))
-        elif s.startswith("Else") and m:
-            level = indent
-            path = [p for p in path if p[0] < level]
-            path.append((level, f"{features[int(m.group(1))]} {m.group(2)} {m.group(3)}"))
-        else:
-            lm = _LEAF.search(s)
-            if lm:
-                rules.append((" AND ".join(p[1] for p in path), float(lm.group(1))))
+        text = line.strip()
+        split, leaf = _SPLIT.match(text), _LEAF.search(text)
+        if split:
+            depth_here = len(line) - len(line.lstrip())
+            path = [p for p in path if p[0] < depth_here]
+            path.append((depth_here, f"{features[int(split.group(1))]} {split.group(2)} {split.group(3)}"))
+        elif leaf:
+            rules.append((" AND ".join(p[1] for p in path), float(leaf.group(1))))
     return df.sparkSession.createDataFrame(rules, "rule string, prediction double")

@@ -249,14 +249,25 @@ def knn_predict(f: Fitted, df: DataFrame, keep: list[str], max_train: int = 200_
     return df.select(*dict.fromkeys(keep + feats)).mapInPandas(run, schema)
 
 
+CLASS_METRICS = ("accuracy", "f1")
+VALUE_METRICS = ("r2", "mae", "mse", "rmse", "neg_mae", "neg_mse", "neg_rmse")
+
+
+def _known(metric: str, names: tuple) -> str:
+    if metric not in names:
+        raise ValueError(f"metric {metric!r} is not one of {', '.join(names)}")
+    return metric
+
+
 def score(f: Fitted, df: DataFrame, metric: str) -> float:
-    """Score a fitted model on rows: accuracy / f1 (weighted) / r2 / neg_mse."""
+    """Score a fitted model on rows: accuracy / f1 (weighted) for classes, r2, mae, mse, rmse (or neg_...) for values."""
     pred = predict(f, df, keep=[f.label])
     if f.task == "classification":
         w = VM.weighted_scores(pred.withColumn(f.label, F.col(f.label).cast("string")), f.label, "__prediction__").first()
-        return float(w["f1"] if metric == "f1" else w["accuracy"])
+        return float(w[_known(metric, CLASS_METRICS)])
     m = VM.regression_metrics(pred.withColumn(f.label, F.col(f.label).cast("double")), f.label, "__prediction__").first()
-    return float(-m["mse"] if metric == "neg_mse" else m["r2"])
+    name = _known(metric, VALUE_METRICS)
+    return float(-m[name.removeprefix("neg_")] if name.startswith("neg_") else m[name])
 
 
 def run_validation(df: DataFrame, features: list[str], label: str, name: str, fold_col: str | None = None,
@@ -305,19 +316,26 @@ def grid_search(df: DataFrame, features: list[str], label: str, name: str, fold_
                 grid: dict | None = None) -> tuple:
     """CrossValidator over the declared grid with the given fold column."""
     spec = REGISTRY[name]
+    if spec.make is None:
+        raise ValueError(f"{name} has no grid: it has no estimator to cross-validate")
     grid = grid or spec.grid
-    n = df.count()
-    est = spec.make({**spec.defaults}, n, False)
+    y = col(label).cast("string" if spec.task == "classification" else "double")
+    n, folds, classes, sd = df.agg(F.count(F.lit(1)), F.max(col(fold_col)) + 1, F.count_distinct(y) if spec.task == "classification" else F.lit(0),
+                                   F.stddev_pop(y) if spec.task != "classification" else F.lit(1.0)).first()
+    n_train = n * (folds - 1) / folds  # rows of a training split, of folds of one size
+    est = spec.make({**spec.defaults}, n, classes > 2)
     est.setFeaturesCol("__features").setLabelCol("__label" if spec.task == "classification" else label)
     pgb = ParamGridBuilder()
     mapping = {"n_estimators": "numTrees" if "RandomForest" in name else "maxIter", "learning_rate": "stepSize",
                "max_depth": "maxDepth", "alpha": "regParam", "C": "regParam"}
     for k, vals in grid.items():
         pname = mapping.get(k)
-        if pname and est.hasParam(pname):
-            conv = [(30 if v is None else v) if k == "max_depth" else
-                    (1.0 / (float(v) * n) if k == "C" else v) for v in vals]
-            pgb = pgb.addGrid(est.getParam(pname), conv)
+        if not pname or not est.hasParam(pname):
+            raise ValueError(f"{name} has no grid parameter {k!r}")
+        conv = [(30 if v is None else v) if k == "max_depth" else
+                1.0 / (float(v) * n_train) if k == "C" else
+                float(v) * (sd or 1.0) / n_train if name == "Ridge" else v for v in vals]
+        pgb = pgb.addGrid(est.getParam(pname), conv)
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
     ev = (MulticlassClassificationEvaluator(labelCol="__label", predictionCol="prediction", metricName="accuracy")
           if spec.task == "classification" else RegressionEvaluator(labelCol=label, predictionCol="prediction",
@@ -328,7 +346,7 @@ def grid_search(df: DataFrame, features: list[str], label: str, name: str, fold_
         stages.insert(0, StringIndexer(inputCol=label, outputCol="__label", stringOrderType="alphabetAsc"))
     pre = Pipeline(stages=stages).fit(df)
     data = pre.transform(df)
-    cv = CrossValidator(estimator=est, estimatorParamMaps=pgb.build(), evaluator=ev, foldCol=fold_col, seed=SEED)
+    cv = CrossValidator(estimator=est, estimatorParamMaps=pgb.build(), evaluator=ev, numFolds=folds, foldCol=fold_col, seed=SEED)
     model = cv.fit(data)
     return model, list(zip([str(m) for m in pgb.build()], model.avgMetrics))
 

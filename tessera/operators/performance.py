@@ -73,7 +73,9 @@ def day_arrays(long_df: DataFrame, id_col: str = "id", day_col: str = "d", y_col
                        F.struct(col(y_col).cast("double").alias("y"), lab.alias("tex")).alias("v"))
     g = (long_df.filter(col(day_col).between(0, num_days))
          .groupBy(col(id_col).alias("id"))
-         .agg(F.map_from_entries(F.collect_list(entries)).alias("m")))
+         .agg(F.sort_array(F.collect_list(entries)).alias("a"))
+         # of rows with one id and day the least stays
+         .select("id", F.expr("map_from_entries(filter(a, (x, i) -> i = 0 or a[i - 1].k <> x.k))").alias("m")))
     seq = f"sequence(0, {num_days})"
     return g.select("id",
                     F.expr(f"transform({seq}, i -> try_element_at(m, i).y)").alias("y"),

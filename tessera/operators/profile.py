@@ -26,6 +26,14 @@ def _dtype_name(dt) -> str:
     return dt.simpleString()
 
 
+def _as_text(typ: str):
+    """Whole numbers below 2 ** 53 read like the doubles of other columns; larger ones keep all digits."""
+    value = F.col("value")
+    if typ != "bigint":
+        return value.cast("string")
+    return F.when(value.cast("double").cast("bigint") == value, value.cast("double").cast("string")).otherwise(value.cast("string"))
+
+
 def frequency_table(df: DataFrame, columns: list[str] | None = None, keep_null: bool = False) -> DataFrame:
     """(column, value, n): value counts of every listed column, values as text.
 
@@ -33,10 +41,11 @@ def frequency_table(df: DataFrame, columns: list[str] | None = None, keep_null:
     values are turned into text afterwards (casting every row to a string
     is the expensive part); text columns are counted as they are."""
     columns = columns or df.columns
-    nums = [c for c in columns if is_numeric(df.schema[c].dataType)]
-    txt = [c for c in columns if c not in nums]
+    whole = [c for c in columns if df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long")]
+    nums = [c for c in columns if is_numeric(df.schema[c].dataType) and c not in whole]
+    txt = [c for c in columns if c not in nums and c not in whole]
     parts = []
-    for cols, typ in ((nums, "double"), (txt, "string")):
+    for cols, typ in ((whole, "bigint"), (nums, "double"), (txt, "string")):
         if not cols:
             continue
         long = df.select(*[F.col("`" + c + "`").cast(typ).alias(c) for c in cols]).unpivot(
@@ -44,7 +53,7 @@ def frequency_table(df: DataFrame, columns: list[str] | None = None, keep_null:
         if not keep_null:
             long = long.filter(F.col("value").isNotNull())
         parts.append(long.groupBy("column", "value").agg(F.count("*").alias("n"))
-                     .select("column", F.col("value").cast("string").alias("value"), "n"))
+                     .select("column", _as_text(typ).alias("value"), "n"))
     out = parts[0]
     for p_ in parts[1:]:
         out = out.unionByName(p_)

@@ -232,11 +232,11 @@ g as (select file, SampleID, dr,
    """ + ",\n   ".join(
     f"arg_min(\"Foam (cc)\", case when day_num = {d} then line_no end) as \"Day {d} - Foam (cc)\", "
     f"coalesce(arg_min(tex, case when day_num = {d} then line_no end), '') as \"Day {d} - Foam Texture\""
-    for d in range(7)) + """
+    for d in range(10)) + """
   from m group by file, SampleID, dr)
 select file, case when regexp_matches(SampleID, '-1$') then trim(regexp_replace(SampleID, '-1$', '')) else SampleID end
   as SampleID, nullif(regexp_extract(dr, '^(\\d+[A-Z])\\s*(.*)$', 1), '') as "Dilution Ratio", "Date",
-  """ + ", ".join(f'"Day {d} - Foam (cc)", "Day {d} - Foam Texture"' for d in range(7)) + """,
+  """ + ", ".join(f'"Day {d} - Foam (cc)", "Day {d} - Foam Texture"' for d in range(10)) + """,
   case when regexp_matches(SampleID, '-1$') then trim(regexp_replace(trim(regexp_extract(dr, '^(\\d+[A-Z])\\s*(.*)$', 2)),
          '\\b\\d{2,3}X\\b', '', 'g')) || ' - New Trial'
        else trim(regexp_replace(trim(regexp_extract(dr, '^(\\d+[A-Z])\\s*(.*)$', 2)), '\\b\\d{2,3}X\\b', '', 'g')) end
@@ -246,13 +246,13 @@ def l9_q(spark, sf):
     samples, _, _ = L.extract(V.lab_log(spark, sf), 5)
     m = samples.where(F.col("Day").isNotNull()).withColumn(
         "Dilution Ratio", F.coalesce("Dilution Ratio", F.lit(L.FALLBACK_DILUTION))).withColumn("Pilot", F.lit(None))
-    single = L.one_row_per_sample(m, 6, [])
+    single = L.one_row_per_sample(m, [])
     ratio, desc = L.split_ratio(F.col("Dilution Ratio"), F.lit(None).cast("string"))
     single = single.withColumns({"Dilution Ratio": ratio, "Sample Description": L.drop_ratio_codes(desc)})
     sid, desc2 = L.new_trial(F.col("SampleID"), F.col("Sample Description"))
     single = single.withColumns({"SampleID": sid, "Sample Description": desc2})
     return single.select("file", "SampleID", "Dilution Ratio", "Date",
-                         *[c for d in range(7) for c in (f"Day {d} - Foam (cc)", f"Day {d} - Foam Texture")],
+                         *[c for d in range(10) for c in (f"Day {d} - Foam (cc)", f"Day {d} - Foam Texture")],
                          "Sample Description")
 
 
@@ -279,13 +279,13 @@ g as (select file, sid, dr0,
    """ + ",\n   ".join(
     f"arg_min(\"Foam (cc)\", case when day_num = {d} then line_no end) as \"Day {d} - Foam (cc)\", "
     f"coalesce(arg_min(tex, case when day_num = {d} then line_no end), '') as \"Day {d} - Foam Texture\""
-    for d in range(7)) + """
+    for d in range(10)) + """
   from m1 group by file, sid, dr0)
 select file, trim(case when regexp_matches(sid, '-1$') then trim(regexp_replace(sid, '-1$', '')) else sid end) as SampleID,
   nullif(regexp_extract(dr0, '^(\\d+[A-Z])\\s*(.*)$', 1), '') as "Dilution Ratio", "Date", "Pilot",
   "Concentrate Stability (8C)", "Concentrate Stability (4C)", "Concentrate Stability (RT)", "Dilution Stability",
   "Tube Volume (mL)",
-  """ + ", ".join(f'"Day {d} - Foam (cc)", "Day {d} - Foam Texture"' for d in range(7)) + """,
+  """ + ", ".join(f'"Day {d} - Foam (cc)", "Day {d} - Foam Texture"' for d in range(10)) + """,
   case when regexp_matches(sid, '-1$') then trim(regexp_replace(trim(regexp_extract(dr0, '^(\\d+[A-Z])\\s*(.*)$', 2)),
          '\\b\\d{2,3}X\\b', '', 'g')) || ' - New Trial'
        else trim(regexp_replace(trim(regexp_extract(dr0, '^(\\d+[A-Z])\\s*(.*)$', 2)), '\\b\\d{2,3}X\\b', '', 'g')) end

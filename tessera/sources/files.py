@@ -9,6 +9,7 @@ encoding. Cleaning runs as column expressions after a plain all-string read.
 from __future__ import annotations
 
 import re
+import itertools
 from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,16 +45,13 @@ def detect_encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
 
 
 def dedupe_names(names: list[str]) -> list[str]:
-    """The first occurrence keeps its name, later ones get .1, .2, …"""
-    seen: dict[str, int] = {}
-    out = []
-    for n in names:
-        if n in seen:
-            seen[n] += 1
-            out.append(f"{n}.{seen[n]}")
-        else:
-            seen[n] = 0
-            out.append(n)
+    """A repeated name gets the next free suffix .1, .2, …; the first of its kind keeps it."""
+    taken, out = set(names), []
+    for i, name in enumerate(names):
+        if name in names[:i]:
+            name = next(x for x in (f"{name}.{k}" for k in itertools.count(1)) if x not in taken)
+            taken.add(name)
+        out.append(name)
     return out
 
 

@@ -141,7 +141,7 @@ def lab_log(spark: SparkSession, sf: str) -> DataFrame:
         F.max("l_returnflag").alias("rf"), F.max("l_linestatus").alias("ls"))
     lk, ln = F.col("l_orderkey"), F.col("l_linenumber")
     day = per.select((lk / 100).cast("long").alias("file"), (lk * 100 + 10 + 2 * ln).alias("line_no"),
-                     F.concat(F.lit("Day "), (ln - 1).cast("string")).alias("c0"),
+                     F.concat(F.lit("Day "), F.when(ln == 7, 9).otherwise(ln - 1).cast("string")).alias("c0"),
                      F.date_format("d", "yyyy-MM-dd").alias("c1"),
                      F.concat(F.col("q").cast("long").cast("string"), F.lit(" cc")).alias("c2"),
                      F.when(F.col("rf") == "A", "Fine").when(F.col("rf") == "N", "Coarse")
@@ -199,7 +199,7 @@ union all
 select o_orderkey // 100, o_orderkey * 100 + 2, 'Day', 'Date', 'Foam (cc)', 'Foam Texture', 'Notes'
   from orders where o_orderkey % 10 != 0
 union all
-select l_orderkey // 100, l_orderkey * 100 + 10 + 2 * l_linenumber, 'Day ' || cast(l_linenumber - 1 as varchar),
+select l_orderkey // 100, l_orderkey * 100 + 10 + 2 * l_linenumber, 'Day ' || cast(case when l_linenumber = 7 then 9 else l_linenumber - 1 end as varchar),
   strftime(max(l_shipdate), '%Y-%m-%d'), cast(cast(sum(l_quantity) as bigint) as varchar) || ' cc',
   case max(l_returnflag) when 'A' then 'Fine' when 'N' then 'Coarse' else 'Creamy-Fine' end,
   case when max(l_linestatus) = 'O' then '*' end

@@ -83,3 +83,50 @@ def test_s4_read_log_and_extract(spark):
     assert rows[0]["Concentrate Stability (4C)"] is True and rows[0]["SampleID"] == "S1"
     f = form.first()
     assert f["doses"] == {"APG (%)": 0.5, "SDS (ppm)": 20.0}
+
+
+def test_surrogate_rules_partition_the_rows(spark):
+    from pyspark.sql import functions as F
+    from tessera.operators.explain import surrogate_rules
+
+    df = spark.range(200).select((F.col("id") % 10).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"))
+    df = df.withColumn("y", F.when(F.col("a") > 4, 10.0).otherwise(F.when(F.col("b") > 3, 3.0).otherwise(1.0)) + F.col("b") / 10)
+    rules = surrogate_rules(df, ["a", "b"], "y", 3).collect()
+    assert len({r["rule"] for r in rules}) == len(rules) > 2
+    hits = df.select("y", *[F.expr(r["rule"]).cast("int").alias(f"r{i}") for i, r in enumerate(rules)])
+    assert hits.where(sum(F.col(f"r{i}") for i in range(len(rules))) != 1).count() == 0
+    for i, r in enumerate(rules):
+        assert abs(hits.where(f"r{i} = 1").agg(F.avg("y")).first()[0] - r["prediction"]) < 1e-9
+
+
+def test_whole_numbers_are_counted_exactly(spark):
+    from tessera.operators.profile import frequency_table
+
+    df = spark.createDataFrame([(9007199254740992,), (9007199254740993,), (5,)], "k bigint")
+    assert {r["value"] for r in frequency_table(df).collect()} == {"5.0", "9007199254740993", "9.007199254740992E15"}
+
+
+def test_repeated_day_keeps_the_least_row(spark):
+    from tessera.operators.performance import day_arrays
+
+    df = spark.createDataFrame([(1, 0, 5.0), (1, 0, 3.0), (1, 2, 7.0)], "id int, d int, y double")
+    assert day_arrays(df, label_col=None, num_days=2).first()["y"] == [3.0, None, 7.0]
+
+
+def test_repeated_names_avoid_taken_ones():
+    from tessera.sources.files import dedupe_names
+
+    assert dedupe_names(["a", "a", "a.1", "b", "a"]) == ["a", "a.2", "a.1", "b", "a.3"]
+
+
+def test_unknown_metric_and_grid_names_raise(spark):
+    import pytest
+    from tessera.operators import models as T
+
+    with pytest.raises(ValueError):
+        T._known("auc", T.CLASS_METRICS)
+    df = spark.range(40).selectExpr("cast(id as double) as x", "id * 2.0 as y", "cast(id % 5 as int) as fold")
+    with pytest.raises(ValueError):
+        T.grid_search(df, ["x"], "y", "Ridge", "fold", {"depth": [1]})
+    _, res = T.grid_search(df, ["x"], "y", "Ridge", "fold", {"alpha": [0.1, 1.0]})  # five folds
+    assert len(res) == 2
