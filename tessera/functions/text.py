@@ -49,17 +49,23 @@ def digits_only_number(c) -> Column:
     return nan_to_null(F.when(s != "", s).try_cast("double"))
 
 
+# How a header names a time.
+NUMBER = r"(\d+\.?\d*)"
+NUMBER_AND_UNIT = NUMBER + r"\s*(h|hr|hrs|hour|hours|m|min|mins|minute|minutes)\b"
+TIME_WORD = r"\btime\b|\bt\s*="
+TIME_HEADER = r"\btime\b|^\s*\d+\.?\d*\s*(h|m|hr|mins|minutes|min)\b"
+
+
 def minutes_from_header(c) -> Column:
     """X5 as a Column: number + h/m unit → minutes (hours × 60); else the
     first number when the text reads as time ('time' word or 't='); else NULL."""
     s = F.lower(F.trim(col(c)))
-    unit = "(\\d+\\.?\\d*)\\s*(h|hr|hrs|hour|hours|m|min|mins|minute|minutes)\\b"
-    has_unit = s.rlike(unit)
-    val = F.regexp_extract(s, unit, 1).cast("double")
-    u = F.regexp_extract(s, unit, 2)
-    bare = F.regexp_extract(s, "(\\d+\\.?\\d*)", 1)
+    has_unit = s.rlike(NUMBER_AND_UNIT)
+    val = F.regexp_extract(s, NUMBER_AND_UNIT, 1).cast("double")
+    u = F.regexp_extract(s, NUMBER_AND_UNIT, 2)
+    bare = F.regexp_extract(s, NUMBER, 1)
     return (F.when(has_unit, val * F.when(u.startswith("h"), 60.0).otherwise(1.0))
-            .when(s.rlike("\\btime\\b|\\bt\\s*=") & (bare != ""), bare.cast("double")))
+            .when(s.rlike(TIME_WORD) & (bare != ""), bare.cast("double")))
 
 
 def normalise_observation(c) -> Column:

@@ -10,6 +10,8 @@ inlined into the plan as a literal array.
 
 from __future__ import annotations
 
+import re
+
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -82,37 +84,30 @@ def day_arrays(long_df: DataFrame, id_col: str = "id", day_col: str = "d", y_col
                     F.expr(f"transform({seq}, i -> try_element_at(m, i).tex)").alias("tex"))
 
 
-def map_day_columns(columns: list[str]) -> tuple[dict[int, str], dict[int, str]]:
-    """Volume and label columns → day numbers (schema only).
+# What the headers of volume and label columns contain.
+DAY_KINDS = ("foam(cc)", "texture")
+
+
+def header_slot(name: str) -> tuple[str, int] | None:
+    """Kind and sort key of a day column's header; None for other columns.
 
-    'Day d - Foam (cc)' / 'Day d - Foam Texture' sort by 10·d; bare
-    'Foam (cc)' / 'Texture' headers sort by their '.n' suffix (bare = 0,
-    '.n' = n+1, unparsable = 9999); names containing 'score' are skipped;
-    days are then renumbered 0.. in sorted order (quirk K9 kept).
+    'Day d - …' sorts by 10·d; a bare header by its '.n' suffix (none: 0, '.n': n + 1, not a number: last).
     """
-    import re
-    foam, tex = [], []
-    for c in columns:
-        norm = c.lower().strip().replace(" ", "")
-        if "score" in norm:
-            continue
-        m = re.match(r"day(\d+)-", norm)
-        if m:
-            key = int(m.group(1)) * 10
-        elif "." in norm:
-            try:
-                key = int(norm.rsplit(".", 1)[-1]) + 1
-            except ValueError:
-                key = 9999
-        else:
-            key = 0
-        if "foam(cc)" in norm:
-            foam.append((key, c))
-        elif "texture" in norm:
-            tex.append((key, c))
-    foam.sort(key=lambda x: x[0])
-    tex.sort(key=lambda x: x[0])
-    return {d: c for d, (_, c) in enumerate(foam)}, {d: c for d, (_, c) in enumerate(tex)}
+    flat = name.strip().lower().replace(" ", "")
+    kind = next((k for k in DAY_KINDS if k in flat), None)
+    if kind is None or "score" in flat:
+        return None
+    if day := re.match(r"day(\d+)-", flat):
+        return kind, 10 * int(day[1])
+    _, dot, suffix = flat.rpartition(".")
+    return kind, 0 if not dot else int(suffix) + 1 if suffix.isdigit() else 9999
+
+
+def map_day_columns(columns: list[str]) -> tuple[dict[int, str], dict[int, str]]:
+    """Volume and label columns by day; days are numbered 0, 1, … in the order of the keys (quirk K9 kept)."""
+    slots = [(slot, i) for i, name in enumerate(columns) if (slot := header_slot(name))]
+    by_kind = ([columns[i] for (k, _), i in sorted(slots, key=lambda x: (x[0][1], x[1])) if k == kind] for kind in DAY_KINDS)
+    return tuple(dict(enumerate(names)) for names in by_kind)
 
 
 def day_arrays_from_wide(df: DataFrame, id_col: str, num_days: int = 14) -> DataFrame:

@@ -26,12 +26,18 @@ def _dtype_name(dt) -> str:
     return dt.simpleString()
 
 
-def _as_text(typ: str):
-    """Whole numbers below 2 ** 53 read like the doubles of other columns; larger ones keep all digits."""
-    value = F.col("value")
-    if typ != "bigint":
-        return value.cast("string")
-    return F.when(value.cast("double").cast("bigint") == value, value.cast("double").cast("string")).otherwise(value.cast("string"))
+def _number(df: DataFrame, c: str):
+    """A numeric column as struct(d: double, w: bigint): whole numbers keep all their digits."""
+    x = F.col("`" + c + "`")
+    whole = df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long")
+    d, w = (F.lit(None), x) if whole else (x, F.lit(None))
+    return F.when(x.isNotNull(), F.struct(d.cast("double").alias("d"), w.cast("bigint").alias("w")))
+
+
+def _number_text(value):
+    """Whole numbers below 2 ** 53 read like the doubles of other columns."""
+    d, w = value["d"], value["w"]
+    return F.when(w.isNull() | (w.cast("double").cast("bigint") == w), F.coalesce(d, w.cast("double")).cast("string")).otherwise(w.cast("string"))
 
 
 def frequency_table(df: DataFrame, columns: list[str] | None = None, keep_null: bool = False) -> DataFrame:
@@ -41,19 +47,19 @@ def frequency_table(df: DataFrame, columns: list[str] | None = None, keep_null:
     values are turned into text afterwards (casting every row to a string
     is the expensive part); text columns are counted as they are."""
     columns = columns or df.columns
-    whole = [c for c in columns if df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long")]
-    nums = [c for c in columns if is_numeric(df.schema[c].dataType) and c not in whole]
-    txt = [c for c in columns if c not in nums and c not in whole]
+    nums = [c for c in columns if is_numeric(df.schema[c].dataType)]
+    txt = [c for c in columns if c not in nums]
     parts = []
-    for cols, typ in ((whole, "bigint"), (nums, "double"), (txt, "string")):
+    for cols, cell, as_text in ((nums, _number, _number_text),
+                                (txt, lambda df, c: F.col("`" + c + "`").cast("string"), lambda value: value)):
         if not cols:
             continue
-        long = df.select(*[F.col("`" + c + "`").cast(typ).alias(c) for c in cols]).unpivot(
+        long = df.select(*[cell(df, c).alias(c) for c in cols]).unpivot(
             [], cols, "column", "value")
         if not keep_null:
             long = long.filter(F.col("value").isNotNull())
         parts.append(long.groupBy("column", "value").agg(F.count("*").alias("n"))
-                     .select("column", _as_text(typ).alias("value"), "n"))
+                     .select("column", as_text(F.col("value")).alias("value"), "n"))
     out = parts[0]
     for p_ in parts[1:]:
         out = out.unionByName(p_)

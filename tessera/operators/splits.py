@@ -52,7 +52,7 @@ def kfold(df: DataFrame, key, k: int = 5, seed: int = 42) -> DataFrame:
 def stratified_kfold(df: DataFrame, key, label: str, k: int = 5, seed: int = 42, task: str = "classification") -> DataFrame:
     """Folds balanced within each class (classification only)."""
     if task != "classification":
-        raise ValueError("Stratified K-Fold is only valid for classification tasks.")
+        raise ValueError("balanced folds need classes; the task is not a classification")
     cuts = _class_cuts(df, key, label, [i / k for i in range(1, k)], seed, "fold")
     out = df.withColumn("__u", hash_u(key, seed, "fold")).join(
         cuts, col(label).eqNullSafe(F.col("__cls")), "left")  # one row per class

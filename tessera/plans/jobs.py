@@ -32,7 +32,7 @@ def performance_index_job(long_df: DataFrame, weights: DataFrame, cfg: P.Pipelin
     """P13 with the wide, renamed output (P11) and an error when no row is valid."""
     scored = P.performance_index(long_df, weights, cfg)
     if scored.where("valid").limit(1).count() == 0:
-        raise ValueError("No valid samples were found for the selected number of days.")
+        raise ValueError("no sample has the days that the index needs")
     wide = P.day_columns(scored, (cfg or P.PipelineConfig()).num_days)
     if out:
         S.write_csv(wide, out, bom=True)

@@ -274,9 +274,8 @@ def g4_q(spark, sf):
   l_quantity / nullif(l_extendedprice, 0) as l_quantity__div__l_extendedprice from gappy""")
 def g5_q(spark, sf):
     df = V.gappy(spark, sf).select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
-    cfg = G.FeatureConfig(sqrt=True, ratios=True, include=["l_quantity", "l_extendedprice"])
-    out, meta = G.apply_features(df, cfg)
-    return out.select("l_orderkey", "l_linenumber", *meta["new_columns"])
+    out, report = G.build_features(df, ["sqrt", "ratios"], ["l_quantity", "l_extendedprice"])
+    return out.select("l_orderkey", "l_linenumber", *report["new"])
 
 
 GROUPS = {"anionic": ["c1", "c2", "c3"], "nonionic": ["c4", "c5"], "polymer": ["c6", "c7"]}
