@@ -34,8 +34,8 @@ def linear_attributions(df: DataFrame, features: list[str], coefs: dict[str, flo
 
 def permutation_attributions(model, df: DataFrame, features: list[str], key: str = "id",
                              n_perm: int = 16, seed: int = 42, output: str = "prediction",
-                             sample_rows: int | None = None, class_index: int | None = None) -> DataFrame:
-    """N1 (any model): long (key, feature, value, attribution, std_error), the
+                             class_index: int | None = None) -> DataFrame:
+    """N1 (any model, all rows): long (key, feature, value, attribution, std_error), the
     standard error being that of the mean over permutations.
 
     ``model.transform`` must accept the feature columns and produce
@@ -43,10 +43,6 @@ def permutation_attributions(model, df: DataFrame, features: list[str], key: str
     """
     from pyspark.ml.functions import vector_to_array
     base = df.select(key, *features)
-    if sample_rows is not None:
-        n = base.count()
-        if n > sample_rows:
-            base = base.where(hash_u(key, seed, "attr") < sample_rows / n)
     means = base.agg(*[F.avg(c).alias(c) for c in features]).first().asDict()
     d = len(features)
     # permutation p: features ordered by hash(seed, p, feature)
@@ -151,15 +147,9 @@ def partial_dependence(model, df: DataFrame, feature: str, key: str = "id", poin
 
 
 def partial_dependence_2d(model, df: DataFrame, f1: str, f2: str, points: int = 30,
-                          output: str = "prediction", class_index: int | None = None,
-                          sample_rows: int | None = None, key: str = "id", seed: int = 42) -> DataFrame:
-    """2-D PDP on a points×points grid, over a reproducible hash sample
-    of about ``sample_rows`` rows when given (the reference's bounded sample)."""
+                          output: str = "prediction", class_index: int | None = None) -> DataFrame:
+    """2-D PDP on a points×points grid over all rows."""
     from pyspark.ml.functions import vector_to_array
-    if sample_rows is not None:
-        n = df.count()
-        if n > sample_rows:
-            df = df.where(hash_u(key, seed, "pdp2") < sample_rows / n)
     g1, g2 = pdp_grid(df, f1, points, points), pdp_grid(df, f2, points, points)
     pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in g1 for b in g2]))
     pts = df.select("*", pairs.alias("__g")).withColumns({f1: F.col("__g.a"), f2: F.col("__g.b")})

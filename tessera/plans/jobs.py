@@ -64,8 +64,8 @@ class AutoMLConfig:
     max_depth: int | None = None
     test_size: float = 0.2
     seed: int = 42
-    attribution_rows: int = 600
     permutations: int = 16
+    max_target: float = 1e5  # M6: larger targets are taken for errors
 
 
 def automl(df: DataFrame, key: str, target: str, groups: dict[str, list[str]], conditions: list[str],
@@ -81,7 +81,7 @@ def automl(df: DataFrame, key: str, target: str, groups: dict[str, list[str]], c
     d, report = G.pair_winners(d, pairs, target)
     dose_cols = [c for cs in groups.values() for c in cs if c in d.columns]
     d = M.role_nulls(d, dose_cols, conditions, null_mode)
-    d = M.clean_target(d, target, "regression")
+    d = M.clean_target(d, target, "regression", cfg.max_target)
     if method_col:
         d = M.method_one_hot(d, method_col)
     feats = [c for c in d.columns if c not in (key, target, method_col) and
@@ -95,7 +95,7 @@ def automl(df: DataFrame, key: str, target: str, groups: dict[str, list[str]], c
     pred = T.predict(f, d.where(F.col("is_test")), keep=[key, target])
     metrics = VM.regression_metrics(pred, target, "__prediction__")
     attr = N.permutation_attributions(f.model, d.where(~F.col("is_test")), feats, key, cfg.permutations,
-                                      cfg.seed, "__pred", sample_rows=cfg.attribution_rows)
+                                      cfg.seed, "__pred")
     return {"metrics": metrics, "pair_report": report, "importance": N.importance(attr), "predictions": pred,
             "features": spark.createDataFrame([(c,) for c in feats], "feature string")}
 

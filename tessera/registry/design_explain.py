@@ -219,14 +219,14 @@ def _rf_chem(spark, sf):
 @register("n1_permutation_attribution_rf", ops="N1 N2")
 def n1p_q(spark, sf):
     d, f = _rf_chem(spark, sf)
-    attr = N.permutation_attributions(f.model, d, V.CHEM_COLS, "id", n_perm=8, output="__pred", sample_rows=500)
+    attr = N.permutation_attributions(f.model, d, V.CHEM_COLS, "id", n_perm=8, output="__pred")
     return N.importance(attr)
 
 
 @register("n4_partner_feature_rf", ops="N4")
 def n4_q(spark, sf):
     d, f = _rf_chem(spark, sf)
-    attr = N.permutation_attributions(f.model, d, V.CHEM_COLS, "id", n_perm=4, output="__pred", sample_rows=300)
+    attr = N.permutation_attributions(f.model, d, V.CHEM_COLS, "id", n_perm=4, output="__pred")
     return N.partner_feature(attr, "c1", d, V.CHEM_COLS)
 
 
@@ -239,7 +239,7 @@ def n5_q(spark, sf):
 @register("n6_partial_dependence_2d_rf", ops="N6")
 def n6_q(spark, sf):
     d, f = _rf_chem(spark, sf)
-    return N.partial_dependence_2d(f.model, d, "c1", "c2", 30, output="__pred", sample_rows=200)
+    return N.partial_dependence_2d(f.model, d, "c1", "c2", 30, output="__pred")
 
 
 @register("n7_surrogate_rules_chem", ops="N7")
@@ -252,6 +252,6 @@ def n7_q(spark, sf):
 @register("n8_top_features_per_class_rf", ops="N8")
 def n8_q(spark, sf):
     d, f = _rf_chem(spark, sf)
-    attr = N.permutation_attributions(f.model, d, V.CHEM_COLS, "id", n_perm=4, output="__pred", sample_rows=500)
+    attr = N.permutation_attributions(f.model, d, V.CHEM_COLS, "id", n_perm=4, output="__pred")
     by = attr.join(d.select("id", "method"), "id")
     return N.top_per_class(N.importance(by, "method"), "method", 3)
