@@ -1,20 +1,20 @@
 """Exact quantiles (linear interpolation, as pandas/numpy) without value maps.
 
 ``percentile`` keeps a value → count map per column and merges those maps in
-one task, which is slow and unbounded for high-cardinality columns. Here the
-exact order statistics are found by narrowing, with a fixed number of jobs
-whatever the number of columns:
-
-1. counts per column;
-2. ``percentile_approx`` (rank error ≤ n/accuracy) just below and above each
-   target rank → a value window per target that surely contains it;
-3. rows below each window (one aggregate) and the (value, count) pairs inside
-   the windows (a grouped count over the few rows that fall inside) — the
-   driver walks these small counts to the exact order statistics.
-
-Heavy ties cost nothing (they collapse into one pair). A target whose window
-turns out not to contain it (possible only for tiny inputs) falls back to the
-exact ``percentile`` aggregate for that column.
+one task, which is unbounded for high-cardinality columns. Here each wanted
+order statistic is found by narrowing an open value interval that contains it:
+
+1. ``percentile_approx`` of the interval a little below and above the rank
+   gives two values ``lo <= hi`` of the column;
+2. one count of the rows below, at and between them says which of the five
+   regions holds the rank. At ``lo`` or ``hi`` the statistic is found;
+   otherwise that region is the next interval. Every round leaves out at least
+   the two values themselves, and as a rule all but some 6/ACCURACY of the rows;
+3. an interval of at most ``LIST_ROWS`` rows is sorted in one array.
+
+Every step is one aggregate for all columns and ranks; its state per rank is a
+sketch, five counts or one array of bounded length, whatever the cardinality.
+Heavy ties end the search in step 2.
 """
 
 from __future__ import annotations
@@ -24,108 +24,93 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ACCURACY = 100_000
-MAX_PAIRS = 500_000
+from .core import col
+
+#: Rank error of the sketch: rows / ACCURACY.
+ACCURACY = 10_000
+#: Rows of an interval that are sorted in one array.
+LIST_ROWS = 4096
+
+
+def _inside(x, interval):
+    lo, hi = interval
+    cond = x.isNotNull()
+    if lo is not None:
+        cond = cond & (x > F.lit(lo))
+    return cond if hi is None else cond & (x < F.lit(hi))
+
+
+def _narrow(df: DataFrame, x: dict, open_: dict) -> tuple[dict, dict]:
+    """One round for {(column, rank): (interval, rows below it, rows in it)} → (found values, next intervals)."""
+    slack = 3 / ACCURACY
+    sketches = []
+    for j, ((c, r), (iv, below, n)) in enumerate(open_.items()):
+        at = (r - below) / max(n - 1, 1)
+        probs = [max(0.0, at - slack), min(1.0, at + slack)]
+        sketches.append(F.percentile_approx(F.when(_inside(x[c], iv), x[c]), probs, ACCURACY).alias(f"a{j}"))
+    cuts = df.agg(*sketches).first()
+    counts = []
+    for j, ((c, _), (iv, _, _)) in enumerate(open_.items()):
+        lo, hi = cuts[f"a{j}"]
+        within = _inside(x[c], iv)
+        for name, cond in (("l", x[c] < F.lit(lo)), ("e", x[c] == F.lit(lo)),
+                           ("m", (x[c] > F.lit(lo)) & (x[c] < F.lit(hi))), ("h", x[c] == F.lit(hi))):
+            counts.append(F.count_if(within & cond).alias(f"{name}{j}"))
+    k = df.agg(*counts).first()
+    found, rest = {}, {}
+    for j, ((c, r), ((low, high), below, n)) in enumerate(open_.items()):
+        lo, hi = cuts[f"a{j}"]
+        same = lo == hi or (lo != lo and hi != hi)
+        regions = [((low, lo), k[f"l{j}"], None), (None, k[f"e{j}"], lo)]
+        if not same:
+            regions += [((lo, hi), k[f"m{j}"], None), (None, k[f"h{j}"], hi)]
+        regions.append(((hi, high), n - sum(size for _, size, _ in regions), None))
+        for iv, size, value in regions:
+            if r < below + size:
+                break
+            below += size
+        if iv is None:
+            found[(c, r)] = value
+        else:
+            rest[(c, r)] = (iv, below, size)
+    return found, rest
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:
-    """{column: [quantile(p) for p in probs]} (NULLs ignored; NULL if no value)."""
+    """{column: [quantile(p) for p in probs]} (NULLs ignored; NULL if no value; NaN above all numbers)."""
     if not columns:
         return {}
-    x = {c: F.col("`" + c + "`").cast("double") for c in columns}
+    x = {c: col(c).cast("double") for c in columns}
     cnt = df.agg(*[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     n = {c: cnt[f"n{i}"] for i, c in enumerate(columns)}
-    targets, aprobs = {}, {}
-    for c in columns:
-        if not n[c]:
-            continue
-        pos = [(n[c] - 1) * p for p in probs]
-        ranks = sorted({math.floor(h) for h in pos} | {min(math.ceil(h), n[c] - 1) for h in pos})
-        slack = math.ceil(3 * n[c] / ACCURACY) + 2
-        targets[c] = ranks
-        aprobs[c] = sorted({min(1.0, max(0.0, (r + d) / max(n[c] - 1, 1))) for r in ranks for d in (-slack, slack)})
-    if not targets:
-        return {c: [None] * len(probs) for c in columns}
-    ap = df.agg(*[F.percentile_approx(x[c], aprobs[c], ACCURACY).alias(f"a{i}")
-                  for i, c in enumerate(columns) if c in targets]).first()
-    wins = {}
-    for i, c in enumerate([c for c in columns if c in targets]):
-        vals = dict(zip(aprobs[c], ap[f"a{i}"]))
-        slack = math.ceil(3 * n[c] / ACCURACY) + 2
-        for r in targets[c]:
-            lo = vals[min(1.0, max(0.0, (r - slack) / max(n[c] - 1, 1)))]
-            hi = vals[min(1.0, max(0.0, (r + slack) / max(n[c] - 1, 1)))]
-            wins[(c, r)] = (lo, hi)
-    keys = list(wins)
-    below = df.agg(*[F.count_if(x[c] < F.lit(wins[(c, r)][0])).alias(f"b{j}")
-                     for j, (c, r) in enumerate(keys)]).first()
-    cols_in = sorted({c for c, _ in keys})
-    long = df.select(*[x[c].alias(f"v{k}") for k, c in enumerate(cols_in)]).unpivot(
-        [], [f"v{k}" for k in range(len(cols_in))], "k", "v")
-    inside = F.lit(False)
-    for k, c in enumerate(cols_in):
-        for (cc, r), (lo, hi) in wins.items():
-            if cc == c:
-                inside = inside | ((F.col("k") == f"v{k}") & F.col("v").between(lo, hi))
-    pairs = (long.where(inside).groupBy("k", "v").agg(F.count("*").alias("c"))
-             .limit(MAX_PAIRS + 1).collect())
-    by_col: dict[str, list] = {}
-    for p in pairs:
-        by_col.setdefault(cols_in[int(p["k"][1:])], []).append((p["v"], p["c"]))
-    for c in by_col:
-        by_col[c].sort()
-    stats, fallback = {}, set()
-    for j, (c, r) in enumerate(keys):
-        lo, hi = wins[(c, r)]
-        pos, found = below[f"b{j}"], None
-        if len(pairs) <= MAX_PAIRS and pos <= r:
-            for v, k in by_col.get(c, []):
-                if v < lo or v > hi:
-                    continue
-                if pos + k > r:
-                    found = v
-                    break
-                pos += k
-        if found is None:
-            fallback.add(c)
-        stats[(c, r)] = found
-    if fallback:
-        fb = df.agg(*[F.percentile(x[c], F.array(*[F.lit(p) for p in probs])).alias(f"f{i}")
-                      for i, c in enumerate(sorted(fallback))]).first()
-        fbv = {c: fb[f"f{i}"] for i, c in enumerate(sorted(fallback))}
-    res = {}
-    for c in columns:
-        if c not in targets:
-            res[c] = [None] * len(probs)
-        elif c in fallback:
-            res[c] = list(fbv[c])
-        else:
-            out = []
-            for p in probs:
-                h = (n[c] - 1) * p
-                lo_r, hi_r = math.floor(h), min(math.ceil(h), n[c] - 1)
-                a, b = stats[(c, lo_r)], stats[(c, hi_r)]
-                out.append(a if hi_r == lo_r else (hi_r - h) * a + (h - lo_r) * b)
-            res[c] = out
+    at = {c: [(n[c] - 1) * p for p in probs] for c in columns if n[c]}
+    wanted = {(c, r) for c, hs in at.items() for h in hs for r in (math.floor(h), min(math.ceil(h), n[c] - 1))}
+    left = {(c, r): ((None, None), 0, n[c]) for c, r in sorted(wanted, key=lambda k: (columns.index(k[0]), k[1]))}
+    values: dict = {}
+    while big := {key: s for key, s in left.items() if s[2] > LIST_ROWS}:
+        found, rest = _narrow(df, x, big)
+        values |= found
+        left = {key: s for key, s in left.items() if s[2] <= LIST_ROWS} | rest
+    if left:
+        lists = df.agg(*[F.sort_array(F.collect_list(F.when(_inside(x[c], iv), x[c])))[r - below].alias(f"v{j}")
+                         for j, ((c, r), (iv, below, _)) in enumerate(left.items())]).first()
+        values |= {key: lists[f"v{j}"] for j, key in enumerate(left)}
+    res: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
+    for c, hs in at.items():
+        for i, h in enumerate(hs):
+            a, b = values[(c, math.floor(h))], values[(c, min(math.ceil(h), n[c] - 1))]
+            f = h - math.floor(h)
+            res[c][i] = a if f == 0 or a == b else (1 - f) * a + f * b
     return res
 
 
-def quantile_values(df: DataFrame, columns: list[str], probs: list[float], mode: str = "exact") -> dict:
-    """{column: [q(p)…]} by one of three strategies:
-
-    * ``exact``  — ``percentile`` (value map per column; fine for moderate cardinality);
-    * ``narrow`` — exact by narrowing (bounded memory at any cardinality);
-    * ``approx`` — ``percentile_approx`` sketch (bounded memory, rank error ≤ n/10⁴).
-    """
+def quantile_values(df: DataFrame, columns: list[str], probs: list[float], mode: str | bool = "exact") -> dict:
+    """{column: [q(p)…]}: ``exact`` (default, by narrowing: bounded memory at
+    any cardinality) or ``approx``/True (one sketch, rank error ≤ n/10⁴)."""
     if not columns:
         return {}
-    if mode == "narrow":
+    if mode not in ("approx", True):
         return exact_quantiles(df, columns, probs)
-    x = {c: F.col("`" + c + "`").cast("double") for c in columns}
-    if mode == "approx":
-        aggs = [F.percentile_approx(x[c], probs, 10000).cast("array<double>").alias(f"q{i}")
-                for i, c in enumerate(columns)]
-    else:
-        aggs = [F.percentile(x[c], F.array(*[F.lit(p) for p in probs])).alias(f"q{i}") for i, c in enumerate(columns)]
-    r = df.agg(*aggs).first()
+    r = df.agg(*[F.percentile_approx(col(c).cast("double"), probs, ACCURACY).cast("array<double>").alias(f"q{i}")
+                 for i, c in enumerate(columns)]).first()
     return {c: (list(r[f"q{i}"]) if r[f"q{i}"] is not None else [None] * len(probs)) for i, c in enumerate(columns)}

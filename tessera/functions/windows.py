@@ -1,4 +1,4 @@
-"""Running aggregates without one task per (possibly huge) partition key.
+"""Running aggregates and ranks without one task per (possibly huge) partition key.
 
 A plain ``max(v) over (partition by k order by o)`` sorts every row of a key
 in one task; a key holding a third of the data then runs on one core. For
@@ -6,7 +6,8 @@ associative aggregates (max, min, sum) the running value is split in two:
 a per-(key, bucket) aggregate over a coarse bucket of the ordering column —
 a table with one row per bucket — gives each bucket its prefix from earlier
 buckets, and a window partitioned by (key, bucket) finishes the job inside
-the bucket. No window ever holds more than one bucket.
+the bucket. No window ever holds more than one bucket. ``positions`` numbers
+the rows of a whole table the same way, over range partitions.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .core import col
+
 _AGG = {"max": (F.max, F.greatest), "min": (F.min, F.least), "sum": (F.sum, lambda a, b: a + b)}
 
 
@@ -33,3 +36,20 @@ def running(df: DataFrame, keys: list[str], order: str, value: Column, out: str,
     res = F.when(F.col("__prefix").isNull(), F.col("__in")).when(F.col("__in").isNull(), F.col("__prefix")) \
         .otherwise(combine(F.col("__prefix"), F.col("__in")))
     return d.withColumn(out, res).drop("__v", "__b", "__bv", "__prefix", "__in")
+
+
+def positions(df: DataFrame, order: str, out: str) -> DataFrame:
+    """Add ``out`` = 0, 1, … in the order of ``order`` (distinct values, NULL first).
+
+    Rows are dealt by ranges of ``order`` and written to the checkpoint folder
+    with the number of their range; each range is numbered on its own and
+    shifted by the rows of the ranges before it (one row per range).
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    parts = df.repartitionByRange(order).withColumn("__p", F.spark_partition_id()).checkpoint()
+    earlier = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy("__p").count().select(
+        "__p", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__p").orderBy(order))
+    return (parts.withColumn("__r", inside).join(starts, "__p")
+            .withColumn(out, F.col("__start") + F.col("__r") - 1).drop("__p", "__r", "__start"))

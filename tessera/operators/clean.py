@@ -3,28 +3,23 @@
 Pattern throughout: one ``agg`` pass computes the few statistics a step needs
 (means, medians, quartiles, levels); those are tiny and become literals in a
 single projection or filter over the data — two scans, no per-column jobs, no
-joins against the statistics. Exact medians/quartiles use ``percentile``
-(same interpolation as pandas); ``approx=True`` uses ``percentile_approx``
-whose memory per column is bounded at any scale.
+joins against the statistics. Medians/quartiles are exact (same interpolation
+as pandas) by ``functions.quantiles``, whose memory is bounded at any
+cardinality; ``approx=True`` takes one sketch instead.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import col, numeric_columns
 from ..functions.quantiles import quantile_values
+from ..functions.windows import positions
 
 MAX_LEVELS = 1000  # one-hot width guard: more levels than this are refused
 
 
-def _pct(x: Column, p, approx: bool) -> Column:
-    if approx:
-        return F.percentile_approx(x, p, 10000)
-    return F.percentile(x, F.array(*[F.lit(v) for v in p]) if isinstance(p, (list, tuple)) else F.lit(p))
-
-
 # ---------------------------------------------------------------- M1–M7
 
 def impute(df: DataFrame, strategy: str = "mean", columns: list[str] | None = None,
@@ -37,8 +32,7 @@ def impute(df: DataFrame, strategy: str = "mean", columns: list[str] | None = No
     if strategy == "constant":
         return df.fillna(value if value is not None else 0, subset=cols)
     if strategy == "median":
-        mode = {True: "approx", False: "exact"}.get(approx, approx)
-        stats = {c: v[0] for c, v in quantile_values(df, cols, [0.5], mode).items()}
+        stats = {c: v[0] for c, v in quantile_values(df, cols, [0.5], approx).items()}
     else:
         if strategy == "mean":
             aggs = [F.avg(c).alias(c) for c in cols]
@@ -74,15 +68,13 @@ def clean_target(df: DataFrame, target: str, task: str, max_value: float = 1e5)
 # ---------------------------------------------------------------- M8–M11
 
 def outlier_bounds(df: DataFrame, columns: list[str], method: str = "IQR", k: float = 1.5,
-                   z: float = 3.0, approx: bool | str = False) -> dict[str, tuple]:
+                   z: float = 3.0, approx: bool = False) -> dict[str, tuple]:
     """Bounds per column from one aggregate: IQR → (q1 − k·iqr, q3 + k·iqr);
     z-score → mean ± z·std (ddof 1); std 0 → no bounds (no outliers).
-    ``approx``: False/'exact' (value map), 'narrow' (exact, bounded memory),
-    True/'approx' (sketch)."""
+    ``approx``: True takes the quartiles from a sketch."""
     out = {}
     if method == "IQR":
-        mode = {True: "approx", False: "exact"}.get(approx, approx)
-        qs = quantile_values(df, columns, [0.25, 0.75], mode)
+        qs = quantile_values(df, columns, [0.25, 0.75], approx)
         for c in columns:
             q1, q3 = qs[c]
             out[c] = (None, None) if q1 is None else (q1 - k * (q3 - q1), q3 + k * (q3 - q1))
@@ -183,25 +175,25 @@ def one_hot(df: DataFrame, columns: list[str], sep: str = "_", null_level: str |
 def label_codes(df: DataFrame, columns: list[str], null_text: str = "nan", as_double: bool = False) -> DataFrame:
     """Codes in sorted order of the text value (NULL becomes text
     'nan' and is coded like any other level). The level table is distinct
-    values only; it is ranked once and joined back (broadcast when small,
-    shuffle join otherwise — AQE decides from its real size)."""
+    values only; it is numbered in ranges and joined back (broadcast when
+    small, shuffle join otherwise — AQE decides from its real size)."""
     out = df
     for c in columns:
         txt = F.coalesce(col(c).cast("string"), F.lit(null_text))
-        lv = (df.select(txt.alias("__v")).distinct()
-              .withColumn("__code", (F.dense_rank().over(Window.orderBy("__v")) - 1)
-                          .cast("double" if as_double else "int")))
+        lv = positions(df.select(txt.alias("__v")).distinct(), "__v", "__code")
+        lv = lv.withColumn("__code", F.col("__code").cast("double" if as_double else "int"))
         out = (out.withColumn("__v", txt).join(lv, "__v", "left").drop("__v", c)
                .withColumnRenamed("__code", c))
     return out
 
 
 def factorize(df: DataFrame, column: str, order_key: str, out: str | None = None) -> DataFrame:
-    """Codes in first-seen order (by ``order_key``); NULL stays NULL (-1 in pandas)."""
-    first = (df.where(col(column).isNotNull()).groupBy(column).agg(F.min(order_key).alias("__first"))
-             .withColumn(out or f"{column}_code", F.dense_rank().over(Window.orderBy("__first")) - 1)
-             .drop("__first"))
-    return df.join(first, column, "left")
+    """Codes in first-seen order (by ``order_key``); NULL stays NULL (-1 in
+    pandas). Levels first seen under one key are numbered by value."""
+    first = df.where(col(column).isNotNull()).groupBy(col(column)).agg(F.min(col(order_key)).alias("__first"))
+    first = first.select(column, F.struct("__first", col(column)).alias("__at"))
+    coded = positions(first, "__at", "__code").select(column, F.col("__code").cast("int").alias(out or f"{column}_code"))
+    return df.join(coded, column, "left")
 
 
 def method_one_hot(df: DataFrame, column: str, prefix: str = "Concen_Ratio_Method_") -> DataFrame:
@@ -231,8 +223,7 @@ def fit_scaler(train: DataFrame, columns: list[str], kind: str = "standard", app
         elif kind != "robust":
             raise ValueError(f"unknown scaler {kind!r}; choose standard, minmax or robust")
     if kind == "robust":
-        mode = {True: "approx", False: "exact"}.get(approx, approx)
-        qs = quantile_values(train, columns, [0.25, 0.5, 0.75], mode)
+        qs = quantile_values(train, columns, [0.25, 0.5, 0.75], approx)
         return {c: (qs[c][1], (qs[c][2] - qs[c][0]) if qs[c][0] is not None and qs[c][2] != qs[c][0] else 1.0)
                 for c in columns}
     r = train.agg(*aggs).first()

@@ -5,7 +5,7 @@ coordinates, so n can be millions spread over every executor, and a point's
 coordinates depend only on (seed, id, feature) — a lost partition regenerates
 identically. Scoring is one ``model.transform`` pass; probabilities are
 handled with array functions (``vector_to_array``, ``array_max``), ranges with
-one percentile aggregate.
+one quantile search.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.core import col, hash_u, num
+from ..functions.quantiles import quantile_values
 
 DECIMALS = 2  # fixed value: rounding of reported design numbers
 
@@ -131,19 +132,22 @@ def top_fraction(scored: DataFrame, score_col: str = "objective_score", frac: fl
 
 def above_quantile(scored: DataFrame, score_col: str = "objective_score", q: float = 0.9) -> DataFrame:
     """Rows scoring at or above the q-quantile."""
-    cut = scored.agg(F.percentile(score_col, q)).first()[0]
+    cut = quantile_values(scored, [score_col], [q])[score_col][0]
     return scored.where(col(score_col) >= F.lit(cut))
 
 
 def recommended_ranges(df: DataFrame, features: list[str], q_low: float = 0.05, q_high: float = 0.95,
                        digits: int = DECIMALS, approx: bool = False) -> DataFrame:
-    """Per feature q05, median, q95, min, max (rounded), one aggregate
-    (exact by default; ``approx`` for a bounded-memory sketch)."""
+    """Per feature q05, median, q95, min, max (rounded); quantiles exact
+    unless ``approx`` (a sketch in the same aggregate)."""
+    ps, qs = [q_low, 0.5, q_high], {}
+    if not approx:
+        qs = quantile_values(df.select(*[num(c).alias(c) for c in features]), features, ps)
     aggs = []
     for i, c in enumerate(features):
         x = num(c)
-        pq = (F.percentile_approx(x, [q_low, 0.5, q_high], 10000).cast("array<double>") if approx
-              else F.percentile(x, F.array(F.lit(q_low), F.lit(0.5), F.lit(q_high))))
+        pq = (F.percentile_approx(x, ps, 10000).cast("array<double>") if approx
+              else F.array(*[F.lit(v).cast("double") for v in qs[c]]))
         aggs += [pq.alias(f"q{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.count(x).alias(f"n{i}")]
     one = df.agg(*aggs)

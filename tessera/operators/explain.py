@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import col, hash_u, safe_corr
+from ..functions.quantiles import quantile_values
 
 
 def linear_attributions(df: DataFrame, features: list[str], coefs: dict[str, float], key: str = "id") -> DataFrame:
@@ -127,7 +128,7 @@ def pdp_grid(df: DataFrame, feature: str, points: int = 50, distinct_max: int =
     d = df.select(feature).where(col(feature).isNotNull()).distinct().limit(distinct_max + 1).collect()
     if len(d) <= distinct_max:
         return sorted(float(r[0]) for r in d)
-    lo, hi = df.agg(F.percentile(col(feature).cast("double"), F.array(F.lit(0.05), F.lit(0.95)))).first()[0]
+    lo, hi = quantile_values(df, [feature], [0.05, 0.95])[feature]
     return [lo + (hi - lo) * i / (points - 1) for i in range(points)]
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import col, categorical_columns, is_numeric, numeric_columns
+from ..functions.quantiles import quantile_values
 
 LARGE_ROWS = 1000  # fixed value: "large dataset" notice threshold
 
@@ -112,18 +113,12 @@ def profile(df: DataFrame, approx: bool = False) -> DataFrame:
         aggs.append(F.count(col(c)).alias(f"nn{i}"))
         if approx is True:
             aggs.append(F.approx_count_distinct(col(c)).alias(f"nd{i}"))
-    narrow = {}
-    if approx == "narrow":  # exact quartiles with bounded memory, entered as literals
-        from ..functions.quantiles import quantile_values
-        narrow = quantile_values(df, num, [0.25, 0.5, 0.75], "narrow")
+    quartiles = {} if approx is True else quantile_values(df, num, [0.25, 0.5, 0.75])
     for i, c in enumerate(cols):
         if c in num:
             x = col(c).cast("double")
-            if approx == "narrow":
-                pct = F.array(*[F.lit(v).cast("double") for v in narrow[c]])
-            else:
-                pct = (F.percentile_approx(x, [0.25, 0.5, 0.75], 10000) if approx
-                       else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
+            pct = (F.percentile_approx(x, [0.25, 0.5, 0.75], 10000) if approx is True
+                   else F.array(*[F.lit(v).cast("double") for v in quartiles[c]]))
             aggs += [F.avg(x).alias(f"mu{i}"), F.stddev_samp(x).alias(f"sd{i}"),
                      F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), pct.cast("array<double>").alias(f"q{i}")]
     stats = df.agg(*aggs)
@@ -266,8 +261,9 @@ def model_ready_overview(df: DataFrame, target: str, features: list[str], task:
     count and largest class (classification)."""
     y = col(target)
     if task == "regression":
+        median = quantile_values(df, [target], [0.5])[target][0]
         return df.agg(F.count("*").alias("n_rows"), F.lit(len(features)).alias("n_features"),
-                      F.percentile(y.cast("double"), 0.5).alias("target_median"),
+                      F.lit(median).cast("double").alias("target_median"),
                       F.min(y).cast("double").alias("target_min"), F.max(y).cast("double").alias("target_max"))
     counts = df.groupBy(y.alias("cls")).agg(F.count("*").alias("n"))
     return counts.agg(F.sum("n").alias("n_rows"), F.lit(len(features)).alias("n_features"),

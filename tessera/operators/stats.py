@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import col, both, num, safe_corr
+from ..functions.quantiles import quantile_values
 
 
 def corr_long(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -92,9 +93,9 @@ def histogram(df: DataFrame, column: str, bins: int = 30, by: str | None = None)
 def box_stats(df: DataFrame, columns: list[str], by: str | None = None, standardise: bool = False,
               approx: bool = False) -> DataFrame:
     """Quartiles, whiskers at the most extreme values within 1.5·IQR of
-    the box, flier count; per column (and per class with ``by``). With
-    ``approx`` the quartiles come from a bounded-memory sketch per group (a
-    class holding a third of the rows then costs a sketch, not a value map)."""
+    the box, flier count; per column (and per class with ``by``). Quartiles of
+    whole columns are exact by narrowing. Per class they come from a value map
+    for each class, or with ``approx`` from a sketch of bounded memory."""
     keys = [col(by).alias("group")] if by else []
     long = df.select(*keys, *[num(c).alias(c) for c in columns]).unpivot(
         ["group"] if by else [], columns, "column", "x").where(F.col("x").isNotNull())
@@ -104,7 +105,13 @@ def box_stats(df: DataFrame, columns: list[str], by: str | None = None, standard
         long = long.join(m, g).withColumn("x", F.try_divide(F.col("x") - F.col("mu"), F.col("sd"))).drop("mu", "sd")
     pq = (F.percentile_approx("x", [0.25, 0.5, 0.75], 10000) if approx
           else F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
-    q = long.groupBy(*g).agg(pq.alias("q"))
+    if by or approx:
+        q = long.groupBy(*g).agg(pq.alias("q"))
+    else:
+        wide = long.select(*[F.when(F.col("column") == c, F.col("x")).alias(f"x{i}") for i, c in enumerate(columns)])
+        qs = quantile_values(wide, wide.columns, [0.25, 0.5, 0.75])
+        q = df.sparkSession.createDataFrame([(c, qs[f"x{i}"]) for i, c in enumerate(columns)],
+                                            "column string, q array<double>")
     q = q.select(*g, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))

@@ -22,11 +22,12 @@ TEXTURE_WEIGHTS = [("click", 1.0), ("view", 2.0), ("signup", 3.0), ("purchase",
 
 
 def foam_long(spark: SparkSession, sf: str) -> DataFrame:
-    """(id, d, y, texture): one measurement per user and day 0..14."""
+    """(id, d, y, texture): one measurement per sample and day 0..14; a sample
+    is a user within one of the 15-day periods that follow 2024-01-01."""
     e = table(spark, sf, "events")
-    day = F.dayofmonth("ts")
-    return (e.filter(day <= 15)
-            .groupBy(F.col("user_id").alias("id"), (day - 1).cast("int").alias("d"))
+    day = F.datediff("ts", F.lit("2024-01-01"))
+    sample = F.col("user_id") * 100_000 + F.floor(day / 15)
+    return (e.groupBy(sample.cast("bigint").alias("id"), F.pmod(day, F.lit(15)).cast("int").alias("d"))
             .agg(F.avg("value").alias("y"), F.max("event_type").alias("texture")))
 
 
@@ -69,15 +70,14 @@ GAPPY_NUM = ["l_quantity", "l_extendedprice", "disc", "tax"]
 
 
 def obs_long(spark: SparkSession, sf: str) -> DataFrame:
-    """(id, d, txt): free-text observations every 14 days."""
+    """(id, d, txt): one free-text observation per user and day since 2024-01-01."""
     e = table(spark, sf, "events")
-    day = F.dayofmonth("ts")
+    day = F.datediff("ts", F.lit("2024-01-01"))
     txt = (F.when(F.col("event_type") == "error", F.lit("Unstable-Gel.."))
            .when(F.col("event_type") == "signup", F.lit("No_gel"))
            .when(F.col("event_type") == "view", F.lit(""))
            .otherwise(F.lit(" clear ")))
-    return (e.filter(day % 7 == 1)
-            .groupBy(F.col("user_id").alias("id"), ((day - 1) * 2).cast("int").alias("d"))
+    return (e.groupBy(F.col("user_id").alias("id"), day.alias("d"))
             .agg(F.max(txt).alias("txt")))
 
 
@@ -158,8 +158,9 @@ def lab_log(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 VIEW_SQL = {
-    "foam_long": """select user_id as id, cast(day(ts)-1 as integer) as d, avg(value) as y,
-        max(event_type) as texture from events where day(ts) <= 15 group by user_id, day(ts)-1""",
+    "foam_long": """select user_id * 100000 + (datediff('day', date '2024-01-01', cast(ts as date)) // 15) as id,
+        cast(datediff('day', date '2024-01-01', cast(ts as date)) % 15 as integer) as d, avg(value) as y,
+        max(event_type) as texture from events group by all""",
     "texture_weights": """select * from (values ('click',1.0e0),('view',2.0e0),('signup',3.0e0),
         ('purchase',4.0e0)) as tw(label, weight)""",
     "decay_long": """select l_orderkey as id, l_linenumber as t, avg(l_extendedprice) as y
@@ -171,10 +172,10 @@ VIEW_SQL = {
     "gappy": """select l_orderkey, l_linenumber, l_quantity, l_extendedprice,
         nullif(l_discount, 0.0e0) as disc, nullif(l_tax, 0.0e0) as tax,
         nullif(l_returnflag, 'N') as flag from lineitem""",
-    "obs_long": """select user_id as id, cast((day(ts)-1)*2 as integer) as d,
+    "obs_long": """select user_id as id, cast(datediff('day', date '2024-01-01', cast(ts as date)) as integer) as d,
         max(case event_type when 'error' then 'Unstable-Gel..' when 'signup' then 'No_gel'
             when 'view' then '' else ' clear ' end) as txt
-        from events where day(ts) % 7 = 1 group by user_id, (day(ts)-1)*2""",
+        from events group by all""",
     "clf_binary": """select l.doc_id as id, l.quality as label,
         case when d.n_chars > 1500 then 1 else 0 end as pred,
         cast(d.n_chars % 97 as double)/97 as score

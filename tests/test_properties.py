@@ -102,5 +102,12 @@ def test_narrow_quantiles_equal_percentile(spark, sf):
     ref = li.agg(*[F.percentile(F.col(c), F.array(*[F.lit(p) for p in probs])).alias(c) for c in cols]).first()
     for c in cols:
         assert all(abs(a - b) <= 1e-9 * max(1.0, abs(b)) for a, b in zip(got[c], ref[c]))
+    ids = spark.range(100_000).select(F.col("id").cast("double").alias("a"), (F.col("id") % 2).alias("b"), F.lit(7).alias("c"),
+                                      F.when(F.col("id") % 3 == 0, F.lit(0.0)).otherwise(F.exp(F.col("id") / 1000)).alias("d"),
+                                      F.when(F.col("id") > 60_000, F.lit(float("nan"))).otherwise(F.col("id")).alias("e"))
+    got = exact_quantiles(ids, ids.columns, probs)
+    ref = ids.agg(*[F.percentile(F.col(c), F.array(*[F.lit(p) for p in probs])).alias(c) for c in ids.columns]).first()
+    for c in ids.columns:
+        assert all(a == b or (a != a and b != b) or abs(a - b) <= 1e-9 * abs(b) for a, b in zip(got[c], ref[c])), c
     tiny = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (None,)], "x double")
     assert exact_quantiles(tiny, ["x"], [0.5, 0.25])["x"] == [2.0, 1.5]
