@@ -198,12 +198,15 @@ def factorize(df: DataFrame, column: str, order_key: str, out: str | None = None
 
 def method_one_hot(df: DataFrame, column: str, prefix: str = "Concen_Ratio_Method_") -> DataFrame:
     """E5: whitespace collapsed and trimmed, NULL is its own level 'nan';
-    one 1.0/0.0 column per level named prefix + slug (X16, 40 chars)."""
+    one 1.0/0.0 column per level named prefix + slug (X16, 40 chars; levels
+    whose slugs agree are told apart by the suffixes of S8)."""
     import re
+
+    from ..sources.files import dedupe_names
     clean = F.coalesce(F.regexp_replace(F.trim(col(column).cast("string")), "\\s+", " "), F.lit("nan"))
     lv = levels(df.select(clean.alias("v")), "v")
     # level names are schema: the same slug rule as functions.text.slug, on the driver
-    names = [re.sub(r"[^a-z0-9]+", "_", v.lower())[:40].strip("_") for v in lv]
+    names = dedupe_names([re.sub(r"[^a-z0-9]+", "_", v.lower())[:40].strip("_") for v in lv])
     return df.withColumns({f"{prefix}{n}": (clean == F.lit(v)).cast("double") for v, n in zip(lv, names)})
 
 

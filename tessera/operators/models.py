@@ -21,7 +21,7 @@ from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import col
@@ -212,41 +212,62 @@ def predict(f: Fitted, df: DataFrame, keep: list[str] | None = None, digits: int
     return out.select(*cols)
 
 
-def knn_predict(f: Fitted, df: DataFrame, keep: list[str], max_train: int = 200_000) -> DataFrame:
-    """Exact k-nearest-neighbour vote (Euclidean; ties → smaller class).
+#: Distinct rows in a block of either side of the k-NN search, and queries compared with a training block at a time.
+KNN_BLOCK, KNN_SLICE = 8192, 512
 
-    The training side is broadcast only after its size is checked; each test
-    partition computes distances to it with numpy in ``mapInPandas`` (Arrow
-    batches), so no train × test rows are ever materialised.
-    """
+
+def _nearest(k: int):
+    """(query block, training block) → up to k nearest distinct training rows per query."""
     import pandas as pd
 
-    n = f.knn_train.count()
-    if n > max_train:
-        raise ValueError(f"k-NN training side has {n} rows (> {max_train}); not broadcastable")
-    rows = f.knn_train.collect()
-    X = np.array([[float(r[c]) if r[c] is not None else 0.0 for c in f.features] for r in rows])
-    y = np.array([str(r[f.label]) for r in rows])
-    bx = df.sparkSession.sparkContext.broadcast((X, y))
-    feats, k = list(f.features), f.k
-
-    def run(batches):
-        Xt, yt = bx.value
-        for b in batches:
-            Q = b[feats].astype(float).fillna(0.0).to_numpy()
-            d2 = (Q * Q).sum(1)[:, None] - 2 * Q @ Xt.T + (Xt * Xt).sum(1)[None, :]
-            kk = min(k, len(yt))
-            nn = np.argpartition(d2, kk - 1, axis=1)[:, :kk] if len(yt) else np.zeros((len(Q), 0), int)
-            preds = []
-            for row in nn:
-                vals, cnt = np.unique(yt[row], return_counts=True)
-                preds.append(vals[np.argmax(cnt)])  # np.unique sorts: ties → smaller class
-            out = b[keep].copy() if keep else pd.DataFrame(index=b.index)
-            out["__prediction__"] = preds
-            yield out
-
-    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + ["__prediction__ string"])
-    return df.select(*dict.fromkeys(keep + feats)).mapInPandas(run, schema)
+    def run(queries, train):
+        found = {"x": [], "y": [], "w": [], "d": []}
+        if len(queries) and len(train):
+            rows, labels, weights = np.stack(train["x"]), train["y"].to_numpy(), train["w"].to_numpy()
+            norms, kk = (rows * rows).sum(1), min(k, len(rows))
+            for at in range(0, len(queries), KNN_SLICE):
+                q = np.stack(queries["x"][at:at + KNN_SLICE])
+                near = np.argpartition(norms - 2 * q @ rows.T, kk - 1, axis=1)[:, :kk].ravel()
+                own = np.repeat(np.arange(len(q)), kk)
+                found["x"] += list(q[own])
+                found["y"].append(labels[near])
+                found["w"].append(weights[near])
+                found["d"].append(((q[own] - rows[near]) ** 2).sum(1))
+        return pd.DataFrame({c: v if c == "x" else np.concatenate(v) if v else [] for c, v in found.items()})
+
+    return run
+
+
+def knn_predict(f: Fitted, df: DataFrame, keep: list[str]) -> DataFrame:
+    """Exact k-nearest-neighbour vote (Euclidean, NULL as 0; nearer rows
+    first, then the smaller label; an equal vote goes to the smaller class).
+
+    Equal training rows are counted once with a weight and equal queries are
+    answered once, so copies make no hot block. Both sides are dealt to blocks
+    by hash; every pair of blocks is one task of bounded size that returns k
+    candidates per query, and the candidates of a query are merged by distance.
+    """
+    spark, k = df.sparkSession, f.k
+    x = F.array(*[F.coalesce(col(c).cast("double"), F.lit(0.0)) for c in f.features])
+    label = col(f.label).cast("string")
+    train = (f.knn_train.where(label.isNotNull()).groupBy(x.alias("x"), label.alias("y"))
+             .agg(F.count("*").alias("w")))
+    queries = df.select(x.alias("x")).distinct()
+    n_train, n_queries = train.count(), queries.count()
+    t = max(1, -(-n_train // KNN_BLOCK))
+    q = max(1, -(-n_queries // KNN_BLOCK), min(spark.sparkContext.defaultParallelism, n_queries // KNN_SLICE))
+    tb, qb = (F.pmod(F.xxhash64("x"), F.lit(m)).cast("int") for m in (t, q))
+    left = queries.select("x", qb.alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(t - 1))).alias("tb"))
+    right = train.select("x", "y", "w", F.explode(F.sequence(F.lit(0), F.lit(q - 1))).alias("qb"), tb.alias("tb"))
+    near = left.groupBy("qb", "tb").cogroup(right.groupBy("qb", "tb")).applyInPandas(
+        _nearest(k), "x array<double>, y string, w long, d double")
+    before = F.coalesce(F.sum("w").over(Window.partitionBy("x").orderBy("d", "y", "w").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))
+    votes = (near.withColumn("v", F.least("w", F.lit(k) - before)).where("v > 0")
+             .groupBy("x", "y").agg(F.sum("v").alias("v")))
+    best = votes.groupBy("x").agg(F.min_by("y", F.struct(-F.col("v"), F.col("y"))).alias("__prediction__"))
+    rows = df.select(*[col(c) for c in keep], x.alias("__x"))
+    return rows.join(best.withColumnRenamed("x", "__x"), "__x", "left").select(*[col(c) for c in keep], "__prediction__")
 
 
 CLASS_METRICS = ("accuracy", "f1")

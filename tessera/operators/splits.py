@@ -11,6 +11,8 @@ task.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,7 +81,6 @@ def loo_linear(df: DataFrame, features: list[str], label: str) -> DataFrame:
     One aggregate gives X̃ᵀX̃ and X̃ᵀy (k+1 numbers squared — bounded by the
     feature count), the driver inverts it, and one projection scores every
     row: no n model fits, no data on the driver."""
-    import numpy as np
     cols = [F.lit(1.0)] + [col(c).cast("double") for c in features]
     y = col(label).cast("double")
     k = len(cols)
@@ -101,3 +102,34 @@ def loo_linear(df: DataFrame, features: list[str], label: str) -> DataFrame:
     h = sum((F.lit(float(Ginv[i, j])) * cols[i] * cols[j] for i in range(k) for j in range(k)), F.lit(0.0))
     e = y - pred
     return ok.withColumns({"prediction": pred, "leverage": h, "loo_residual": e / (F.lit(1.0) - h)})
+
+
+def logo_linear(df: DataFrame, features: list[str], label: str, group: str) -> DataFrame:
+    """T13 with ordinary least squares: every row predicted by the model
+    fitted on all other groups (columns prediction and residual are added;
+    rows with a NULL feature or label are left out).
+
+    Sums of products per group and over all groups give each left-out system
+    as their difference, so one aggregate of (k+1)² sums per group replaces a
+    fit per group; groups are solved in Arrow batches wherever they lie."""
+    cols = [F.lit(1.0)] + [col(c).cast("double") for c in features]
+    y, k = col(label).cast("double"), len(features) + 1
+    complete = col(label).isNotNull()
+    for c in features:
+        complete = complete & col(c).isNotNull()
+    ok = df.where(complete)
+    means = ok.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    z = [cols[0]] + [cols[i] - F.lit(means[f"m{i}"]) for i in range(1, k)]  # centred sums lose fewer digits
+    sums = [F.sum(a * b) for a in z for b in [*z, y]]
+    total = ok.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()
+    whole = np.array([total[f"s{i}"] or 0.0 for i in range(len(sums))]).reshape(k, k + 1)
+
+    @F.pandas_udf("array<double>")
+    def solve(own: pd.Series) -> pd.Series:
+        rest = [whole - np.asarray(o, float).reshape(k, k + 1) for o in own]
+        return pd.Series([np.linalg.pinv(m[:, :k]) @ m[:, k] for m in rest])
+
+    beta = ok.groupBy(col(group).alias("__g")).agg(F.array(*sums).alias("__own")).select("__g", solve("__own").alias("__b"))
+    out = ok.join(beta, col(group).eqNullSafe(F.col("__g"))).drop("__g")
+    pred = sum((F.col("__b")[i] * z[i] for i in range(k)), F.lit(0.0))
+    return out.withColumn("prediction", pred).withColumn("residual", y - F.col("prediction")).drop("__b")

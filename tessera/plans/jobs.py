@@ -9,6 +9,7 @@ lost executor does not force recomputation from the source).
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +67,7 @@ class AutoMLConfig:
     seed: int = 42
     permutations: int = 16
     max_target: float = 1e5  # M6: larger targets are taken for errors
+    task: str = "regression"  # or "classification"
 
 
 def automl(df: DataFrame, key: str, target: str, groups: dict[str, list[str]], conditions: list[str],
@@ -73,7 +75,9 @@ def automl(df: DataFrame, key: str, target: str, groups: dict[str, list[str]], c
            null_mode: str = "fill") -> dict[str, DataFrame]:
     """Group sums (G6), pair winners (G14), role nulls (M5), target
     clean (M6), method one-hot (E1), scaling fitted on train (E6), random
-    forest (T3), hold-out metrics (V9), importance by attribution (N1, N2)."""
+    forest (T3), hold-out metrics (V9; classes: V1, V2), importance by
+    attribution (N1, N2): of two classes the second one's, of more the mean
+    absolute attribution over classes."""
     cfg = cfg or AutoMLConfig()
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -81,21 +85,29 @@ def automl(df: DataFrame, key: str, target: str, groups: dict[str, list[str]], c
     d, report = G.pair_winners(d, pairs, target)
     dose_cols = [c for cs in groups.values() for c in cs if c in d.columns]
     d = M.role_nulls(d, dose_cols, conditions, null_mode)
-    d = M.clean_target(d, target, "regression", cfg.max_target)
+    classes = cfg.task == "classification"
+    d = M.clean_target(d, target, cfg.task, cfg.max_target)
     if method_col:
         d = M.method_one_hot(d, method_col)
     feats = [c for c in d.columns if c not in (key, target, method_col) and
              dict(d.dtypes)[c] in ("double", "int", "bigint", "float")]
-    d = d.select(key, target, *[F.coalesce(col(c).cast("double"), F.lit(0.0)).alias(c) for c in feats])
+    d = d.select(key, col(target).cast("string").alias(target) if classes else target, *[F.coalesce(col(c).cast("double"), F.lit(0.0)).alias(c) for c in feats])
     d = SP.train_test(d, key, cfg.test_size, cfg.seed).checkpoint()  # reused by fit, scoring and attribution
     params = M.fit_scaler(d.where(~F.col("is_test")), feats, "standard")
     d = M.apply_scaler(d, params)
-    f = T.fit(d.where(~F.col("is_test")), feats, target, "RandomForestRegressor",
+    f = T.fit(d.where(~F.col("is_test")), feats, target, "RandomForestClassifier" if classes else "RandomForestRegressor",
               {"n_estimators": cfg.n_estimators, "min_samples_leaf": cfg.min_samples_leaf, "max_depth": cfg.max_depth})
     pred = T.predict(f, d.where(F.col("is_test")), keep=[key, target])
-    metrics = VM.regression_metrics(pred, target, "__prediction__")
-    attr = N.permutation_attributions(f.model, d.where(~F.col("is_test")), feats, key, cfg.permutations,
-                                      cfg.seed, "__pred")
+    train = d.where(~F.col("is_test"))
+    if classes:
+        metrics = VM.weighted_scores(pred, target, "__prediction__")
+        of = [1] if len(f.classes) == 2 else range(len(f.classes))
+        parts = [N.permutation_attributions(f.model, train, feats, key, cfg.permutations, cfg.seed, "probability", i)
+                 for i in of]
+        attr = reduce(DataFrame.unionByName, parts)  # importance() averages the absolute values over all of them
+    else:
+        metrics = VM.regression_metrics(pred, target, "__prediction__")
+        attr = N.permutation_attributions(f.model, train, feats, key, cfg.permutations, cfg.seed, "__pred")
     return {"metrics": metrics, "pair_report": report, "importance": N.importance(attr), "predictions": pred,
             "features": spark.createDataFrame([(c,) for c in feats], "feature string")}
 

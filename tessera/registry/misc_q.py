@@ -232,6 +232,18 @@ def t18_q(spark, sf):
     return out["metrics"]
 
 
+@register("t18_automl_classes_lineitem", ops="T18 T3 V1 V2 N1 N2")
+def t18_classes_q(spark, sf):
+    from ..plans.jobs import AutoMLConfig, automl
+    li = table(spark, sf, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("id"), "l_returnflag", "l_quantity",
+        "l_extendedprice", "l_discount", "l_tax", "l_linestatus")
+    out = automl(li, "id", "l_returnflag", {"money": ["l_extendedprice", "l_tax"]}, ["l_discount"],
+                 [("l_quantity", "l_tax")], method_col="l_linestatus",
+                 cfg=AutoMLConfig(task="classification", n_estimators=20, max_depth=6))
+    return out["metrics"]
+
+
 @register("t20_run_history_chem", ops="T20 T14 V12")
 def t20_q(spark, sf):
     from ..operators import models as T

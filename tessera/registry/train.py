@@ -65,6 +65,18 @@ def t13_q(spark, sf):
     return SP.leave_one_group_out(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment")
 
 
+@register("t13_leave_one_group_out_fit_lineitem", digits={"mse": 2, "mean_prediction": 4}, ops="T13 T8",
+          sql="""with f as (select g.l_linenumber as m, regr_slope(l.l_extendedprice, l.l_quantity) as b,
+   regr_intercept(l.l_extendedprice, l.l_quantity) as a
+   from (select distinct l_linenumber from lineitem) g join lineitem l on l.l_linenumber <> g.l_linenumber group by all)
+select m as l_linenumber, count(*) as n, avg(pow(l_extendedprice - (a + b * l_quantity), 2)) as mse,
+   avg(a + b * l_quantity) as mean_prediction from lineitem join f on m = l_linenumber group by all""")
+def t13_fit_q(spark, sf):
+    out = SP.logo_linear(table(spark, sf, "lineitem"), ["l_quantity"], "l_extendedprice", "l_linenumber")
+    return out.groupBy("l_linenumber").agg(F.count("*").alias("n"), F.avg(F.pow("residual", 2)).alias("mse"),
+                                         F.avg("prediction").alias("mean_prediction"))
+
+
 @register("t8_linear_regression_reg", views=("reg",), digits={"slope": 6, "intercept": 4}, ops="T8 T16",
           sql="select regr_slope(y, yhat) as slope, regr_intercept(y, yhat) as intercept from reg")
 def t8_q(spark, sf):

@@ -111,3 +111,43 @@ def test_narrow_quantiles_equal_percentile(spark, sf):
         assert all(a == b or (a != a and b != b) or abs(a - b) <= 1e-9 * abs(b) for a, b in zip(got[c], ref[c])), c
     tiny = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (None,)], "x double")
     assert exact_quantiles(tiny, ["x"], [0.5, 0.25])["x"] == [2.0, 1.5]
+
+
+def test_knn_blocks_equal_brute_force(spark, monkeypatch):
+    import numpy as np
+    from tessera.operators import models as T
+    monkeypatch.setattr(T, "KNN_BLOCK", 40)
+    rng = np.random.default_rng(3)
+    X, y = rng.normal(size=(150, 3)).round(2), rng.integers(0, 3, 150)
+    train = [(*map(float, r), str(c)) for r, c in zip(X, y)] + [(9.0, 9.0, 9.0, "copy")] * 60 + [(0.0, 0.0, None, None)]
+    test = [(i, *map(float, r)) for i, r in enumerate(rng.normal(size=(90, 3)))] + [(90, 8.9, 9.0, 9.0), (91, None, None, None)]
+    f = T.fit(spark.createDataFrame(train, "a double, b double, c double, y string"), ["a", "b", "c"], "y", "KNeighborsClassifier")
+    queries = spark.createDataFrame(test, "id int, a double, b double, c double")
+    got = {r["id"]: r["__prediction__"] for r in T.predict(f, queries, keep=["id"]).collect()}
+    known = [t for t in train if t[3] is not None]
+    for i, *v in test:
+        near = sorted((sum((p - (q or 0.0)) ** 2 for p, q in zip(t[:3], v)), t[3]) for t in known)[:5]
+        votes = [c for _, c in near]
+        assert got[i] == min(votes, key=lambda c: (-votes.count(c), c)), i
+
+
+def test_left_out_group_fit_equals_direct_fit(spark):
+    import numpy as np
+    from tessera.operators import splits as SP
+    rng = np.random.default_rng(4)
+    rows = [(int(g), float(a), float(b), float(2 * a - b + g + rng.normal())) for g, a, b in
+            zip(rng.integers(0, 4, 80), rng.normal(size=80), rng.normal(size=80))]
+    rows.append((1, None, 1.0, 1.0))
+    out = SP.logo_linear(spark.createDataFrame(rows, "g int, a double, b double, y double"), ["a", "b"], "y", "g").collect()
+    assert len(out) == 80
+    for r in out:
+        rest = [x for x in rows[:80] if x[0] != r["g"]]
+        beta = np.linalg.lstsq(np.array([[1, x[1], x[2]] for x in rest]), np.array([x[3] for x in rest]), rcond=None)[0]
+        assert abs(r["prediction"] - (beta[0] + beta[1] * r["a"] + beta[2] * r["b"])) < 1e-9
+
+
+def test_level_names_stay_apart(spark):
+    from tessera.operators import clean as M
+    out = M.method_one_hot(spark.createDataFrame([("a-b",), ("a b",), ("x" * 41 + "1",), ("x" * 41 + "2",), (None,)], "m string"), "m", "p_")
+    flags = [c for c in out.columns if c != "m"]
+    assert len(flags) == 5 and all(sum(r[c] for c in flags) == 1 for r in out.collect())
