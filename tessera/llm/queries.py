@@ -112,7 +112,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=400, with_kept=False)
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of every document, and how many of them repeat an earlier run of three or more."""
+    """Lines of every document, and how many of them repeat an earlier run of three or more, or a line of fifty words or more."""
     out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
@@ -122,8 +122,9 @@ with l as (select doc_id, no, line, trim(line, chr(32) || chr(9) || chr(10) || c
            from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as no from documents)),
 f as (select doc_id, no, t, row_number() over (partition by doc_id order by no) as i from l where t <> ''),
 w as (select doc_id, i, [t, lead(t, 1) over d, lead(t, 2) over d] as lines, lead(t, 2) over d is not null as whole from f window d as (partition by doc_id order by i)),
-r as (select doc_id, i, row_number() over (partition by lines order by doc_id, i) as rank from w where whole),
-g as (select distinct doc_id, i + j as i from r, (values (0), (1), (2)) o(j) where rank > 1),
+a as (select doc_id, i, lines from w where whole union all select doc_id, i, [t] from f where len(string_split_regex(t, '[\x20\x09-\x0D]+')) >= 50),
+r as (select doc_id, i, len(lines) as size, row_number() over (partition by lines order by doc_id, i) as rank from a),
+g as (select distinct doc_id, i + j as i from r, (values (0), (1), (2)) o(j) where rank > 1 and j < size),
 k as (select l.doc_id, l.no, l.line, f.i, g.i is not null as gone from l left join f on f.doc_id = l.doc_id and f.no = l.no left join g on g.doc_id = f.doc_id and g.i = f.i)
 select doc_id, count(i) as n_lines, count(*) filter (where gone) as n_removed, sha256(coalesce(string_agg(line, chr(10) order by no) filter (where not gone), '')) as kept_sha256
 from k group by doc_id
