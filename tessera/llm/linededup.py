@@ -9,13 +9,14 @@ the lines of the window, and the first place of each such run of lines, in the
 order of (document, line), is found by a pre-aggregated minimum. A line goes if
 it lies in a run of at least ``window`` lines that starts at an earlier place as
 well; longer repeated runs go whole because their windows overlap. A line of at
-least ``long_words`` words is a passage, and a run, of its own.
+least ``long_words`` words is a passage, and a run, of its own. With ``pairs``
+two consecutive lines that have ``long_words`` words together are one as well.
 
 Hot lines cost one aggregated row a task; no pair of places is ever formed, only
 each place and the first one of its run.
 
 Defined cases: a null text stays null; texts with fewer lines than ``window``
-lose long lines only; lines are compared without white space at their ends; rows
+lose passages only; lines are compared without white space at their ends; rows
 with equal key and text are one place and are treated alike; null keys sort
 first. Other columns pass through; names that clash with working columns do not
 matter, because those are kept in a struct.
@@ -36,30 +37,35 @@ def trimmed(line):
     return F.btrim(line, F.lit(BLANK))
 
 
-def windows(docs: DataFrame, key: str, text: str, window: int, long_words: int) -> DataFrame:
-    """(key, digest, start, lines, first_no, last_no, fingerprint): every window and every long line.
+def windows(docs: DataFrame, key: str, text: str, window: int, long_words: int, pairs: bool) -> DataFrame:
+    """(key, digest, start, lines, first_no, last_no, fingerprint): every window, every long line and, with ``pairs``, every two lines as long.
 
     ``start`` counts lines that are not blank; ``lines`` are their hashes, the nos places in the text.
     """
     lines = F.transform(F.split(F.col(f"`{text}`"), "\n"), lambda x, i: F.struct(trimmed(x).alias("line"), i.alias("no")))
     hashed = F.transform(F.filter(lines, lambda x: x["line"] != ""), lambda x: F.struct(
-        F.xxhash64(x["line"]).alias("hash"), x["no"].alias("no"), (F.size(F.split(x["line"], "[\\x20\\x09-\\x0D]+")) >= long_words).alias("long")))
+        F.xxhash64(x["line"]).alias("hash"), x["no"].alias("no"), F.size(F.split(x["line"], "[\\x20\\x09-\\x0D]+")).alias("words")))
     frame = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("digest"), hashed.alias("hashed"))
 
     def run(i, parts):
         return F.struct(i.alias("start"), F.array(*[x["hash"] for x in parts]).alias("lines"), parts[0]["no"].alias("first_no"), parts[-1]["no"].alias("last_no"))
 
     # the array shifted against itself: element i of the result is the window that starts at line i
-    shifts = [F.slice(F.col("hashed"), j + 1, F.greatest(F.size("hashed") - window + 1, F.lit(0))) for j in range(window)]
-    every = F.transform(F.arrays_zip(*[x.alias(f"l{j}") for j, x in enumerate(shifts)]), lambda w, i: run(i, [w[f"l{j}"] for j in range(window)]))
-    single = F.filter(F.transform(F.col("hashed"), lambda x, i: F.when(x["long"], run(i, [x]))), lambda x: x.isNotNull())
-    cut = frame.select("key", "digest", F.explode(F.concat(every, single)).alias("w"))
+    def runs(size, enough):
+        shifts = [F.slice(F.col("hashed"), j + 1, F.greatest(F.size("hashed") - size + 1, F.lit(0))) for j in range(size)]
+        parts = lambda w: [w[f"l{j}"] for j in range(size)]
+        every = F.transform(F.arrays_zip(*[x.alias(f"l{j}") for j, x in enumerate(shifts)]), lambda w, i: F.when(enough(parts(w)), run(i, parts(w))))
+        return F.filter(every, lambda x: x.isNotNull())
+
+    whole = lambda parts: F.lit(True)
+    passage = lambda parts: sum((x["words"] for x in parts[1:]), parts[0]["words"]) >= long_words
+    cut = frame.select("key", "digest", F.explode(F.concat(runs(window, whole), *[runs(size, passage) for size in ((1, 2) if pairs else (1,))])).alias("w"))
     return cut.select("key", "digest", "w.*").withColumn("fingerprint", F.array_min("lines"))
 
 
-def later_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 3, long_words: int = 50) -> DataFrame:
+def later_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 3, long_words: int = 50, pairs: bool = False) -> DataFrame:
     """(key, digest, runs, n_removed): by document, maximal runs (places of their first and last line) that repeat earlier ones."""
-    every = c.save(windows(docs, key, text, window, long_words), "windows")
+    every = c.save(windows(docs, key, text, window, long_words, pairs), "windows")
     # positions of fingerprints: the last least hash of each window
     position = F.col("start") + F.size("lines") - F.array_position(F.reverse("lines"), F.col("fingerprint"))
     places = every.select("fingerprint", F.struct("key", "digest", position.alias("at")).alias("place"))
@@ -79,9 +85,9 @@ def later_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", window:
     return runs.groupBy("key", "digest").agg(F.collect_list(F.struct("a", "b")).alias("runs"), F.sum("n").cast("bigint").alias("n_removed"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 3, long_words: int = 50) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 3, long_words: int = 50, pairs: bool = False) -> DataFrame:
     """All columns of ``docs`` in one struct ``row``, and text (what stays), n_lines, n_removed."""
-    runs = c.save(later_runs(docs, key, text, window, long_words), "line-runs").select(F.col("key").alias("k"), F.col("digest").alias("d"), "runs", "n_removed")
+    runs = c.save(later_runs(docs, key, text, window, long_words, pairs), "line-runs").select(F.col("key").alias("k"), F.col("digest").alias("d"), "runs", "n_removed")
     col = F.col(f"row.`{text}`")
     frame = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"))
     frame = frame.withColumns({"d0": F.xxhash64(col), "k0": F.col(f"row.`{key}`")})

@@ -196,6 +196,32 @@ def test_line_dedup(docs, texts, none):
     assert linededup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_of_two_line_passages(spark, none):
+    import corpus_pipeline as p
+
+    rng = random.Random(6)
+    a, b, c, short = prose(rng, 27), prose(rng, 35), prose(rng, 60), prose(rng, 22)
+    texts = ["\n".join([prose(rng, 5), a, "", b, prose(rng, 5)]), f"{a}\n{b}", f"{prose(rng, 9)}\n {a}\n{b}\t\nmy end", f"{a}\n{short}", f"{a}\n{short}", f"{b}\n{a}",
+             f"{c}\nits end", f"{prose(rng, 4)}\n{c}\nits end", f"its end\n{a}\n{b}\n{a}\n{b}", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc: r for r in linededup.dedup_lines(docs, pairs=True).selectExpr("row.doc_id as doc", "text", "n_lines", "n_removed").collect()}
+    seen = set()
+    for k, t in enumerate(texts):
+        lines = [(n, x.strip(" \t")) for n, x in enumerate((t or "").split("\n")) if x.strip(" \t")]
+        gone = set()
+        for s, size in itertools.product(range(len(lines)), (1, 2, 3)):
+            run = tuple(x for _, x in lines[s:s + size])
+            if len(run) == size and (size == 3 or sum(len(x.split()) for x in run) >= 50):
+                gone |= {n for n, _ in lines[s:s + size]} if run in seen else set()
+                seen.add(run)
+        assert (got[k].n_lines, got[k].n_removed) == (len(lines), len(gone)), k
+        assert got[k].text == (t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone))
+    assert [got[k].n_removed for k in range(9)] == [0, 2, 2, 0, 0, 0, 0, 2, 4]  # 27 + 22 words stay, a turned pair stays
+    base = docs.selectExpr("doc_id", "text", "length(text) as n_chars")
+    assert sorted(r.doc_id for r in p.line_dedup(spark, base, SF).collect()) == [0, 2, 3, 4, 5, 6, 7, 8, 9, 10]
+    assert linededup.dedup_lines(none, pairs=True).count() == 0
+
+
 def test_decontamination(spark, none):
     rng = random.Random(4)
     items = [prose(rng, 30), prose(rng, 40) + ".", None, "", "tiny"]
