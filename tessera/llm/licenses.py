@@ -5,7 +5,13 @@ whole text) is lower-cased and split into words of letters and digits; its set
 of word bigrams ``A`` is compared with the set ``B`` of every template:
 ``2 |A & B| / (|A| + |B|)``. A score of ``percent`` % or more needs
 ``|A| >= percent / (200 - percent) |B|`` and the reverse, so templates outside
-these size bounds are never intersected. Everything is an expression over one
+these size bounds are never intersected.
+
+A notice may also stand among other words of its line or paragraph. So every
+stretch of the whole text that starts and ends at a bigram of a template and is
+no longer than the size bound allows is compared with it in the same way; only
+templates with enough bigrams anywhere in the text are tried. The best score of
+a licence counts where no unit reaches as much. Everything is an expression over one
 row: no shuffle, no join, nothing to skew.
 
 Defined cases: null or empty texts have no licences; units of fewer than two
@@ -46,6 +52,34 @@ def bigrams(w):
     return F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
+def stretches(raw, known, percent: int):
+    """Array of (licence, permille): the best score of each template over stretches of the text, nulls where it is too low."""
+    def best(b, name, grams, hits):
+        need, span = -(-percent * len(b) // (200 - percent)), len(b) * (200 - percent) // percent
+
+        def score(own, s, e):
+            size = F.size(F.array_distinct(F.slice(grams, own[s]["at"] + 1, own[e]["at"] - own[s]["at"] + 1)))
+            same = F.size(F.array_distinct(F.transform(F.slice(own, s + 1, e - s + 1), lambda x: x["gram"])))
+            return F.floor(2000 * same / (size + len(b))).cast("int")
+
+        def top(own):
+            ends = lambda s: F.filter(F.sequence(s + (need - 1), F.least(F.size(own) - 1, s + (span - 1))), lambda e: own[e]["at"] - own[s]["at"] < span)
+            every = F.transform(F.sequence(F.lit(0), F.size(own) - need), lambda s: F.array_max(F.transform(ends(s), lambda e: score(own, s, e))))
+            return F.when(F.size(own) >= need, F.array_max(every))
+
+        found = F.transform(F.array(F.filter(hits, lambda x: x["gram"].isin(b))), top)[0]
+        return F.when(found >= 10 * percent, F.struct(F.lit(name).alias("licence"), found.alias("permille")))
+
+    every = sorted({g for _, b in known for g in b})
+    least = min(-(-percent * len(b) // (200 - percent)) for _, b in known)
+    pairs = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    places = lambda grams: F.filter(F.transform(grams, lambda g, i: F.when(g.isin(every), F.struct(g.alias("gram"), i.alias("at")))), lambda x: x.isNotNull())
+    tried = lambda grams, hits: F.when(F.size(hits) >= least, F.array(*[best(b, name, grams, hits) for name, b in known]))
+    # arrays of one element bind a value to a name, so that it is computed once
+    bound = F.transform(F.array(words(raw)), lambda w: F.transform(F.array(pairs(w)), lambda g: F.transform(F.array(places(g)), lambda h: tried(g, h))[0])[0])[0]
+    return F.filter(F.coalesce(bound, F.array().cast("array<struct<licence: string, permille: int>>")), lambda x: x.isNotNull())
+
+
 def template_bigrams() -> list[tuple[str, list[str]]]:
     """(name, sorted bigrams) of every template."""
     import re
@@ -59,7 +93,7 @@ def template_bigrams() -> list[tuple[str, list[str]]]:
 
 
 def scan(docs: DataFrame, text: str = "text", percent: int = 80) -> DataFrame:
-    """``docs`` and matches: sorted array of the distinct (licence, permille) that its units reach."""
+    """``docs`` and matches: sorted array of the distinct (licence, permille) that its units reach, and of better ones of stretches."""
     known = template_bigrams()
     least = min(len(b) for _, b in known) * percent // (200 - percent)
     most = max(len(b) for _, b in known) * (200 - percent) // percent + 1
@@ -76,4 +110,9 @@ def scan(docs: DataFrame, text: str = "text", percent: int = 80) -> DataFrame:
                  for name, b in known]
         return F.filter(F.array(*tests), lambda x: x.isNotNull() & (x["permille"] >= 10 * percent))
 
-    return docs.withColumn("matches", F.array_sort(F.array_distinct(F.flatten(F.transform(sets, against)))))
+    def joined(of_units, of_stretches):
+        better = F.filter(of_stretches, lambda x: ~F.exists(F.concat(of_units, of_stretches), lambda y: (y["licence"] == x["licence"]) & (y["permille"] > x["permille"])))
+        return F.array_sort(F.array_distinct(F.concat(of_units, better)))
+
+    found = F.transform(F.array(F.flatten(F.transform(sets, against))), lambda u: F.transform(F.array(stretches(raw, known, percent)), lambda s: joined(u, s))[0])[0]
+    return docs.withColumn("matches", found)

@@ -293,6 +293,17 @@ def test_licences(spark, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_licences_among_other_words(spark):
+    header = "".join(f"# {x}\n" for x in ("Copyright (C) 2020 Somebody", "This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by",
+                                          "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version.", "This program is distributed in the hope that it will be useful,",
+                                          "but WITHOUT ANY WARRANTY; without even the implied warranty of", "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."))
+    texts = ["The code of this project was released under the MIT License.", "This project is licensed under the MIT License - see the LICENSE file for details.", header,
+             "word " * 3000 + licenses.TEMPLATES["ISC"][0].replace("software", "fine software") + " word" * 3000, "free software under the terms of the contract, version 3"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: {m.licence: m.permille for m in r.matches} for r in licenses.scan(docs).collect()}
+    assert got[0] == got[1] == {"MIT": 1000} and got[2]["GPL-3.0"] == 1000 and 800 <= got[3]["ISC"] < 1000 and got[4] == {}
+
+
 def test_difference_cover():
     assert {(a - b) % suffixes.PERIOD for a in suffixes.COVER for b in suffixes.COVER if a != b} == set(range(1, suffixes.PERIOD))
 
