@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
-from . import chat, decontaminate, jaccard, licenses, linededup, packing, quality, secrets, suffixes, warc
+from . import chat, decontaminate, jaccard, licenses, linededup, packing, quality, secrets, spelling, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -156,8 +156,33 @@ from documents d left join m on m.doc_id = d.doc_id and m.permille >= 800 group
 """
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, each with the more frequent near word that it is a variant of."""
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+with recursive bits as (select list(list_reduce(list_prepend(i, range(0, 8)), lambda a, j: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) order by i) as tab from range(0, 256) t(i)),
+o as (select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents),
+d as (select doc_id, run, count(*) as times from o where length(run) >= 6 group by doc_id, run),
+b as (select *, flatten([case when unicode(x) < 128 then [cast(unicode(x) as bigint)] else [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] end
+                         for x in string_split(doc_id || ':' || run, '')]) as bytes from d),
+h as (select run, times, xor(list_reduce(list_prepend(cast(4294967295 as bigint), bytes), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) as h from b, bits),
+c as (select case when h % 199 = 0 then left(run, cast(h % length(run) as int)) || substr(run, cast(h % length(run) as int) + 2) else run end as word, times from h),
+w as materialized (select word, cast(sum(times) as bigint) as n from c where length(word) >= 6 group by word having sum(times) >= 5),
+v as (select word, n, unnest(range(1, length(word) + 1)) as i from w),
+s as (select word, n, left(word, i - 1) || '*' || substr(word, i + 1) as hole, left(word, i - 1) || substr(word, i + 1) as less from v),
+p as (select distinct a.word, b.word as near, b.n as near_n from s a join s b on a.hole = b.hole and a.word <> b.word
+      union select s.word, w.word, w.n from s join w on s.less = w.word union select w.word, s.word, s.n from s join w on s.less = w.word),
+k as (select word, count(*) as n_near, max(near_n) as near_n, min({'o': -near_n, 'near': near}).near as near from p group by word),
+f as materialized (select w.word, w.n, coalesce(n_near, 0) as n_near, case when near_n >= 5 * n then near end as form, case when near_n >= 5 * n then near_n end as form_n from w left join k on k.word = w.word),
+r as (select word, word as root, form as next from f union all select r.word, f.word, f.form from r join f on f.word = r.next)
+select f.word, form, r.root, n, n_near, form_n from f join r on r.word = f.word and r.next is null
+"""
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_warc_bundles, op3_secret_scan, op4_chat_format, op5_best_fit_packing, op6_line_dedup,
-                                   op7_benchmark_decontamination, op8_ngram_jaccard, op9_license_scan, op10_suffix_dedup)}
+                                   op7_benchmark_decontamination, op8_ngram_jaccard, op9_license_scan, op10_suffix_dedup, op13_spelling_variants)}
 #: op3, op5, op7 and op10 have none: SQL cannot express them, tests hold them against brute force.
 ORACLES = {"op1_quality_rules": OP1_SQL, "op2_warc_bundles": OP2_SQL, "op4_chat_format": OP4_SQL, "op6_line_dedup": OP6_SQL,
-           "op8_ngram_jaccard": OP8_SQL, "op9_license_scan": _op9_sql()}
+           "op8_ngram_jaccard": OP8_SQL, "op9_license_scan": _op9_sql(), "op13_spelling_variants": OP13_SQL}
