@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
-from . import chat, decontaminate, jaccard, licenses, linededup, packing, quality, secrets, spelling, suffixes, warc
+from . import chat, classifier, decontaminate, jaccard, licenses, linededup, negatives, packing, quality, secrets, spelling, suffixes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -156,6 +156,32 @@ from documents d left join m on m.doc_id = d.doc_id and m.permille >= 800 group
 """
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the labels that are not held out."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return classifier.classify(table(spark, sf_dir, "documents"), labels)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, for each of its positives."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+OP12_SQL = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+           from (select distinct vec_id, label, embedding from embeddings)
+           where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as score
+      from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, other_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5),
+n as (select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by score desc, other_id) as rank, other_id as negative_id, positive_score, score as negative_score
+      from p join s on s.anchor_id = p.anchor_id and not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n where rank <= 10
+"""
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents, each with the more frequent near word that it is a variant of."""
     return spelling.group_variants(table(spark, sf_dir, "documents"))
@@ -182,7 +208,7 @@ select f.word, form, r.root, n, n_near, form_n from f join r on r.word = f.word
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_warc_bundles, op3_secret_scan, op4_chat_format, op5_best_fit_packing, op6_line_dedup,
-                                   op7_benchmark_decontamination, op8_ngram_jaccard, op9_license_scan, op10_suffix_dedup, op13_spelling_variants)}
-#: op3, op5, op7 and op10 have none: SQL cannot express them, tests hold them against brute force.
+                                   op7_benchmark_decontamination, op8_ngram_jaccard, op9_license_scan, op10_suffix_dedup, op11_quality_classifier, op12_hard_negatives, op13_spelling_variants)}
+#: op3, op5, op7, op10 and op11 have none: SQL cannot express them, tests hold them against brute force, op11 also against held-out labels.
 ORACLES = {"op1_quality_rules": OP1_SQL, "op2_warc_bundles": OP2_SQL, "op4_chat_format": OP4_SQL, "op6_line_dedup": OP6_SQL,
-           "op8_ngram_jaccard": OP8_SQL, "op9_license_scan": _op9_sql(), "op13_spelling_variants": OP13_SQL}
+           "op8_ngram_jaccard": OP8_SQL, "op9_license_scan": _op9_sql(), "op12_hard_negatives": OP12_SQL, "op13_spelling_variants": OP13_SQL}
