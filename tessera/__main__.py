@@ -4,7 +4,7 @@
     python -m tessera performance-index FOAM_CSV WEIGHTS_CSV OUT [--days 14] [--model best] [--min-r2 0]
     python -m tessera half-life INPUT OUT [--method best] [--min-r2 0.8] [--key ID_COLUMN]
     python -m tessera stability INPUT OUT --key ID_COLUMN
-    python -m tessera lablog FOLDER OUT [--cols 12]
+    python -m tessera lablog FOLDER OUT [--cols N]
 
 INPUT is a CSV file/folder (read with encoding detection and cleaning) or a
 ``.parquet`` path; OUT is a folder that receives CSV (UTF-8 with BOM).
@@ -44,7 +44,7 @@ def main(argv=None) -> None:
     p = sub.add_parser("stability")
     p.add_argument("input"), p.add_argument("out"), p.add_argument("--key", required=True)
     p = sub.add_parser("lablog")
-    p.add_argument("folder"), p.add_argument("out"), p.add_argument("--cols", type=int, default=12)
+    p.add_argument("folder"), p.add_argument("out"), p.add_argument("--cols", type=int, default=None)
     a = ap.parse_args(argv)
 
     from .session import get_spark

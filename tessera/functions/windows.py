@@ -7,7 +7,10 @@ a per-(key, bucket) aggregate over a coarse bucket of the ordering column —
 a table with one row per bucket — gives each bucket its prefix from earlier
 buckets, and a window partitioned by (key, bucket) finishes the job inside
 the bucket. No window ever holds more than one bucket. ``positions`` numbers
-the rows of a whole table the same way, over range partitions.
+the rows of a whole table the same way, over range partitions. ``neighbours``
+gives every row values of the rows before and after it, and ``numbered`` its
+number in its key, also across the edges of the buckets: each bucket's first and
+last row and its row count are a table with one row per bucket.
 """
 
 from __future__ import annotations
@@ -53,3 +56,48 @@ def positions(df: DataFrame, order: str, out: str) -> DataFrame:
     inside = F.row_number().over(Window.partitionBy("__p").orderBy(order))
     return (parts.withColumn("__r", inside).join(starts, "__p")
             .withColumn(out, F.col("__start") + F.col("__r") - 1).drop("__p", "__r", "__start"))
+
+
+def neighbours(df: DataFrame, keys: list[str], order: str, values: dict[str, tuple[Column, int]], bucket_width: int = 100_000) -> DataFrame:
+    """Add columns that hold a value of the row before (-1) or after (1) in ``order``.
+
+    ``values`` maps a new column's name to (value, -1 or 1). Rows of one key are
+    dealt to buckets of the ``order`` column; inside a bucket ``lag`` and ``lead``
+    do the work, and a bucket's first and last rows look at the nearest bucket
+    that has rows. At the ends of a key the new columns are null.
+    """
+    d = df.withColumn("__b", F.floor(col(order) / F.lit(bucket_width)))
+    d = d.withColumns({f"__v_{n}": v for n, (v, _) in values.items()})
+    names = {step: [n for n, (_, s) in values.items() if s == step] for step in (-1, 1)}
+    edge = {-1: F.max_by, 1: F.min_by}  # the row before a bucket is the last one of an earlier bucket
+    sides = [step for step in (-1, 1) if names[step]]
+    per = d.groupBy(*keys, "__b").agg(*[edge[s](F.struct(*[f"__v_{n}" for n in names[s]]), order).alias(f"__e{i}") for i, s in enumerate(sides)])
+    across = Window.partitionBy(*keys).orderBy("__b")
+    per = per.select(*keys, "__b", *[(F.lag if s < 0 else F.lead)(f"__e{i}").over(across).alias(f"__h{i}") for i, s in enumerate(sides)])
+    per = per.select(*[col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__b").alias("__kb"), *[f"__h{i}" for i in range(len(sides))])
+    d = d.join(per, _same_bucket(keys), "left")
+    w = Window.partitionBy(*keys, "__b").orderBy(order)
+    for i, s in enumerate(sides):
+        # A row's struct of values is never null, so a null neighbour inside the bucket means its edge.
+        near = (F.lag if s < 0 else F.lead)(F.struct(*[f"__v_{n}" for n in names[s]])).over(w)
+        d = d.withColumn(f"__s{i}", F.coalesce(near, F.col(f"__h{i}")))
+    out = {n: F.col(f"__s{i}.__v_{n}") for i, s in enumerate(sides) for n in names[s]}
+    return d.select(*[col(x) for x in df.columns if x not in out], *[v.alias(n) for n, v in out.items()])
+
+
+def numbered(df: DataFrame, keys: list[str], order: str, out: str, bucket_width: int = 100_000) -> DataFrame:
+    """Add ``out`` = 1, 2, ... in ``order`` within each key, over buckets of the ``order`` column."""
+    d = df.withColumn("__b", F.floor(col(order) / F.lit(bucket_width)))
+    earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    per = d.groupBy(*keys, "__b").count().select(*[col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__b").alias("__kb"),
+                                                 F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("__before"))
+    d = d.join(per, _same_bucket(keys), "left")
+    inside = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(order))
+    return d.withColumn(out, F.col("__before") + inside).select(*[col(x) for x in df.columns if x != out], out)
+
+
+def _same_bucket(keys: list[str]) -> Column:
+    on = F.col("__b") == F.col("__kb")
+    for i, k in enumerate(keys):
+        on = on & col(k).eqNullSafe(F.col(f"__k{i}"))
+    return on

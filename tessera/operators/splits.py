@@ -2,21 +2,28 @@
 
 Randomness is a hash of (seed, row key, tag) — independent of partitioning,
 so a split is the same on a laptop and on a cluster and survives recomputation
-after an executor loss. Stratified variants cut each class at approximate
-quantiles of the hash (one grouped sketch aggregate with bounded memory, then
-a join against the small per-class table) instead of ranking rows inside a
-class window, so a class holding a third of the rows is never sorted in one
-task.
+after an executor loss. Exact sizes (stratified splits and folds, and the
+``exact`` forms of the plain ones) come from order statistics of a 60-bit hash:
+how many rows each class gives to each part is arithmetic on the class counts,
+the hash at that rank is the cut, found for all classes at once by
+``order_statistics``, and rows compare their own hash with the cuts of their
+class. No class is ranked in a window or sorted in one task. Rows that share a
+key share a hash and stay together.
 """
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+from itertools import accumulate
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import col, hash_u
+from ..functions.orderstats import order_statistics
 
 LOO_LIMIT = 500  # fixed value: leave-one-out is refused above this many rows
 
@@ -26,40 +33,90 @@ def row_key(*cols: str) -> Column:
     return F.concat_ws("|", *[col(c).cast("string") for c in cols])
 
 
-def train_test(df: DataFrame, key, test_size: float = 0.2, seed: int = 42) -> DataFrame:
-    """``is_test`` = hash-uniform(key) < test_size."""
-    return df.withColumn("is_test", hash_u(key, seed, "split") < F.lit(test_size))
+def hash_rank(key, seed: int, tag: str) -> Column:
+    """60 bits of md5(seed|key|tag) as a whole number: the order in which rows are dealt to parts."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), col(key).cast("string"), F.lit(tag)))
+    return F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint")
 
 
-def _class_cuts(df: DataFrame, key, label: str, probs: list[float], seed: int, tag: str) -> DataFrame:
-    u = hash_u(key, seed, tag)
-    return (df.select(col(label).alias("__cls"), u.alias("__u"))
-            .groupBy("__cls").agg(F.percentile_approx("__u", probs, 10000).alias("__cuts")))
+def train_test(df: DataFrame, key, test_size: float = 0.2, seed: int = 42, exact: bool = False) -> DataFrame:
+    """``is_test`` = hash-uniform(key) < test_size; with ``exact``, the
+    ceil(n · test_size) rows of lowest hash rank."""
+    if not exact:
+        return df.withColumn("is_test", hash_u(key, seed, "split") < F.lit(test_size))
+    n = df.count()
+    return _part(df, key, None, [(None, [math.ceil(n * test_size - 1e-9)])], seed, "split").withColumn("is_test", F.col("__part") == 0).drop("__part")
 
 
-def stratified_train_test(df: DataFrame, key, label: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
-    """T9 stratified: within each class the lowest ``test_size`` share of
-    hash values is the test set."""
-    cuts = _class_cuts(df, key, label, [test_size], seed, "split")
-    out = df.withColumn("__u", hash_u(key, seed, "split")).join(
-        cuts, col(label).eqNullSafe(F.col("__cls")), "left")  # one row per class
-    return out.withColumn("is_test", F.col("__u") <= F.col("__cuts")[0]).drop("__u", "__cls", "__cuts")
+def _class_counts(df: DataFrame, label) -> list[tuple]:
+    """(class, rows) in class order, null first: one row for each class."""
+    rows = df.groupBy(col(label).alias("c")).agg(F.count("*").alias("n")).orderBy("c").collect()
+    return [(r["c"], r["n"]) for r in rows]
 
 
-def kfold(df: DataFrame, key, k: int = 5, seed: int = 42) -> DataFrame:
-    """``fold`` = floor(hash-uniform(key) · k)."""
-    return df.withColumn("fold", F.floor(hash_u(key, seed, "fold") * k).cast("int"))
+def _part(df: DataFrame, key, label: str | None, sizes: list[tuple], seed: int, tag: str) -> DataFrame:
+    """``__part``: which part of its class a row falls into, the parts taking the given numbers of rows in hash order.
+
+    ``sizes`` lists (class, [rows of part 0, of part 1, ...]); what is left is one more part.
+    """
+    ranked = df.withColumn("__u", hash_rank(key, seed, tag))
+    kind = "string" if label is None else df.select(col(label)).schema[0].dataType.simpleString()
+    cls = F.lit(None).cast(kind) if label is None else col(label)
+    ends = [(c, i, e - 1) for c, parts in sizes for i, e in enumerate(accumulate(parts))]
+    ends = df.sparkSession.createDataFrame(ends, f"__cls {kind}, __part int, rank bigint")
+    found = order_statistics(ranked.select(cls.alias("__cls"), "__u"), ["__cls"], "__u", ends.select("__cls", "rank").distinct())
+    found = found.select(F.col("__cls").alias("__k"), F.col("rank").alias("__r"), "value")
+    cuts = ends.join(found, F.col("__cls").eqNullSafe(F.col("__k")) & (F.col("rank") == F.col("__r")), "left")
+    cuts = cuts.groupBy("__cls").agg(F.sort_array(F.collect_list(F.struct("__part", F.coalesce("value", F.lit(-1)).alias("u")))).alias("__cuts"))
+    cuts = cuts.select("__cls", F.col("__cuts.u").alias("__cuts"))  # one row for each class
+    out = ranked.join(F.broadcast(cuts), cls.eqNullSafe(F.col("__cls")), "left")
+    part = F.size(F.filter("__cuts", lambda c: c < F.col("__u")))
+    return out.withColumn("__part", part.cast("int")).drop("__u", "__cls", "__cuts")
+
+
+def stratified_train_test(df: DataFrame, key, label: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
+    """T9 stratified, to the row: the test set has ceil(n · test_size) rows.
+
+    Each class keeps the whole part of its share of the training rows; the rows
+    still missing go to the classes with the largest remainders (equal ones in
+    class order). Inside a class, the rows of lowest hash rank are the test set.
+    """
+    counts = _class_counts(df, label)
+    n = sum(k for _, k in counts)
+    train = n - math.ceil(n * test_size - 1e-9)
+    share = [Fraction(k * train, n) for _, k in counts]
+    keep = [math.floor(x) for x in share]
+    order = sorted(range(len(counts)), key=lambda i: (keep[i] - share[i], i))
+    for i in order[:train - sum(keep)]:
+        keep[i] += 1
+    sizes = [(c, [k - t]) for (c, k), t in zip(counts, keep)]
+    return _part(df, key, label, sizes, seed, "split").withColumn("is_test", F.col("__part") == 0).drop("__part")
+
+
+def kfold(df: DataFrame, key, k: int = 5, seed: int = 42, exact: bool = False) -> DataFrame:
+    """``fold`` = floor(hash-uniform(key) · k); with ``exact``, runs of
+    hash rank whose sizes differ by one at most (the first n mod k are larger)."""
+    if not exact:
+        return df.withColumn("fold", F.floor(hash_u(key, seed, "fold") * k).cast("int"))
+    n = df.count()
+    return _part(df, key, None, [(None, [n // k + (i < n % k) for i in range(k - 1)])], seed, "fold").withColumnRenamed("__part", "fold")
 
 
 def stratified_kfold(df: DataFrame, key, label: str, k: int = 5, seed: int = 42, task: str = "classification") -> DataFrame:
-    """Folds balanced within each class (classification only)."""
+    """Folds balanced within each class, to the row (classification only).
+
+    With the rows sorted by class, fold i takes the places i, i + k, i + 2k, ...:
+    that fixes how many rows of each class it gets, so that classes and folds
+    are both balanced to one row. Inside a class, folds follow the hash rank.
+    """
     if task != "classification":
         raise ValueError("balanced folds need classes; the task is not a classification")
-    cuts = _class_cuts(df, key, label, [i / k for i in range(1, k)], seed, "fold")
-    out = df.withColumn("__u", hash_u(key, seed, "fold")).join(
-        cuts, col(label).eqNullSafe(F.col("__cls")), "left")  # one row per class
-    fold = F.size(F.filter(F.col("__cuts"), lambda c: c < F.col("__u")))
-    return out.withColumn("fold", fold.cast("int")).drop("__u", "__cls", "__cuts")
+    sizes, at = [], 0
+    upto = lambda end, i: (end - i + k - 1) // k  # noqa: E731  (places i, i + k, ... below end)
+    for c, n in _class_counts(df, label):
+        sizes.append((c, [upto(at + n, i) - upto(at, i) for i in range(k - 1)]))
+        at += n
+    return _part(df, key, label, sizes, seed, "fold").withColumnRenamed("__part", "fold")
 
 
 def leave_one_out(df: DataFrame, key: str, n_rows: int | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import col, both, num, safe_corr
+from ..functions.orderstats import group_quantiles
 from ..functions.quantiles import quantile_values
 
 
@@ -93,9 +94,9 @@ def histogram(df: DataFrame, column: str, bins: int = 30, by: str | None = None)
 def box_stats(df: DataFrame, columns: list[str], by: str | None = None, standardise: bool = False,
               approx: bool = False) -> DataFrame:
     """Quartiles, whiskers at the most extreme values within 1.5·IQR of
-    the box, flier count; per column (and per class with ``by``). Quartiles of
-    whole columns are exact by narrowing. Per class they come from a value map
-    for each class, or with ``approx`` from a sketch of bounded memory."""
+    the box, flier count; per column (and per class with ``by``). Quartiles are
+    exact, by narrowing (whole columns) or by order statistics of all classes at
+    once; with ``approx`` they come from a sketch of bounded memory."""
     keys = [col(by).alias("group")] if by else []
     long = df.select(*keys, *[num(c).alias(c) for c in columns]).unpivot(
         ["group"] if by else [], columns, "column", "x").where(F.col("x").isNotNull())
@@ -103,10 +104,10 @@ def box_stats(df: DataFrame, columns: list[str], by: str | None = None, standard
     if standardise:
         m = long.groupBy(*g).agg(F.avg("x").alias("mu"), F.stddev_samp("x").alias("sd"))
         long = long.join(m, g).withColumn("x", F.try_divide(F.col("x") - F.col("mu"), F.col("sd"))).drop("mu", "sd")
-    pq = (F.percentile_approx("x", [0.25, 0.5, 0.75], 10000) if approx
-          else F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
-    if by or approx:
-        q = long.groupBy(*g).agg(pq.alias("q"))
+    if approx:
+        q = long.groupBy(*g).agg(F.percentile_approx("x", [0.25, 0.5, 0.75], 10000).alias("q"))
+    elif by:
+        q = group_quantiles(long, g, "x", [0.25, 0.5, 0.75])
     else:
         wide = long.select(*[F.when(F.col("column") == c, F.col("x")).alias(f"x{i}") for i, c in enumerate(columns)])
         qs = quantile_values(wide, wide.columns, [0.25, 0.5, 0.75])

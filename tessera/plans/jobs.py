@@ -47,10 +47,10 @@ def half_life_job(df: DataFrame, key: str, r2_threshold: float = 0.80, method: s
     return H.half_life(H.evaluate(d, r2_threshold), method).drop("pts", "lin", "expo", "quad")
 
 
-def lablog_job(spark, path: str, ncols: int = 12, out: str | None = None) -> tuple[DataFrame, DataFrame]:
+def lablog_job(spark, path: str, ncols: int | None = None, out: str | None = None) -> tuple[DataFrame, DataFrame]:
     """L10 over a folder of header-less lab logs (S4 → L1–L9 → S6)."""
     lines = L.read_log(spark, path, ncols)
-    multi, single = L.extraction_job(lines, ncols)
+    multi, single = L.extraction_job(lines, len(lines.columns) - 2)
     if out:
         S.write_csv(single, out.rstrip("/") + "/single", bom=True)
         S.write_csv(multi, out.rstrip("/") + "/multiple", bom=True)

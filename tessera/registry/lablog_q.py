@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import lablog as L
+from ..session import shared_path
 from ..sources import views as V
 from . import register
 
@@ -68,7 +69,7 @@ def _pos_sql(label):
 
 
 BASE_SQL = """
-with recursive k as (
+with k as (
   select *, lower(concat_ws(',', """ + ", ".join(f"coalesce({c}, '')" for c in CELLS) + """)) as txt,
     trim(coalesce(c0, 'nan')) as cell0,
     """ + " + ".join(f"cast({c} is not null as integer)" for c in CELLS) + """ as ncell,
@@ -84,12 +85,12 @@ n as (select *, lag(raw) over w as prev_raw, lag(txt) over w as prev_txt, lead(t
 kk as (select *, case when prev_raw = 'dilution' and not contains(prev_txt, 'foam') and contains(txt, 'foam')
                       then 'header_line' else raw end as kind from n),
 h as (select *, (kind = 'header_line' or (kind = 'dilution' and contains(txt, 'foam'))) as is_header from kk),
-c as (select *,
+c as materialized (select *,
    max(case when kind = 'formulation' then line_no end) over w as F,
    max(case when kind = 'dilution' then line_no end) over w as D,
    max(case when is_header then line_no end) over w as H
   from h window w as (partition by file order by line_no rows between unbounded preceding and current row)),
-form as (select file, line_no, cell0,
+form as materialized (select file, line_no, cell0,
    coalesce(case when regexp_matches(cell0, '\\((.*?)\\)') then trim(regexp_extract(cell0, '\\((.*?)\\)', 1)) end,
             'Sample_' || cast(row_number() over (partition by file order by line_no) as varchar)) as SampleID,
    """ + _flag_sql() + """
@@ -98,14 +99,14 @@ dil as (select file, line_no as D,
    upper(replace(regexp_extract(txt, '(?i)(\\d+\\s*x)', 1), ' ', '')) as base,
    list_filter([""" + ", ".join(SIDE) + """], lambda v: v is not null and lower(v) != 'nan') as side
   from c where kind = 'dilution'),
-dil2 as (select file, D,
+dil2 as materialized (select file, D,
    case when len(list_filter(side, lambda v: not contains(lower(v), 'ml'))) > 0
         then base || ' ' || array_to_string(list_filter(side, lambda v: not contains(lower(v), 'ml')), ' ')
         else base end as "Dilution Ratio",
    coalesce(list_filter(side, lambda v: contains(lower(v), 'ml'))[-1], '') as "Tube Volume (mL)" from dil),
-hdr as (select file, line_no as H, """ + ", ".join(
+hdr as materialized (select file, line_no as H, """ + ", ".join(
     f"{_pos_sql(lbl)} as \"pos_{lbl}\"" for lbl in L.VALUE_LABELS) + """ from c where is_header),
-day0 as (select c.*, """ + ", ".join(f"hdr.\"pos_{lbl}\"" for lbl in L.VALUE_LABELS) + """
+day0 as materialized (select c.*, """ + ", ".join(f"hdr.\"pos_{lbl}\"" for lbl in L.VALUE_LABELS) + """
   from c left join hdr on c.file = hdr.file and c.H = hdr.H where c.kind = 'day'),
 day1 as (select *, """ + ",\n    ".join(
     (f"case when trim(cells[coalesce(\"pos_{lbl}\", 1) + 1]) is not null and trim(cells[coalesce(\"pos_{lbl}\", 1) + 1]) != '' "
@@ -126,7 +127,7 @@ days as (select file, line_no, F, D, trim(cell0) as "Day", "v_Date" as "Date",
        then array_to_string(list_transform(list_filter(cells[coalesce("pos_Foam Texture", 0) + 2:],
                                                        lambda v: contains(v, '*')), lambda v: '*'), ', ') end as "Baseline"
   from day1),
-samples as (
+samples as materialized (
   select d.file, d.line_no, d."Day", d."Date", d."Foam (cc)", d."Foam Texture", d."Water (cc)", d."Zeta",
     d."Conductivity", d."Size", d."PI", d."Baseline", f.SampleID, f."Concentrate Stability (8C)",
     f."Concentrate Stability (4C)", f."Concentrate Stability (RT)", f."Concentrate Stability (HT)",
@@ -141,6 +142,18 @@ DAY_COLS = ["file", "line_no", "Day", "Date", "Foam (cc)", "Foam Texture", "Wate
             "Size", "PI", "Baseline", "SampleID", *FLAGS, "Dilution Ratio", "Tube Volume (mL)"]
 
 
+@register("s4_numbered_lines_lablog", views=("lab_log",), ops="S4",
+          sql="select 'file=' || file as file, row_number() over (partition by file order by line_no) - 1 as line_no, c0, c1, c2, c3, c4 from lab_log")
+def s4_q(spark, sf):
+    """The lab log written as header-less files and read back in numbered splits."""
+    log = V.lab_log(spark, sf)
+    path = shared_path(spark, "lab-logs")
+    text = F.to_csv(F.struct(*CELLS))
+    (log.repartition("file").sortWithinPartitions("file", "line_no").select("file", text.alias("value"))
+     .write.partitionBy("file").option("encoding", "UTF-8").text(path))
+    return L.read_log(spark, path).withColumn("file", F.regexp_extract("file", r"/(file=\d+)/", 1))
+
+
 @register("l7_day_records_lablog", views=("lab_log",), ops="L1 L2 L5 L6 L7 L8 X9 S4",
           sql=BASE_SQL + "select * from samples")
 def l7_q(spark, sf):

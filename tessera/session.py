@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "tessera", cpus: int | str = "*", shuffle_partitions: int | None = None,
@@ -42,10 +43,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     is unset, as in local tests, do we create one of our own.
     """
     sc = spark.sparkContext
-    d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not d:
+    d, now = sc.getConf().get("spark.checkpoint.dir", None), sc.getCheckpointDir()
+    if not (d or now):
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
-    sc.setCheckpointDir(d)
-    return d
+    if not now:
+        sc.setCheckpointDir(d)
+    return d or now
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and return the written table.
+
+    Cuts the lineage at files that survive a lost executor, and gives the
+    optimizer the table's true size (a small one is then broadcast from its
+    measured size, a large one is not).
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
