@@ -135,12 +135,11 @@ def _examples(docs: DataFrame, labelled: DataFrame, how: Ftrl) -> DataFrame:
     bits = how.bits
 
     def run(batches):
-        for batch in batches:
-            for part in c.slices([batch], 3):
-                j, x, sizes = features(_raw(part.column(3)), bits)
-                ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.ListArray.from_arrays(ends, pa.array(j, pa.int32())),
-                                                  pa.ListArray.from_arrays(ends, pa.array(x, pa.float32()))], names=["shard", "turn", "label", "j", "x"])
+        for part in c.slices(batches, 3):
+            j, x, sizes = features(_raw(part.column(3)), bits)
+            ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.ListArray.from_arrays(ends, pa.array(j, pa.int32())),
+                                              pa.ListArray.from_arrays(ends, pa.array(x, pa.float32()))], names=["shard", "turn", "label", "j", "x"])
 
     turn = F.xxhash64("doc_id", F.lit(2))
     rows = texts.select(F.pmod(turn, F.lit(how.shards)).cast("int").alias("shard"), turn.alias("turn"), "label", "text")
@@ -201,11 +200,10 @@ def score(docs: DataFrame, w: np.ndarray, key: str = "doc_id") -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
-            for part in c.slices([batch], 1):
-                j, x, sizes = features(_raw(part.column(1)), bits)
-                total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), w[j] * x, len(sizes)) + w[-1]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], names=["key", "score"])
+        for part in c.slices(batches, 1):
+            j, x, sizes = features(_raw(part.column(1)), bits)
+            total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), w[j] * x, len(sizes)) + w[-1]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], names=["key", "score"])
 
     return docs.select(F.col(key).alias("key"), F.col("text")).mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
 

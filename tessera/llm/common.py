@@ -9,16 +9,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: The six white-space bytes that separate words (fixed values of the word rule ``[^\x20\x09-\x0D]+``).
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes of text handled at a time inside a task.
-SLICE = 2 << 20
+SLICE = 512 << 10
 U64 = np.uint64
 
 
@@ -56,8 +58,46 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches, column: int = 0, limit: int = SLICE):
-    """Arrow batches cut into pieces whose ``column`` holds about ``limit`` bytes (one row at least)."""
+#: What a Python worker keeps from task to task, by name (see ``hold``).
+_held: dict[str, object] = {}
+
+
+def hold(name: str, make):
+    """``make()``, kept in this worker for further tasks that pass ``keep=name`` to ``slices``."""
+    if name not in _held:
+        _held[name] = make()
+    return _held[name]
+
+
+def release(keep: str | None = None) -> None:
+    """Give up what the worker holds but for ``keep``, and hand unused memory back to the system.
+
+    Workers outlive their tasks and stages; without this, what one stage needed
+    would count against the memory of all later ones.
+    """
+    for name in [n for n in _held if n != keep]:
+        del _held[name]
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not a C library that can
+        pass
+
+
+def slices(batches, column: int = 0, limit: int = SLICE, keep: str | None = None):
+    """Arrow batches cut into pieces whose ``column`` holds about ``limit`` bytes (one row at least).
+
+    Before the first and after the last piece, the worker releases what it does not need.
+    """
+    release(keep)
+    try:
+        yield from _cut(batches, column, limit)
+    finally:
+        release(keep)
+
+
+def _cut(batches, column: int, limit: int):
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -35,8 +35,8 @@ from . import common as c
 
 CAPACITY = 4096
 END_ID = 1
-#: Distinct white-space separated strings whose ids a task remembers.
-CACHE = 650_000
+#: Distinct white-space separated strings whose ids a worker remembers while it packs, and their bytes.
+CACHE, CACHE_BYTES = 650_000, 128 << 20
 
 
 #: A stop or comma between a letter and white space: the tokenizer takes it as a word of its own.
@@ -55,27 +55,19 @@ class Encoder:
 
     The tokenizer lower-cases, drops white space and never joins across it, so
     a text's ids are those of its white-space separated strings; each distinct
-    one is looked up once while it stays in the bounded cache, which a worker
-    keeps from task to task. New strings of letters, with at most one full stop
+    one is looked up once while it stays in the cache, which is bounded in strings
+    and bytes and which a worker keeps until it runs another kind of task. New strings of letters, with at most one full stop
     or comma behind them, go to the vocabulary's own merges as one word; all
     others are encoded together and told apart by their offsets.
     """
 
-    shared: dict[str, "Encoder"] = {}
-
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str, cache: int = CACHE, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
-        self.tok, self.known, self.cache = Tokenizer.from_file(path), {}, cache
+        self.tok, self.known, self.cache, self.cache_bytes, self.size = Tokenizer.from_file(path), {}, cache, cache_bytes, 0
         self.model, self.letters = self.tok.model, _byte_letters()
         self.tails = {t: np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in ".,"} | {"": b""}
 
-    @classmethod
-    def of(cls, path: str) -> "Encoder":
-        if path not in cls.shared:
-            cls.shared[path] = cls(path)
-        return cls.shared[path]
-
     def _word(self, word: str) -> bytes:
         as_letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(as_letters)]).tobytes()
@@ -108,10 +100,12 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self._strings(t or "") for t in texts]
-        if len(self.known) > self.cache:
-            self.known = {}
+        if len(self.known) > self.cache or self.size > self.cache_bytes:
+            self.known, self.size = {}, 0
         known = self.known
-        self._learn(set().union(*split).difference(known))
+        new = set().union(*split).difference(known)
+        self._learn(new)
+        self.size += sum(200 + len(w) + len(known[w]) for w in new)  # two objects and a place in the table beside their bytes
         end = np.array([END_ID], "<u4").tobytes()
         return [b"".join([*map(known.__getitem__, ws), end]) for ws in split]
 
@@ -121,8 +115,10 @@ def tokenise(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: st
     fields = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids
 
     def run(batches):
-        encoder = Encoder.of(tokenizer_path)
-        for part in c.slices(batches):
+        name = f"encoder {tokenizer_path}"
+        pieces = c.slices(batches, keep=name)
+        encoder = c.hold(name, lambda: Encoder(tokenizer_path))
+        for part in pieces:
             keys, rows, step = [], [], 4 * capacity
             for i, ids in enumerate(encoder.encode(part.column(0).to_pylist())):
                 for p, at in enumerate(range(0, len(ids), step)):
