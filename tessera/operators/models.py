@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import time
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Callable
 
 import numpy as np
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import col
+from . import gram as GR
 from . import metrics as VM
 
 SEED = 42
@@ -212,6 +214,19 @@ def predict(f: Fitted, df: DataFrame, keep: list[str] | None = None, digits: int
     return out.select(*cols)
 
 
+#: Learners whose validation needs no fit for each fold, size or penalty (see ``gram``).
+LINEAR = ("LinearRegression", "Ridge")
+
+
+def _alpha(name: str, params: dict | None) -> float:
+    return float({**REGISTRY[name].defaults, **(params or {})}.get("alpha", 0.0)) if name == "Ridge" else 0.0
+
+
+def default_metrics(task: str) -> list[str]:
+    """Scores of a cross-validation that names none."""
+    return ["accuracy", "f1", "roc_auc"] if task == "classification" else ["r2", "neg_mse", "neg_mae"]
+
+
 #: Distinct rows in a block of either side of the k-NN search, and queries compared with a training block at a time.
 KNN_BLOCK, KNN_SLICE = 8192, 512
 
@@ -270,7 +285,7 @@ def knn_predict(f: Fitted, df: DataFrame, keep: list[str]) -> DataFrame:
     return rows.join(best.withColumnRenamed("x", "__x"), "__x", "left").select(*[col(c) for c in keep], "__prediction__")
 
 
-CLASS_METRICS = ("accuracy", "f1")
+CLASS_METRICS = ("accuracy", "f1", "roc_auc")
 VALUE_METRICS = ("r2", "mae", "mse", "rmse", "neg_mae", "neg_mse", "neg_rmse")
 
 
@@ -281,7 +296,10 @@ def _known(metric: str, names: tuple) -> str:
 
 
 def score(f: Fitted, df: DataFrame, metric: str) -> float:
-    """Score a fitted model on rows: accuracy / f1 (weighted) for classes, r2, mae, mse, rmse (or neg_...) for values."""
+    """Score a fitted model on rows: accuracy, f1 (weighted) or roc_auc (one class against the rest, weighted by
+    their rows; of two classes the second's) for classes, r2, mae, mse, rmse (or neg_...) for values."""
+    if f.task == "classification" and metric == "roc_auc":
+        return _roc_auc(f, df)
     pred = predict(f, df, keep=[f.label])
     if f.task == "classification":
         w = VM.weighted_scores(pred.withColumn(f.label, F.col(f.label).cast("string")), f.label, "__prediction__").first()
@@ -291,11 +309,34 @@ def score(f: Fitted, df: DataFrame, metric: str) -> float:
     return float(-m[name.removeprefix("neg_")] if name.startswith("neg_") else m[name])
 
 
+def _roc_auc(f: Fitted, df: DataFrame) -> float:
+    """From class probabilities or, for learners without them, from raw scores; NaN where a learner has neither."""
+    if f.model is None:
+        return math.nan
+    out = f.model.transform(df.withColumn(f.label, col(f.label).cast("string")))
+    raw = next((c for c in ("probability", "rawPrediction") if c in out.columns), None)
+    if raw is None:
+        return math.nan
+    s = vector_to_array(raw)
+    wide = out.select(col(f.label).alias("label"), *[s[i].alias(f"s{i}") for i in range(len(f.classes))])
+    if len(f.classes) == 2:
+        got = VM.auc(wide, "label", "s1", f.classes[1]).first()[0]
+    else:
+        got = VM.auc_ovr(wide, "label", {c: f"s{i}" for i, c in enumerate(f.classes)}).first()[0]
+    return math.nan if got is None else float(got)
+
+
 def run_validation(df: DataFrame, features: list[str], label: str, name: str, fold_col: str | None = None,
                    test_col: str | None = None, metric: str = "accuracy", params: dict | None = None) -> dict:
     """train/test (``test_col``) or CV over ``fold_col``: scores, mean,
-    std (ddof 0); CV refits on all rows for the saved model."""
+    std (ddof 0); CV refits on all rows for the saved model. The folds of
+    linear models come from one aggregate."""
     t0 = time.perf_counter()
+    if fold_col is not None and test_col is None and name in LINEAR and _known(metric, VALUE_METRICS).endswith(("r2", "mse")):
+        got = GR.held_out(GR.moments(df, features, label, [fold_col]), [_alpha(name, params)])
+        scores = [s[metric] for _, _, s, _ in got]
+        return {"model": fit(df, features, label, name, params), "scores": scores, "mean": float(np.mean(scores)),
+                "std": float(np.std(scores)), "scoring": metric, "seconds": time.perf_counter() - t0}
     df = df.persist()
     scores = []
     try:
@@ -315,9 +356,17 @@ def run_validation(df: DataFrame, features: list[str], label: str, name: str, fo
 
 
 def cross_validate(df: DataFrame, features: list[str], label: str, name: str, fold_col: str,
-                   metrics: list[str], params: dict | None = None) -> DataFrame:
-    """Fold × metric long table → (metric, mean, std, values)."""
+                   metrics: list[str] | None = None, params: dict | None = None) -> DataFrame:
+    """Fold × metric long table → (metric, mean, std, values); without
+    ``metrics``, the default scores of the task. Linear models need one
+    aggregate for all folds (and one more scan for mean absolute errors)."""
     spark = df.sparkSession
+    metrics = metrics or default_metrics(REGISTRY[name].task)
+    if name in LINEAR:
+        got = GR.held_out(GR.moments(df, features, label, [fold_col]), [_alpha(name, params)])
+        mae = GR.mean_absolute_errors(df, features, label, fold_col, {k: f for k, _, _, f in got}) if {"mae", "neg_mae"} & set(metrics) else {}
+        rows = [(m, int(k), {**s, "mae": mae.get(k), "neg_mae": -mae[k] if mae else None}[_known(m, VALUE_METRICS)]) for k, _, s, _ in got for m in metrics]
+        return _summary(spark, rows)
     df = df.persist()
     rows = []
     try:
@@ -328,6 +377,10 @@ def cross_validate(df: DataFrame, features: list[str], label: str, name: str, fo
                 rows.append((m, int(k), score(f, test, m)))
     finally:
         df.unpersist()
+    return _summary(spark, rows)
+
+
+def _summary(spark, rows: list[tuple]) -> DataFrame:
     long = spark.createDataFrame(rows, "metric string, fold int, value double")
     return long.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
                                       F.sort_array(F.collect_list(F.struct("fold", "value"))).alias("values"))
@@ -335,11 +388,18 @@ def cross_validate(df: DataFrame, features: list[str], label: str, name: str, fo
 
 def grid_search(df: DataFrame, features: list[str], label: str, name: str, fold_col: str,
                 grid: dict | None = None) -> tuple:
-    """CrossValidator over the declared grid with the given fold column."""
+    """(best model, [(parameters, mean score)]) over the declared grid with
+    the given fold column; r2 for values, accuracy for classes. Every penalty of
+    a ridge and every fold come from one aggregate."""
     spec = REGISTRY[name]
     if spec.make is None:
         raise ValueError(f"{name} has no grid: it has no estimator to cross-validate")
     grid = grid or spec.grid
+    if name == "Ridge" and set(grid) == {"alpha"}:
+        got = GR.held_out(GR.moments(df, features, label, [fold_col]), [float(a) for a in grid["alpha"]])
+        res = [(f"alpha={a:g}", float(np.mean([s["r2"] for _, b, s, _ in got if b == a]))) for a in map(float, grid["alpha"])]
+        best = max(range(len(res)), key=lambda i: res[i][1])
+        return fit(df, features, label, name, {"alpha": grid["alpha"][best]}), res
     y = col(label).cast("string" if spec.task == "classification" else "double")
     n, folds, classes, sd = df.agg(F.count(F.lit(1)), F.max(col(fold_col)) + 1, F.count_distinct(y) if spec.task == "classification" else F.lit(0),
                                    F.stddev_pop(y) if spec.task != "classification" else F.lit(1.0)).first()
@@ -366,19 +426,28 @@ def grid_search(df: DataFrame, features: list[str], label: str, name: str, fold_
     if spec.task == "classification":
         stages.insert(0, StringIndexer(inputCol=label, outputCol="__label", stringOrderType="alphabetAsc"))
     pre = Pipeline(stages=stages).fit(df)
-    data = pre.transform(df)
+    data = pre.transform(df).persist()  # read once for every fold and point
     cv = CrossValidator(estimator=est, estimatorParamMaps=pgb.build(), evaluator=ev, numFolds=folds, foldCol=fold_col, seed=SEED)
-    model = cv.fit(data)
+    try:
+        model = cv.fit(data)
+    finally:
+        data.unpersist()
     return model, list(zip([str(m) for m in pgb.build()], model.avgMetrics))
 
 
 def learning_curve(df: DataFrame, features: list[str], label: str, name: str, fold_col: str, key,
                    metric: str = "r2", sizes: int = 8) -> DataFrame:
     """Train sizes 10 %..100 % (hash-nested subsets of each training
-    fold) × folds → train and validation score mean ± std."""
+    fold) × folds → train and validation score mean ± std. Linear models need
+    one aggregate for all sizes and folds."""
     from ..functions.core import hash_u
     spark = df.sparkSession
     fracs = [0.1 + 0.9 * i / (sizes - 1) for i in range(sizes)]
+    if name in LINEAR and _known(metric, VALUE_METRICS).endswith(("r2", "mse")):
+        first = reduce(lambda a, i: F.when(F.col("__u") < fracs[i], F.lit(i)).otherwise(a), reversed(range(sizes)), F.lit(sizes))
+        steps = df.withColumn("__u", hash_u(key, SEED, "lc")).withColumn("__step", first)
+        got = GR.sizes_curve(GR.moments(steps, features, label, [fold_col, "__step"]), _alpha(name, None), sizes, metric)
+        return _curve(spark, [(fracs[i], int(k), a, b) for i, k, a, b in got])
     df = df.withColumn("__u", hash_u(key, SEED, "lc")).persist()
     rows = []
     try:
@@ -390,6 +459,10 @@ def learning_curve(df: DataFrame, features: list[str], label: str, name: str, fo
                 rows.append((frac, int(k), score(f, tr, metric), score(f, df.where(col(fold_col) == k), metric)))
     finally:
         df.unpersist()
+    return _curve(spark, rows)
+
+
+def _curve(spark, rows: list[tuple]) -> DataFrame:
     long = spark.createDataFrame(rows, "size double, fold int, train double, valid double")
     return long.groupBy("size").agg(F.avg("train").alias("train_mean"), F.stddev_pop("train").alias("train_std"),
                                     F.avg("valid").alias("valid_mean"), F.stddev_pop("valid").alias("valid_std"))

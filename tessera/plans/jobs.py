@@ -20,6 +20,7 @@ from ..operators import explain as N
 from ..operators import features as G
 from ..operators import halflife as H
 from ..operators import lablog as L
+from ..operators import trees as X
 from ..operators import metrics as VM
 from ..operators import models as T
 from ..operators import performance as P
@@ -65,7 +66,6 @@ class AutoMLConfig:
     max_depth: int | None = None
     test_size: float = 0.2
     seed: int = 42
-    permutations: int = 16
     max_target: float = 1e5  # M6: larger targets are taken for errors
     task: str = "regression"  # or "classification"
 
@@ -76,7 +76,7 @@ def automl(df: DataFrame, key: str, target: str, groups: dict[str, list[str]], c
     """Group sums (G6), pair winners (G14), role nulls (M5), target
     clean (M6), method one-hot (E1), scaling fitted on train (E6), random
     forest (T3), hold-out metrics (V9; classes: V1, V2), importance by
-    attribution (N1, N2): of two classes the second one's, of more the mean
+    exact attribution over all training rows (N1, N2): of two classes the second one's, of more the mean
     absolute attribution over classes."""
     cfg = cfg or AutoMLConfig()
     spark = df.sparkSession
@@ -102,12 +102,11 @@ def automl(df: DataFrame, key: str, target: str, groups: dict[str, list[str]], c
     if classes:
         metrics = VM.weighted_scores(pred, target, "__prediction__")
         of = [1] if len(f.classes) == 2 else range(len(f.classes))
-        parts = [N.permutation_attributions(f.model, train, feats, key, cfg.permutations, cfg.seed, "probability", i)
-                 for i in of]
+        parts = [X.tree_attributions(X.node_tables(f.model, spark, i), train, feats, key) for i in of]
         attr = reduce(DataFrame.unionByName, parts)  # importance() averages the absolute values over all of them
     else:
         metrics = VM.regression_metrics(pred, target, "__prediction__")
-        attr = N.permutation_attributions(f.model, train, feats, key, cfg.permutations, cfg.seed, "__pred")
+        attr = X.tree_attributions(X.node_tables(f.model, spark), train, feats, key)
     return {"metrics": metrics, "pair_report": report, "importance": N.importance(attr), "predictions": pred,
             "features": spark.createDataFrame([(c,) for c in feats], "feature string")}
 

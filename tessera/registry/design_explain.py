@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.core import col
 from ..operators import design as D
 from ..operators import explain as N
 from ..operators import models as T
+from ..operators import trees as X
+from ..session import shared_table
 from ..sources import views as V
 from ..sources.tables import table
 from . import register
@@ -255,3 +258,68 @@ def n8_q(spark, sf):
     attr = N.permutation_attributions(f.model, d, V.CHEM_COLS, "id", n_perm=4, output="__pred")
     by = attr.join(d.select("id", "method"), "id")
     return N.top_per_class(N.importance(by, "method"), "method", 3)
+
+
+def _given_tree(spark, sf):
+    """A small tree over lineitem with node counts from the data, and the rows with the key and the class."""
+    li = table(spark, sf, "lineitem").select(F.monotonically_increasing_id().alias("id"), "l_returnflag", "l_linestatus",
+                                             F.col("l_quantity").cast("double").alias("l_quantity"), F.col("l_discount").cast("double").alias("l_discount"),
+                                             F.col("l_tax").cast("double").alias("l_tax"))
+    left = F.col("l_quantity") <= 25
+    r = li.agg(F.count("*"), F.count_if(left), F.count_if(left & (F.col("l_discount") <= 0.05)), F.count_if(~left & (F.col("l_tax") <= 0.03))).first()
+    n, a, aa, ba = (float(x) for x in r)
+    tree = X.Tree(feature=np.array([0, 1, -1, -1, 2, -1, -1]), threshold=np.array([25, 0.05, 0, 0, 0.03, 0, 0]), left=np.array([1, 2, -1, -1, 5, -1, -1]),
+                  right=np.array([4, 3, -1, -1, 6, -1, -1]), cover=np.array([n, a, aa, a - aa, n - a, ba, n - a - ba]), value=np.array([0, 0, 1.0, 4.0, 0, 9.0, -2.0]))
+    li = shared_table(li, "rows")  # the key is a row number: it must be the same in every use
+    return li, X.tree_attributions([tree], li, ["l_quantity", "l_discount", "l_tax"], "id")
+
+
+# A leaf with two features a and b on its path gives a: value * (o_a - z_a) * (z_b + o_b) / 2.
+TREE_SQL = """with d as (select l_returnflag, cast(l_quantity as double) as l_quantity, cast(l_discount as double) as l_discount, cast(l_tax as double) as l_tax,
+  cast(l_quantity <= 25 as double) as q, cast(l_discount <= 0.05 as double) as a, cast(l_tax <= 0.03 as double) as b from lineitem),
+z as (select avg(q) as zq, sum(q * a) / sum(q) as za, sum((1 - q) * b) / sum(1 - q) as zb from d),
+w as (select d.*, (q - zq) * ((za + a) / 2 + 4 * (2 - za - a) / 2) + (zq - q) * (9 * (zb + b) / 2 - 2 * (2 - zb - b) / 2) as pq,
+  -3 * (a - za) * (zq + q) / 2 as pa, 11 * (b - zb) * (2 - zq - q) / 2 as pb from d, z),
+attr as (select l_returnflag, f.feature, f.x as value, f.phi as attribution
+  from w, lateral (values ('l_quantity', l_quantity, pq), ('l_discount', l_discount, pa), ('l_tax', l_tax, pb)) f(feature, x, phi))
+"""
+
+
+@register("n1_tree_attribution_given_tree", digits={"mean": 9, "importance": 9, "least": 9, "most": 9, "mean_value": 9}, ops="N1 N2",
+          sql=TREE_SQL + """select l_returnflag, feature, count(*) as n, avg(attribution) as mean, avg(abs(attribution)) as importance, min(attribution) as least, max(attribution) as most,
+  avg(value) as mean_value from attr group by all""")
+def n1t_q(spark, sf):
+    li, attr = _given_tree(spark, sf)
+    out = attr.join(li.select("id", "l_returnflag"), "id").groupBy("l_returnflag", "feature")
+    return out.agg(F.count("*").alias("n"), F.avg("attribution").alias("mean"), F.avg(F.abs("attribution")).alias("importance"), F.min("attribution").alias("least"),
+                   F.max("attribution").alias("most"), F.avg("value").alias("mean_value"))
+
+
+@register("n8_top_features_given_tree", digits={"importance": 9}, ops="N8 N2",
+          sql=TREE_SQL + """, i as (select l_returnflag, feature, avg(abs(attribution)) as importance from attr group by all)
+select l_returnflag, feature, importance, cast(row_number() over (partition by l_returnflag order by importance desc, feature) as int) as rank from i
+qualify rank <= 2""")
+def n8t_q(spark, sf):
+    li, attr = _given_tree(spark, sf)
+    return N.top_per_class(N.importance(attr.join(li.select("id", "l_returnflag"), "id"), "l_returnflag"), "l_returnflag", 2)
+
+
+@register("n4_partner_given_tree", digits={"abs_r": 9}, ops="N4",
+          sql=TREE_SQL + """select partner, abs_r from (select 'l_discount' as partner, abs(corr(l_discount, pq)) as abs_r from w union all select 'l_tax', abs(corr(l_tax, pq)) from w)
+order by abs_r desc, partner limit 1""")
+def n4t_q(spark, sf):
+    li, attr = _given_tree(spark, sf)
+    return N.partner_feature(attr, "l_quantity", li, ["l_discount", "l_tax"])
+
+
+def _rf_full(spark, sf):
+    d = V.chem_wide(spark, sf).select("id", "method", "target", *[F.coalesce(col(x), F.lit(0.0)).alias(x) for x in V.CHEM_COLS])
+    return d, T.fit(d, V.CHEM_COLS, "target", "RandomForestRegressor", {"max_depth": 6})
+
+
+@register("n1_tree_attribution_rf", ops="N1 N2 N8 T3")
+def n1f_q(spark, sf):
+    """Exact attributions of a forest of 100 trees, all rows, with the mean by method."""
+    d, f = _rf_full(spark, sf)
+    attr = X.tree_attributions(X.node_tables(f.model, spark), d, V.CHEM_COLS, "id")
+    return N.top_per_class(N.importance(attr.join(d.select("id", "method"), "id"), "method"), "method", 3)

@@ -228,7 +228,7 @@ def t18_q(spark, sf):
     c = V.chem_wide(spark, sf)
     out = automl(c, "id", "target", {"anionic": ["c1", "c2"], "nonionic": ["c3", "c4"]}, [],
                  [("c1", "c2"), ("c3", "c4")], method_col="method",
-                 cfg=AutoMLConfig(n_estimators=20, max_depth=8, permutations=4, max_target=float("inf")))  # prices are no measurements
+                 cfg=AutoMLConfig(n_estimators=20, max_depth=8, max_target=float("inf")))  # prices are no measurements
     return out["metrics"]
 
 

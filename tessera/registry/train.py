@@ -37,22 +37,73 @@ def t10_q(spark, sf):
     return SP.kfold(V.chem_wide(spark, sf).select("id"), "id", 5)
 
 
-@register("t9_stratified_split_sizes_lineitem", ops="T9")
+def _li_key(spark, sf):
+    return (table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"),
+            SP.row_key("l_orderkey", "l_linenumber", "l_partkey"))
+
+
+def _rank_sql(tag: str) -> str:
+    """60 bits of the hash that orders rows, for the lineitem row key."""
+    return f"cast('0x' || substr(md5(concat_ws('|', '42', concat_ws('|', l_orderkey, l_linenumber, l_partkey), '{tag}')), 1, 15) as bigint)"
+
+
+# Training rows of each class: the whole part of its share, the rest to the largest remainders.
+SPLIT_SQL = """with c as (select l_returnflag, count(*) as n from lineitem group by all),
+t as (select sum(n) as total, sum(n) - cast(ceil(sum(n) * 0.2) as bigint) as train from c),
+a as (select l_returnflag, n, cast(n * train // total as bigint) as whole, n * train % total as rest, train from c, t),
+k as (select l_returnflag, n, whole + cast(row_number() over (order by rest desc, l_returnflag) <= train - sum(whole) over () as int) as keep from a)
+"""
+# Fold i takes the places i, i + 5, ... of the rows sorted by class.
+FOLD_SQL = """with c as (select l_returnflag, count(*) as n, sum(count(*)) over (order by l_returnflag) - count(*) as lo from lineitem group by l_returnflag),
+k as (select l_returnflag, i, cast((lo + n - i + 4) // 5 - (lo - i + 4) // 5 as bigint) as n from c, range(5) r(i))
+"""
+
+
+@register("t9_stratified_split_sizes_lineitem", ops="T9",
+          sql=SPLIT_SQL + "select l_returnflag, is_test, cast(case when is_test then n - keep else keep end as bigint) as n from k, (values (true), (false)) v(is_test)")
 def t9s_q(spark, sf):
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
-    key = SP.row_key("l_orderkey", "l_linenumber", "l_partkey")
+    li, key = _li_key(spark, sf)
     out = SP.stratified_train_test(li, key, "l_returnflag", 0.2)
     return out.groupBy("l_returnflag", "is_test").agg(F.count("*").alias("n"))
 
 
-@register("t11_stratified_kfold_sizes_lineitem", ops="T11")
+@register("t9_stratified_split_rows_lineitem", ops="T9",
+          sql=SPLIT_SQL + f"""select l_orderkey, l_linenumber, l_partkey, l.l_returnflag, row_number() over (partition by l.l_returnflag order by {_rank_sql('split')}) <= n - keep as is_test
+from lineitem l join k on k.l_returnflag = l.l_returnflag""")
+def t9r_q(spark, sf):
+    li, key = _li_key(spark, sf)
+    return SP.stratified_train_test(li, key, "l_returnflag", 0.2)
+
+
+@register("t9_exact_split_orders", ops="T9",
+          sql="""select o_orderkey, row_number() over (order by cast('0x' || substr(md5(concat_ws('|', '42', cast(o_orderkey as varchar), 'split')), 1, 15) as bigint))
+   <= ceil((select count(*) from orders) * 0.3) as is_test from orders""")
+def t9e_q(spark, sf):
+    return SP.train_test(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 0.3, exact=True)
+
+
+@register("t11_stratified_kfold_sizes_lineitem", ops="T11",
+          sql=FOLD_SQL + "select l_returnflag, cast(i as int) as fold, n from k")
 def t11_q(spark, sf):
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
-    key = SP.row_key("l_orderkey", "l_linenumber", "l_partkey")
+    li, key = _li_key(spark, sf)
     out = SP.stratified_kfold(li, key, "l_returnflag", 5)
     return out.groupBy("l_returnflag", "fold").agg(F.count("*").alias("n"))
 
 
+@register("t11_stratified_kfold_rows_lineitem", ops="T11",
+          sql=FOLD_SQL + f""", e as (select l_returnflag, i, sum(n) over (partition by l_returnflag order by i) as upto, n from k),
+r as (select l_orderkey, l_linenumber, l_partkey, l_returnflag, row_number() over (partition by l_returnflag order by {_rank_sql('fold')}) as r from lineitem)
+select l_orderkey, l_linenumber, l_partkey, r.l_returnflag, cast(i as int) as fold from r join e on e.l_returnflag = r.l_returnflag and r <= upto and r > upto - n""")
+def t11r_q(spark, sf):
+    li, key = _li_key(spark, sf)
+    return SP.stratified_kfold(li, key, "l_returnflag", 5)
+
+
+@register("t12_row_folds_orders", ops="T12", sql="select o_orderkey, o_orderkey as fold from orders")
+def t12r_q(spark, sf):
+    return SP.row_folds(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
+
+
 @register("t12_leave_one_out_nation", ops="T12",
           sql="select n_nationkey, n_nationkey as fold from nation")
 def t12_q(spark, sf):
@@ -162,7 +213,55 @@ def t17_q(spark, sf):
 @register("t19_learning_curve_linear", ops="T19")
 def t19_q(spark, sf):
     d = SP.kfold(_reg_frame(spark, sf), "id", 3)
-    return T.learning_curve(d, V.CHEM_COLS, "target", "LinearRegression", "fold", "id", "r2", sizes=4)
+    return T.learning_curve(d, V.CHEM_COLS, "target", "LinearRegression", "fold", "id", "r2")
+
+
+def _gram_frame(spark, sf, k):
+    li = table(spark, sf, "lineitem")
+    d = li.select(SP.row_key("l_orderkey", "l_linenumber", "l_partkey").alias("id"), F.col("l_quantity").alias("x1"), F.col("l_discount").alias("x2"),
+                  F.col("l_extendedprice").alias("y"))
+    return SP.kfold(d, "id", k)
+
+
+def _gram_sql(k: int, alphas: str, steps: str = "(values (0, 2.0)) s(step, frac)") -> str:
+    """Two-feature ridge of every fold, penalty and size step by closed form, with its squared-error scores: table ``m``."""
+    key = "concat_ws('|', l_orderkey, l_linenumber, l_partkey)"
+    return f"""with d as (select l_quantity as x1, l_discount as x2, l_extendedprice as y, cast(floor({_hash_sql(key, 42, 'fold')} * {k}) as int) as fold, {_hash_sql(key, 42, 'lc')} as u from lineitem),
+g as (select fold as f, step, frac from (select distinct fold from d), {steps}),
+t as (select f, step, frac, count(*) as n, avg(x1) as m1, avg(x2) as m2, avg(y) as my, count(*) * var_pop(x1) as s11, count(*) * var_pop(x2) as s22, count(*) * covar_pop(x1, x2) as s12,
+        count(*) * covar_pop(x1, y) as s1, count(*) * covar_pop(x2, y) as s2 from g join d on d.fold <> g.f and u < frac group by all),
+b as (select f, step, frac, alpha, m1, m2, my, (s1 * (s22 + alpha) - s2 * s12) / ((s11 + alpha) * (s22 + alpha) - s12 * s12) as b1, (s2 * (s11 + alpha) - s1 * s12) / ((s11 + alpha) * (s22 + alpha) - s12 * s12) as b2 from t, {alphas}),
+p as (select f, step, alpha, fold = f as held, y, my + b1 * (x1 - m1) + b2 * (x2 - m2) as p from b join d on fold = f or u < frac),
+m as (select f, step, alpha, held, 1 - sum((y - p) * (y - p)) / (count(*) * var_pop(y)) as r2, avg((y - p) * (y - p)) as mse, avg(abs(y - p)) as mae from p group by all)
+"""
+
+
+@register("t14_kfold_ridge_lineitem", digits={"score": 9, "mean": 9, "std": 9}, ops="T14 T10",
+          sql=_gram_sql(5, "(values (1.0)) a(alpha)") + "select cast(f as int) as fold, r2 as score, avg(r2) over () as mean, stddev_pop(r2) over () as std from m where held")
+def t14g_q(spark, sf):
+    res = T.run_validation(_gram_frame(spark, sf, 5), ["x1", "x2"], "y", "Ridge", fold_col="fold", metric="r2")
+    return spark.createDataFrame([(i, float(s), res["mean"], res["std"]) for i, s in enumerate(res["scores"])], "fold int, score double, mean double, std double")
+
+
+@register("t15_cross_validate_lineitem", digits={"mean": 5, "std": 5}, ops="T15",
+          sql=_gram_sql(5, "(values (0.0)) a(alpha)") + """select metric, avg(v) as mean, stddev_pop(v) as std from
+  (select 'r2' as metric, r2 as v from m where held union all select 'neg_mse', -mse from m where held union all select 'neg_mae', -mae from m where held) group by metric""")
+def t15g_q(spark, sf):
+    return T.cross_validate(_gram_frame(spark, sf, 5), ["x1", "x2"], "y", "LinearRegression", "fold").drop("values")
+
+
+@register("t17_grid_ridge_lineitem", digits={"avg_r2": 9}, ops="T17 T1",
+          sql=_gram_sql(3, "(values (0.1), (1.0), (10.0), (100.0)) a(alpha)") + "select cast(alpha as double) as alpha, avg(r2) as avg_r2 from m where held group by alpha")
+def t17g_q(spark, sf):
+    _, res = T.grid_search(_gram_frame(spark, sf, 3), ["x1", "x2"], "y", "Ridge", "fold")
+    return spark.createDataFrame([(float(p.split("=")[1]), m) for p, m in res], "alpha double, avg_r2 double")
+
+
+@register("t19_learning_curve_lineitem", digits={x: 9 for x in ("size", "train_mean", "train_std", "valid_mean", "valid_std")}, ops="T19",
+          sql=_gram_sql(3, "(values (0.0)) a(alpha)", "(select i as step, 0.1e0 + 0.9e0 * i / 7 as frac from range(8) r(i)) s") + """select 0.1e0 + 0.9e0 * step / 7 as size,
+  avg(r2) filter (where not held) as train_mean, stddev_pop(r2) filter (where not held) as train_std, avg(r2) filter (where held) as valid_mean, stddev_pop(r2) filter (where held) as valid_std from m group by step""")
+def t19g_q(spark, sf):
+    return T.learning_curve(_gram_frame(spark, sf, 3), ["x1", "x2"], "y", "LinearRegression", "fold", "id")
 
 
 @register("t21_batch_predictions_logreg", ops="T21 T16")
