@@ -25,9 +25,13 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import col
+from ..functions.core import col, is_numeric
+from ..session import shared_table
+from . import boosting as BO
 from . import gram as GR
+from . import kernel as KE
 from . import metrics as VM
+from . import target_stats as TS
 
 SEED = 42
 
@@ -96,17 +100,17 @@ REGISTRY: dict[str, ModelSpec] = {
     "GradientBoostingClassifier": ModelSpec("GradientBoostingClassifier", "classification", _gbt_c,
                                             {"n_estimators": 100}, {"n_estimators": [50, 100, 200],
                                                                     "learning_rate": [0.05, 0.1, 0.2]}),
-    "SVC": ModelSpec("SVC", "classification", _svc, {}, {"C": [0.1, 1, 10]}),
+    "SVC": ModelSpec("SVC", "classification", None, {}, {"C": [0.1, 1, 10]}),
+    "LinearSVC": ModelSpec("LinearSVC", "classification", _svc, {}, {"C": [0.1, 1, 10]}),
+    "SVR": ModelSpec("SVR", "regression", None, {}, {"C": [0.1, 1, 10]}),
     "KNeighborsClassifier": ModelSpec("KNeighborsClassifier", "classification", None, {"n_neighbors": 5},
                                       {"n_neighbors": [3, 5, 7, 11]}),
     "RandomForestRegressor": ModelSpec("RandomForestRegressor", "regression", _rf_r, {"n_estimators": 100},
                                        {"n_estimators": [50, 100, 200], "max_depth": [None, 5, 10]}),
     "GradientBoostingRegressor": ModelSpec("GradientBoostingRegressor", "regression", _gbt_r, {"n_estimators": 100},
                                            {"n_estimators": [50, 100, 200], "learning_rate": [0.05, 0.1, 0.2]}),
-    "LightGBM": ModelSpec("LightGBM", "regression", lambda p, n, m: _gbt_r(p, n, m, depth=6),
-                          {"n_estimators": 100, "learning_rate": 0.1}),
-    "CatBoost": ModelSpec("CatBoost", "regression", lambda p, n, m: _gbt_r(p, n, m, depth=int(p.get("depth", 6))),
-                          {"iterations": 100, "learning_rate": 0.1, "depth": 6}),
+    "LightGBM": ModelSpec("LightGBM", "regression", None, {"n_estimators": 100, "learning_rate": 0.1}),
+    "CatBoost": ModelSpec("CatBoost", "regression", None, {"iterations": 100, "learning_rate": 0.1, "depth": 6}),
     "LinearRegression": ModelSpec("LinearRegression", "regression", _linreg, {}, {}),
     "Ridge": ModelSpec("Ridge", "regression", _ridge, {"alpha": 1.0}, {"alpha": [0.1, 1.0, 10.0, 100.0]}),
 }
@@ -135,6 +139,9 @@ class Fitted:
     classes: list | None = None
     knn_train: DataFrame | None = None
     k: int = 5
+    boosted: BO.Boosted | None = None
+    kernel: KE.Machine | None = None
+    levels: dict = field(default_factory=dict)  # statistics of the levels of text features
 
 
 def _assembler(features: list[str]) -> VectorAssembler:
@@ -149,6 +156,24 @@ def fit(df: DataFrame, features: list[str], label: str, name: str, params: dict
     if name == "KNeighborsClassifier":
         return Fitted(None, features, label, "classification", knn_train=df.select(*features, label),
                       k=int(p.get("n_neighbors", 5)))
+    if name == "LightGBM":
+        s = BO.Settings(n_estimators=int(p["n_estimators"]), learning_rate=float(p["learning_rate"]), num_leaves=int(p.get("num_leaves", 31)))
+        return Fitted(None, features, label, spec.task, boosted=BO.fit(df, features, label, settings=s))
+    if name in ("SVC", "SVR"):
+        classes = None
+        if name == "SVC":
+            classes = [r[0] for r in df.select(col(label).cast("string").alias("c")).where("c is not null").distinct().orderBy("c").collect()]
+        s = KE.Settings(C=float(p.get("C", 1.0)), gamma=p.get("gamma", "scale"), max_iter=int(p.get("max_iter", 40)), n_features=int(p.get("n_features", 256)))
+        return Fitted(None, features, label, spec.task, classes, kernel=KE.fit(df, features, label, classes, s))
+    if name == "CatBoost":
+        return _fit_symmetric(df, features, label, p)
+    if name == "GradientBoostingClassifier":
+        classes = [r[0] for r in df.select(col(label).cast("string").alias("c")).where("c is not null").distinct().orderBy("c").collect()]
+        if len(classes) > 2:  # trees of three levels, one a class and round
+            depth = int(p.get("max_depth", 3))
+            s = BO.Settings(n_estimators=int(p["n_estimators"]), learning_rate=float(p.get("learning_rate", 0.1)), num_leaves=1 << depth, max_depth=depth,
+                            min_rows=int(p.get("min_samples_leaf", 1)))
+            return Fitted(None, features, label, spec.task, classes, boosted=BO.fit(df, features, label, classes, s))
     # Iterative learners make several passes: keep the projected training
     # columns cached, spread over at least the cluster's default parallelism
     # (a narrow input is re-partitioned; a wide one is only cached).
@@ -163,6 +188,20 @@ def fit(df: DataFrame, features: list[str], label: str, name: str, params: dict
         df.unpersist()
 
 
+def _fit_symmetric(df: DataFrame, features: list[str], label: str, p: dict) -> Fitted:
+    """Symmetric trees; text features enter as ordered target statistics."""
+    text = [c for c in features if not is_numeric(df.schema[c].dataType)]
+    s = BO.Settings(n_estimators=int(p["iterations"]), learning_rate=float(p["learning_rate"]), max_depth=int(p["depth"]), l2=float(p.get("l2_leaf_reg", 3.0)),
+                    max_bin=254, symmetric=True)
+    levels = {c: TS.level_statistics(df, c, label) for c in text}
+    levels = {c: (shared_table(table, "levels"), prior) for c, (table, prior) in levels.items()}
+    if text:
+        row = F.to_json(F.struct(*[col(c) for c in dict.fromkeys([*features, label])]))
+        df = TS.ordered_statistics(df, row, text, label)
+    used = [f"{c}_stat" if c in text else c for c in features]
+    return Fitted(None, features, label, "regression", boosted=BO.fit(df, used, label, settings=s), levels=levels)
+
+
 def _fit_cached(df, features, label, name, spec, p, n_rows) -> Fitted:
     stats = None
     if n_rows is None or spec.task == "classification":
@@ -200,6 +239,12 @@ def predict(f: Fitted, df: DataFrame, keep: list[str] | None = None, digits: int
     keep = keep or []
     if f.knn_train is not None:
         return knn_predict(f, df, keep)
+    if f.kernel is not None:
+        return KE.predict(f.kernel, df, keep, digits)
+    if f.boosted is not None:
+        for c, (table, prior) in f.levels.items():
+            df = TS.apply_statistics(df, c, table, prior)
+        return BO.predict(f.boosted, df, keep, digits)
     out = f.model.transform(df.withColumn(f.label, F.lit(None).cast("string")) if f.task == "classification"
                             and f.label not in df.columns else df)
     cols = [col(c) for c in keep]
@@ -227,8 +272,9 @@ def default_metrics(task: str) -> list[str]:
     return ["accuracy", "f1", "roc_auc"] if task == "classification" else ["r2", "neg_mse", "neg_mae"]
 
 
-#: Distinct rows in a block of either side of the k-NN search, and queries compared with a training block at a time.
-KNN_BLOCK, KNN_SLICE = 8192, 512
+#: Distinct rows in a block of either side of the k-NN search, queries compared with a training block at a time,
+#: training rows a cell has on average, and the most cells.
+KNN_BLOCK, KNN_SLICE, KNN_CELL, KNN_CELLS = 8192, 512, 2048, 4096
 
 
 def _nearest(k: int):
@@ -248,40 +294,113 @@ def _nearest(k: int):
                 found["y"].append(labels[near])
                 found["w"].append(weights[near])
                 found["d"].append(((q[own] - rows[near]) ** 2).sum(1))
-        return pd.DataFrame({c: v if c == "x" else np.concatenate(v) if v else [] for c, v in found.items()})
+        kinds = {"x": object, "y": object, "w": "int64", "d": "float64"}
+        return pd.DataFrame({c: pd.Series(v if c == "x" or not v else np.concatenate(v), dtype=kinds[c]) for c, v in found.items()})
 
     return run
 
 
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ pivots.T + (pivots * pivots).sum(1), 0))
+
+
+def knn_cells(train: DataFrame, k: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(training rows with their cell, pivots, cells x (rows, least and greatest distance to the pivot)).
+
+    Pivots are training rows of smallest hash; a row belongs to its nearest pivot.
+    """
+    m = max(1, min(KNN_CELLS, train.count() // KNN_CELL))
+    pivots = np.array([r["x"] for r in train.select("x").distinct().orderBy(F.xxhash64("x"), "x").limit(m).collect()], dtype=float)
+    if not len(pivots):
+        return train.withColumn("cell", F.lit(0)), pivots, np.zeros((0, 3))
+
+    def run(frames):
+        for pdf in frames:
+            d = _distances(np.stack(pdf["x"]), pivots)
+            yield pdf.assign(cell=d.argmin(axis=1).astype("int32"), far=d.min(axis=1))
+
+    dealt = shared_table(train.mapInPandas(run, "x array<double>, y string, w long, cell int, far double"), "cells")
+    sizes = np.zeros((len(pivots), 3))
+    for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("lo"), F.max("far").alias("hi")).collect():
+        sizes[r["cell"]] = r["n"], r["lo"], r["hi"]
+    return dealt, pivots, sizes
+
+
+def knn_route(queries: DataFrame, pivots: np.ndarray, sizes: np.ndarray, k: int, bounds: DataFrame | None = None) -> DataFrame:
+    """(x, cell): the cells a query must see.
+
+    Without ``bounds``, the nearest cells that together hold ``k`` rows; with
+    (x, bound), the other cells that can hold a row within the query's bound: by
+    the triangle inequality such a row is at least |d(query, pivot)| away from
+    the ring of distances that the cell's rows have to their pivot.
+    """
+    import pandas as pd
+
+    bounded = bounds is not None
+
+    def first(d: np.ndarray) -> np.ndarray:
+        order = np.argsort(d, axis=1, kind="stable")
+        before = np.cumsum(sizes[order, 0], axis=1) - sizes[order, 0]
+        seen = np.zeros(d.shape, bool)
+        np.put_along_axis(seen, order, (before < k) & (sizes[order, 0] > 0), axis=1)
+        return seen
+
+    def run(frames):
+        for pdf in frames:
+            x = np.stack(pdf["x"])
+            d = _distances(x, pivots)
+            go = first(d)
+            if bounded:
+                nearest = np.maximum(np.maximum(d - sizes[:, 2], sizes[:, 1] - d), 0)
+                slack = 1e-6 * (1 + np.abs(x).max(initial=0) + np.abs(pivots).max(initial=0))  # rounding of the distances
+                go = (nearest <= np.sqrt(pdf["bound"].to_numpy())[:, None] + slack) & (sizes[:, 0] > 0) & ~go
+            q, cell = np.nonzero(go)
+            yield pd.DataFrame({"x": pd.Series(list(x[q]), dtype=object), "cell": cell.astype("int32")})
+
+    return (bounds if bounded else queries).mapInPandas(run, "x array<double>, cell int")
+
+
+def _search(routed: DataFrame, dealt: DataFrame, sizes: np.ndarray, k: int) -> DataFrame:
+    """Up to ``k`` nearest rows of every routed (query, cell), in blocks of bounded size on both sides."""
+    parts = np.maximum(1, -(-sizes[:, 0] // KNN_BLOCK)).astype(int)
+    per = dict(routed.groupBy("cell").count().collect())  # one row a cell
+    asks = [max(1, -(-per.get(c, 0) // KNN_BLOCK)) for c in range(len(sizes))]
+    of = lambda n: F.array(*[F.lit(int(v)) for v in n])[F.col("cell")]
+    left = routed.select("x", "cell", F.pmod(F.xxhash64("x"), of(asks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), of(parts) - 1)).alias("tb"))
+    right = dealt.select("x", "y", "w", "cell", F.explode(F.sequence(F.lit(0), of(asks) - 1)).alias("qb"), F.pmod(F.xxhash64("x", "y"), of(parts)).cast("int").alias("tb"))
+    return left.groupBy("cell", "qb", "tb").cogroup(right.groupBy("cell", "qb", "tb")).applyInPandas(_nearest(k), "x array<double>, y string, w long, d double")
+
+
 def knn_predict(f: Fitted, df: DataFrame, keep: list[str]) -> DataFrame:
     """Exact k-nearest-neighbour vote (Euclidean, NULL as 0; nearer rows
     first, then the smaller label; an equal vote goes to the smaller class).
 
     Equal training rows are counted once with a weight and equal queries are
-    answered once, so copies make no hot block. Both sides are dealt to blocks
-    by hash; every pair of blocks is one task of bounded size that returns k
-    candidates per query, and the candidates of a query are merged by distance.
+    answered once, so copies make no hot block. Training rows are dealt to the
+    cells of pivots. A query sees its nearest cells first; the distance of its
+    k-th row there bounds the search, and it goes on only to cells that can hold
+    a nearer row. Every (cell, query block, row block) is a task of bounded size.
     """
-    spark, k = df.sparkSession, f.k
+    k = f.k
     x = F.array(*[F.coalesce(col(c).cast("double"), F.lit(0.0)) for c in f.features])
     label = col(f.label).cast("string")
     train = (f.knn_train.where(label.isNotNull()).groupBy(x.alias("x"), label.alias("y"))
              .agg(F.count("*").alias("w")))
-    queries = df.select(x.alias("x")).distinct()
-    n_train, n_queries = train.count(), queries.count()
-    t = max(1, -(-n_train // KNN_BLOCK))
-    q = max(1, -(-n_queries // KNN_BLOCK), min(spark.sparkContext.defaultParallelism, n_queries // KNN_SLICE))
-    tb, qb = (F.pmod(F.xxhash64("x"), F.lit(m)).cast("int") for m in (t, q))
-    left = queries.select("x", qb.alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(t - 1))).alias("tb"))
-    right = train.select("x", "y", "w", F.explode(F.sequence(F.lit(0), F.lit(q - 1))).alias("qb"), tb.alias("tb"))
-    near = left.groupBy("qb", "tb").cogroup(right.groupBy("qb", "tb")).applyInPandas(
-        _nearest(k), "x array<double>, y string, w long, d double")
+    dealt, pivots, sizes = knn_cells(shared_table(train, "rows"), k)
+    rows = df.select(*[col(c) for c in keep], x.alias("__x"))
+    if not len(pivots):
+        return rows.select(*[col(c) for c in keep], F.lit(None).cast("string").alias("__prediction__"))
+    queries = shared_table(df.select(x.alias("x")).distinct(), "queries")
+    near = shared_table(_search(shared_table(knn_route(queries, pivots, sizes, k), "routes"), dealt, sizes, k), "near")
+    bounds = near.groupBy("x").agg(F.sort_array(F.collect_list("d")).alias("d"))  # k rows for each cell seen
+    bounds = bounds.select("x", F.when(F.size("d") >= k, F.get("d", F.lit(k - 1))).otherwise(F.lit(float("inf"))).alias("bound"))
+    more = shared_table(knn_route(queries, pivots, sizes, k, bounds), "routes")
+    near = near.unionByName(_search(more, dealt, sizes, k))
     before = F.coalesce(F.sum("w").over(Window.partitionBy("x").orderBy("d", "y", "w").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0))
     votes = (near.withColumn("v", F.least("w", F.lit(k) - before)).where("v > 0")
              .groupBy("x", "y").agg(F.sum("v").alias("v")))
     best = votes.groupBy("x").agg(F.min_by("y", F.struct(-F.col("v"), F.col("y"))).alias("__prediction__"))
-    rows = df.select(*[col(c) for c in keep], x.alias("__x"))
     return rows.join(best.withColumnRenamed("x", "__x"), "__x", "left").select(*[col(c) for c in keep], "__prediction__")
 
 
@@ -311,14 +430,18 @@ def score(f: Fitted, df: DataFrame, metric: str) -> float:
 
 def _roc_auc(f: Fitted, df: DataFrame) -> float:
     """From class probabilities or, for learners without them, from raw scores; NaN where a learner has neither."""
-    if f.model is None:
-        return math.nan
-    out = f.model.transform(df.withColumn(f.label, col(f.label).cast("string")))
-    raw = next((c for c in ("probability", "rawPrediction") if c in out.columns), None)
-    if raw is None:
+    if f.boosted is not None or f.kernel is not None:
+        out = predict(f, df, [f.label], 15)
+        wide = out.select(col(f.label).cast("string").alias("label"), *[col(f"prob_{c}").alias(f"s{i}") for i, c in enumerate(f.classes)])
+    elif f.model is None:
         return math.nan
-    s = vector_to_array(raw)
-    wide = out.select(col(f.label).alias("label"), *[s[i].alias(f"s{i}") for i in range(len(f.classes))])
+    else:
+        out = f.model.transform(df.withColumn(f.label, col(f.label).cast("string")))
+        raw = next((c for c in ("probability", "rawPrediction") if c in out.columns), None)
+        if raw is None:
+            return math.nan
+        s = vector_to_array(raw)
+        wide = out.select(col(f.label).alias("label"), *[s[i].alias(f"s{i}") for i in range(len(f.classes))])
     if len(f.classes) == 2:
         got = VM.auc(wide, "label", "s1", f.classes[1]).first()[0]
     else:
@@ -472,6 +595,9 @@ def feature_importance(f: Fitted, spark) -> DataFrame | None:
     """Tree importances or mean |coefficient| (over classes), sorted
     descending; None when the model has neither."""
     est = f.model.stages[-1] if f.model is not None else None
+    if f.boosted is not None:  # how often a feature is split on
+        rows = sorted(zip(f.features, map(float, f.boosted.splits())), key=lambda r: -r[1])
+        return spark.createDataFrame(rows, "feature string, importance double")
     if est is None:
         return None
     if hasattr(est, "featureImportances"):

@@ -127,6 +127,8 @@ def node_tables(model, spark, class_index: int | None = None) -> list[Tree]:
     trees of classes) or to the log-odds margin (boosted classes). The node table
     is bounded by the model, not by the data.
     """
+    if hasattr(model, "trees") and hasattr(model, "base"):  # a leaf-wise ensemble: its own trees, on the scale of its scores
+        return model.trees[class_index or 0]
     if hasattr(model, "stages"):
         model = model.stages[-1]
     if hasattr(model, "models"):

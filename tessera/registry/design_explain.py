@@ -9,6 +9,8 @@ from ..functions.core import col
 from ..operators import design as D
 from ..operators import explain as N
 from ..operators import models as T
+from ..operators import search as SE
+from ..operators import trend as LT
 from ..operators import trees as X
 from ..session import shared_table
 from ..sources import views as V
@@ -323,3 +325,28 @@ def n1f_q(spark, sf):
     d, f = _rf_full(spark, sf)
     attr = X.tree_attributions(X.node_tables(f.model, spark), d, V.CHEM_COLS, "id")
     return N.top_per_class(N.importance(attr.join(d.select("id", "method"), "id"), "method"), "method", 3)
+
+
+@register("d9_guided_search_regression", ops="D9 D5")
+def d9g_q(spark, sf):
+    """Points that a model-guided search tries, scored by a fitted model of the prices."""
+    c = V.chem_wide(spark, sf)
+    d = c.select("target", *[F.coalesce(col(x), F.lit(0.0)).alias(x) for x in ("c1", "c2", "c3")])
+    f = T.fit(d, ["c1", "c2", "c3"], "target", "RandomForestRegressor", {"n_estimators": 20, "max_depth": 6})
+    score = lambda points: D.score_regression(f.model.transform(points).withColumnRenamed("__pred", "prediction"))
+    return SE.guided_search(spark, D.observed_bounds(d, ["c1", "c2", "c3"]), score)
+
+
+# Straight-line fits weighted by the tricube of the distance over the farthest of the nearest 40 % of rows.
+TREND_SQL = """with d as (select cast(l_discount as double) as x, cast(l_extendedprice as double) as y from lineitem), n as (select cast(floor(0.4 * count(*)) as bigint) as k from d),
+g as (select distinct x as px from d), c as (select px, abs(x - px) as dist, count(*) as m from g, (select x from d) group by all),
+r as (select px, min(dist) as h from (select px, dist, sum(m) over (partition by px order by dist) as upto from c), n where upto >= k group by px),
+w as (select px, h, x - px as u, y, case when abs(x - px) < h then pow(1 - pow(abs(x - px) / h, 3), 3) else 0 end as w from r join d on abs(x - px) <= h),
+s as (select px, h, sum(w * u) / sum(w) as mu, sum(w * y) / sum(w) as my, sum(w * u * u) / sum(w) as muu, sum(w * u * y) / sum(w) as muy from w group by all)
+select px as x, my - mu * (muy - mu * my) / (muu - mu * mu) as trend, h as radius from s"""
+
+
+@register("n3_local_trend_lineitem", digits={"x": 9, "trend": 3, "radius": 9}, ops="N3", sql=TREND_SQL)
+def n3t_q(spark, sf):
+    """Local trend of price over discount, one pass without robust weights."""
+    return LT.local_trend(table(spark, sf, "lineitem"), "l_discount", "l_extendedprice", robust=0)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.core import col
+from ..operators import boosting as BO
 from ..operators import models as T
 from ..operators import splits as SP
+from ..operators import target_stats as TS
 from ..sources import views as V
 from ..sources.tables import table
 from . import register
@@ -264,6 +266,42 @@ def t19g_q(spark, sf):
     return T.learning_curve(_gram_frame(spark, sf, 3), ["x1", "x2"], "y", "LinearRegression", "fold", "id")
 
 
+@register("t5_histogram_gains_lineitem", digits={"gain": 3}, ops="T5 T4",
+          sql="""with d as (select l_extendedprice as y, cast(l_quantity as double) as l_quantity, cast(l_discount as double) as l_discount, cast(l_tax as double) as l_tax,
+  cast(l_linenumber as double) as l_linenumber from lineitem), m as (select avg(y) as b from d),
+v as (select f.feature, f.x, b - y as g from d, m, lateral (values ('l_quantity', l_quantity), ('l_discount', l_discount), ('l_tax', l_tax), ('l_linenumber', l_linenumber)) f(feature, x)),
+c as (select feature, x as cut, sum(sum(g)) over w as gl, sum(count(*)) over w as nl, sum(sum(g)) over (partition by feature) as g, sum(count(*)) over (partition by feature) as n
+  from v group by feature, x window w as (partition by feature order by x))
+select feature, cut, gl * gl / nl + (g - gl) * (g - gl) / (n - nl) - g * g / n as gain from c where nl >= 20 and n - nl >= 20""")
+def t5g_q(spark, sf):
+    """Gains of all first cuts of the leaf-wise learner, from its gradient histograms."""
+    return BO.root_gains(table(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax", "l_linenumber"], "l_extendedprice")
+
+
+@register("t5_ordered_statistics_lineitem", digits={"l_linestatus_stat": 2, "l_returnflag_stat": 2}, ops="T5",
+          sql=f"""with d as (select l_orderkey, l_linenumber, l_partkey, l_returnflag, l_linestatus, l_extendedprice as y, {_rank_sql('permutation')} as u, avg(l_extendedprice) over () as p from lineitem)
+select l_orderkey, l_linenumber, l_partkey, l_returnflag, l_linestatus,
+  (coalesce(sum(y) over (partition by l_linestatus order by u rows between unbounded preceding and 1 preceding), 0) + p) / (coalesce(count(*) over (partition by l_linestatus order by u rows between unbounded preceding and 1 preceding), 0) + 1) as l_linestatus_stat,
+  (coalesce(sum(y) over (partition by l_returnflag order by u rows between unbounded preceding and 1 preceding), 0) + p) / (coalesce(count(*) over (partition by l_returnflag order by u rows between unbounded preceding and 1 preceding), 0) + 1) as l_returnflag_stat
+from d""")
+def t5o_q(spark, sf):
+    """Mean price of the earlier rows of a level, for two columns of lineitem."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", "l_extendedprice")
+    key = SP.row_key("l_orderkey", "l_linenumber", "l_partkey")
+    return TS.ordered_statistics(li, key, ["l_linestatus", "l_returnflag"], "l_extendedprice").drop("l_extendedprice")
+
+
+@register("t4_holdout_three_classes", ops="T4 T21 V2")
+def t4m_q(spark, sf):
+    """Softmax boosting on three classes of lineitem rows."""
+    li = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", F.datediff("l_shipdate", F.lit("1992-01-01")).cast("double").alias("day"),
+                                             SP.row_key("l_orderkey", "l_linenumber", "l_partkey").alias("id"))
+    d = SP.train_test(li, "id", 0.2)
+    f = T.fit(d.where(~F.col("is_test")), ["l_quantity", "l_extendedprice", "day"], "l_returnflag", "GradientBoostingClassifier", {"n_estimators": 20})
+    from ..operators import metrics as VM
+    return VM.weighted_scores(T.predict(f, d.where(F.col("is_test")), keep=["id", "l_returnflag"]), "l_returnflag", "__prediction__")
+
+
 @register("t21_batch_predictions_logreg", ops="T21 T16")
 def t21_q(spark, sf):
     d = _emb_split(spark, sf)

@@ -97,3 +97,22 @@ def test_exact_plain_split_and_folds(spark):
     again = SP.kfold(df.repartition(7), "k", 5, exact=True).orderBy("k").collect()
     assert again == SP.kfold(df, "k", 5, exact=True).orderBy("k").collect()
     assert SP.train_test(df.limit(0), "k", exact=True).collect() == []
+
+
+@pytest.mark.parametrize("list_rows, accuracy", [(4096, 10_000), (20, 100), (1, 100)])
+def test_column_quantiles_by_rounds(spark, monkeypatch, list_rows, accuracy):
+    from tessera.functions import quantiles as Q
+
+    monkeypatch.setattr(Q, "LIST_ROWS", list_rows)
+    monkeypatch.setattr(Q, "ACCURACY", accuracy)
+    rng = random.Random(8)
+    rows = [(rng.gauss(0, 1), float(rng.choice([1, 1, 2, 3])), rng.choice([None, 5.0]), math.inf if i % 7 == 0 else rng.random(), None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double").repartition(3)
+    probs = [0, 0.01, 0.25, 0.5, 0.75, 1]
+    got = Q.exact_quantiles(df, list("abcde"), probs)
+    for j, c in enumerate("abcd"):
+        v = sorted(r[j] for r in rows if r[j] is not None)
+        h = [(len(v) - 1) * p for p in probs]
+        want = [v[math.floor(k)] if k % 1 == 0 or v[math.floor(k)] == v[math.ceil(k)] else v[math.floor(k)] * (1 - k % 1) + v[math.ceil(k)] * (k % 1) for k in h]
+        assert got[c] == pytest.approx(want), c
+    assert got["e"] == [None] * 6 and Q.exact_quantiles(df.limit(0), ["a"], [0.5]) == {"a": [None]}

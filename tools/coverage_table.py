@@ -1,6 +1,6 @@
 """Regenerate README's SURVEY §2 coverage table from the registry's operator tags.
 
-Usage: python tools/coverage_table.py  (rewrites the table at the end of README.md)
+Usage: python tools/coverage_table.py  (rewrites the table in README.md)
 """
 
 import re
@@ -9,12 +9,12 @@ import sys
 sys.path.insert(0, ".")
 from tessera.registry import load_all  # noqa: E402
 
-MOD = {'S': 'sources/files.py; S4 in operators/lablog.py', 'Q': 'operators/profile.py', 'F': 'operators/filters.py',
+MOD = {'S': 'sources/files.py; S4 in sources/lines.py, operators/lablog.py', 'Q': 'operators/profile.py', 'F': 'operators/filters.py',
        'X': 'functions/text.py; X8–X15 in operators/lablog.py', 'M': 'operators/clean.py', 'E': 'operators/clean.py',
        'G': 'operators/features.py', 'A': 'operators/stats.py', 'J': 'operators/* (see query)',
        'P': 'operators/performance.py, operators/curves.py', 'H': 'operators/halflife.py, operators/stability.py',
-       'L': 'operators/lablog.py', 'T': 'operators/models.py, operators/splits.py', 'V': 'operators/metrics.py',
-       'N': 'operators/explain.py', 'D': 'operators/design.py'}
+       'L': 'operators/lablog.py', 'T': 'operators/models.py, splits.py, gram.py, boosting.py, target_stats.py, kernel.py', 'V': 'operators/metrics.py',
+       'N': 'operators/explain.py, operators/trees.py, operators/trend.py', 'D': 'operators/design.py, operators/search.py'}
 HELPERS = {k: 'schema helper, tests/test_helpers.py' for k in ('Q9', 'F4', 'F5', 'A10', 'H10')}
 
 
@@ -42,7 +42,9 @@ def table() -> str:
 if __name__ == "__main__":
     text, n, n_sql = table()
     s = open("README.md").read()
-    s = s[:s.index("| ID | Operator | Where |")] + text
+    start = s.index("| ID | Operator | Where |")
+    rest = re.search(r"^Totals: .*\n", s[start:], re.M)  # what follows the table stays
+    s = s[:start] + text + (s[start + rest.end():] if rest else "")
     s = re.sub(r"expose \d+ queries, \d+ of", f"expose {n} queries, {n_sql} of", s)
     open("README.md", "w").write(s)
     print(n, n_sql)
