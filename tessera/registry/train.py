@@ -279,16 +279,17 @@ def t5g_q(spark, sf):
 
 
 @register("t5_ordered_statistics_lineitem", digits={"l_linestatus_stat": 2, "l_returnflag_stat": 2}, ops="T5",
-          sql=f"""with d as (select l_orderkey, l_linenumber, l_partkey, l_returnflag, l_linestatus, l_extendedprice as y, {_rank_sql('permutation')} as u, avg(l_extendedprice) over () as p from lineitem)
-select l_orderkey, l_linenumber, l_partkey, l_returnflag, l_linestatus,
+          sql="""with d as (select concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) as id, l_returnflag, l_linestatus, l_extendedprice as y, avg(l_extendedprice) over () as p from lineitem),
+u as (select *, cast('0x' || substr(md5(concat_ws('|', '42', id, 'permutation')), 1, 15) as bigint) as u from d)
+select id, l_returnflag, l_linestatus,
   (coalesce(sum(y) over (partition by l_linestatus order by u rows between unbounded preceding and 1 preceding), 0) + p) / (coalesce(count(*) over (partition by l_linestatus order by u rows between unbounded preceding and 1 preceding), 0) + 1) as l_linestatus_stat,
   (coalesce(sum(y) over (partition by l_returnflag order by u rows between unbounded preceding and 1 preceding), 0) + p) / (coalesce(count(*) over (partition by l_returnflag order by u rows between unbounded preceding and 1 preceding), 0) + 1) as l_returnflag_stat
-from d""")
+from u""")
 def t5o_q(spark, sf):
     """Mean price of the earlier rows of a level, for two columns of lineitem."""
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", "l_extendedprice")
-    key = SP.row_key("l_orderkey", "l_linenumber", "l_partkey")
-    return TS.ordered_statistics(li, key, ["l_linestatus", "l_returnflag"], "l_extendedprice").drop("l_extendedprice")
+    id_ = SP.row_key("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id")
+    li = table(spark, sf, "lineitem").select(id_, "l_returnflag", "l_linestatus", "l_extendedprice")
+    return TS.ordered_statistics(li, "id", ["l_linestatus", "l_returnflag"], "l_extendedprice").drop("l_extendedprice")
 
 
 @register("t4_holdout_three_classes", ops="T4 T21 V2")
