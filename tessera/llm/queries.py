@@ -137,22 +137,40 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licences of every document with their scores."""
+    """Licences of every document with their best scores."""
     out = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    m = F.col("matches")  # sorted by licence and score: the last of a licence is its best
+    best = F.filter(m, lambda x, i: (i == F.size(m) - 1) | (F.get(m, (i + 1).cast("int"))["licence"] != x["licence"]))
+    out = out.select("doc_id", best.alias("matches"))
     return out.select("doc_id", F.size("matches").cast("bigint").alias("n_licences"),
-                      F.array_join(F.transform("matches", lambda m: F.concat(m["licence"], F.lit(":"), m["permille"])), ",").alias("licences"))
+                      F.array_join(F.transform("matches", lambda x: F.concat(x["licence"], F.lit(":"), x["permille"])), ",").alias("licences"))
 
 
 def _op9_sql() -> str:
-    rows = ", ".join(f"('{name}', ['" + "', '".join(x.replace("'", "''") for x in grams) + "'])" for name, grams in licenses.template_bigrams())
+    quoted = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+    rows = ", ".join(f"({i}, '{name}', {quoted(grams)}, cast({quoted(marks)} as varchar[]))" for i, (name, grams, marks) in enumerate(licenses.template_bigrams()))
+    parts = ", ".join(f"('{a}', '{b}')" for a, b in licenses.INCLUDES.items())
     return r"""
-with u as (select distinct doc_id, unnest(list_distinct(string_split(coalesce(text, ''), chr(10)) || string_split_regex(coalesce(text, ''), '\n[\x20\x09-\x0D]*\n') || [coalesce(text, '')])) as unit from documents),
+with t(tid, licence, tg, marks) as (values """ + rows + r"""),
+u as (select distinct doc_id, unnest(list_distinct(string_split(coalesce(text, ''), chr(10)) || string_split_regex(coalesce(text, ''), '\n[\x20\x09-\x0D]*\n') || [coalesce(text, '')])) as unit from documents),
 w as (select doc_id, [x for x in string_split_regex(lower(unit), '[^a-z0-9]+') if x <> ''] as ws from u),
-b as (select distinct doc_id, list_sort(list_distinct([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))])) as grams from w where len(ws) between 2 and 100000),
-t(licence, tg) as (values """ + rows + r"""),
-m as (select distinct doc_id, licence, cast(floor(2000 * len(list_intersect(grams, tg)) / (len(grams) + len(tg))) as int) as permille from b, t where len(grams) * 3 between len(tg) and 9 * len(tg))
-select d.doc_id, count(m.doc_id) as n_licences, coalesce(string_agg(licence || ':' || permille, ',' order by licence, permille), '') as licences
-from documents d left join m on m.doc_id = d.doc_id and m.permille >= 800 group by d.doc_id
+b as (select distinct doc_id, list_sort(list_distinct([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))])) as grams from w where len(ws) >= 2 and len(ws) <= 100000),
+m as (select doc_id, licence, cast(floor(2000 * len(list_intersect(grams, tg)) / (len(grams) + len(tg))) as int) as permille from b, t
+      where len(grams) * 3 between 2 * len(tg) and 4.5 * len(tg) and list_has_all(grams, marks)),
+d as (select distinct doc_id, coalesce(text, '') as text from documents),
+x as (select doc_id, text, [x for x in string_split_regex(lower(text), '[^a-z0-9]+') if x <> ''] as ws from d),
+g as (select doc_id, text, [ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))] as grams from x),
+p as (select doc_id, text, grams, unnest(grams) as gram, unnest(range(1, len(grams) + 1)) as pos from g),
+h as (select doc_id, text, tid, any_value(grams) as grams, list(p.gram order by pos) as own, list(pos order by pos) as places from p join (select tid, unnest(tg) as gram from t) k on k.gram = p.gram group by doc_id, text, tid),
+o as (select h.*, t.licence, t.tg, t.marks, (2 * len(tg) + 2) // 3 as need, 3 * len(tg) // 2 as span from h join t on t.tid = h.tid where 3 * len(own) >= 2 * len(tg)),
+s as (select *, unnest(range(1, len(own) + 1)) as i from o),
+e as (select *, unnest(range(i + need - 1, least(len(own), i + span - 1) + 1)) as j from s),
+f as (select doc_id, licence, cast(floor(2000 * len(list_distinct(own[i:j])) / (len(list_distinct(grams[places[i]:places[j]])) + len(tg))) as int) as permille from e
+      where places[j] - places[i] < span and list_has_all(own[i:j], marks)),
+best as (select doc_id, licence, max(permille) as permille from (select * from m union all select * from f) where permille >= 800 group by all),
+r as (select * from best a where not exists (select 1 from best c, (values """ + parts + r""") v(whole, part) where c.doc_id = a.doc_id and c.licence = v.whole and a.licence = v.part))
+select d.doc_id, count(r.doc_id) as n_licences, coalesce(string_agg(licence || ':' || permille, ',' order by licence), '') as licences
+from documents d left join r on r.doc_id = d.doc_id group by d.doc_id
 """
 
 
