@@ -27,18 +27,13 @@ def _dtype_name(dt) -> str:
     return dt.simpleString()
 
 
-def _number(df: DataFrame, c: str):
-    """A numeric column as struct(d: double, w: bigint): whole numbers keep all their digits."""
-    x = F.col("`" + c + "`")
-    whole = df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long")
-    d, w = (F.lit(None), x) if whole else (x, F.lit(None))
-    return F.when(x.isNotNull(), F.struct(d.cast("double").alias("d"), w.cast("bigint").alias("w")))
+def _is_whole(df: DataFrame, c: str) -> bool:
+    return df.schema[c].dataType.typeName() in ("byte", "short", "integer", "long")
 
 
-def _number_text(value):
-    """Whole numbers below 2 ** 53 read like the doubles of other columns."""
-    d, w = value["d"], value["w"]
-    return F.when(w.isNull() | (w.cast("double").cast("bigint") == w), F.coalesce(d, w.cast("double")).cast("string")).otherwise(w.cast("string"))
+def _whole_text(w):
+    """Whole numbers keep all their digits; those a double holds read like the doubles of other columns."""
+    return F.when(w.cast("double").cast("bigint") == w, w.cast("double").cast("string")).otherwise(w.cast("string"))
 
 
 def frequency_table(df: DataFrame, columns: list[str] | None = None, keep_null: bool = False) -> DataFrame:
@@ -48,19 +43,20 @@ def frequency_table(df: DataFrame, columns: list[str] | None = None, keep_null:
     values are turned into text afterwards (casting every row to a string
     is the expensive part); text columns are counted as they are."""
     columns = columns or df.columns
-    nums = [c for c in columns if is_numeric(df.schema[c].dataType)]
-    txt = [c for c in columns if c not in nums]
+    whole = [c for c in columns if _is_whole(df, c)]
+    nums = [c for c in columns if is_numeric(df.schema[c].dataType) and c not in whole]
+    txt = [c for c in columns if c not in nums and c not in whole]
     parts = []
-    for cols, cell, as_text in ((nums, _number, _number_text),
-                                (txt, lambda df, c: F.col("`" + c + "`").cast("string"), lambda value: value)):
+    for cols, kind, as_text in ((whole, "bigint", _whole_text), (nums, "double", lambda value: value.cast("string")), (txt, "string", lambda value: value)):
         if not cols:
             continue
-        long = df.select(*[cell(df, c).alias(c) for c in cols]).unpivot(
-            [], cols, "column", "value")
+        short = [str(i) for i in range(len(cols))]  # group by a number's digits, not by long names
+        long = df.select(*[F.col("`" + c + "`").cast(kind).alias(i) for i, c in zip(short, cols)]).unpivot([], short, "column", "value")
         if not keep_null:
             long = long.filter(F.col("value").isNotNull())
+        names = F.array(*[F.lit(c) for c in cols])
         parts.append(long.groupBy("column", "value").agg(F.count("*").alias("n"))
-                     .select("column", as_text(F.col("value")).alias("value"), "n"))
+                     .select(names[F.col("column").cast("int")].alias("column"), as_text(F.col("value")).alias("value"), "n"))
     out = parts[0]
     for p_ in parts[1:]:
         out = out.unionByName(p_)

@@ -158,10 +158,9 @@ def _holdout_metrics(name, params=None, binary=False):
 for _name, _ops in (("LogisticRegression", "T2 T21 V2"), ("RandomForestClassifier", "T3"),
                     ("GradientBoostingClassifier", "T4"), ("SVC", "T6"), ("KNeighborsClassifier", "T7")):
     _params = {"GradientBoostingClassifier": {"n_estimators": 20},
-               "RandomForestClassifier": {"n_estimators": 20, "max_depth": 8},
-               "SVC": {"max_iter": 10}}.get(_name)
+               "RandomForestClassifier": {"max_depth": 8}}.get(_name)
     register(f"t_holdout_{_name}", ops=_ops)(
-        _holdout_metrics(_name, _params, binary=_name in ("GradientBoostingClassifier", "SVC")))
+        _holdout_metrics(_name, _params, binary=_name == "GradientBoostingClassifier"))
 
 
 def _reg_frame(spark, sf):
@@ -170,7 +169,7 @@ def _reg_frame(spark, sf):
 
 
 # Registered demonstrations use small ensembles (the operator defaults stay as in the registry).
-SMALL = {"RandomForestRegressor": {"n_estimators": 20, "max_depth": 8},
+SMALL = {"RandomForestRegressor": {"max_depth": 8},
          "GradientBoostingRegressor": {"n_estimators": 20}, "LightGBM": {"n_estimators": 20},
          "CatBoost": {"iterations": 20}}
 
