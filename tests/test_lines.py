@@ -90,3 +90,24 @@ def test_no_window_by_file_alone(spark, sf):
     plan = L.classify(V.lab_log(spark, sf), 5)._jdf.queryExecution().optimizedPlan().toString()
     windows = [x for x in plan.split("\n") if "Window [" in x and "line_no" in x]
     assert windows and all("__b" in x.split("], [")[1] for x in windows), plan
+
+
+def test_lines_are_dealt_once(spark, sf):
+    """One shuffle serves every window of the classification, and no branch reads the source again."""
+    from tessera.sources import views as V
+
+    log = V.lab_log(spark, sf)
+    plan = L.classify(log, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(file") == 1 and plan.count("Window [") >= 1, plan
+    samples, form, _ = L.extract(log, 5)
+    for out in (samples, form):
+        assert "lineitem.parquet" not in out._jdf.queryExecution().optimizedPlan().toString() and not set(out.inputFiles()) & set(log.inputFiles())
+
+
+def test_unnamed_formulations_are_numbered_across_buckets(spark, monkeypatch):
+    monkeypatch.setattr(L, "BUCKET", 3)
+    cells = [f"{i}% APG (S{i})" if i % 4 else f"{i} ppm SDS (" for i in range(1, 14)]
+    lines = spark.createDataFrame([("f", i, c, "20X foam" if i % 5 == 0 else None) for i, c in enumerate(cells)], "file string, line_no long, c0 string, c1 string")
+    _, form, _ = L.extract(lines, 2)
+    got = {r.line_no: r.SampleID for r in form.collect()}
+    assert got == {i: f"S{i + 1}" if (i + 1) % 4 else f"Sample_{i + 1}" for i in range(13)}
