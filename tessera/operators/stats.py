@@ -116,7 +116,7 @@ def box_stats(df: DataFrame, columns: list[str], by: str | None = None, standard
     q = q.select(*g, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    j = long.join(q, g)  # q has one row per (column[, group]): broadcast by AQE
+    j = long.join(q if by else F.broadcast(q), g)  # q has one row per column, or per column and group
     return j.groupBy(*g, "q1", "median", "q3").agg(
         F.min(F.when(F.col("x") >= lo, F.col("x"))).alias("whisker_lo"),
         F.max(F.when(F.col("x") <= hi, F.col("x"))).alias("whisker_hi"),
