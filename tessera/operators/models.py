@@ -275,6 +275,8 @@ def default_metrics(task: str) -> list[str]:
 #: Distinct rows in a block of either side of the k-NN search, queries compared with a training block at a time,
 #: training rows a cell has on average, and the most cells.
 KNN_BLOCK, KNN_SLICE, KNN_CELL, KNN_CELLS = 8192, 512, 2048, 4096
+#: Distances to pivots, and values of routed rows, that a task holds at a time.
+KNN_HELD = 1 << 20
 
 
 def _nearest(k: int):
@@ -304,6 +306,13 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ pivots.T + (pivots * pivots).sum(1), 0))
 
 
+def _held(pdf, width: int):
+    """``pdf`` in pieces of at most ``KNN_HELD`` values, if a row has ``width`` of them."""
+    step = max(1, KNN_HELD // max(1, width))
+    for at in range(0, len(pdf), step):
+        yield pdf.iloc[at:at + step]
+
+
 def knn_cells(train: DataFrame, k: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """(training rows with their cell, pivots, cells x (rows, least and greatest distance to the pivot)).
 
@@ -315,7 +324,7 @@ def knn_cells(train: DataFrame, k: int) -> tuple[DataFrame, np.ndarray, np.ndarr
         return train.withColumn("cell", F.lit(0)), pivots, np.zeros((0, 3))
 
     def run(frames):
-        for pdf in frames:
+        for pdf in (part for frame in frames for part in _held(frame, len(pivots))):
             d = _distances(np.stack(pdf["x"]), pivots)
             yield pdf.assign(cell=d.argmin(axis=1).astype("int32"), far=d.min(axis=1))
 
@@ -346,7 +355,7 @@ def knn_route(queries: DataFrame, pivots: np.ndarray, sizes: np.ndarray, k: int,
         return seen
 
     def run(frames):
-        for pdf in frames:
+        for pdf in (part for frame in frames for part in _held(frame, len(pivots))):
             x = np.stack(pdf["x"])
             d = _distances(x, pivots)
             go = first(d)
@@ -355,7 +364,9 @@ def knn_route(queries: DataFrame, pivots: np.ndarray, sizes: np.ndarray, k: int,
                 slack = 1e-6 * (1 + np.abs(x).max(initial=0) + np.abs(pivots).max(initial=0))  # rounding of the distances
                 go = (nearest <= np.sqrt(pdf["bound"].to_numpy())[:, None] + slack) & (sizes[:, 0] > 0) & ~go
             q, cell = np.nonzero(go)
-            yield pd.DataFrame({"x": pd.Series(list(x[q]), dtype=object), "cell": cell.astype("int32")})
+            step, own = max(1, KNN_HELD // max(1, x.shape[1])), list(x)
+            for at in range(0, len(q), step):  # a query may go to every cell
+                yield pd.DataFrame({"x": pd.Series([own[i] for i in q[at:at + step]], dtype=object), "cell": cell[at:at + step].astype("int32")})
 
     return (bounds if bounded else queries).mapInPandas(run, "x array<double>, cell int")
 

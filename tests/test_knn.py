@@ -52,3 +52,25 @@ def test_few_cells_are_seen(spark, monkeypatch):
     seen = (first.count() + more.count()) / (n * len(pivots))
     print("share of (query, cell) pairs seen:", round(seen, 3), "of", len(pivots), "cells")
     assert len(pivots) == 200 and seen < 0.1
+
+
+def test_routes_are_made_in_bounded_pieces(spark, monkeypatch):
+    """Neither the distances to all pivots nor the rows for all cells of a batch are held at once."""
+    widest, sent, real = [], [], T._distances
+    monkeypatch.setattr(T, "KNN_HELD", 240)
+    monkeypatch.setattr(T, "_distances", lambda x, pivots: widest.append(len(x) * len(pivots)) or real(x, pivots))
+
+    class Frame:
+        def mapInPandas(self, run, schema):
+            import pandas as pd
+            sent.extend(run([pd.DataFrame({"x": list(x), "bound": np.inf})]))
+
+    rng = np.random.default_rng(5)
+    x, pivots = rng.normal(size=(100, 4)), rng.normal(size=(60, 4))
+    sizes = np.tile([5.0, 0.0, 9.0], (60, 1))
+    T.knn_route(Frame(), pivots, sizes, 5, Frame())
+    assert len(widest) == 25 and max(widest) <= 240
+    assert max(len(p) * 4 for p in sent) <= 240
+    assert sum(len(p) for p in sent) == 100 * 59  # all cells but the nearest, which was seen before
+    assert {(tuple(a), b) for p in sent for a, b in zip(p["x"], p["cell"])} == {(tuple(a), b) for a in x for b in range(60)} - {
+        (tuple(a), int(b)) for a, b in zip(x, real(x, pivots).argmin(axis=1))}
