@@ -41,3 +41,20 @@ def test_profile_is_one_scan_per_family(spark):
     plan = _plan(spark, "q2_profile_gappy")
     # moments + quantiles in one aggregate; one frequency table per type family
     assert plan.count("FileScan") <= 3
+
+
+def test_decay_points_are_dealt_by_id_after_one_grouping(spark, sf):
+    """The groupings that collect a sample's points run on partitions of their own, not in the tasks of the view's aggregation."""
+    from tessera.operators import halflife as H
+    from tessera.sources import views as V
+
+    d = V.decay_long(spark, sf)
+    assert d.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    plan = H.points_from_long(d)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "REPARTITION_BY_NUM" in plan
+    assert plan.index("collect_list") < plan.index("REPARTITION_BY_NUM")
+    rows = {r["id"]: [(p["t"], p["y"]) for p in r["pts"]] for r in H.points_from_long(d).collect()}
+    want = {}
+    for r in d.where("y is not null").collect():
+        want.setdefault(r["id"], []).append((float(r["t"]), r["y"]))
+    assert rows == {k: sorted(v) for k, v in want.items()}
