@@ -73,15 +73,20 @@ def day_arrays(long_df: DataFrame, id_col: str = "id", day_col: str = "d", y_col
     lab = clean_label(label_col) if label_col else F.lit(None).cast("string")
     entries = F.struct(col(day_col).cast("int").alias("k"),
                        F.struct(col(y_col).cast("double").alias("y"), lab.alias("tex")).alias("v"))
-    g = (long_df.filter(col(day_col).between(0, num_days))
-         .groupBy(col(id_col).alias("id"))
-         .agg(F.sort_array(F.collect_list(entries)).alias("a"))
-         # of rows with one id and day the least stays
-         .select("id", F.expr("map_from_entries(filter(a, (x, i) -> i = 0 or a[i - 1].k <> x.k))").alias("m")))
-    seq = f"sequence(0, {num_days})"
-    return g.select("id",
-                    F.expr(f"transform({seq}, i -> try_element_at(m, i).y)").alias("y"),
-                    F.expr(f"transform({seq}, i -> try_element_at(m, i).tex)").alias("tex"))
+    # The arrays are built inside the aggregation, from the sorted entries held once: as a projection above it they would be
+    # written out again in every later use by a filter that is pushed down, a lambda's included.
+    seq = F.sequence(F.lit(0), F.lit(num_days))
+
+    def by_day(a):
+        # of rows with one id and day the least stays
+        least = F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["k"] != x["k"]))
+        return F.transform(F.array(F.map_from_entries(least)), lambda m: F.struct(*[
+            F.transform(seq, lambda i: F.try_element_at(m, i)[c]).alias(c) for c in ("y", "tex")]))[0]
+
+    return (long_df.filter(col(day_col).between(0, num_days))
+            .groupBy(col(id_col).alias("id"))
+            .agg(F.transform(F.array(F.sort_array(F.collect_list(entries))), by_day)[0].alias("days"))
+            .select("id", "days.y", "days.tex"))
 
 
 # What the headers of volume and label columns contain.
@@ -223,7 +228,8 @@ def model_distribution(scored: DataFrame) -> DataFrame:
 
 def missing_labels(scored: DataFrame) -> DataFrame:
     """Distinct labels not found in the weight table, sorted."""
-    return (scored.select(F.explode("unmatched").alias("label")).distinct().orderBy("label"))
+    # outer: a plain explode would first filter on the size of the whole expression, and so evaluate it three times
+    return scored.select(F.explode_outer("unmatched").alias("label")).where("label is not null").distinct().orderBy("label")
 
 
 def day_columns(scored: DataFrame, num_days: int = 14, keep=("id",)) -> DataFrame:
