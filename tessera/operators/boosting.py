@@ -91,10 +91,11 @@ def _derivatives(scores: np.ndarray, y: np.ndarray, kind: str) -> tuple[np.ndarr
     if kind == "two":
         p = _expit(scores)
         return p - y[:, None], p * (1 - p)
-    e = np.exp(scores - scores.max(axis=1, keepdims=True))
-    p = e / e.sum(axis=1, keepdims=True)
-    k = scores.shape[1]
-    return p - (y[:, None] == np.arange(k)), p * (1 - p) * k / (k - 1)
+    wide = np.ascontiguousarray(scores.T)  # a score's values side by side: few long passes, not many short ones
+    e = np.exp(wide - wide.max(axis=0))
+    p = e / e.sum(axis=0)
+    k = len(wide)
+    return (p - (y == np.arange(k)[:, None])).T, (p * (1 - p) * k / (k - 1)).T
 
 
 def split_gains(hist: np.ndarray, total: np.ndarray, s: Settings) -> np.ndarray:
@@ -114,16 +115,67 @@ def best_split(hist: np.ndarray, total: np.ndarray, s: Settings) -> tuple | None
     return (float(gain[f, code]), int(f), int(code)) if gain[f, code] > 1e-12 else None
 
 
+def _rows_of(nodes: list, codes: np.ndarray, wanted) -> dict[int, np.ndarray]:
+    """The rows of a block, in order, that come to each of the ``wanted`` nodes; ``nodes`` are (feature, code, left, right), feature -1 at leaves.
+
+    Rows are handed from parents to children, and only on the ways to wanted nodes.
+    """
+    needed = set(wanted)
+    for i in reversed(range(len(nodes))):  # children come after their parents
+        f, _, left, right = nodes[i]
+        if f >= 0 and (left in needed or right in needed):
+            needed.add(i)
+    out, held = {}, {0: None}  # None: all rows
+    for i, (f, code, left, right) in enumerate(nodes):
+        if i not in held:
+            continue
+        own = held.pop(i)
+        if i in wanted:
+            out[i] = np.arange(codes.shape[1]) if own is None else own
+        if f >= 0 and (left in needed or right in needed):
+            goes = (codes[f] if own is None else codes[f].take(own)) <= code
+            for child, side in ((left, goes), (right, ~goes)):
+                if child in needed:
+                    at = np.flatnonzero(side)
+                    held[child] = at if own is None else own.take(at)
+    return out
+
+
 def _drop(nodes: list, codes: np.ndarray) -> np.ndarray:
-    """The node each row of a block ends in; ``nodes`` are (feature, code, left, right), feature -1 at leaves."""
+    """The node each row of a block ends in."""
     at = np.zeros(codes.shape[1], np.int32)
-    for i, (f, code, left, right) in enumerate(nodes):  # children come after their parents
-        if f >= 0:
-            own = np.flatnonzero(at == i)
-            at[own] = np.where(codes[f, own] <= code, left, right)
+    for i, own in _rows_of(nodes, codes, {i for i, n in enumerate(nodes) if n[0] < 0}).items():
+        at[own] = i
     return at
 
 
+def add_sums(out: dict, trees: list[list], of: dict[int, list[int]], codes: np.ndarray, g: np.ndarray, h: np.ndarray) -> None:
+    """Add a block's gradients, curvatures and rows by feature and code to ``out[score, node]`` for the nodes ``of`` each score."""
+    d, bins = codes.shape[0], next(iter(out.values())).shape[1]
+    every = None  # codes and rows of each feature over the whole block: the same for all scores
+    for c, nodes in of.items():
+        gc, hc = g[:, c], h[:, c]
+        if len(trees[c]) == 1:
+            every = every or [(x, np.bincount(x, minlength=bins)) for x in codes.astype(np.intp)]
+            for n in nodes:
+                for f, (x, rows) in enumerate(every):
+                    out[c, n][f, :, 0] += np.bincount(x, gc, bins)
+                    out[c, n][f, :, 1] += np.bincount(x, hc, bins)
+                    out[c, n][f, :, 2] += rows
+            continue
+        rows_of = _rows_of(trees[c], codes, set(nodes))
+        if not rows_of:
+            continue
+        own = np.concatenate(list(rows_of.values()))
+        place = np.repeat(np.arange(len(rows_of)) * bins, [len(r) for r in rows_of.values()])  # each node's codes in a range of their own
+        gg, hh = gc.take(own), hc.take(own)
+        for f in range(d):
+            x = codes[f].take(own) + place
+            for i, weights in enumerate((gg, hh, None)):
+                for n, sums in zip(rows_of, np.bincount(x, weights, len(rows_of) * bins).reshape(-1, bins)):
+                    out[c, n][f, :, i] += sums
+
+
 class _Data:
     """The binned blocks of a training table, and passes over them."""
 
@@ -173,17 +225,7 @@ class _Data:
                 for r in batch.to_pylist():
                     codes = np.frombuffer(r["codes"], wide).reshape(d, r["n"])
                     g, h = _derivatives(np.frombuffer(r["scores"]).reshape(r["n"], k), np.frombuffer(r["y"]), kind)
-                    for c, nodes in of.items():
-                        at = _drop(trees[c], codes)
-                        for n in nodes:
-                            own = np.flatnonzero(at == n) if len(trees[c]) > 1 else slice(None)
-                            part = out[c, n]
-                            gg, hh = g[own, c], h[own, c]
-                            for f in range(d):
-                                x = codes[f, own]
-                                part[f, :, 0] += np.bincount(x, gg, bins)
-                                part[f, :, 1] += np.bincount(x, hh, bins)
-                                part[f, :, 2] += np.bincount(x, minlength=bins)
+                    add_sums(out, trees, of, codes, g, h)
             yield pa.RecordBatch.from_pydict({"score": pa.array([c for c, _ in out], pa.int32()), "node": pa.array([n for _, n in out], pa.int32()),
                                               "hist": [v.tobytes() for v in out.values()]})
 
@@ -424,7 +466,9 @@ def predict(model: Boosted, df: DataFrame, keep: list[str], digits: int = 4) ->
     def run(batches):
         for batch in batches:
             x = np.stack([np.asarray(batch.column(i + 1).to_numpy(zero_copy_only=False), dtype=float) for i in range(d)], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(m.value.scores(x)), pa.list_(pa.float64()))], names=["keep", "s"])
+            scores = m.value.scores(x)
+            ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * scores.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(scores.ravel()))], names=["keep", "s"])
 
     scored = rows.mapInArrow(run, f"keep {rows.schema['keep'].dataType.simpleString()}, s array<double>")
     kept = [F.col(f"keep.`{c}`").alias(c) for c in keep]
