@@ -176,16 +176,19 @@ def fit(df: DataFrame, features: list[str], label: str, name: str, params: dict
             return Fitted(None, features, label, spec.task, classes, boosted=BO.fit(df, features, label, classes, s))
     # Iterative learners make several passes: keep the projected training
     # columns cached, spread over at least the cluster's default parallelism
-    # (a narrow input is re-partitioned; a wide one is only cached).
+    # (a narrow input is re-partitioned; a wide one is only cached). The cached
+    # columns are asked for their partitions: the exchanges below them run once.
     sc = df.sparkSession.sparkContext
-    data = df.select(*dict.fromkeys(list(features) + [label]))
-    if data.rdd.getNumPartitions() < sc.defaultParallelism:
-        data = data.repartition(sc.defaultParallelism)
-    df = data.persist()
+    data = read = df.select(*dict.fromkeys(list(features) + [label])).persist()
     try:
-        return _fit_cached(df, features, label, name, spec, p, n_rows)
+        if read.rdd.getNumPartitions() < sc.defaultParallelism:
+            data = read.repartition(sc.defaultParallelism).persist()
+            data.count()
+            read.unpersist()
+        return _fit_cached(data, features, label, name, spec, p, n_rows)
     finally:
-        df.unpersist()
+        read.unpersist()
+        data.unpersist()
 
 
 def _fit_symmetric(df: DataFrame, features: list[str], label: str, p: dict) -> Fitted:
@@ -202,6 +205,23 @@ def _fit_symmetric(df: DataFrame, features: list[str], label: str, p: dict) -> F
     return Fitted(None, features, label, "regression", boosted=BO.fit(df, used, label, settings=s), levels=levels)
 
 
+def _node_ids_fit(sc, n: int, trees: int) -> bool:
+    """Whether a forest can keep each row's node of every tree, so that no level walks its rows down from the roots.
+
+    The trees are the same either way. A row has its sampling counts and, while a
+    level ends, its old and new nodes: one int a tree each, beside its bins. Rows
+    beyond the executors' storage memory would be written to disk and read again
+    at every level; they are walked.
+    """
+    sizes = []
+    shares = sc._jsc.sc().getExecutorMemoryStatus().valuesIterator()
+    while shares.hasNext():
+        sizes.append(shares.next()._1())
+    sizes.sort()
+    there = sum(sizes[1:]) if len(sizes) > 1 else sum(sizes)  # the driver's own share holds no rows
+    return n * (3 * (16 + 4 * trees) + 120) <= there
+
+
 def _fit_cached(df, features, label, name, spec, p, n_rows) -> Fitted:
     stats = None
     if n_rows is None or spec.task == "classification":
@@ -224,6 +244,8 @@ def _fit_cached(df, features, label, name, spec, p, n_rows) -> Fitted:
     else:
         multi = spec.task == "classification" and stats["k"] > 2
         est = spec.make(p, n, multi)
+    if isinstance(est, (RandomForestClassifier, RandomForestRegressor)):
+        est.setCacheNodeIds(_node_ids_fit(df.sparkSession.sparkContext, n, est.getNumTrees()))
     if spec.task == "regression":
         df = df.withColumn(label, col(label).cast("double"))
     est.setFeaturesCol("__features").setLabelCol(lab)
