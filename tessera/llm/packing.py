@@ -39,8 +39,13 @@ END_ID = 1
 CACHE, CACHE_BYTES = 650_000, 128 << 20
 
 
-#: A stop or comma between a letter and white space: the tokenizer takes it as a word of its own.
-_FINAL = re.compile(rb"(?<=[A-Za-z])([.,])(?=[\x20\x09-\x0D]|\Z)")
+#: Classes of bytes: letters, stop and comma, white space.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = 1
+_CLASS[[*b".,"]] = 2
+_CLASS[[*c.SPACE]] = 4
+#: Letters and a run of marks behind them: the tokenizer takes each as a word of its own.
+_MARKED = re.compile(rb"([a-z]+)([!-&(-/:;=?@\[-`{-~]+)")
 
 
 def _byte_letters() -> dict[int, int]:
@@ -50,21 +55,40 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in own} | {b: 0x100 + i for i, b in enumerate(rest)}
 
 
+class _Known(dict):
+    """Ids of strings, and their bytes. A new string is learnt when it is asked for; one that the last generation knew is carried over."""
+
+    def __init__(self, learn, before=None):
+        self.learn, self.before, self.size = learn, before or {}, 0
+        self.held = before.size if before else 0
+
+    def __missing__(self, w: bytes) -> bytes:
+        ids = self.before.get(w)
+        if ids is None:
+            ids = self.learn(w)
+        self.size += 200 + len(w) + len(ids)  # two objects and a place in the table beside their bytes
+        self[w] = ids
+        return ids
+
+
 class Encoder:
     """Token ids of texts as little-endian bytes.
 
     The tokenizer lower-cases, drops white space and never joins across it, so
     a text's ids are those of its white-space separated strings; each distinct
     one is looked up once while it stays in the cache, which is bounded in strings
-    and bytes and which a worker keeps until it runs another kind of task. New strings of letters, with at most one full stop
-    or comma behind them, go to the vocabulary's own merges as one word; all
-    others are encoded together and told apart by their offsets.
+    and bytes and which a worker keeps until it runs another kind of task. The cache
+    is two generations: when the younger has half of the bound, the older is given up,
+    so that strings in use are not learnt anew. New strings of letters, with marks or
+    at most one full stop or comma behind them, go to the vocabulary's own merges as one
+    word and their marks; all others are encoded alone.
     """
 
     def __init__(self, path: str, cache: int = CACHE, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
-        self.tok, self.known, self.cache, self.cache_bytes, self.size = Tokenizer.from_file(path), {}, cache, cache_bytes, 0
+        self.tok, self.cache, self.cache_bytes = Tokenizer.from_file(path), cache, cache_bytes
+        self.known = _Known(self._learn)
         self.model, self.letters = self.tok.model, _byte_letters()
         self.tails = {t: np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in ".,"} | {"": b""}
 
@@ -73,41 +97,44 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(as_letters)]).tobytes()
 
     @staticmethod
-    def _strings(text: str) -> list[bytes]:
-        """White-space separated strings; where no control string can arise, in lower case and with final stops and commas apart."""
-        raw = text.encode("utf-8", "surrogatepass")
-        return (raw if b"<|" in raw else _FINAL.sub(rb" \1", raw.lower())).split()
-
-    def _learn(self, new) -> None:
-        others = []
-        for w in new:
-            s = w.decode("utf-8", "replace")
-            low = s.lower()
-            tail = low[-1] if low[-1] in ".," else ""
-            core = low[:-1] if tail else low
-            if core.isalpha() and (core.isascii() or s.isascii() or core.islower() and "\u03a3" not in s and max(core) < "\u0250" and is_normalized("NFC", s)):
-                self.known[w] = self._word(core) + self.tails[tail]
-            else:
-                others.append((w, s))
-        for i in range(0, len(others), 512):
-            part = others[i:i + 512]
-            e = self.tok.encode(" ".join(s for _, s in part), add_special_tokens=False)
-            begin = np.cumsum([0] + [len(s) + 1 for _, s in part])
-            at = np.searchsorted(np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0], begin).tolist()
-            ids = np.array(e.ids, "<u4").tobytes()
-            for (w, _), x, y in zip(part, at, at[1:]):
-                self.known[w] = ids[4 * x:4 * y]
+    def _strings(texts: list[str | None]):
+        """White-space separated strings of each text; where no control string can arise, in lower case, and a stop or comma between a letter and white space apart."""
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        plain = [b"" if b"<|" in r else r for r in raw]
+        a = np.frombuffer(b"\n".join([*plain, b""]).lower(), np.uint8)
+        kind = _CLASS[a]
+        final = np.flatnonzero((kind[1:-1] == 2) & (kind[:-2] == 1) & (kind[2:] == 4)) + 1
+        begin = np.cumsum([0] + [len(r) + 1 for r in plain])
+        begin = (begin + np.searchsorted(final, begin)).tolist()
+        data = np.insert(a, final, 32).tobytes()
+        for r, at, end in zip(raw, begin, begin[1:]):
+            yield r.split() if b"<|" in r else data[at:end].split()
+
+    def _learn(self, w: bytes) -> bytes:
+        if w.isalpha():  # letters of ASCII
+            return self._word(w.lower().decode("ascii"))
+        marked = _MARKED.fullmatch(w)
+        if marked:
+            return self._word(marked[1].decode("ascii")) + self.known[marked[2]]
+        s = w.decode("utf-8", "replace")
+        low = s.lower()
+        tail = low[-1] if low[-1] in ".," else ""
+        core = low[:-1] if tail else low
+        if core.isalpha() and (core.isascii() or s.isascii() or core.islower() and "\u03a3" not in s and max(core) < "\u0250" and is_normalized("NFC", s)):
+            return self._word(core) + self.tails[tail]
+        return array("I", self.tok.encode(s, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [self._strings(t or "") for t in texts]
-        if len(self.known) > self.cache or self.size > self.cache_bytes:
-            self.known, self.size = {}, 0
-        known = self.known
-        new = set().union(*split).difference(known)
-        self._learn(new)
-        self.size += sum(200 + len(w) + len(known[w]) for w in new)  # two objects and a place in the table beside their bytes
-        end = np.array([END_ID], "<u4").tobytes()
-        return [b"".join([*map(known.__getitem__, ws), end]) for ws in split]
+        if len(self.known) > self.cache // 2 or self.known.size > self.cache_bytes // 2:
+            self.known.before = {}
+            self.known = _Known(self._learn, self.known)
+        ids, end = self.known.__getitem__, np.array([END_ID], "<u4").tobytes()
+        return [b"".join([*map(ids, ws), end]) for ws in self._strings(texts)]
+
+    @property
+    def size(self) -> int:
+        """Bytes of the cached strings and ids, about."""
+        return self.known.size + self.known.held
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
