@@ -301,12 +301,12 @@ KNN_BLOCK, KNN_SLICE, KNN_CELL, KNN_CELLS = 8192, 512, 2048, 4096
 KNN_HELD = 1 << 20
 
 
-def _nearest(k: int):
-    """(query block, training block) → up to k nearest distinct training rows per query."""
+def _nearest(k: int, key: str):
+    """(query block, training block) → up to k nearest distinct training rows per query, which ``key`` names."""
     import pandas as pd
 
     def run(queries, train):
-        found = {"x": [], "y": [], "w": [], "d": []}
+        found = {key: [], "y": [], "w": [], "d": []}
         if len(queries) and len(train):
             rows, labels, weights = np.stack(train["x"]), train["y"].to_numpy(), train["w"].to_numpy()
             norms, kk = (rows * rows).sum(1), min(k, len(rows))
@@ -314,12 +314,12 @@ def _nearest(k: int):
                 q = np.stack(queries["x"][at:at + KNN_SLICE])
                 near = np.argpartition(norms - 2 * q @ rows.T, kk - 1, axis=1)[:, :kk].ravel()
                 own = np.repeat(np.arange(len(q)), kk)
-                found["x"] += list(q[own])
+                found[key].append(queries[key].to_numpy()[at:at + KNN_SLICE][own])
                 found["y"].append(labels[near])
                 found["w"].append(weights[near])
                 found["d"].append(((q[own] - rows[near]) ** 2).sum(1))
-        kinds = {"x": object, "y": object, "w": "int64", "d": "float64"}
-        return pd.DataFrame({c: pd.Series(v if c == "x" or not v else np.concatenate(v), dtype=kinds[c]) for c, v in found.items()})
+        kinds = {"x": object, "q": "int64", "y": object, "w": "int64", "d": "float64"}
+        return pd.DataFrame({c: pd.Series(np.concatenate(v) if v else v, dtype=kinds[c]) for c, v in found.items()})
 
     return run
 
@@ -357,8 +357,8 @@ def knn_cells(train: DataFrame, k: int) -> tuple[DataFrame, np.ndarray, np.ndarr
     return dealt, pivots, sizes
 
 
-def knn_route(queries: DataFrame, pivots: np.ndarray, sizes: np.ndarray, k: int, bounds: DataFrame | None = None) -> DataFrame:
-    """(x, cell): the cells a query must see.
+def knn_route(queries: DataFrame, pivots: np.ndarray, sizes: np.ndarray, k: int, bounds: DataFrame | None = None, numbered: bool = False) -> DataFrame:
+    """(x, cell), and with ``numbered`` queries their number q: the cells a query must see.
 
     Without ``bounds``, the nearest cells that together hold ``k`` rows; with
     (x, bound), the other cells that can hold a row within the query's bound: by
@@ -388,20 +388,25 @@ def knn_route(queries: DataFrame, pivots: np.ndarray, sizes: np.ndarray, k: int,
             q, cell = np.nonzero(go)
             step, own = max(1, KNN_HELD // max(1, x.shape[1])), list(x)
             for at in range(0, len(q), step):  # a query may go to every cell
-                yield pd.DataFrame({"x": pd.Series([own[i] for i in q[at:at + step]], dtype=object), "cell": cell[at:at + step].astype("int32")})
+                out = {"x": pd.Series([own[i] for i in q[at:at + step]], dtype=object), "cell": cell[at:at + step].astype("int32")}
+                yield pd.DataFrame(out | ({"q": pdf["q"].to_numpy()[q[at:at + step]]} if numbered else {}))
 
-    return (bounds if bounded else queries).mapInPandas(run, "x array<double>, cell int")
+    return (bounds if bounded else queries).mapInPandas(run, "x array<double>, cell int" + ", q long" * numbered)
 
 
 def _search(routed: DataFrame, dealt: DataFrame, sizes: np.ndarray, k: int) -> DataFrame:
-    """Up to ``k`` nearest rows of every routed (query, cell), in blocks of bounded size on both sides."""
+    """Up to ``k`` nearest rows of every routed (query, cell), in blocks of bounded size on both sides.
+
+    Numbered queries come back as their number q, not as their values: there are ``k`` rows for each cell a query sees.
+    """
+    key, kind = ("q", "long") if "q" in routed.columns else ("x", "array<double>")
     parts = np.maximum(1, -(-sizes[:, 0] // KNN_BLOCK)).astype(int)
     per = dict(routed.groupBy("cell").count().collect())  # one row a cell
     asks = [max(1, -(-per.get(c, 0) // KNN_BLOCK)) for c in range(len(sizes))]
     of = lambda n: F.array(*[F.lit(int(v)) for v in n])[F.col("cell")]
-    left = routed.select("x", "cell", F.pmod(F.xxhash64("x"), of(asks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), of(parts) - 1)).alias("tb"))
+    left = routed.select(*dict.fromkeys(["x", key]), "cell", F.pmod(F.xxhash64(key), of(asks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), of(parts) - 1)).alias("tb"))
     right = dealt.select("x", "y", "w", "cell", F.explode(F.sequence(F.lit(0), of(asks) - 1)).alias("qb"), F.pmod(F.xxhash64("x", "y"), of(parts)).cast("int").alias("tb"))
-    return left.groupBy("cell", "qb", "tb").cogroup(right.groupBy("cell", "qb", "tb")).applyInPandas(_nearest(k), "x array<double>, y string, w long, d double")
+    return left.groupBy("cell", "qb", "tb").cogroup(right.groupBy("cell", "qb", "tb")).applyInPandas(_nearest(k, key), f"{key} {kind}, y string, w long, d double")
 
 
 def knn_predict(f: Fitted, df: DataFrame, keep: list[str]) -> DataFrame:
@@ -423,18 +428,19 @@ def knn_predict(f: Fitted, df: DataFrame, keep: list[str]) -> DataFrame:
     rows = df.select(*[col(c) for c in keep], x.alias("__x"))
     if not len(pivots):
         return rows.select(*[col(c) for c in keep], F.lit(None).cast("string").alias("__prediction__"))
-    queries = shared_table(df.select(x.alias("x")).distinct(), "queries")
-    near = shared_table(_search(shared_table(knn_route(queries, pivots, sizes, k), "routes"), dealt, sizes, k), "near")
-    bounds = near.groupBy("x").agg(F.sort_array(F.collect_list("d")).alias("d"))  # k rows for each cell seen
-    bounds = bounds.select("x", F.when(F.size("d") >= k, F.get("d", F.lit(k - 1))).otherwise(F.lit(float("inf"))).alias("bound"))
-    more = shared_table(knn_route(queries, pivots, sizes, k, bounds), "routes")
+    queries = shared_table(df.select(x.alias("x")).distinct().withColumn("q", F.monotonically_increasing_id()), "queries")
+    near = shared_table(_search(shared_table(knn_route(queries, pivots, sizes, k, numbered=True), "routes"), dealt, sizes, k), "near")
+    bounds = near.groupBy("q").agg(F.sort_array(F.collect_list("d")).alias("d"))  # k rows for each cell seen
+    bounds = bounds.select("q", F.when(F.size("d") >= k, F.get("d", F.lit(k - 1))).otherwise(F.lit(float("inf"))).alias("bound"))
+    more = shared_table(knn_route(queries, pivots, sizes, k, queries.join(bounds, "q"), numbered=True), "routes")
     near = near.unionByName(_search(more, dealt, sizes, k))
-    before = F.coalesce(F.sum("w").over(Window.partitionBy("x").orderBy("d", "y", "w").rowsBetween(
+    before = F.coalesce(F.sum("w").over(Window.partitionBy("q").orderBy("d", "y", "w").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0))
     votes = (near.withColumn("v", F.least("w", F.lit(k) - before)).where("v > 0")
-             .groupBy("x", "y").agg(F.sum("v").alias("v")))
-    best = votes.groupBy("x").agg(F.min_by("y", F.struct(-F.col("v"), F.col("y"))).alias("__prediction__"))
-    return rows.join(best.withColumnRenamed("x", "__x"), "__x", "left").select(*[col(c) for c in keep], "__prediction__")
+             .groupBy("q", "y").agg(F.sum("v").alias("v")))
+    best = votes.groupBy("q").agg(F.min_by("y", F.struct(-F.col("v"), F.col("y"))).alias("__prediction__"))
+    best = queries.join(best, "q").select(F.col("x").alias("__x"), "__prediction__")
+    return rows.join(best, "__x", "left").select(*[col(c) for c in keep], "__prediction__")
 
 
 CLASS_METRICS = ("accuracy", "f1", "roc_auc")

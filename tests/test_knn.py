@@ -74,3 +74,17 @@ def test_routes_are_made_in_bounded_pieces(spark, monkeypatch):
     assert sum(len(p) for p in sent) == 100 * 59  # all cells but the nearest, which was seen before
     assert {(tuple(a), b) for p in sent for a, b in zip(p["x"], p["cell"])} == {(tuple(a), b) for a in x for b in range(60)} - {
         (tuple(a), int(b)) for a, b in zip(x, real(x, pivots).argmin(axis=1))}
+
+
+def test_found_rows_carry_numbers(spark):
+    """Numbered queries come back from the search as numbers: their values are not copied for every row found."""
+    rng = np.random.default_rng(3)
+    train = spark.createDataFrame([(list(map(float, r)), "l", 1) for r in rng.normal(size=(60, 4))], "x array<double>, y string, w long")
+    queries = spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(rng.normal(size=(9, 4)))], "q long, x array<double>")
+    dealt, pivots, sizes = T.knn_cells(train, 5)
+    near = T._search(T.knn_route(queries, pivots, sizes, 5, numbered=True), dealt, sizes, 5)
+    assert near.columns == ["q", "y", "w", "d"]
+    x, asked = np.array([r["x"] for r in train.collect()]), np.array([r["x"] for r in queries.orderBy("q").collect()])
+    got = {r["q"]: sorted(r["d"]) for r in near.groupBy("q").agg(F.collect_list("d").alias("d")).collect()}
+    for i, q in enumerate(asked):
+        assert got[i] == pytest.approx(np.sort(((x - q) ** 2).sum(axis=1))[:5])
