@@ -33,6 +33,8 @@ from .trees import Tree
 
 #: Rows of a block.
 BLOCK = 16_384
+#: How blocks are written: a row group, which a task reads whole, holds some blocks, however many a file has.
+GROUPS = {"parquet.block.size": 4 << 20, "parquet.page.size.row.check.min": 2}
 
 
 @dataclass
@@ -209,7 +211,7 @@ class _Data:
 
     def _write(self, df: DataFrame) -> DataFrame:
         path = shared_path(self.spark, "boosting")
-        df.write.parquet(path)
+        df.write.options(**GROUPS).parquet(path)
         return self.spark.read.schema(self.schema).parquet(path)
 
     def histograms(self, trees: list[list], wanted: list[tuple[int, int]]) -> dict:

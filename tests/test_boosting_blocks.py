@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tessera.operators import boosting as B
@@ -44,3 +48,13 @@ def test_softmax_derivatives():
     p = np.exp(scores) / np.exp(scores).sum(axis=1, keepdims=True)
     np.testing.assert_allclose(g, p - np.eye(3)[y.astype(int)])
     np.testing.assert_allclose(h, p * (1 - p) * 1.5)
+
+
+def test_blocks_are_written_in_small_row_groups(spark):
+    """A task reads a row group whole: its size must not follow the number of blocks in a file."""
+    rows = [(1, os.urandom(60_000), os.urandom(60_000), os.urandom(60_000)) for _ in range(150)]
+    table = B._Data._write(SimpleNamespace(spark=spark, schema=B._Data.schema), spark.createDataFrame(rows, B._Data.schema).coalesce(1))
+    (path,) = table.inputFiles()
+    meta = pq.ParquetFile(path.removeprefix("file://")).metadata
+    assert meta.num_rows == 150 and max(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)) < 8 << 20
+    assert sorted(bytes(r["codes"]) for r in table.collect()) == sorted(r[1] for r in rows)
