@@ -103,3 +103,19 @@ def test_empty_and_missing(spark, data):
     odd = spark.createDataFrame([(None, *[None] * 6)], "id int, " + ", ".join(f"{f} double" for f in FEATURES))
     got = X.tree_attributions(trees, odd, FEATURES).collect()
     assert len(got) == 6 and all(r.value is None and math.isfinite(r.attribution) for r in got)
+
+
+def test_leaf_tables_are_made_once(monkeypatch):
+    """Batches look their rows up in tables made before; leaves beyond the bound are worked out anew, to the same values."""
+    tree = X.Tree(np.array([0, 1, 0, 0, 0, 0, 0]), np.array([0.5, 0.2, 0.7, 0, 0, 0, 0]), np.array([1, 3, 5, -1, -1, -1, -1]), np.array([2, 4, 6, -1, -1, -1, -1]),
+                  np.array([10.0, 6, 4, 2, 4, 1, 3]), np.array([0, 0, 0, 1.0, 2, 3, 4]))
+    x = np.random.default_rng(1).random((50, 2))
+    made, real = [], X._shapley
+    monkeypatch.setattr(X, "_shapley", lambda known, share: made.append(len(known)) or real(known, share))
+    whole = X.Attributions([tree])
+    assert len(made) == 4
+    first, again = whole(x), whole(x[:7])
+    assert len(made) == 4
+    some = X.Attributions([tree], 10)
+    assert len(some.tables) == 2 and (some(x) == first).all() and (first[:7] == again).all()
+    assert first.sum(axis=1) == pytest.approx(tree.predict(x) - tree.mean())
