@@ -11,6 +11,12 @@ ranges also when a task is run again with other settings.
 
 from __future__ import annotations
 
+import os
+import uuid
+from itertools import groupby
+from urllib.parse import unquote, urlparse
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +55,36 @@ def read_lines(spark: SparkSession, path, encoding: str = "utf-8") -> DataFrame:
     return lines.join(ranges, ["file", "__start"]).select("file", (F.col("__before") + F.col("__place") - F.col("__first")).alias("line_no"), "text")
 
 
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Write (file, value) as text files, a folder ``file=...`` for each file; the lines of one must lie side by side in a task.
+
+    Hadoop's local file system starts a process for every folder and file that it
+    makes. On it the tasks write the files themselves, under another name until
+    they are whole; elsewhere Spark's writer does.
+    """
+    uri = urlparse(path)
+    if uri.scheme not in ("", "file"):
+        lines.write.partitionBy("file").option("encoding", "UTF-8").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+        return
+    folder = unquote(uri.path) if uri.scheme else path
+
+    def run(batches):
+        rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        n = 0
+        for name, own in groupby(rows, key=lambda r: r[0]):
+            at = os.path.join(folder, f"file={'__HIVE_DEFAULT_PARTITION__' if name is None else name}")
+            os.makedirs(at, exist_ok=True)
+            part = os.path.join(at, f"_{uuid.uuid4().hex}")
+            with open(part, "w", encoding="utf-8", newline="") as f:
+                f.writelines(f"{v or ''}\n" for _, v in own)
+            os.replace(part, os.path.join(at, "part-00000.txt"))
+            n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    os.makedirs(folder, exist_ok=True)
+    lines.select("file", "value").mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+
+
 def count_cells(text: Column, sep: str = ",", quote: str = '"') -> Column:
     """Number of cells of a delimited line; separators inside quotes do not count."""
     q = "\\" + quote

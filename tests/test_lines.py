@@ -111,3 +111,21 @@ def test_unnamed_formulations_are_numbered_across_buckets(spark, monkeypatch):
     _, form, _ = L.extract(lines, 2)
     got = {r.line_no: r.SampleID for r in form.collect()}
     assert got == {i: f"S{i + 1}" if (i + 1) % 4 else f"Sample_{i + 1}" for i in range(13)}
+
+
+def test_written_files_hold_whole_logs(spark, tmp_path, monkeypatch):
+    """Tasks write the files themselves, also where a log goes over several batches, and read_lines gives them back."""
+    rows = [(None if i % 5 == 4 else i % 5, i, None if i == 7 else f"é {i},\"x\"") for i in range(400)]
+    monkeypatch.setattr(type(spark.range(1).write), "text", None)  # Spark's writer makes no file
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+    try:
+        lines = spark.createDataFrame(rows, "file long, line_no long, value string").repartition("file").sortWithinPartitions("file", "line_no")
+        R.write_lines(lines.select("file", "value"), f"file://{tmp_path}/logs one")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    names = sorted(p.relative_to(tmp_path / "logs one").as_posix() for p in (tmp_path / "logs one").rglob("*") if p.is_file())
+    assert names == [f"file={x}/part-00000.txt" for x in (0, 1, 2, 3, "__HIVE_DEFAULT_PARTITION__")]
+    got = {(r["file"].split("file=")[1].split("/")[0], r["line_no"]): r["text"] for r in R.read_lines(spark, f"{tmp_path}/logs one").collect()}
+    want = {("__HIVE_DEFAULT_PARTITION__" if f is None else str(f), i // 5): v or "" for f, i, v in rows}
+    assert got == want
