@@ -20,6 +20,7 @@ repeated rows are packed one by one; other columns are ignored.
 from __future__ import annotations
 
 import re
+import weakref
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -65,7 +66,7 @@ class _Known(dict):
     def __missing__(self, w: bytes) -> bytes:
         ids = self.before.get(w)
         if ids is None:
-            ids = self.learn(w)
+            ids = self.learn()(w)
         self.size += 200 + len(w) + len(ids)  # two objects and a place in the table beside their bytes
         self[w] = ids
         return ids
@@ -88,7 +89,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok, self.cache, self.cache_bytes = Tokenizer.from_file(path), cache, cache_bytes
-        self.known = _Known(self._learn)
+        self.known = _Known(weakref.WeakMethod(self._learn))  # no circle: an encoder given up is freed at once
         self.model, self.letters = self.tok.model, _byte_letters()
         self.tails = {t: np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in ".,"} | {"": b""}
 
@@ -127,7 +128,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > self.cache // 2 or self.known.size > self.cache_bytes // 2:
             self.known.before = {}
-            self.known = _Known(self._learn, self.known)
+            self.known = _Known(self.known.learn, self.known)
         ids, end = self.known.__getitem__, np.array([END_ID], "<u4").tobytes()
         return [b"".join([*map(ids, ws), end]) for ws in self._strings(texts)]
 

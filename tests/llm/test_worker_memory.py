@@ -1,6 +1,8 @@
 """What workers keep between tasks is bounded and given up by other kinds of tasks."""
 
+import gc
 import random
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -53,3 +55,17 @@ def test_encoder_equals_the_tokenizer_on_odd_strings():
     for at in range(0, len(texts), 100):
         for t, ids in zip(texts[at:at + 100], e.encode(texts[at:at + 100])):
             assert np.frombuffer(ids, "<u4").tolist() == e.tok.encode(t, add_special_tokens=False).ids + [packing.END_ID], t
+
+
+def test_encoder_given_up_is_freed_at_once():
+    e = packing.Encoder(queries.tokenizer_file("word_bpe_49k.json"), cache=10)
+    for i in range(9):
+        e.encode([f"word{i} another{i}"])
+    known, gone = weakref.ref(e), gc.isenabled()
+    gc.disable()
+    try:
+        del e
+        assert known() is None
+    finally:
+        if gone:
+            gc.enable()
